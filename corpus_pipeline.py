@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, neardup, packing, toxicity
+from corvane.llm import langid, mixing, neardup, packing, toxicity
 from corvane.llm.common import materialize, table
 from corvane.llm.queries import tokenizer_file
 
@@ -33,6 +33,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    return mixing.take(docs, mixing.mix(docs)).select(*COLUMNS)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.op2(docs, tokenizer_file("byte_bpe_50k.json"))
 
@@ -41,6 +46,7 @@ STAGES = [
     ("language_id", language_stage),
     ("toxicity", toxicity_stage),
     ("near_dedup", near_duplicate_stage),
+    ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
 

@@ -280,3 +280,20 @@ def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc
 def op5(docs: DataFrame) -> DataFrame:
     """The contract's digest: shingles of four words."""
     return cluster(docs, width=4)
+
+
+#: Every pair of documents that share a shingle is counted and compared: exact, for small tables.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+n AS (SELECT doc_id, CASE WHEN coalesce(len(x), 0) = 0 THEN []::VARCHAR[] WHEN len(x) < 4 THEN [array_to_string(x, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(x) - 2), i -> array_to_string(x[i:i + 3], ' '))) END AS s FROM w),
+c AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM n WHERE len(s) > 0 GROUP BY list_sort(s)),
+e AS (SELECT rep, len(s) AS size, unnest(s) AS g FROM c),
+p AS (SELECT a.rep AS u, b.rep AS v, a.size AS m, b.size AS k, count(*) AS hits FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT u, v FROM p WHERE 100 * hits >= 80 * (m + k - hits)),
+b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT rep AS a, rep AS z FROM c UNION SELECT r.a, b.v FROM r JOIN b ON r.z = b.u),
+root AS (SELECT a, min(z) AS root FROM r GROUP BY a)
+SELECT n.doc_id, len(n.s)::BIGINT AS n_shingles, coalesce(root.root, n.doc_id) AS component_id, n.doc_id = coalesce(root.root, n.doc_id) AS kept
+FROM n LEFT JOIN c ON list_sort(n.s) = c.s LEFT JOIN root ON c.rep = root.a
+"""

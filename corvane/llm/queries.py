@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import langid, neardup, packing, quality, toxicity
+from corvane.llm import imatch, langid, mixing, neardup, packing, quality, tokenfile, toxicity, urltree, warc
 from corvane.llm.common import table
 
 
@@ -27,13 +27,39 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.op4(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.op6(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op5_minhash_near_dedup, op7_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op8(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op9(table(spark, sf_dir, "pages"))
+
+
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.op10(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filter, op5_minhash_near_dedup, op6_token_binary, op7_toxicity, op8_source_mixing, op9_warc_derivatives,
+        op10_imatch_fingerprints,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op5_minhash_near_dedup": neardup.OP5_SQL, "op8_source_mixing": mixing.OP8_SQL}
