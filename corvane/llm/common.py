@@ -11,6 +11,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,22 +103,17 @@ def sample_per_class(df: DataFrame, label: str, key: str, columns: list[str], pe
 # --------------------------------------------------------------------------- text batches
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> list:
-    """The column's texts as UTF-8 bytes; None for null."""
-    return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
-
-
-def slices(texts: list, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts together hold about `budget` bytes; a longer text makes a range of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > budget:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def parts(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int, list]]:
+    """(i, j, texts of rows i up to j as UTF-8 bytes, None for null): ranges whose texts together hold about `budget`
+    bytes; a longer text makes a range of its own.  Only one range is copied out of the batch at a time."""
+    col = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).tolist()
+    start = held = 0
+    for i, n in enumerate([*sizes, budget + 1]):
+        if i > start and held + n > budget:
+            yield start, i, col.slice(start, i - start).cast(pa.binary()).to_pylist()
+            start, held = i, 0
+        held += n
 
 
 def append_columns(
@@ -134,10 +130,9 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            texts = texts_of(batch, text)
-            for i, j in slices(texts):
+            for i, j, texts in parts(batch, text):
                 part = batch.slice(i, j - i)
-                made = [pa.array(v, type=k) for v, k in zip(kernel(texts[i:j]), kinds, strict=True)]
+                made = [pa.array(v, type=k) for v, k in zip(kernel(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *made], names=out_names)
 
     return df.mapInArrow(run, schema)
@@ -173,11 +168,11 @@ class WordCache:
             self.ids.clear()
         got = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         if len(missing := np.flatnonzero(got < 0)):
-            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
+            new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
             start = len(self.ids)
             self.grow(new, start)
             self.ids.update(zip(new, range(start, start + len(new))))
-            got[missing] = np.fromiter((self.ids[words[i]] for i in missing.tolist()), np.int64, len(missing))
+            got[missing] = np.fromiter(map(self.ids.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
         return got
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import LOWER, append_columns, mix64, share, slices, texts_of, word_hashes
+from corvane.llm.common import LOWER, append_columns, mix64, parts, share, word_hashes
 
 #: Terms in fewer or more of the documents than these shares are outside the band.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
@@ -73,9 +73,8 @@ def _count_pass(docs: DataFrame, text: str, candidates) -> DataFrame:
             return out
 
         for batch in batches:
-            texts = texts_of(batch, text)
-            for i, j in slices(texts):
-                _, h = distinct_terms(texts[i:j])
+            for i, j, texts in parts(batch, text):
+                _, h = distinct_terms(texts)
                 if known is not None and len(known):
                     h = h[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
                 elif known is not None:
@@ -193,10 +192,10 @@ def compare(docs: DataFrame, terms: np.ndarray, text: str = "text", key: str = "
         of = Fingerprinter(shared())
         last = None  # a row whose next one has not come yet
         for batch in batches:
-            texts, tails, keys = texts_of(batch, text), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, j in slices(texts):
+            tails, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, j, texts in parts(batch, text):
                 rows = [last] if last is not None else []
-                rows += [(tails[k], keys[k], texts[k] or b"") for k in range(i, j)]
+                rows += [(tail, k, t or b"") for tail, k, t in zip(tails[i:j], keys[i:j], texts, strict=True)]
                 last = rows[-1]
                 prints = of([r[2] for r in rows])
                 plain = [r[2].decode("utf-8", "replace") for r in rows]

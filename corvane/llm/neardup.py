@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, drop, materialize, mix64, slices, texts_of, word_hashes
+from corvane.llm.common import LOWER, drop, materialize, mix64, parts, word_hashes
 
 BANDS, ROWS = 30, 5
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 80
 #: Rounds of pivots before the remaining pairs are compared.
 PIVOT_ROUNDS = 2
+#: Ids of documents that share a bucket are broadcast up to this number.
+BROADCAST_IDS = 200_000
 #: Documents of a block in that comparison.
 BLOCK = 256
 
@@ -83,10 +85,10 @@ def sketch(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = texts_of(batch, text), batch.column(batch.schema.get_field_index(key))
-            for i, j in slices(texts):
+            keys = batch.column(batch.schema.get_field_index(key))
+            for i, j, texts in parts(batch, text):
                 n, h1, h2, buckets, sig = [], [], [], [], []
-                for s in shingles(texts[i:j], width):
+                for s in shingles(texts, width):
                     n.append(len(s))
                     if not len(s):
                         h1.append(0), h2.append(0), buckets.append([]), sig.append(b"")
@@ -113,54 +115,57 @@ def _least_alike() -> int:
     return int(n * share - 4 * (n * share * (1 - share)) ** 0.5)
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """The pairs (u, v) that are links: signatures first, then full sets, made anew from the texts of those involved."""
-    sigs = lambda x: reps.select(F.col(key).alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    sized = pairs.join(sigs("u"), "u").join(sigs("v"), "v").where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
-    least = _least_alike()
+def _sets(docs: DataFrame, ids: DataFrame, width: int, text: str, key: str) -> DataFrame:
+    """(id, members): the full shingle sets of the documents named by ids, made anew from their texts.  The ids are
+    broadcast if they are few by count; else the texts are shuffled to them."""
+    wanted = ids.select(F.col("id").alias(key))
+    chosen = docs.select(key, text).join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, key, "left_semi").dropDuplicates([key])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            if n:
-                su, sv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(n, -1) for c in (2, 3))
-                b = b.filter(pa.array((su == sv).sum(1) >= least))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index(key))
+            for i, j, texts in parts(batch, text):
+                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array([s.tobytes() for s in shingles(texts, width)], pa.binary())], names=["id", "members"])
 
-    kind = pairs.schema["u"].dataType.simpleString()
-    likely = materialize(sized.select("u", "v", "su", "sv").mapInArrow(alike, f"u {kind}, v {kind}"), "likely")
-    involved = likely.select(F.explode(F.array("u", "v")).alias(key)).distinct()
-    chosen = docs.select(key, text).join(involved, key, "left_semi").dropDuplicates([key])
+    return chosen.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, members binary")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keys = texts_of(batch, text), batch.column(batch.schema.get_field_index(key))
-            for i, j in slices(texts):
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array([s.tobytes() for s in shingles(texts[i:j], width)], pa.binary())], names=[key, "members"])
 
-    full = materialize(chosen.mapInArrow(sets, f"{key} {kind}, members binary"), "sets")
+def _confirm(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are links: sizes and signatures first, then full sets."""
+    side = lambda x, *columns: wide.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    kind, least = pairs.schema["u"].dataType.simpleString(), _least_alike()
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                b = batch.slice(i, 1024)
+                su, sv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in (2, 3))
+                b = b.filter(pa.array((su == sv).sum(1) >= least))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             b = b.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"])
 
-    member = lambda x: full.select(F.col(key).alias(x), F.col("members").alias(f"m{x}"))
-    return materialize(likely.join(member("u"), "u").join(member("v"), "v").select("u", "v", "mu", "mv").mapInArrow(linked, f"u {kind}, v {kind}"), "links")
+    sized = pairs.join(side("u", "n", "signature"), "u").join(side("v", "n", "signature"), "v").where(100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
+    likely = materialize(sized.select("u", "v", "signature_u", "signature_v").mapInArrow(alike, f"u {kind}, v {kind}"), "likely")
+    full = likely.join(side("u", "members"), "u").join(side("v", "members"), "v")
+    return materialize(full.select("u", "v", "members_u", "members_v").mapInArrow(linked, f"u {kind}, v {kind}"), "links")
 
 
-def _in_blocks(placed: DataFrame, reps: DataFrame, docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
+def _in_blocks(placed: DataFrame, wide: DataFrame) -> DataFrame:
     """The links (u, v) between members of one bucket that are in different components; placed: (bucket, id, root).
 
     A bucket's members are dealt into blocks of about BLOCK, those of its largest component apart from the others, and
     pairs of blocks are compared within a task that returns the links alone.  Blocks of the largest component are not
     compared with each other, so a bucket costs in proportion to its members times the blocks of the others."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind, least = placed.schema["id"].dataType.simpleString(), _least_alike()
     per_root = placed.groupBy("bucket", "root").count()
     shape = per_root.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all")).where(F.col("most") < F.col("all"))
     blocks = lambda n: F.ceil(F.greatest(n, F.lit(1)) / F.lit(BLOCK)).cast("int")
@@ -171,19 +176,6 @@ def _in_blocks(placed: DataFrame, reps: DataFrame, docs: DataFrame, width: int,
     dealt = own.withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     dealt = dealt.select("bucket", F.least("spot", "other").alias("p"), F.greatest("spot", "other").alias("q"), "spot", "id", "root")
 
-    involved = placed.join(shape, "bucket", "left_semi").select(F.col("id").alias(key)).distinct()
-    texts = docs.select(key, text).join(involved, key, "left_semi").dropDuplicates([key])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, keys = texts_of(batch, text), batch.column(batch.schema.get_field_index(key))
-            for i, j in slices(t):
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array([s.tobytes() for s in shingles(t[i:j], width)], pa.binary())], names=["id", "members"])
-
-    full = materialize(texts.mapInArrow(sets, f"id {kind}, members binary"), "sets")
-    wide = full.join(reps.select(F.col(key).alias("id"), "buckets", "signature"), "id")
-    least = _least_alike()
-
     def compare(group: pa.Table) -> pa.Table:
         us, vs = [], []
         ids, roots = group["id"].to_pylist(), group["root"].to_pylist()
@@ -191,7 +183,7 @@ def _in_blocks(placed: DataFrame, reps: DataFrame, docs: DataFrame, width: int,
         root = np.array([number.setdefault(r, len(number)) for r in roots])
         sig = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(len(ids), -1)
         buckets = np.array(group["buckets"].to_pylist(), np.int64)
-        sets_ = [np.frombuffer(x, np.uint64) for x in group["members"].to_pylist()]
+        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["members"]]
         size = np.array([len(x) for x in sets_])
         spots, here, p, q = group["spot"].to_numpy(), group["bucket"][0].as_py(), group["p"][0].as_py(), group["q"][0].as_py()
         left, right = np.flatnonzero(spots == p), np.flatnonzero(spots == q)
@@ -239,13 +231,19 @@ def components(links: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id (the smallest reachable key) and kept, one row per row of docs."""
-    all_ = materialize(sketch(docs, width, text, key), "sketch")
-    filled = all_.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
-    classes = materialize(filled.groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = materialize(filled.join(classes.select("h1", "h2", F.col("rep").alias(key)), [key, "h1", "h2"], "left_semi").dropDuplicates([key]).select(key, "n_shingles", "buckets", "signature"), "reps")
-    members = reps.select(F.col(key).alias("id"), F.explode("buckets").alias("bucket"))
+    sketched = materialize(sketch(docs, width, text, key), "sketch")
+    filled = sketched.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
+    first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "buckets", "signature"), key)
+    classes = materialize(filled.groupBy("h1", "h2").agg(F.min(key).alias("id"), first.alias("s")).select("h1", "h2", "id", "s.*"), "classes")
+    all_ = materialize(sketched.select(key, "n_shingles", "h1", "h2"), "sizes")
+    drop(sketched)
+    members = classes.select("id", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = materialize(members.join(shared, "bucket"), "members")
+    ids = materialize(members.select("id").distinct(), "ids")
+    sets = _sets(docs, ids, width, text, key)
+    # what pairs are judged by, of the documents that share a bucket alone
+    wide = materialize(classes.select("id", "n", "buckets", "signature").join(sets, "id").dropDuplicates(["id"]), "wide")
 
     tested, links, roots = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
@@ -263,15 +261,14 @@ def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc
             if tested is not None:
                 candidates = candidates.join(tested, ["u", "v"], "left_anti")
             tested = materialize(candidates, "candidates")
-            found = _confirm(tested, reps, docs, width, text, key)
+            found = _confirm(tested, wide)
         else:
-            found = _in_blocks(materialize(open_, "open"), reps, docs, width, text, key)
+            found = _in_blocks(materialize(open_, "open"), wide)
         links = found if links is None else links.union(found)
         roots = materialize(components(links), "roots")
 
-    classes = classes.select("h1", "h2", "rep")
-    if roots is not None:
-        classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "rep").alias("rep"))
+    classes = classes.select("h1", "h2", "id")
+    classes = classes.join(roots, classes["id"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("rep"))
     out = all_.select(key, "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("rep")).otherwise(F.col(key))
     return out.select(key, "n_shingles", own.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
@@ -286,7 +283,7 @@ def op5(docs: DataFrame) -> DataFrame:
 OP5_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
 n AS (SELECT doc_id, CASE WHEN coalesce(len(x), 0) = 0 THEN []::VARCHAR[] WHEN len(x) < 4 THEN [array_to_string(x, ' ')]
-                          ELSE list_distinct(list_transform(range(1, len(x) - 2), i -> array_to_string(x[i:i + 3], ' '))) END AS s FROM w),
+                          ELSE list_distinct(list_transform(range(1, len(x) - 2), lambda i: array_to_string(x[i:i + 3], ' '))) END AS s FROM w),
 c AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM n WHERE len(s) > 0 GROUP BY list_sort(s)),
 e AS (SELECT rep, len(s) AS size, unnest(s) AS g FROM c),
 p AS (SELECT a.rep AS u, b.rep AS v, a.size AS m, b.size AS k, count(*) AS hits FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),

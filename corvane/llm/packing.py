@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, share, slices, texts_of
+from corvane.llm.common import materialize, parts, share
 from corvane.llm.tokens import Encoder
 
 CAPACITY = 1024
@@ -37,9 +37,9 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, spaces=True)
         for batch in batches:
-            texts, keys = texts_of(batch, text), batch.column(batch.schema.get_field_index(key))
-            for i, j in slices(texts):
-                ids, counts = encoder.encode(texts[i:j])
+            keys = batch.column(batch.schema.get_field_index(key))
+            for i, _, texts in parts(batch, text):
+                ids, counts = encoder.encode(texts)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
                 at = 0
                 for k, n in enumerate(counts.tolist(), i):
@@ -121,8 +121,8 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Da
     histogram = {r["length"]: r["count"] for r in per_length.collect()}  # at most `capacity` rows
     table = share(spark, slots(plan(histogram, capacity)))
 
-    parts = spark.createDataFrame([(n, max(1, -(-c // CHUNK_ROWS))) for n, c in histogram.items()] or [(0, 1)], "length bigint, chunks bigint")
-    dealt = pieces.join(F.broadcast(parts), "length").withColumn("chunk", F.pmod(F.xxhash64(key, "piece"), "chunks")).drop("chunks")
+    chunked = spark.createDataFrame([(n, max(1, -(-c // CHUNK_ROWS))) for n, c in histogram.items()] or [(0, 1)], "length bigint, chunks bigint")
+    dealt = pieces.join(F.broadcast(chunked), "length").withColumn("chunk", F.pmod(F.xxhash64(key, "piece"), "chunks")).drop("chunks")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = dealt.groupBy("length", "chunk").count().select("length", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "chunk").orderBy(key, "piece", "ids_crc32"))

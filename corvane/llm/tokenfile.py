@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, slices, texts_of
+from corvane.llm.common import materialize, parts
 from corvane.llm.tokens import Encoder
 
 MAGIC = b"DACTOK01"
@@ -144,9 +144,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "shard", "n_docs", "n_tokens", "file"])
 
         for batch in batches:
-            texts, own = texts_of(batch, text), batch.column(batch.schema.get_field_index(key)).to_pylist()
-            for i, j in slices(texts):
-                flat, sizes = encoder.encode(texts[i:j])
+            own = batch.column(batch.schema.get_field_index(key)).to_pylist()
+            for i, j, texts in parts(batch, text):
+                flat, sizes = encoder.encode(texts)
                 at = 0
                 for k, n in zip(own[i:j], sizes.tolist(), strict=True):
                     if held and held + n + 1 > shard_tokens:
@@ -163,11 +163,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
 def read(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document of the shard files: doc_id, start, n_tokens, ids_crc32, and with `with_ids` the ids."""
     sizes = files.select("part", "shard", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    by_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("part_start"))  # one row per part: totals alone meet in one task
+    by_part = by_part.select("part", before.alias("part_start"))  # one row per part: totals alone meet in one task
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("inside", inside).join(parts, "part").select("part", "shard", (F.col("inside") + F.col("part_start")).alias("first"))
+    starts = sizes.withColumn("inside", inside).join(by_part, "part").select("part", "shard", (F.col("inside") + F.col("part_start")).alias("first"))
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import texts_of
+from corvane.llm.common import parts
 
 DATE = "2024-01-01T00:00:00Z"
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
@@ -110,9 +110,10 @@ def responses(pages: DataFrame, url: str = "url", body: str = "html", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, urls, bodies = b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, body)
-            made = [response(str(k), u or "", x or b"") for k, u, x in zip(keys, urls, bodies, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=[key, "warc"])
+            keys, urls = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j, bodies in parts(b, body):
+                made = [response(str(k), u or "", x or b"") for k, u, x in zip(keys[i:j], urls[i:j], bodies, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(made, pa.binary())], names=[key, "warc"])
 
     return pages.select(key, url, body).mapInArrow(run, f"{key} {kind}, warc binary")
 
@@ -124,14 +125,14 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = [], []
-            for i, data in enumerate(b.column(1)):
-                for h, block in derivatives(data.as_buffer().to_pybytes()):
-                    at.append(i)
-                    rows.append((h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Concurrent-To"], h["WARC-Target-URI"], h["WARC-Source-Payload-Digest"], h["WARC-Block-Digest"], len(block), block, record(list(h.items()), block)))
-            kinds = [*[pa.string()] * 7, pa.int64(), pa.binary(), pa.binary()]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=names)
+            for i, _, records_ in parts(b, "warc"):
+                at, rows = [], []
+                for k, data in enumerate(records_, i):
+                    for h, block in derivatives(data):
+                        at.append(k)
+                        rows.append((h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Concurrent-To"], h["WARC-Target-URI"], h["WARC-Source-Payload-Digest"], h["WARC-Block-Digest"], len(block), block, record(list(h.items()), block)))
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((*[pa.string()] * 7, pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=names)
 
     schema = f"{key} {kind}, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, source_payload_digest string, block_digest string, block_length bigint, block binary, warc binary"
     return records.select(key, "warc").mapInArrow(run, schema)
