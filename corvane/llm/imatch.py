@@ -102,14 +102,17 @@ def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 class Fingerprinter:
-    """Hashes of a text's sorted lexicon terms in each subset; 0 for a subset without any."""
+    """Hashes of a text's sorted lexicon terms in each subset; 0 for a subset without any.  A term is in about one
+    subset, so work follows (term, subset) pairs and not their product."""
 
     def __init__(self, terms: np.ndarray):
         self.terms, self.mixed = terms, mix64(terms)
-        self.inside = np.empty((len(terms), len(RATES)), bool)
-        for k, (seed, limit) in enumerate(zip(_SEEDS, _LIMITS, strict=True)):
-            self.inside[:, k] = (mix64(terms ^ seed) >> np.uint64(32)) < limit
-        self.powers = np.cumprod(np.full(max(len(terms), 1) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        pairs = [np.flatnonzero((mix64(terms ^ seed) >> np.uint64(32)) < limit) for seed, limit in zip(_SEEDS, _LIMITS, strict=True)]
+        term = np.concatenate(pairs)
+        order = np.argsort(term, kind="stable")
+        self.subsets = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])[order]
+        self.bounds = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        self.powers = np.cumprod(np.full(len(terms) + 1, 0x9E3779B97F4A7C15, np.uint64))
 
     def __call__(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), len(RATES)), np.uint16)
@@ -119,21 +122,21 @@ class Fingerprinter:
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = self.terms[at] == h
         doc, at = doc[known], at[known]
-        if not len(doc):
-            return out
         order = np.lexsort((at, doc))  # the terms of each text in sorted order
         doc, at = doc[order], at[order]
-        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        n = self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
+            return out
+        subset = self.subsets[np.repeat(self.bounds[at] - (ends - n), n) + np.arange(ends[-1])]
+        group, at = np.repeat(doc, n) * len(RATES) + subset, np.repeat(at, n)
+        order = np.argsort(group, kind="stable")  # keeps the terms of a subset sorted
+        group, at = group[order], at[order]
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         # a polynomial over each subset's terms: the term's hash times a power by its place in the subset
-        inside = self.inside[at]
-        place = np.cumsum(inside, 0, dtype=np.int64)
-        place -= np.repeat(place[starts] - inside[starts], np.diff(np.append(starts, len(doc))), 0)
-        value = self.powers[place]
-        value *= self.mixed[at][:, None]
-        value[~inside] = 0
-        total = np.add.reduceat(value, starts, 0)
-        some = np.logical_or.reduceat(inside, starts, 0)
-        out[doc[starts]] = np.where(some, np.maximum((mix64(total) >> np.uint64(48)).astype(np.uint16), 1), 0)
+        place = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
+        total = np.add.reduceat(self.mixed[at] * self.powers[place], starts)
+        out.reshape(-1)[group[starts]] = np.maximum((mix64(total) >> np.uint64(48)).astype(np.uint16), 1)
         return out
 
 
