@@ -157,15 +157,28 @@ def split_words(texts: list) -> tuple[list, np.ndarray]:
 
 
 class WordCache:
-    """Numbers distinct words; `grow` is called with the new ones, in order.  Emptied at `limit` words, so that a
-    task's memory is bounded; results do not depend on it."""
+    """Numbers distinct words; `grow(words, start)` is called with the new ones, in order.  At `limit` words those seen
+    once are dropped by `compact(numbers kept)`, or all if there is no such function, so that memory is bounded; results
+    do not depend on it."""
 
-    def __init__(self, grow: Callable[[list, int], None], limit: int = 250_000):
-        self.grow, self.limit, self.ids = grow, limit, {}
+    def __init__(self, grow: Callable[[list, int], None], limit: int = 250_000, compact: Callable[[np.ndarray], None] | None = None):
+        self.grow, self.limit, self.compact, self.ids = grow, limit, compact, {}
+        self.seen = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        kept = np.flatnonzero(self.seen[: len(self.ids)] > 1) if self.compact else []
+        if not self.compact or len(kept) > self.limit // 2:
+            self.ids.clear()
+            self.seen[:] = 0
+            return
+        words = list(self.ids)
+        self.ids = {words[i]: k for k, i in enumerate(kept.tolist())}
+        self.seen = self.seen[kept]
+        self.compact(kept)
 
     def lookup(self, words: list) -> np.ndarray:
         if len(self.ids) > self.limit:
-            self.ids.clear()
+            self._shrink()
         got = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         if len(missing := np.flatnonzero(got < 0)):
             new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
@@ -173,6 +186,11 @@ class WordCache:
             self.grow(new, start)
             self.ids.update(zip(new, range(start, start + len(new))))
             got[missing] = np.fromiter(map(self.ids.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
+        if self.compact and len(got):
+            times = np.bincount(got)
+            if len(times) > len(self.seen):
+                self.seen = np.concatenate([self.seen, np.zeros(max(len(times), 2 * len(self.seen)) - len(self.seen), np.int64)])
+            self.seen[: len(times)] += times
         return got
 
 

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, parts, share
-from corvane.llm.tokens import Encoder
+from corvane.llm.tokens import encoder
 
 CAPACITY = 1024
 #: Pieces of one length in a chunk, about.
-CHUNK_ROWS = 1500
+CHUNK_ROWS = 500
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -35,11 +35,11 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: s
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, spaces=True)
+        enc = encoder(tokenizer, spaces=True)
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
             for i, _, texts in parts(batch, text):
-                ids, counts = encoder.encode(texts)
+                ids, counts = enc.encode(texts)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
                 at = 0
                 for k, n in enumerate(counts.tolist(), i):

@@ -8,53 +8,111 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
-from corvane.llm.common import WordCache
+from corvane.llm.common import LOWER, WordCache
 
 _CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: Distinct chunks that an encoder remembers, at most.
+CACHED = 1_200_000
 #: White space and invisible separators beyond ASCII.
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
 
 
+#: Joins chunks for the encoder: a special token of both vocabularies, which pre-tokenisation cuts off first.
+_SEPARATOR = "<|endoftext|>"
+#: Chunks of one joined string.
+_JOINED = 500
+
+
+def _keys(t: bytes) -> list:
+    """A text's chunks.  A chunk whose white space is one space goes without it; any other chunk of no or different
+    white space than a line break has a zero byte before it."""
+    if b"  " in t or b"\n\n" in t or b" \n" in t or b"\n " in t or t[:1] in b" \n" or t[-1:] in b" \n" or len(t) != len(t.translate(None, b"\0\t\v\f\r")):
+        return [b"\0" + c for c in _CHUNK.findall(t)]
+    own = t.replace(b"\n", b" \n").split(b" ")
+    own[0] = b"\0" + own[0]
+    return own
+
+
+def _unkey(c: bytes) -> bytes:
+    return c[1:] if c[:1] == b"\0" else c if c[:1] == b"\n" else b" " + c
+
+
+def encoder(path: str, spaces: bool) -> Encoder:
+    """This process's encoder of a file: a reused Python worker keeps its chunks from one task to the next."""
+    held = sys.modules.setdefault("_corvane_encoders", types.ModuleType("_corvane_encoders")).__dict__
+    if (path, spaces) not in held:
+        held[path, spaces] = Encoder(path, spaces)
+    return held[path, spaces]
+
+
 class Encoder:
     """encode(texts) returns the ids of all texts end to end and the number of each.
 
-    `spaces`: the vocabulary's ids depend on white space (byte-level); otherwise words alone are looked up."""
+    `spaces`: the vocabulary's ids depend on white space and case (byte-level); otherwise words in lower case are looked
+    up."""
 
     def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.path, self.tok, self.joiner = path, None, Tokenizer.from_file(path)
+        self.cut = self.joiner.token_to_id(_SEPARATOR)
         self.spaces = spaces
         self._reset()
-        self.cache = WordCache(self._grow, limit=400_000)
+        self.cache = WordCache(self._grow, limit=CACHED, compact=self._compact)
 
     def _reset(self) -> None:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _compact(self, kept: np.ndarray) -> None:
+        size = self.size[kept]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        self.flat = np.concatenate([self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(total)], np.zeros(1 << 16, np.uint32)])
+        self.used = total
+        spare = np.zeros(1 << 14, np.int64)
+        self.start, self.size = np.concatenate([ends - size, spare]), np.concatenate([size, spare])
+
     def _plain(self, texts: list) -> list:
+        if self.tok is None:
+            from tokenizers import Tokenizer
+
+            self.tok = Tokenizer.from_file(self.path)
+            self.tok.encode_special_tokens = True
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks end to end, and the number of each."""
+        if self.cut is None or any(b"<|" in c for c in chunks):
+            ids = self._plain([(_unkey(c) if self.spaces else c).decode("utf-8", "replace") for c in chunks])
+            return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        between = _SEPARATOR.encode()
+        if self.spaces:
+            chunks = [_unkey(c) for c in chunks]
+        joined = [(between.join(chunks[i : i + _JOINED]) + between).decode("utf-8", "replace") for i in range(0, len(chunks), _JOINED)]
+        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.joiner.encode_batch_fast(joined, add_special_tokens=False)])
+        cuts = np.flatnonzero(flat == self.cut)
+        return flat[flat != self.cut], np.diff(cuts, prepend=-1) - 1
+
     def _grow(self, chunks: list, start: int) -> None:
         if start == 0:
             self._reset()
-        ids = self._plain([c.decode("utf-8", "replace") for c in chunks])
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lens.sum())
-        end = start + len(ids)
+        ids, lens = self._chunks(chunks)
+        end = start + len(chunks)
         if end > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros(max(end, len(x)), np.int64)]) for x in (self.start, self.size))
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
         self.size[start:end] = lens
         self.start[start:end] = self.used + np.cumsum(lens) - lens
-        self.used += total
+        self.used += len(ids)
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         chunks, counts, odd = [], np.zeros(len(texts), np.int64), {}
@@ -64,7 +122,7 @@ class Encoder:
             if not t.isascii() and _OTHER_SPACE.search(t.decode("utf-8", "replace")) or t.translate(None, _KEEP):
                 odd[i] = self._plain([t.decode("utf-8", "replace")])[0]
                 continue
-            own = _CHUNK.findall(t) if self.spaces else t.split()
+            own = _keys(t) if self.spaces else t.translate(LOWER).split()
             counts[i] = len(own)
             chunks += own
         at = self.cache.lookup(chunks)
