@@ -7,9 +7,17 @@ import difflib
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-OPS = "array<struct<op:string,ri:int,hi:int,rc:string,hc:string>>"
-CODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
+
+
+def _struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_S, _I = T.StringType(), T.IntegerType()
+OPS = T.ArrayType(_struct(op=_S, ri=_I, hi=_I, rc=_S, hc=_S))
+CODES = T.ArrayType(_struct(tag=_S, i1=_I, i2=_I, j1=_I, j2=_I))
 
 
 def edit_table(ref, hyp) -> np.ndarray:
@@ -62,7 +70,7 @@ def word_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([_ops((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp, strict=True)])
 
 
-@F.pandas_udf("struct<n_words:int,bad_strict:int,bad_lenient:int,n_ins:int>")
+@F.pandas_udf(_struct(n_words=_I, bad_strict=_I, bad_lenient=_I, n_ins=_I))
 def spaceless(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Segmentation-free word damage: characters are aligned without spaces; a reference word is damaged by a changed or
     missing character, strictly also by an insertion after one of its characters (at the start: the first word)."""
@@ -82,7 +90,7 @@ def spaceless(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_words", "bad_strict", "bad_lenient", "n_ins"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of characters."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
@@ -102,7 +110,7 @@ def word_opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_codes((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(_S))
 def onto(backbone: pd.Series, other: pd.Series) -> pd.Series:
     """For each backbone character what the other text has there; '' where it has nothing."""
     out = []
@@ -117,7 +125,7 @@ def onto(backbone: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("array<struct<kind:string,heard:string>>")
+@F.pandas_udf(T.ArrayType(_struct(kind=_S, heard=_S)))
 def unit_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Of each reference unit: match, sub (with the unit heard) or del.  Diagonal steps first, then deletions."""
     out = []

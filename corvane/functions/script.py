@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.text import let
 
@@ -129,7 +130,7 @@ def converter(source: str, target: str):
 
 
 def transliterate(c: Column, source: str, target: str = "devanagari") -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(converter(source, target), na_action="ignore")
 
@@ -137,7 +138,7 @@ def transliterate(c: Column, source: str, target: str = "devanagari") -> Column:
 
 
 def to_devanagari(c: Column, scheme: Column) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series, names: pd.Series) -> pd.Series:
         made = {n: converter(n, "devanagari") for n in names.dropna().unique()}
         return pd.Series([x if x is None or n not in made else made[n](x) for x, n in zip(s, names, strict=True)])
@@ -145,7 +146,7 @@ def to_devanagari(c: Column, scheme: Column) -> Column:
     return run(c, scheme)
 
 
-_BASE = "अ-हक़-ॡॲ-ॿ"
+_BASE = r"\x{905}-\x{939}\x{958}-\x{961}\x{972}-\x{97F}"
 
 
 def akshara(c: Column) -> Column:

@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code points dropped by each profile, and those a word may hold.
 _DIGITS_AND_STOPS = "०-९।॥ऽॐ"
@@ -19,17 +20,17 @@ _NAMED_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")
 PROFILES = ("base", "vedic", "canonical", "raw", "latin")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Every HTML entity."""
     return s.map(html.unescape, na_action="ignore")
@@ -112,7 +113,7 @@ def slug(c: Column) -> Column:
 
 def range_set(c: Column) -> Column:
     """'13-16' to 13, 14, 15, 16; otherwise the numbers among the parts."""
-    parts = F.transform(F.split(c.cast("string"), "-"), F.trim)
+    parts = F.transform(F.split(c.cast("string"), "-"), lambda x: F.trim(x))
     numbers = F.transform(F.filter(parts, lambda p: p.rlike("^[0-9]+$")), lambda p: p.cast("int"))
     first, last = F.element_at(parts, 1), F.element_at(parts, -1)
     whole = (F.size(parts) > 1) & first.rlike("^[0-9]+$") & last.rlike("^[0-9]+$") & (first.cast("int") <= last.cast("int"))
@@ -148,11 +149,11 @@ def body_start(c: Column, mark: str = "[āīūṛṝḷṃḥṅñṭḍṇśṣ
 
 
 def verses(c: Column, prose: bool = False) -> Column:
-    return F.filter(F.transform(F.split(c, r"[।\n]+" if prose else r"॥|\n\s*\n"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(c, r"[।\n]+" if prose else r"॥|\n\s*\n"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def numbered_verses(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"॥\s*[0-9०-९]+\s*॥"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(c, r"॥\s*[0-9०-९]+\s*॥"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def chapters(c: Column) -> Column:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions import align
 from corvane.functions.text import words
@@ -127,7 +128,7 @@ def tiled(df: DataFrame, word: str, lexicon: DataFrame, most_words: int = 500_00
     total = sum(r["freq"] for r in rows) or 1
     shared = df.sparkSession.sparkContext.broadcast({r["word"]: math.log(r["freq"] / total) for r in rows})
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda w: tile(w, shared.value), na_action="ignore")
 

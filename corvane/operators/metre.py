@@ -20,7 +20,7 @@ def scanned_verses(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def pada_rows(scanned: DataFrame, key: str) -> DataFrame:
     """One row per quarter; prose is cut at stops and lines and tagged gadya."""
-    metric = scanned.where("metre is not null").select(key, "verse", F.col("metre.name").alias("metre"), F.posexplode(script.padas(F.col("aksharas"), F.col("metre.length"))).alias("pada", "aksharas"))
+    metric = scanned.where("metre is not null").select(key, "verse", F.col("metre.name").alias("name"), F.posexplode(script.padas(F.col("aksharas"), F.col("metre.length"))).alias("pada", "aksharas")).withColumnRenamed("name", "metre")
     prose = scanned.where("metre is null").select(key, "verse", F.lit("gadya").alias("metre"), F.posexplode(verses(F.col("body"), prose=True)).alias("pada", "part"))
     prose = prose.withColumn("aksharas", script.akshara(norm(F.col("part"), "canonical"))).where(F.size("aksharas") > 0)
     prose = prose.withColumn("aksharas", F.get(script.padas(F.col("aksharas"), F.size("aksharas")), F.lit(0))).drop("part")

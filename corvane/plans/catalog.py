@@ -315,8 +315,8 @@ def edit_one_candidates(spark, d):
 
 
 @query(
-    f"WITH {_BENCH}, h AS (SELECT word, at, substr(word, 1, at) AS first, substr(word, at + 1) AS second FROM (SELECT word, unnest(range(2, length(word) - 1)) AS at FROM b WHERE length(word) >= 6)) "
-    "SELECT h.word, first, second, x.freq + y.freq AS freq FROM h JOIN lx x ON x.word = h.first JOIN lx y ON y.word = h.second QUALIFY row_number() OVER (PARTITION BY h.word ORDER BY x.freq + y.freq DESC, at) = 1"
+    f"WITH {_BENCH}, h AS (SELECT word, cut, substr(word, 1, cut) AS head, substr(word, cut + 1) AS tail FROM (SELECT word, unnest(range(2, length(word) - 1)) AS cut FROM b WHERE length(word) >= 6)) "
+    "SELECT h.word, head AS first, tail AS second, x.freq + y.freq AS freq FROM h JOIN lx x ON x.word = h.head JOIN lx y ON y.word = h.tail QUALIFY row_number() OVER (PARTITION BY h.word ORDER BY x.freq + y.freq DESC, cut) = 1"
 )
 def split_candidates(spark, d):
     return lexicon.splits(*bench_words(spark, d))
