@@ -184,7 +184,7 @@ def labeller(m: LanguageModel):
     def label(texts: list):
         words, counts = split_words(texts)
         ids = cache.lookup(words)
-        gamma, _ = crf.marginals(emit.data[ids], counts, m.trans, m.start)
+        gamma = crf.marginals(emit.data[ids], counts, m.trans, m.start)[0] if m.langs else np.ones((len(ids), 1))
         return counts, letter.data[ids], gamma
 
     return label
