@@ -8,9 +8,9 @@ hashes among subsets that hold a term of either text (1 if none does).
 
 A document has a bounded number of distinct terms on average, so fewer than (that number / LEAST_SHARE) terms can reach
 LEAST_SHARE of all documents: the lexicon has a proven bound however large the corpus is, and is sent to executors as a
-sorted array of hashes.  It is found exactly in two passes without shuffling all terms: a term that reaches the share
-overall reaches it in at least one block of documents, so each block reports its own frequent terms (pass 1) and only
-those are counted everywhere (pass 2).
+sorted array of hashes.  It is found exactly in two passes without shuffling all terms.  Pass 1: each block of documents
+reports the terms that reach half that share in it; what blocks leave out of a term is less than half the share, so a
+term that reaches it has reports over half of it, and at most twice as many terms do.  Pass 2 counts those everywhere.
 
 Terms are words cut at ASCII white space, A-Z lower-cased.  Defined cases: null and empty texts have no term and the
 fingerprint of the empty set; repeated rows have equal fingerprints, and follow each other as next documents; the next
@@ -32,7 +32,7 @@ from corvane.llm.common import LOWER, append_columns, mix64, parts, share, word_
 #: Terms in fewer or more of the documents than these shares are outside the band.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
 #: Documents of a counting block; terms under a block's share are not reported.
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 16_384
 #: A subset at rate r holds each lexicon term with chance r.
 RATES = tuple(1 / 2**k for k in range(4, 12) for _ in range(8))
 _SEEDS = mix64(np.arange(1, len(RATES) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -53,8 +53,8 @@ def distinct_terms(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_pass(docs: DataFrame, text: str, candidates) -> DataFrame:
-    """(term, n): with `candidates` the document counts of those terms, else the terms frequent in some block; both
-    with one row for term null that counts documents."""
+    """(term, n) of each block: with `candidates` the document counts of those terms, else of the terms that reach half
+    the least share in it; both with one row for term null that counts documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if candidates is None else candidates()
@@ -65,7 +65,7 @@ def _count_pass(docs: DataFrame, text: str, candidates) -> DataFrame:
             h = np.concatenate(held) if held else np.zeros(0, np.uint64)
             term, n = np.unique(h, return_counts=True)
             if known is None:
-                keep = n >= LEAST_SHARE * n_docs
+                keep = n >= LEAST_SHARE / 2 * n_docs
                 term, n = term[keep], n[keep]
             terms = pa.array([*term.astype(np.int64).tolist(), None], pa.int64())
             out = pa.RecordBatch.from_arrays([terms, pa.array([*n.tolist(), n_docs], pa.int64())], names=["term", "n"])
@@ -92,7 +92,8 @@ def _count_pass(docs: DataFrame, text: str, candidates) -> DataFrame:
 def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The sorted hashes of the terms within the band; exact counts over all documents, of bounded size."""
     spark = docs.sparkSession
-    found = _count_pass(docs, text, None).where("term is not null").select("term").distinct().toArrow()
+    reported = _count_pass(docs, text, None).where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
+    found = reported.where(F.col("n") >= LEAST_SHARE / 2 * docs.count()).select("term").toArrow()  # at most twice the lexicon's bound
     candidates = share(spark, np.sort(found["term"].to_numpy().astype(np.uint64)))
     counted = _count_pass(docs, text, candidates).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = counted["term"].combine_chunks(), counted["n"].to_numpy()
