@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import align, edit
+from corvane.functions.align import anchor
 from corvane.functions.text import words
 
 # Character classes of the substitution taxonomy, in order of precedence.
@@ -130,6 +132,19 @@ def family_recall(ops: DataFrame, family: str, *by: str) -> DataFrame:
     return g.withColumns({"recall": F.try_divide("matched", "ref_n"), "over_insertion": F.try_divide("hyp_n", "ref_n")})
 
 
+def anchored(segments: DataFrame, key: str, order: str, hyp: str, ref: str) -> DataFrame:
+    """Each segment's span of its recording's reference (the first row's) and the character error rate.  One recording's
+    segments meet in a task: the alignment is of all of them together."""
+    kinds = {c: segments.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        spans = anchor([h or "" for h in pdf[hyp]], pdf[ref].iloc[0] or "")
+        return pd.DataFrame({key: pdf[key], order: pdf[order], "span": [s for s, _ in spans], "cer": [c for _, c in spans]})
+
+    return segments.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, span string, cer double")
+
+
 def percentiles(df: DataFrame, value: str, points: tuple = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
     """Linearly interpolated percentiles and the mean."""
     p = F.percentile(value, F.array(*(F.lit(x / 100) for x in points)))

@@ -165,6 +165,12 @@ def align_tokens(frames: DataFrame, targets: DataFrame, unit: str, t: str = "t",
     return frames.groupBy(unit).cogroup(targets.groupBy(unit)).applyInPandas(run, f"{unit} {kind}, {SCORES}")
 
 
+def confusion_map(aligned: DataFrame) -> DataFrame:
+    """Of each token its most frequent confuser, the smaller of equals, and how often it is that."""
+    counts = aligned.groupBy("token", "confuser").agg(F.count("*").alias("n"))
+    return counts.groupBy("token").agg(F.max_by("confuser", F.struct("n", (-F.col("confuser")).alias("o"))).alias("confuser"), F.max("n").alias("n"), F.sum("n").alias("of"))
+
+
 def sequence_scores(frames: DataFrame, candidates: DataFrame, unit: str, t: str = "t", logp: str = "logp") -> DataFrame:
     """Forward score of each candidate id sequence (unit, cand, ids) on its utterance."""
     kind = frames.schema[unit].dataType.simpleString()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import script
+from corvane.functions import align, script
 from corvane.functions.edit import word_disagreement
 from corvane.functions.text import ascii_fold, cache_key, char_tokens, degenerate, first_rule, html_text, low_variety, norm, words
 from corvane.operators import curate, fusion, lexicon, metrics, posterior, sequence
@@ -236,6 +236,31 @@ def consensus_bands(spark, d):
     return u.groupBy("strict", "liberal").agg(F.count("*").alias("n"))
 
 
+@query()
+def anchored_turns(spark, d):
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role", ascii_fold(F.col("text")).alias("s"))
+    whole = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]))  # the turns of one conversation
+    ref = c.groupBy("conv_id").agg(whole.alias("ref"))
+    return metrics.anchored(c.where("role = 'assistant'").join(ref, "conv_id"), "conv_id", "turn", "s", "ref")
+
+
+@query()
+def agreeing_runs(spark, d):
+    p = turn_pairs(spark, d)
+    return p.select("conv_id", "turn", F.explode(fusion.agreeing_runs(F.col("ref"), F.col("hyp"))).alias("r")).select("conv_id", "turn", "r.*")
+
+
+@query()
+def match_ratios(spark, d):
+    return turn_pairs(spark, d).select("conv_id", "turn", align.match_ratio("ref", "hyp").alias("ratio"))
+
+
+@query()
+def band_report(spark, d):
+    p = char_pairs(spark, d).where("cl > 0").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("key"), F.col("cl").alias("score"), (F.col("ce") / F.col("cl")).alias("dis"))
+    return curate.band_report(p, "conv_id", "score", "dis", "key", lo=0.7, hi=0.75)
+
+
 _LABELLED = "l AS (SELECT d.doc_id, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IN (0, 1))"
 
 
@@ -333,6 +358,21 @@ def dictionary_tiling(spark, d):
     return lexicon.tiled(left, "word", lx.where("length(word) between 2 and 22"))
 
 
+@query(f"WITH {_LEX}, b AS (SELECT word FROM gl), l AS (SELECT word FROM lex) SELECT (SELECT count(*) FROM (SELECT word FROM b INTERSECT SELECT word FROM l)) AS both, (SELECT count(*) FROM (SELECT word FROM b EXCEPT SELECT word FROM tok)) AS new, (SELECT count(*) FROM (SELECT word FROM b UNION SELECT word FROM l)) AS any")
+def word_sets(spark, d):
+    b, l, tok = corpus_words(spark, d, "benchmark").distinct(), main_lexicon(spark, d).select("word"), corpus_words(spark, d)
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(b.join(l, "word", "left_semi"), "both").crossJoin(n(b.join(tok, "word", "left_anti"), "new")).crossJoin(n(b.union(l).distinct(), "any"))
+
+
+@query()
+def recoverable_words(spark, d):
+    left, lx = bench_words(spark, d)
+    pairs = turn_pairs(spark, d)
+    wrong = pairs.select(F.explode(words(F.col("hyp"))).alias("word")).distinct()
+    return lexicon.recoverability(pairs, lexicon.fuzzy(wrong, lx), lx)
+
+
 # ------------------------------------------------------------------ curation
 
 
@@ -580,6 +620,19 @@ def forced_alignment(spark, d):
     return posterior.align_tokens(f, ids, "label").select("label", "k", "token", "start", "end", F.round("norm", 6).alias("norm"), "confuser")
 
 
+@query()
+def confusion_map(spark, d):
+    f = frames(spark, d)
+    ids = posterior.greedy(f, "label", "t", "logp").select("label", "ids")
+    return posterior.confusion_map(posterior.align_tokens(f, ids, "label"))
+
+
+@query()
+def best_blank_penalty(spark, d):
+    s = posterior.blank_sweep(frames(spark, d), "label", "t", "logp", [0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0])
+    return posterior.best_setting(s.withColumn("miss", F.round(1 - F.col("conf"), 6)), ["beta"], "miss", "label")
+
+
 @query()
 def forward_scores(spark, d):
     f = frames(spark, d)
