@@ -4,10 +4,12 @@ batches, word caches and hashing."""
 from __future__ import annotations
 
 import pickle
+import sys
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +105,15 @@ def sample_per_class(df: DataFrame, label: str, key: str, columns: list[str], pe
 # --------------------------------------------------------------------------- text batches
 
 
+#: Name under which a Python worker holds memory that outlives a task (see tokens.encoder).
+HELD = "_corvane_encoders"
+
+
+def forget() -> None:
+    """Called by kernels without an encoder: a reused worker gives up what an earlier operator's tasks left in it."""
+    sys.modules.pop(HELD, None)
+
+
 def parts(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int, list]]:
     """(i, j, texts of rows i up to j as UTF-8 bytes, None for null): ranges whose texts together hold about `budget`
     bytes; a longer text makes a range of its own.  Only one range is copied out of the batch at a time."""
@@ -128,6 +139,7 @@ def append_columns(
     out_names = [*keep, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         kernel = make()
         for batch in batches:
             for i, j, texts in parts(batch, text):
@@ -179,19 +191,22 @@ class WordCache:
     def lookup(self, words: list) -> np.ndarray:
         if len(self.ids) > self.limit:
             self._shrink()
-        got = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        # a small dict numbers this call's distinct words first, so the large one is asked once for each of them
+        local = defaultdict(count().__next__)
+        at = np.fromiter(map(local.__getitem__, words), np.int64, len(words))
+        distinct = list(local)
+        got = np.fromiter(map(self.ids.get, distinct, repeat(-1)), np.int64, len(distinct))
         if len(missing := np.flatnonzero(got < 0)):
-            new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+            new = list(map(distinct.__getitem__, missing.tolist()))
             start = len(self.ids)
             self.grow(new, start)
+            got[missing] = np.arange(start, start + len(new))
             self.ids.update(zip(new, range(start, start + len(new))))
-            got[missing] = np.fromiter(map(self.ids.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
         if self.compact and len(got):
-            times = np.bincount(got)
-            if len(times) > len(self.seen):
-                self.seen = np.concatenate([self.seen, np.zeros(max(len(times), 2 * len(self.seen)) - len(self.seen), np.int64)])
-            self.seen[: len(times)] += times
-        return got
+            if len(self.ids) > len(self.seen):
+                self.seen = np.concatenate([self.seen, np.zeros(max(len(self.ids), 2 * len(self.seen)) - len(self.seen), np.int64)])
+            self.seen[got] += np.bincount(at, minlength=len(got))
+        return got[at]
 
 
 class Rows:

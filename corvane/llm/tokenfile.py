@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, parts
-from corvane.llm.tokens import Encoder
+from corvane.llm.tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"DACTOK01"
 BLOCK_BITS = 512
 #: A shard is closed at so many tokens; a longer document makes a longer shard.
 SHARD_TOKENS = 1 << 20
+#: The starts of at most so many shards are broadcast.
+BROADCAST_SHARDS = 200_000
 _NULL_ID = -(1 << 63)
 
 
@@ -132,7 +134,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, number = Encoder(tokenizer, spaces=False), TaskContext.get().partitionId(), 0
+        enc, part, number = encoder(tokenizer, spaces=False), TaskContext.get().partitionId(), 0
         keys, counts, ids, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -145,8 +147,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
 
         for batch in batches:
             own = batch.column(batch.schema.get_field_index(key)).to_pylist()
-            for i, j, texts in parts(batch, text):
-                flat, sizes = encoder.encode(texts)
+            for i, j, texts in parts(batch, text, ENCODE_BYTES):
+                flat, sizes = enc.encode(texts)
                 at = 0
                 for k, n in zip(own[i:j], sizes.tolist(), strict=True):
                     if held and held + n + 1 > shard_tokens:
@@ -180,7 +182,8 @@ def read(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 out = [keys, pa.array(f.starts[:-1] + first), pa.array(np.diff(f.starts)), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(raw, pa.binary())] if with_ids else [])], names=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return files.join(starts, ["part", "shard"]).select("first", "file").mapInArrow(run, schema)
+    few = sizes.count() <= BROADCAST_SHARDS  # else the files are shuffled to their starts
+    return files.join(F.broadcast(starts) if few else starts, ["part", "shard"]).select("first", "file").mapInArrow(run, schema)
 
 
 def export(spark: SparkSession, files: DataFrame, folder: str) -> int:
