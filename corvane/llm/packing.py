@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, parts, share
-from corvane.llm.tokens import encoder
+from corvane.llm.tokens import ENCODE_BYTES, encoder
 
 CAPACITY = 1024
 #: Pieces of one length in a chunk, about.
@@ -38,7 +38,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: s
         enc = encoder(tokenizer, spaces=True)
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
-            for i, _, texts in parts(batch, text):
+            for i, _, texts in parts(batch, text, ENCODE_BYTES):
                 ids, counts = enc.encode(texts)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
                 at = 0
