@@ -3,6 +3,7 @@ batches, word caches and hashing."""
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import sys
 import tempfile
@@ -14,7 +15,7 @@ from itertools import count, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --------------------------------------------------------------------------- scratch tables
 
 
+_folders: set = set()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; where that is unset (tests, a single machine), one of our own."""
     conf = spark.sparkContext.getConf()
@@ -46,7 +50,11 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage is cut and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/corvane/{tag}-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_clear, folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
@@ -55,9 +63,18 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._corvane_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession.sparkContext, df._corvane_path)
+
+
+def _delete(sc: SparkContext, folder: str) -> None:
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear(folder: str) -> None:
+    """At the end of the driver's process: an application's scratch tables go with it."""
+    if (sc := SparkContext._active_spark_context) is not None:
+        _delete(sc, folder)
 
 
 def share(spark: SparkSession, value) -> Callable:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import LOWER, append_columns, mix64, parts, share, word_hashes
+from corvane.llm.common import LOWER, append_columns, forget, mix64, parts, share, word_hashes
 
 #: Terms in fewer or more of the documents than these shares are outside the band.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
@@ -57,6 +57,7 @@ def _count_pass(docs: DataFrame, text: str, candidates) -> DataFrame:
     the least share in it; both with one row for term null that counts documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = None if candidates is None else candidates()
         held, n_docs = [], 0
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, drop, materialize, mix64, parts, word_hashes
+from corvane.llm.common import LOWER, drop, forget, materialize, mix64, parts, word_hashes
 
 BANDS, ROWS = 30, 5
 #: A link needs PERCENT * union <= 100 * intersection.
@@ -84,6 +84,7 @@ def sketch(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id")
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, buckets array<bigint>, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
             for i, j, texts in parts(batch, text):
@@ -122,6 +123,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, text: str, key: str) -> D
     chosen = docs.select(key, text).join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, key, "left_semi").dropDuplicates([key])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
             for i, j, texts in parts(batch, text):
@@ -136,6 +138,7 @@ def _confirm(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     kind, least = pairs.schema["u"].dataType.simpleString(), _least_alike()
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 b = batch.slice(i, 1024)
@@ -156,7 +159,9 @@ def _confirm(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     sized = pairs.join(side("u", "n", "signature"), "u").join(side("v", "n", "signature"), "v").where(100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
     likely = materialize(sized.select("u", "v", "signature_u", "signature_v").mapInArrow(alike, f"u {kind}, v {kind}"), "likely")
     full = likely.join(side("u", "members"), "u").join(side("v", "members"), "v")
-    return materialize(full.select("u", "v", "members_u", "members_v").mapInArrow(linked, f"u {kind}, v {kind}"), "links")
+    links = materialize(full.select("u", "v", "members_u", "members_v").mapInArrow(linked, f"u {kind}, v {kind}"), "links")
+    drop(likely)
+    return links
 
 
 def _in_blocks(placed: DataFrame, wide: DataFrame) -> DataFrame:
@@ -225,7 +230,9 @@ def components(links: DataFrame) -> DataFrame:
         drop(edges)
         edges = new
         if now == state:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            out = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            out._corvane_path = edges._corvane_path
+            return out
         state = now
 
 
@@ -238,7 +245,8 @@ def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc
     all_ = materialize(sketched.select(key, "n_shingles", "h1", "h2"), "sizes")
     drop(sketched)
     members = classes.select("id", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # aggregates that are joined back are written first, so that a hot bucket's side of the join can be split
+    shared = materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     members = materialize(members.join(shared, "bucket"), "members")
     ids = materialize(members.select("id").distinct(), "ids")
     sets = _sets(docs, ids, width, text, key)
@@ -252,10 +260,10 @@ def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc
             open_ = placed.withColumn("root", F.col("id"))
         else:
             several = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-            open_ = placed.join(several, "bucket")
+            open_ = placed.join(materialize(several, "several"), "bucket")
         if turn < PIVOT_ROUNDS:
             chance = F.xxhash64("root", "bucket", F.lit(turn)) if turn else F.xxhash64("id", "bucket")
-            pivot = open_.groupBy("bucket").agg(F.min_by(F.struct("id", "root"), chance).alias("p"))
+            pivot = materialize(open_.groupBy("bucket").agg(F.min_by(F.struct("id", "root"), chance).alias("p")), "pivots")
             candidates = open_.join(pivot, "bucket").where("root <> p.root").select(F.col("id").alias("x"), F.col("p.id").alias("y"))
             candidates = candidates.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
             if tested is not None:
@@ -265,7 +273,11 @@ def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc
         else:
             found = _in_blocks(materialize(open_, "open"), wide)
         links = found if links is None else links.union(found)
-        roots = materialize(components(links), "roots")
+        if roots is not None:
+            drop(roots)
+        roots = components(links)
+    for table in (members, shared, ids, wide):
+        drop(table)
 
     classes = classes.select("h1", "h2", "id")
     classes = classes.join(roots, classes["id"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("rep"))
