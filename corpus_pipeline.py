@@ -39,7 +39,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.op2(docs, tokenizer_file("byte_bpe_50k.json"))
+    # executors still hold memory of the stages before
+    return packing.op2(docs, tokenizer_file("byte_bpe_50k.json"), remembered=150_000, at_once=1 << 20)
 
 
 STAGES = [

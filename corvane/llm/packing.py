@@ -22,23 +22,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, parts, share
-from corvane.llm.tokens import ENCODE_BYTES, encoder
+from corvane.llm.tokens import CACHED, ENCODE_BYTES, encoder
 
 CAPACITY = 1024
 #: Pieces of one length in a chunk, about.
 CHUNK_ROWS = 500
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False, remembered: int = CACHED, at_once: int = ENCODE_BYTES) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, and with `with_ids` the ids (little-endian unsigned
-    32-bit integers)."""
+    32-bit integers).  `remembered` chunks and `at_once` bytes of text trade CPU seconds for a worker's memory."""
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, spaces=True)
+        enc = encoder(tokenizer, True, remembered)
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
-            for i, _, texts in parts(batch, text, ENCODE_BYTES):
+            for i, _, texts in parts(batch, text, at_once):
                 ids, counts = enc.encode(texts)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
                 at = 0
@@ -145,7 +145,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Da
     return ranked.mapInArrow(run, schema)
 
 
-def op2(docs: DataFrame, tokenizer: str) -> DataFrame:
+def op2(docs: DataFrame, tokenizer: str, remembered: int = CACHED, at_once: int = ENCODE_BYTES) -> DataFrame:
     """The contract's digest."""
-    pieces = materialize(cut(docs, tokenizer, end_id=2), "pieces")
+    pieces = materialize(cut(docs, tokenizer, end_id=2, remembered=remembered, at_once=at_once), "pieces")
     return pack(pieces)

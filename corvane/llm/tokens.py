@@ -57,12 +57,13 @@ def _words(t: bytes) -> list:
     return t.split()
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
+def encoder(path: str, spaces: bool, remembered: int = CACHED) -> Encoder:
     """This process's encoder of a file: a reused Python worker keeps its chunks from one task to the next."""
     held = sys.modules.setdefault(HELD, types.ModuleType(HELD)).__dict__
-    if (path, spaces) not in held:
-        held[path, spaces] = Encoder(path, spaces)
-    return held[path, spaces]
+    if (path, spaces, remembered) not in held:
+        held.clear()
+        held[path, spaces, remembered] = Encoder(path, spaces, remembered)
+    return held[path, spaces, remembered]
 
 
 class Encoder:
@@ -71,7 +72,7 @@ class Encoder:
     `spaces`: the vocabulary's ids depend on white space and case (byte-level); otherwise words in lower case are looked
     up."""
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, remembered: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +80,7 @@ class Encoder:
         self.cut = self.joiner.token_to_id(_SEPARATOR)
         self.spaces = spaces
         self._reset()
-        self.cache = WordCache(self._grow, limit=CACHED, compact=self._compact)
+        self.cache = WordCache(self._grow, limit=remembered, compact=self._compact)
 
     def _reset(self) -> None:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
