@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import langid, mixing, neardup, packing, toxicity
-from corvane.llm.common import materialize, table
+from corvane.llm.common import WORD, materialize, table
 from corvane.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "_row"
 #: Documents whose language is less certain than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -28,14 +29,29 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row's own.  It is written down with the rows, so every read sees the same ones;
+    doc_id can be null or repeated."""
+    return materialize(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.cluster(docs.select("doc_id", "text"), width=5).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One row of each group of near copies stays: that of the smallest id, null ids last.  Rows without a word are
+    copies only of rows equal in every column."""
+    rows = numbered(docs)
+    groups = neardup.cluster(rows.select(ROW, "text"), width=5, key=ROW).where("n_shingles > 0").select(ROW, "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW)
+    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(ROW)
+    wordless = rows.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    kept = kept.union(wordless.groupBy(*COLUMNS).agg(F.min(ROW).alias(ROW)).select(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    return mixing.take(docs, mixing.mix(docs)).select(*COLUMNS)
+    """Rows are drawn by id; those without one by a digest of their text, so that they do not share one draw."""
+    rows = numbered(docs)
+    drawn_by = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    return mixing.take(rows, mixing.mix(rows, key=ROW, drawn_by=drawn_by), key=ROW).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

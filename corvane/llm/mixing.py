@@ -59,13 +59,15 @@ def targets(sources: DataFrame, ratios: tuple = RATIOS, cap: int = CAP, budget:
     return s.select("src", "docs", "mean", "source_size", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(part).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weight: Column | None = None, ratios: tuple = RATIOS, cap: int = CAP, budget: float = 1.0, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weight: Column | None = None, ratios: tuple = RATIOS, cap: int = CAP, budget: float = 1.0, seed: str = "mix", drawn_by: Column | None = None) -> DataFrame:
     """One row per document: key, source, size, source_size, target, epochs (times taken) and taken (words taken).
-    `weight`: the quality weight, above 0; by default from the text."""
+    `weight`: the quality weight, above 0; by default from the text.  `drawn_by`: what a draw is made from; by default
+    the key."""
     size = word_count(F.col(text))
-    sized = docs.select(key, source, size.alias("size"), (quality_weight(F.col(text), size) if weight is None else weight).cast("double").alias("quality"))
+    draw = unit(F.col(key) if drawn_by is None else drawn_by, seed)
+    sized = docs.select(key, source, size.alias("size"), (quality_weight(F.col(text), size) if weight is None else weight).cast("double").alias("quality"), draw.alias("unit"))
     src = F.coalesce(F.concat(F.lit("a"), F.col(source)), F.lit("b"))  # null after every name
-    sized = materialize(sized.withColumn("src", src).withColumn("draw", -F.log(unit(F.col(key), seed)) / F.greatest("quality", F.lit(1e-9))), "sized")
+    sized = materialize(sized.withColumn("src", src).withColumn("draw", -F.log("unit") / F.greatest("quality", F.lit(1e-9))).drop("unit"), "sized")
 
     sources = sized.groupBy("src").agg(F.count("*").alias("docs"), F.avg("quality").alias("mean"), F.sum("size").alias("source_size"))
     goals = materialize(targets(sources, ratios, cap, budget), "targets")
@@ -88,7 +90,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def take(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The mixed corpus: each document as many times as the mix takes it."""
+    """The mixed corpus: each document as many times as the mix takes it.  `key` must be a row's own: rows that share one
+    share its times, and a null key finds none."""
     times = mixed.where("epochs > 0").groupBy(key).agg(F.max("epochs").alias("_times"))
     copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
     return docs.join(times, key).withColumn("_copy", copies).drop("_times", "_copy")

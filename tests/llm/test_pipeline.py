@@ -42,3 +42,29 @@ def test_stages_take_effect(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert set(rows.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and rows.count() > 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    say = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    texts = [(None, say("a")), (None, say("b")), (None, say("b")), (7, say("c")), (7, say("c")), (7, say("c")), (None, say("c")), (5, say("d")), (9, say("d") + " end"), (3, say("e")), (3, say("f"))]
+    texts += [(None, None), (None, None), (4, " "), (4, " "), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    order = lambda rows: sorted(rows, key=str)
+    unique = stages["near_dedup"](spark, docs, SF)
+    want = [(None, say("a")), (None, say("b")), (7, say("c")), (5, say("d")), (3, say("e")), (3, say("f")), (None, None), (4, " "), (6, " ")]
+    assert unique.columns == corpus_pipeline.COLUMNS
+    assert order((r.doc_id, r.text) for r in unique.collect()) == order(want)
+    mixed = stages["mixing"](spark, unique, SF)
+    # one source has its own size as its target, so each of its documents with words is taken once
+    assert order((r.doc_id, r.text) for r in mixed.collect() if (r.text or "").strip()) == order(x for x in want if (x[1] or "").strip())
+
+
+def test_mixing_takes_each_row_on_its_own(spark):
+    # ids are null or shared between the sources, which are taken 1 and 2 of 3 parts
+    rows = [(i if i % 4 else None, f"{s} {i} text", "en", s, 1) for s in ("a", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF).collect()
+    count = lambda s, null: sum(r.source == s and (r.doc_id is None) == null for r in mixed)
+    assert count("a", True) + count("a", False) == 200 and count("b", True) + count("b", False) == 400
+    assert 30 <= count("a", True) <= 70 and 75 <= count("b", True) <= 125
