@@ -1,8 +1,9 @@
 r"""URL filter by a path-template tree, in DataFrame operations only.
 
 Each host has a tree of path segments.  Level by level, a segment becomes a wildcard where it varies: its runs of
-digits are generalised, and where a node has many children and none that stands out, those children are generalised
-whole.  Named branches whose labelled shares do not differ from that of their labelled siblings (two-proportion test)
+digits are generalised, and a branch without a label that holds a single path is generalised whole, to `?`, which no
+path contains.  That depends on the branch alone, not on how many siblings it has, and never pools a labelled branch
+with an unlabelled one.  Named branches whose labelled shares do not differ from that of their labelled siblings (two-proportion test)
 are merged.  What remains is a template; a template is rejected if the smoothed share of bad among its labelled urls,
 (bad + 1) / (labelled + 2), reaches a threshold.  Urls that a rule decides are the labelled ones.
 
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from corvane.llm.common import materialize
 
 MAX_DEPTH = 8
-#: A node with so many children generalises those that hold less than twice an even share.
-FAN = 24
 #: Labelled urls that both sides of a merge test need, and the test's threshold in standard errors.
 MERGE_LABELS, MERGE_ERRORS = 5, 1.64
 REJECT = 0.9
@@ -69,23 +68,22 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """paths: (host, path, n, bad, good), distinct.  Adds template, the generalised path."""
+    """paths: (host, path, bad, good), distinct.  Adds template, the generalised path."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     t = materialize(paths.withColumn("seg", segments).withColumn("template", F.lit("")), "paths")
     deepest = t.agg(F.max(F.size("seg"))).first()[0] or 0
     for d in range(1, min(deepest, MAX_DEPTH) + 1):
         t = t.withColumn("s", F.when(F.size("seg") >= d, F.regexp_replace(F.get("seg", F.lit(d - 1)), "[0-9]+", "*")))
-        sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+        sums = [F.count("*").alias("paths"), F.sum("bad").alias("bad"), F.sum("good").alias("good")]
         child = t.where("s is not null").groupBy("host", "template", "s").agg(*sums)
-        parent = child.groupBy("host", "template").agg(F.count("*").alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "bad", "good")))
+        parent = child.groupBy("host", "template").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
         j = child.join(parent, ["host", "template"])
-        varies = (F.col("kids") >= FAN) & (F.col("n") * F.col("kids") < 2 * F.col("all_n"))
         own, rest = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
         pooled = F.try_divide("all_bad", F.col("all_bad") + F.col("all_good"))
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), own) + F.try_divide(F.lit(1.0), rest)))
         apart = F.abs(F.try_divide("bad", own) - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
         alike = (own >= MERGE_LABELS) & (rest >= MERGE_LABELS) & (apart <= MERGE_ERRORS * error)
-        step = F.when(varies, F.lit("*")).when(F.coalesce(alike, F.lit(False)), F.lit("+")).otherwise(F.col("s"))
+        step = F.when((own == 0) & (F.col("paths") == 1), F.lit("?")).when(F.coalesce(alike, F.lit(False)), F.lit("+")).otherwise(F.col("s"))
         decided = j.select("host", "template", "s", step.alias("step"))
         t = t.join(decided, ["host", "template", "s"], "left")
         t = t.withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("s", "step")
@@ -101,7 +99,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", reject: floa
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": text, "_given": verdict})
     count = lambda v: F.count(F.when(F.col("_given") == v, 1))
-    paths = ruled.groupBy("host", "path").agg(F.count("*").alias("n"), count("block").alias("bad"), count("allow").alias("good"))
+    paths = ruled.groupBy("host", "path").agg(count("block").alias("bad"), count("allow").alias("good"))
     tree = templates(paths)
     scored = tree.groupBy("host", "template").agg(((F.sum("bad") + 1) / (F.sum("bad") + F.sum("good") + 2)).alias("purity"))
     found = tree.select("host", "path", "template").join(scored, ["host", "template"])

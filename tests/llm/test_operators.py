@@ -373,6 +373,16 @@ def test_urls_match_brute_force(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
 
 
+def test_verdicts_do_not_depend_on_how_many_sections_a_host_has(spark):
+    rules = (urltree.Rule("x.test/de/", "block"),)
+    for sections in (23, 30):
+        names = ["de", *(f"s{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(sections - 1))]
+        urls = [f"http://x.test/{s}/{i}" for s in names for i in range(100)] + [f"http://x.test/only-{w}" for w in ("one", "two", "three")]
+        rows = urltree.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()
+        assert {(r.path.split("/")[1], r.verdict) for r in rows if r.verdict == "block"} == {("de", "block")}
+        assert {r.template for r in rows} == {"/?", *(f"/{s}/*" for s in names)}
+
+
 def test_templates_carry_labels_to_their_other_urls(spark):
     rules = (urltree.Rule("bad.test/ads/1", "block"), urltree.Rule("good.test/news/1", "allow"))
     urls = [f"http://{h}/{s}/{i}" for h, s in (("bad.test", "ads"), ("bad.test", "blog"), ("good.test", "news")) for i in range(100, 200)]
