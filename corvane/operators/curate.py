@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType
 
 from corvane.functions.text import degenerate, low_variety, words
 
@@ -154,15 +158,45 @@ def every_kth(df: DataFrame, k: int, *order: str) -> Column:
 
 def spread_top(df: DataFrame, group: str, start: str, score: str, n: int, gap: float) -> DataFrame:
     """Of each group the n with the highest score that start at least `gap` apart, taken greedily; then, if fewer were
-    found, the highest left.  A group is one array of (score, start): cut it by top_per_group first."""
-    row = F.struct((-F.col(score)).alias("s"), F.col(start).alias("t"))
-    packed = df.groupBy(group).agg(F.sort_array(F.collect_list(row)).alias("a"))
-    far = lambda acc, x: F.forall(acc, lambda y: F.abs(y["t"] - x["t"]) >= gap)
-    grow = lambda acc, x: F.when((F.size(acc) < n) & far(acc, x), F.concat(acc, F.array(x))).otherwise(acc)
-    empty = F.slice(F.col("a"), 1, 0)
-    chosen = packed.withColumn("c", F.aggregate("a", empty, grow))
-    filled = F.concat("c", F.slice(F.filter("a", lambda x: ~F.array_contains("c", x)), F.lit(1), n - F.size("c")))
-    return chosen.select(group, F.posexplode(filled).alias("pick", "x"), F.size("c").alias("k")).select(group, "pick", F.col("x.t").alias(start), (-F.col("x.s")).alias(score), (F.col("pick") >= F.col("k")).alias("backfill"))
+    found, the highest left.  A group's rows pass in order of score and at most n chosen and n left ones are held, so a
+    group can have any size."""
+    kinds = {c: df.schema[c].dataType for c in (group, start, score)}
+    schema = ", ".join(f"`{c}` {k.simpleString()}" for c, k in ((group, kinds[group]), ("pick", IntegerType()), (start, kinds[start]), (score, kinds[score]), ("backfill", BooleanType())))
+
+    def picks(key, chosen: list, left: list) -> list:
+        return [(key, i, t, s, i >= len(chosen)) for i, (t, s) in enumerate((chosen + left)[:n])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = names = None
+        key, chosen, left, opened, out = None, [], [], False, []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, fields, strict=True)], names=names)
+
+        for b in batches:
+            fields = [b.column(0).type, pa.int32(), b.column(1).type, b.column(2).type, pa.bool_()]
+            names = [group, "pick", start, score, "backfill"]
+            for k, t, s in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if not opened or k != key:
+                    if opened:
+                        out += picks(key, chosen, left)
+                    key, chosen, left, opened = k, [], [], True
+                if len(chosen) == n:
+                    continue
+                if all(t is not None and y is not None and abs(y - t) >= gap for y, _ in chosen):
+                    chosen.append((t, s))
+                elif len(left) < n and (t, s) not in chosen:
+                    left.append((t, s))
+            if out:
+                yield batch()
+                out = []
+        if opened:
+            out += picks(key, chosen, left)
+            yield batch()
+
+    ordered = df.select(group, start, score).repartition(group).sortWithinPartitions(F.col(group), (-F.col(score)).asc_nulls_first(), F.col(start))
+    return ordered.mapInArrow(run, schema)
 
 
 def disagreement_band(df: DataFrame, dis: str, text: str, most: float = 0.90, least: float | None = None) -> DataFrame:

@@ -429,8 +429,7 @@ def speaker_holdout(spark, d):
 @query()
 def spread_topn(spark, d):
     e = t(spark, d, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("start"), "value")
-    short = curate.top_per_group(e, "user_id", 50, F.desc("value"), F.col("start"))  # the shortlist that the operator asks for
-    return curate.spread_top(short, "user_id", "start", "value", 20, 86_400.0)
+    return curate.spread_top(e, "user_id", "start", "value", 20, 86_400.0)
 
 
 @query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)")

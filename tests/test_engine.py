@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import align, edit, script, text
 from corvane.operators import curate, fusion, lexicon, metre, metrics, posterior, sequence
+from corvane.plans import catalog
 from corvane.sources import readers, sinks
 
 
@@ -271,3 +272,14 @@ def test_sql_names(spark):
     register(spark)
     assert spark.sql("SELECT transliterate('namaḥ', 'iast', 'devanagari') AS x, html_unescape('&eacute;') AS y").first() == ("नमः", "é")
     assert [r.op for r in spark.sql("SELECT * FROM align_rows('abc', 'axcd')").collect()] == ["M", "S", "M", "I"]
+
+
+def test_spread_topn_reads_all_events_of_a_user(spark, tmp_path):
+    # 60 events within a minute outrank 30 that are two days apart
+    rows = [(1, i, 1000.0 - i) for i in range(60)] + [(1, 172_800 * (i + 1), 100.0 - i) for i in range(30)] + [(2, i, float(i)) for i in range(25)]
+    df = spark.createDataFrame(rows, "user_id bigint, at bigint, value double").withColumn("ts", F.timestamp_seconds("at"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.spread_topn(spark, str(tmp_path)).orderBy("user_id", "pick").collect()
+    one_, two = [r for r in got if r.user_id == 1], [r for r in got if r.user_id == 2]
+    assert [(r.pick, r.start, r.backfill) for r in one_] == [(i, 172_800.0 * i, False) for i in range(20)]
+    assert [(r.start, r.backfill) for r in two] == [(24.0 - i, i > 0) for i in range(20)]
