@@ -1,5 +1,6 @@
 """Streams give what their batch versions give."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.operators import sequence
@@ -21,6 +22,27 @@ def test_quota_matches_batch(spark, tmp_path):
     assert not last.allowed and last.remaining == 0
 
 
+def test_quota_orders_a_group_across_chunks(spark, tmp_path):
+    rows = [("k", 1_704_067_200 + (i * 37) % 101 // 2, i) for i in range(101)] + [("z", 1_704_067_200 - i, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint").select("k", F.timestamp_seconds("s").alias("ts"), "e")
+    want = {(r.k, r.e, r.rn, r.allowed, r.remaining) for r in sequence.running_quota(df, "k", "ts", "e", 10).withColumnRenamed("nth", "rn").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = quota.run_to_table(quota.quota(stream(spark, df, tmp_path / "q"), "k", "ts", "e", 10, "3 days"), "quota_chunks").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.event, r.nth, r.allowed, r.remaining) for r in got} == want and len(got) == 104
+
+
+def test_quota_merges_sorted_runs(monkeypatch):
+    monkeypatch.setattr(quota, "RUN", 20)
+    monkeypatch.setattr(quota, "SLICE", 8)
+    pairs = [((i * 37) % 101 // 2, None if i == 50 else i) for i in range(101)]
+    chunks = (pd.DataFrame({"ts": pd.to_datetime([t for t, _ in pairs[i : i + 7]], unit="s"), "event": [e for _, e in pairs[i : i + 7]]}) for i in range(0, 101, 7))
+    got = [(t // 1_000_000, None if null else e) for part in quota.in_order(chunks) for t, null, e in part.tolist()]
+    assert got == sorted(pairs, key=lambda p: (p[0], p[1] is None, p[1] or 0))
+
+
 def test_claims_expire_and_are_offered_again(spark, tmp_path):
     acts = [(0, "", "add", "a"), (0, "", "add", "b"), (10, "x", "next", None), (20, "y", "next", None), (30, "x", "next", None), (40, "z", "next", None), (50, "x", "save", "a"), (1000, "z", "next", None), (1001, "y", "next", None)]
     rows = [("m", i, t, w, a, it) for i, (t, w, a, it) in enumerate(acts)]
