@@ -11,8 +11,7 @@ All statistics are sums over distinct (host, path) pairs, so a hot host or a hot
 shuffle, and decisions come back by plain joins.
 
 Defined cases: a null url, and one without `://`, has an empty host and path and is allowed unless a template says
-otherwise (it has none); paths deeper than MAX_DEPTH segments end in a tail wildcard; repeated rows are judged
-alike; an empty table gives no rows."""
+otherwise (it has none); the tree is as deep as the deepest path; repeated rows are judged alike; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
 
-MAX_DEPTH = 8
 #: Labelled urls that both sides of a merge test need, and the test's threshold in standard errors.
 MERGE_LABELS, MERGE_ERRORS = 5, 1.64
 REJECT = 0.9
@@ -72,7 +70,7 @@ def templates(paths: DataFrame) -> DataFrame:
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     t = materialize(paths.withColumn("seg", segments).withColumn("template", F.lit("")), "paths")
     deepest = t.agg(F.max(F.size("seg"))).first()[0] or 0
-    for d in range(1, min(deepest, MAX_DEPTH) + 1):
+    for d in range(1, deepest + 1):
         t = t.withColumn("s", F.when(F.size("seg") >= d, F.regexp_replace(F.get("seg", F.lit(d - 1)), "[0-9]+", "*")))
         sums = [F.count("*").alias("paths"), F.sum("bad").alias("bad"), F.sum("good").alias("good")]
         child = t.where("s is not null").groupBy("host", "template", "s").agg(*sums)
@@ -88,8 +86,7 @@ def templates(paths: DataFrame) -> DataFrame:
         t = t.join(decided, ["host", "template", "s"], "left")
         t = t.withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("s", "step")
         t = materialize(t, f"level{d}")
-    tail = F.when(F.size("seg") > MAX_DEPTH, F.lit("/**")).otherwise(F.lit(""))
-    return t.withColumn("template", F.concat("template", tail)).drop("seg")
+    return t.drop("seg")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", reject: float = REJECT) -> DataFrame:

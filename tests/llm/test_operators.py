@@ -383,6 +383,14 @@ def test_verdicts_do_not_depend_on_how_many_sections_a_host_has(spark):
         assert {r.template for r in rows} == {"/?", *(f"/{s}/*" for s in names)}
 
 
+def test_templates_follow_the_deepest_path(spark):
+    deep = "/a/b/c/d/e/f/g/h"
+    rules = (urltree.Rule(f"x.test{deep}/bad/1", "block"),)
+    urls = [f"http://x.test{deep}/{s}/{i}" for s in ("bad", "fine") for i in range(100, 250)]
+    rows = urltree.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).where("rule is null").collect()
+    assert {(r.template, r.verdict) for r in rows} == {(f"{deep}/bad/*", "block"), (f"{deep}/fine/*", "allow")}
+
+
 def test_templates_carry_labels_to_their_other_urls(spark):
     rules = (urltree.Rule("bad.test/ads/1", "block"), urltree.Rule("good.test/news/1", "allow"))
     urls = [f"http://{h}/{s}/{i}" for h, s in (("bad.test", "ads"), ("bad.test", "blog"), ("good.test", "news")) for i in range(100, 200)]
