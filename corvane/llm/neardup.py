@@ -3,18 +3,23 @@ r"""MinHash near-duplicate detection with confirmed links.
 A text's set holds the 64-bit hashes of its distinct shingles of `width` words (words are cut at ASCII white space, A-Z
 lower-cased); a shorter text has its whole word sequence as its one shingle.
 
-1. Texts with equal sets form a class, represented by its smallest id.  Everything below works on representatives.
+1. Rows with equal sets (by two digests) form a class.  Everything below works on classes, numbered by their first row.
 2. Each has BANDS x ROWS minima under universal multiply-shift hash functions; each band of ROWS minima is a bucket key.
-3. In each bucket all members are held against one pivot, another one in each band and round, so a group of any size
-   costs as many candidates as it has members.  Candidates whose signatures agree enough are confirmed on full sets.
-4. Confirmed links are joined into components by alternating large-star and small-star.
-5. Buckets that still hold several components get another round of pivots, and at last their members of different
-   components are compared in blocks, so that no candidate is lost to the pivots and no list of pairs is made.
+3. Each bucket holds its members against one pivot, which then leaves the bucket.  So a bucket of any size costs a round
+   as many candidates as it has members, and a bucket of two or three is settled by one or two rounds.
+4. Candidates are verified by size, by signature (the low byte of each minimum) and at last on full sets.
+5. Confirmed links are joined into components by alternating large-star and small-star.
+6. Buckets that still hold several components get further rounds.  What is open after the last one is compared on full
+   sets in blocks of bounded bytes, by a matrix product in each task, so that no candidate is lost to the pivots and no
+   list of pairs is made.  Members with more shingles of their own than a link allows are settled before that.
 
-A pair at the least similarity shares no bucket with probability (1 - 0.8**ROWS)**BANDS, about 7e-6.
+A pair at the least similarity shares no bucket with probability (1 - 0.8**ROWS)**BANDS, about 7e-6, and its signatures
+agree too little with probability below 1e-7; nothing else loses a link.
 
 Defined cases: null texts and texts without a word have an empty set and are linked with nothing; a null id is linked
-with nothing and has a null component; repeated rows are one class; sets are of whole texts."""
+with nothing and has a null component; repeated rows are one class; rows that repeat an id with another text are nodes
+of their own; very long texts have sets of all their shingles; ties cannot arise, components and ids decide; an empty
+table gives no rows; other columns of docs are not read, so none can clash."""
 
 from __future__ import annotations
 
@@ -30,12 +35,13 @@ from corvane.llm.common import LOWER, drop, forget, materialize, mix64, parts, w
 BANDS, ROWS = 30, 5
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 80
-#: Rounds of pivots before the remaining pairs are compared.
-PIVOT_ROUNDS = 2
+#: Rounds of pivots before the remaining pairs are compared, at most; a round that finds fewer links than one in SPARSE
+#: members of open buckets is the last.
+PIVOT_ROUNDS, SPARSE = 4, 50
 #: Ids of documents that share a bucket are broadcast up to this number.
 BROADCAST_IDS = 200_000
-#: Documents of a block in that comparison.
-BLOCK = 256
+#: Documents and shingles of a block in that comparison, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 17
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,8 +85,13 @@ def signature(members: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def digests(members: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set."""
+    return int(mix64(members).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix64(members ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64))
+
+
 def sketch(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, two 64-bit digests of the set, the bucket key of each band, the signature."""
+    """key, n_shingles, two 64-bit digests of the set, the bucket key of each band, the signature (a byte of each minimum)."""
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, buckets array<bigint>, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +105,14 @@ def sketch(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id")
                     if not len(s):
                         h1.append(0), h2.append(0), buckets.append([]), sig.append(b"")
                         continue
-                    h1.append(int(mix64(s).sum(dtype=np.uint64).astype(np.int64)))
-                    h2.append(int(np.bitwise_xor.reduce(mix64(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)))
+                    one, two = digests(s)
+                    h1.append(one), h2.append(two)
                     m = signature(s)
                     band = _BAND_SEED.copy()
                     for r in range(ROWS):
                         band = mix64(band + m[r::ROWS])
                     buckets.append(band.astype(np.int64))
-                    sig.append(m.tobytes())
+                    sig.append(m.astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                     names=[key, "n_shingles", "h1", "h2", "buckets", "signature"],
@@ -111,103 +122,133 @@ def sketch(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id")
 
 
 def _least_alike() -> int:
-    """Equal minima that a pair must have: four standard deviations below what the least similarity gives."""
+    """Equal minima that a pair must have: 5.5 standard deviations below what the least similarity gives.  Unequal minima
+    whose low bytes are equal only raise the count."""
     n, share = BANDS * ROWS, PERCENT / 100
-    return int(n * share - 4 * (n * share * (1 - share)) ** 0.5)
+    return int(n * share - 5.5 * (n * share * (1 - share)) ** 0.5)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """(id, members): the full shingle sets of the documents named by ids, made anew from their texts.  The ids are
-    broadcast if they are few by count; else the texts are shuffled to them."""
-    wanted = ids.select(F.col("id").alias(key))
-    chosen = docs.select(key, text).join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, key, "left_semi").dropDuplicates([key])
+def _sets(docs: DataFrame, classes: DataFrame, width: int, text: str, key: str) -> DataFrame:
+    """(node, members): the full shingle sets of classes (node, h1, h2, id), made anew from the texts of their ids.  The
+    ids are broadcast if they are few by count; else the texts are shuffled to them.  A class finds its set by digest,
+    so a row that repeats an id with another text cannot stand for it."""
+    wanted = classes.select(F.col("id").alias(key)).distinct()
+    chosen = docs.select(key, text).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, key, "left_semi").select(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(key))
-            for i, j, texts in parts(batch, text):
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array([s.tobytes() for s in shingles(texts, width)], pa.binary())], names=["id", "members"])
+            for _, _, texts in parts(batch, text):
+                made = [s for s in shingles(texts, width) if len(s)]
+                pairs = [digests(s) for s in made]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["h1", "h2", "members"])
 
-    return chosen.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, members binary")
+    made = chosen.mapInArrow(run, "h1 bigint, h2 bigint, members binary").groupBy("h1", "h2").agg(F.first("members").alias("members"))
+    return made.join(classes.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "members")
 
 
-def _confirm(pairs: DataFrame, wide: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are links: sizes and signatures first, then full sets."""
-    side = lambda x, *columns: wide.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    kind, least = pairs.schema["u"].dataType.simpleString(), _least_alike()
+def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are links: signatures first, then full sets."""
+    least = _least_alike()
+    side = lambda df, x, c: df.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
+    both = lambda df, table, c: df.join(side(table, "u", c), "u").join(side(table, "v", c), "v").select("u", "v", f"{c}_u", f"{c}_v")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                b = batch.slice(i, 1024)
-                su, sv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in (2, 3))
+            for i in range(0, batch.num_rows, 4096):
+                b = batch.slice(i, 4096)
+                su, sv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (2, 3))
                 b = b.filter(pa.array((su == sv).sum(1) >= least))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            b = b.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"])
-
-    sized = pairs.join(side("u", "n", "signature"), "u").join(side("v", "n", "signature"), "v").where(100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
-    likely = materialize(sized.select("u", "v", "signature_u", "signature_v").mapInArrow(alike, f"u {kind}, v {kind}"), "likely")
-    full = likely.join(side("u", "members"), "u").join(side("v", "members"), "v")
-    links = materialize(full.select("u", "v", "members_u", "members_v").mapInArrow(linked, f"u {kind}, v {kind}"), "links")
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                hits = int((y[at] == x).sum())
+                good.append(100 * hits >= PERCENT * (len(x) + len(y) - hits))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["u", "v"])
+
+    likely = materialize(both(pairs, signatures, "signature").mapInArrow(alike, "u bigint, v bigint"), "likely")
+    links = materialize(both(likely, sets, "members").mapInArrow(linked, "u bigint, v bigint"), "links")
     drop(likely)
     return links
 
 
-def _in_blocks(placed: DataFrame, wide: DataFrame) -> DataFrame:
-    """The links (u, v) between members of one bucket that are in different components; placed: (bucket, id, root).
+def _lone(sets: DataFrame) -> DataFrame:
+    """(node, lone): of each set the number of shingles that no other of these sets has, where there are any."""
 
-    A bucket's members are dealt into blocks of about BLOCK, those of its largest component apart from the others, and
-    pairs of blocks are compared within a task that returns the links alone.  Blocks of the largest component are not
-    compared with each other, so a bucket costs in proportion to its members times the blocks of the others."""
-    kind, least = placed.schema["id"].dataType.simpleString(), _least_alike()
-    per_root = placed.groupBy("bucket", "root").count()
-    shape = per_root.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all")).where(F.col("most") < F.col("all"))
-    blocks = lambda n: F.ceil(F.greatest(n, F.lit(1)) / F.lit(BLOCK)).cast("int")
-    shape = shape.select("bucket", "main", blocks(F.col("all") - F.col("most")).alias("few"), blocks(F.col("most")).alias("many"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            for i, j, members in parts(batch, "members"):
+                nodes = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), [len(m) // 8 for m in members])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.frombuffer(b"".join(members), np.int64))], names=["node", "h"])
+
+    rows = sets.select("node", "members").mapInArrow(run, "node bigint, h bigint")
+    once = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    return once.groupBy("node").agg(F.count("*").alias("lone"))
+
+
+def _overlaps(left: list, right: list) -> np.ndarray:
+    """The sizes of the intersections of all left sets with all right ones: a product of 0-1 matrices over the shingles
+    that two or more of them have, some columns at a time."""
+    sizes = np.array([len(x) for x in (*left, *right)])
+    _, number, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    owner, kept = np.repeat(np.arange(len(sizes)), sizes), count[number] > 1
+    place = np.cumsum(count > 1) - 1
+    owner, column = owner[kept], place[number[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    step = 2048
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, (start, start + step))
+        m = np.zeros((len(sizes), step), np.float32)
+        m[owner[a:b], column[a:b] - start] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _in_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (u, v) between members of one bucket that are in different components; placed: (bucket, node, n, root).
+
+    A bucket's members are dealt into blocks of about BLOCK_ROWS and BLOCK_SHINGLES, those of its largest component apart
+    from the others, and pairs of blocks are compared within a task that returns the links alone.  Blocks of the largest
+    component are not compared with each other, so a bucket costs in proportion to its members times the blocks of the
+    others."""
+    per_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    main = F.max_by(F.struct("root", "c", "s"), F.struct("s", "root")).alias("main")
+    shape = per_root.groupBy("bucket").agg(main, F.sum("c").alias("c"), F.sum("s").alias("s")).where("c > main.c")
+    blocks = lambda c, s: F.greatest(F.ceil(c / F.lit(BLOCK_ROWS)), F.ceil(s / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    few, many = blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")), blocks(F.col("main.c"), F.col("main.s"))
+    shape = shape.select("bucket", F.col("main.root").alias("main"), few.alias("few"), many.alias("many"))
     own = placed.join(shape, "bucket").withColumn("main", F.col("root") == F.col("main"))
-    spot = F.when(F.col("main"), F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int")
+    spot = F.when(F.col("main"), F.col("few") + F.pmod(F.xxhash64("node"), "many")).otherwise(F.pmod(F.xxhash64("node"), "few")).cast("int")
     last = F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
     dealt = own.withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    dealt = dealt.select("bucket", F.least("spot", "other").alias("p"), F.greatest("spot", "other").alias("q"), "spot", "id", "root")
+    dealt = dealt.select("bucket", F.least("spot", "other").alias("p"), F.greatest("spot", "other").alias("q"), "spot", "node", "root")
 
     def compare(group: pa.Table) -> pa.Table:
+        node, root, spots = (group[c].to_numpy() for c in ("node", "root", "spot"))
+        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["members"]]
+        size = np.array([len(x) for x in members])
+        left, right = np.flatnonzero(spots == group["p"][0].as_py()), np.flatnonzero(spots == group["q"][0].as_py())
         us, vs = [], []
-        ids, roots = group["id"].to_pylist(), group["root"].to_pylist()
-        number: dict = {}
-        root = np.array([number.setdefault(r, len(number)) for r in roots])
-        sig = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(len(ids), -1)
-        buckets = np.array(group["buckets"].to_pylist(), np.int64)
-        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["members"]]
-        size = np.array([len(x) for x in sets_])
-        spots, here, p, q = group["spot"].to_numpy(), group["bucket"][0].as_py(), group["p"][0].as_py(), group["q"][0].as_py()
-        left, right = np.flatnonzero(spots == p), np.flatnonzero(spots == q)
-        for i in left.tolist():
-            at = right[(root[right] != root[i]) & (100 * np.minimum(size[right], size[i]) >= PERCENT * np.maximum(size[right], size[i]))]
-            if p == q:
-                at = at[at > i]
-            at = at[(sig[at] == sig[i]).sum(1) >= least]
-            if len(at):  # a pair is compared in the first bucket that it shares
-                first = (buckets[at] == buckets[i]).argmax(1)
-                at = at[buckets[i][first] == here]
-            for j in at.tolist():
-                both = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
-                if 100 * both >= PERCENT * (size[i] + size[j] - both):
-                    us.append(min(ids[i], ids[j])), vs.append(max(ids[i], ids[j]))
-        kept = group["id"].type
-        return pa.table({"u": pa.array(us, kept), "v": pa.array(vs, kept)})
-
-    return materialize(dealt.join(wide, "id").groupBy("bucket", "p", "q").applyInArrow(compare, f"u {kind}, v {kind}"), "links")
+        if len(left) and len(right):
+            hits = _overlaps([members[i] for i in left], [members[i] for i in right])
+            i, j = np.nonzero(100 * hits >= PERCENT * (size[left][:, None] + size[right][None, :] - hits))
+            i, j = left[i], right[j]
+            apart = root[i] != root[j]
+            us, vs = np.minimum(node[i], node[j])[apart], np.maximum(node[i], node[j])[apart]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return materialize(dealt.join(sets, "node").groupBy("bucket", "p", "q").applyInArrow(compare, "u bigint, v bigint"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,53 +277,75 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _open(live: DataFrame, roots: DataFrame | None, *more) -> tuple[DataFrame, DataFrame]:
+    """live (bucket, node, n) with the root of each node, and of each bucket that holds several roots the aggregates
+    `more`."""
+    placed = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), *more).where("a <> b").drop("a", "b")
+    return placed, several
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of all links so far."""
+    if roots is None:
+        return components(links)
+    out = components(links.union(roots.where("root <> node").select(F.col("root").alias("u"), F.col("node").alias("v"))))
+    drop(roots)
+    return out
+
+
+def _within(a: str, b: str):
+    """Whether sizes allow a link."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
 def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id (the smallest reachable key) and kept, one row per row of docs."""
-    sketched = materialize(sketch(docs, width, text, key), "sketch")
+    sketched = materialize(sketch(docs, width, text, key).withColumn("node", F.monotonically_increasing_id()), "sketch")
     filled = sketched.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
-    first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "buckets", "signature"), key)
-    classes = materialize(filled.groupBy("h1", "h2").agg(F.min(key).alias("id"), first.alias("s")).select("h1", "h2", "id", "s.*"), "classes")
+    classes = materialize(filled.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.min(key).alias("id")), "classes")
     all_ = materialize(sketched.select(key, "n_shingles", "h1", "h2"), "sizes")
+    first = materialize(filled.join(classes.select("node"), "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "buckets", "signature"), "first")
     drop(sketched)
-    members = classes.select("id", F.explode("buckets").alias("bucket"))
     # aggregates that are joined back are written first, so that a hot bucket's side of the join can be split
-    shared = materialize(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    members = materialize(members.join(shared, "bucket"), "members")
-    ids = materialize(members.select("id").distinct(), "ids")
-    sets = _sets(docs, ids, width, text, key)
-    # what pairs are judged by, of the documents that share a bucket alone
-    wide = materialize(classes.select("id", "n", "buckets", "signature").join(sets, "id").dropDuplicates(["id"]), "wide")
-
-    tested, links, roots = None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = members if roots is None else members.join(roots, members["id"] == roots["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        if turn == 0:
-            open_ = placed.withColumn("root", F.col("id"))
-        else:
-            several = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-            open_ = placed.join(materialize(several, "several"), "bucket")
-        if turn < PIVOT_ROUNDS:
-            chance = F.xxhash64("root", "bucket", F.lit(turn)) if turn else F.xxhash64("id", "bucket")
-            pivot = materialize(open_.groupBy("bucket").agg(F.min_by(F.struct("id", "root"), chance).alias("p")), "pivots")
-            candidates = open_.join(pivot, "bucket").where("root <> p.root").select(F.col("id").alias("x"), F.col("p.id").alias("y"))
-            candidates = candidates.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-            if tested is not None:
-                candidates = candidates.join(tested, ["u", "v"], "left_anti")
-            tested = materialize(candidates, "candidates")
-            found = _confirm(tested, wide)
-        else:
-            found = _in_blocks(materialize(open_, "open"), wide)
-        links = found if links is None else links.union(found)
-        if roots is not None:
-            drop(roots)
-        roots = components(links)
-    for table in (members, shared, ids, wide):
+    live, roots, tested, sets = first.select(F.explode("buckets").alias("bucket"), "node", "n"), None, None, None
+    sets_of = lambda nodes: materialize(_sets(docs, materialize(classes.join(nodes.distinct(), "node", "left_semi"), "shared"), width, text, key), "sets")
+    for turn in range(PIVOT_ROUNDS):
+        # in the first round buckets of like members take the same pivot, so that most of their pairs are the same
+        chance = F.xxhash64("node", "bucket", F.lit(turn)) if turn else F.xxhash64("node")
+        placed, several = _open(live, roots, F.min_by(F.struct("node", "n", "root"), chance).alias("p"))
+        pivots = materialize(several, "pivots")
+        open_ = materialize(placed.join(pivots, "bucket").where("node <> p.node"), "open")
+        sets = sets or sets_of(open_.select("node").union(pivots.select("p.node")))
+        pairs = open_.where(F.col("root") != F.col("p.root")).where(_within("n", "p.n"))
+        pairs = pairs.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "candidates")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = _confirm(pairs, first, sets)
+        roots = _joined(roots, found)
+        drop(pivots)
+        if turn:
+            drop(before)
+        live, before = open_.select("bucket", "node", "n"), open_
+        if SPARSE * found.count() < open_.count():
+            break
+    placed, several = _open(live, roots)
+    rest = materialize(placed.join(several, "bucket", "left_semi"), "rest")
+    sets = sets or sets_of(rest.select("node"))
+    lone = _lone(sets.join(rest.select("node").distinct(), "node", "left_semi"))
+    own = materialize(rest.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0))), "lone")
+    # the shingles that only one of two linked sets has are at most (100 - PERCENT) / PERCENT of the smaller set
+    low = own.groupBy("bucket").agg(F.min("lone").alias("low"))
+    near = own.join(low, "bucket").where(PERCENT * (F.col("lone") + F.col("low")) <= (100 - PERCENT) * F.col("n"))
+    roots = _joined(roots, _in_blocks(materialize(near.select("bucket", "node", "n", "root"), "near"), sets))
+    for table in (first, sets, rest, own):
         drop(table)
 
-    classes = classes.select("h1", "h2", "id")
-    classes = classes.join(roots, classes["id"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("rep"))
-    out = all_.select(key, "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("rep")).otherwise(F.col(key))
+    placed = classes.join(roots, "node", "left").select("h1", "h2", "id", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("id").alias("component"))
+    placed = placed.join(least, "root").select("h1", "h2", "component")
+    out = all_.join(placed, ["h1", "h2"], "left")
+    own = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("component")).otherwise(F.col(key))
     return out.select(key, "n_shingles", own.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
 
 

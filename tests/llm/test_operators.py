@@ -235,7 +235,7 @@ def test_near_duplicates_match_brute_force(spark, docs):
 def test_near_duplicates_without_pivots_are_compared_in_blocks(spark, monkeypatch):
     """With no pivot round every link must come from the comparison in blocks."""
     monkeypatch.setattr(neardup, "PIVOT_ROUNDS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
     rng = random.Random(5)
     rows = []
     for k in range(40):
@@ -247,6 +247,21 @@ def test_near_duplicates_without_pivots_are_compared_in_blocks(spark, monkeypatc
     assert got == {d: c for d, (_, c) in brute_components(rows, 4).items()}
 
 
+def test_near_duplicates_of_rows_that_repeat_an_id_with_other_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, one), (1, two), (2, two + " more"), (3, one + " more"), (4, "something else of its own")]
+    got = sorted((r.doc_id, r.component_id) for r in neardup.op5(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_near_duplicates_with_long_sets_and_many_columns_in_blocks(spark, monkeypatch):
+    """Sets of more shingles than one step of the matrix product has columns."""
+    rng = np.random.default_rng(3)
+    left = [np.unique(rng.integers(0, 9000, 6000, dtype=np.uint64)) for _ in range(5)]
+    right = [np.unique(np.concatenate([x[:4000], rng.integers(0, 9000, 500, dtype=np.uint64)])) for x in left] + [np.array([10**18], np.uint64)]
+    assert neardup._overlaps(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (5, 2), (3, 3)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
