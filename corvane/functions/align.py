@@ -1,58 +1,96 @@
-"""Alignments that need a traceback: vectorised kernels, one array operation per table row, behind Arrow UDFs."""
+"""Alignments that need a traceback: bit-parallel kernels behind Arrow UDFs."""
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def _struct(**fields) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 _S, _I = T.StringType(), T.IntegerType()
 OPS = T.ArrayType(_struct(op=_S, ri=_I, hi=_I, rc=_S, hc=_S))
+COUNTS = T.ArrayType(_struct(op=_S, rc=_S, hc=_S, n=T.LongType()))
 CODES = T.ArrayType(_struct(tag=_S, i1=_I, i2=_I, j1=_I, j2=_I))
 
 
-def edit_table(ref, hyp) -> np.ndarray:
-    """The full table of unit-cost edit distances; a row's insertions are one running minimum."""
-    codes: dict = {}
-    r = np.fromiter((codes.setdefault(x, len(codes)) for x in ref), np.int64, len(ref))
-    h = np.fromiter((codes.setdefault(x, len(codes)) for x in hyp), np.int64, len(hyp))
-    d = np.empty((len(r) + 1, len(h) + 1), np.int64)
-    steps = np.arange(len(h) + 1)
-    d[0] = steps
-    for i in range(1, len(r) + 1):
-        row = d[i]
-        row[0] = i
-        np.minimum(d[i - 1, 1:] + 1, d[i - 1, :-1] + (h != r[i - 1]), out=row[1:])
-        row[:] = np.minimum.accumulate(row - steps) + steps
-    return d
+#: Columns of an alignment whose bit vectors are held at once; of a wider one each block's first column is kept.
+BLOCK = 512
+
+
+class _Columns:
+    """Unit-cost edit distances of a reference (rows) and a hypothesis (columns), a column at a time: bit i of an integer
+    stands for row i + 1, so a column costs a few operations on long integers (Hyyro's bit-parallel algorithm)."""
+
+    def __init__(self, ref, hyp):
+        self.hyp, self.rows, self.places = hyp, len(ref), {}
+        for i, x in enumerate(ref):
+            self.places[x] = self.places.get(x, 0) | 1 << i
+        self.all = (1 << self.rows) - 1
+
+    def run(self, up: int, down: int, start: int, end: int):
+        """Of each column from start up to end: (rows whose diagonal step is free, rows one above the row before, rows
+        one below it)."""
+        full, places = self.all, self.places
+        for x in self.hyp[start:end]:
+            same = places.get(x, 0)
+            free = (((same & up) + up) ^ up | same | down) & full
+            right, left = down | ~(free | up) & full, up & free
+            right, left = (right << 1 | 1) & full, left << 1 & full
+            up, down = left | ~(free | right) & full, right & free
+            yield free, up, down
+
+
+def distance(ref, hyp) -> int:
+    """Unit-cost edit distance of two sequences of hashable symbols."""
+    c = _Columns(ref, hyp)
+    up, down = c.all, 0
+    for _, up, down in c.run(up, down, 0, len(hyp)):
+        pass
+    return len(hyp) + up.bit_count() - down.bit_count()
 
 
 def trace(ref, hyp) -> list[tuple]:
-    """(op, ri, hi) from left to right.  Equal symbols match; otherwise substitution before deletion before insertion."""
-    d, out = edit_table(ref, hyp), []
+    """(op, ri, hi) from left to right.  Equal symbols match; otherwise substitution before deletion before insertion.
+    Memory is that of BLOCK columns and of one column for each block."""
     i, j = len(ref), len(hyp)
-    while i or j:
-        if i and j and ref[i - 1] == hyp[j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("M", i, j))
-        elif i and j and d[i, j] == d[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(("S", i, j))
-        elif i and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-            out.append(("D", i, -1))
-        else:
-            j -= 1
-            out.append(("I", i - 1, j))  # ri: the reference symbol before it, -1 at the start
+    out = []
+    while i and j and ref[i - 1] == hyp[j - 1]:
+        i, j = i - 1, j - 1
+        out.append(("M", i, j))
+    c = _Columns(ref[:i], hyp[:j])
+    heads, state = [], (c.all, 0)
+    for start in range(0, j, BLOCK):
+        heads.append(state)
+        if start + BLOCK < j:
+            for _, *state in c.run(*state, start, start + BLOCK):
+                pass
+    for start in range((len(heads) - 1) * BLOCK, -1, -BLOCK):
+        if not i:
+            break
+        block = list(c.run(*heads[start // BLOCK], start, min(start + BLOCK, j)))
+        while i and j > start:
+            free, up, _ = block[j - 1 - start]
+            row = 1 << i - 1
+            if ref[i - 1] == hyp[j - 1]:
+                i, j = i - 1, j - 1
+                out.append(("M", i, j))
+            elif not free & row:
+                i, j = i - 1, j - 1
+                out.append(("S", i, j))
+            elif up & row:
+                i -= 1
+                out.append(("D", i, -1))
+            else:
+                j -= 1
+                out.append(("I", i - 1, j))  # ri: the reference symbol before it, -1 at the start
+    out += [("I", -1, k) for k in range(j - 1, -1, -1)] if not i else [("D", k, -1) for k in range(i - 1, -1, -1)]
     return out[::-1]
 
 
@@ -65,6 +103,17 @@ def char_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([_ops(r or "", h or "") for r, h in zip(ref, hyp, strict=True)])
 
 
+@F.pandas_udf(COUNTS)
+def char_op_counts(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """How often a pair's alignment has each operation on each pair of characters."""
+    out = []
+    for r, h in zip(ref, hyp, strict=True):
+        r, h = r or "", h or ""
+        found = Counter((o, r[i] if o != "I" else None, h[j] if o != "D" else None) for o, i, j in trace(r, h))
+        out.append([{"op": o, "rc": x, "hc": y, "n": n} for (o, x, y), n in found.items()])
+    return pd.Series(out)
+
+
 @F.pandas_udf(OPS)
 def word_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([_ops((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp, strict=True)])
@@ -127,22 +176,13 @@ def onto(backbone: pd.Series, other: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(_struct(kind=_S, heard=_S)))
 def unit_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Of each reference unit: match, sub (with the unit heard) or del.  Diagonal steps first, then deletions."""
-    out = []
-    for r, h in zip(ref, hyp, strict=True):
-        r, h = list(r if r is not None else []), list(h if h is not None else [])
-        d = edit_table(r, h)
-        row, i, j = [{"kind": "del", "heard": ""} for _ in r], len(r), len(h)
-        while i or j:
-            if i and j and d[i, j] == d[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-                i, j = i - 1, j - 1
-                row[i] = {"kind": "match", "heard": ""} if r[i] == h[j] else {"kind": "sub", "heard": h[j]}
-            elif i and d[i, j] == d[i - 1, j] + 1:
-                i -= 1
-            else:
-                j -= 1
-        out.append(row)
-    return pd.Series(out)
+    """Of each reference unit: match, sub (with the unit heard) or del."""
+    names = {"M": "match", "S": "sub", "D": "del"}
+
+    def units(r: list, h: list) -> list:
+        return [{"kind": names[op], "heard": h[j] if op == "S" else ""} for op, _, j in trace(r, h) if op != "I"]
+
+    return pd.Series([units(*([] if x is None else list(x) for x in pair)) for pair in zip(ref, hyp, strict=True)])
 
 
 def anchor(segments: list[str], ref: str) -> list[tuple[str, float]]:
@@ -163,5 +203,5 @@ def anchor(segments: list[str], ref: str) -> list[tuple[str, float]]:
         start, end = ref.rfind(" ", 0, low[i]) + 1 if low[i] else 0, ref.find(" ", high[i] + 1)
         span = ref[start : len(ref) if end < 0 else end].strip()
         x, y = s.replace(" ", ""), span.replace(" ", "")
-        out.append((span, float(edit_table(y, x)[-1, -1]) / len(y) if y else 1.0))
+        out.append((span, distance(y, x) / len(y) if y else 1.0))
     return out

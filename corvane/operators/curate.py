@@ -84,12 +84,11 @@ def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFram
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rn") <= n)
 
 
-def systematic(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
-    """Every k-th of a group with k = max(1, size // n), the first n of those."""
-    w = Window.partitionBy(group)
-    step = F.greatest(F.floor(F.count("*").over(w) / n), F.lit(1))
-    d = df.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("step", step)
-    return d.where(((F.col("rn") - 1) % F.col("step") == 0) & ((F.col("rn") - 1) / F.col("step") < n)).drop("step")
+def systematic(df: DataFrame, group: str, n: int, *order: str) -> DataFrame:
+    """Every k-th of a group with k = max(1, size // n), the first n of those.  The first order column is numeric."""
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.greatest(F.floor(F.count("*") / n), F.lit(1)).alias("step"))
+    d = row_numbers(df, group, *order).join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    return d.where(((F.col("rn") - 1) % F.col("step") == 0) & (F.floor((F.col("rn") - 1) / F.col("step")) < n)).drop("step")
 
 
 def budget_prefix(df: DataFrame, amount: str, cap: float, *order: str, group: list[str] | None = None) -> DataFrame:
@@ -101,18 +100,29 @@ def budget_prefix(df: DataFrame, amount: str, cap: float, *order: str, group: li
     return ranked_sum(df, amount, *order).where(F.col("before") < cap)
 
 
-def ranked_sum(df: DataFrame, amount: str, *order: str, buckets: int = 64) -> DataFrame:
-    """Adds before, the sum of all rows earlier in the order: bucket sums first, then within each bucket.  The first
-    order column must be numeric; its quantiles bound the buckets."""
+def ranked_sum(df: DataFrame, amount: str, *order: str, buckets: int = 64, by: tuple = ()) -> DataFrame:
+    """Adds before, the sum of the rows earlier in the order (of the same `by`): bucket sums first, then within each
+    bucket, so that a group of any size is spread.  The first order column must be numeric; its quantiles bound the
+    buckets."""
     lead = order[0]
     cuts = sorted(set(df.approxQuantile(lead, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
     bounds = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
     b = df.withColumn("_b", F.when(F.col(lead).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col(lead)))))
-    sums = b.groupBy("_b").agg(F.sum(amount).alias("_s"))
-    offset = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a bucket
-    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = b.withColumn("_in", inside).join(F.broadcast(sums.select("_b", offset.alias("_off"))), "_b")
-    return joined.withColumn("before", F.col("_off") + F.col("_in")).drop("_b", "_in", "_off")
+    sums = b.groupBy(*by, "_b").agg(F.sum(amount).alias("_s"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a group and bucket
+    sums = sums.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_b").alias("_c"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_off"))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("_b") == F.col("_c")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = b.withColumn("_in", inside).join(sums if by else F.broadcast(sums), same)  # without groups: one row a bucket
+    return joined.withColumn("before", F.col("_off") + F.col("_in")).select(*df.columns, "before")
+
+
+def row_numbers(df: DataFrame, group: str, *order: str, name: str = "rn") -> DataFrame:
+    """Adds the number of each row in its group, from 1, by a running count over ranges of the order."""
+    numbered = ranked_sum(df.withColumn("_one", F.lit(1)), "_one", *order, by=(group,))
+    return numbered.withColumn(name, (F.col("before") + 1).cast("int")).drop("_one", "before")
 
 
 def round_robin(df: DataFrame, group: str, amount: str, target: float, *order: str, within: list[str] | None = None) -> DataFrame:
@@ -121,18 +131,10 @@ def round_robin(df: DataFrame, group: str, amount: str, target: float, *order: s
     sizes = df.groupBy(*outer, group).agg(F.count("*").alias("_n"))
     place = F.row_number().over(Window.partitionBy(*outer, F.lit(0)).orderBy(F.desc("_n"), group))
     sizes = sizes.withColumn("_place", place).drop("_n")
-    turn = F.row_number().over(Window.partitionBy(*outer, group).orderBy(*order))
-    dealt = df.withColumn("turn", turn).join(F.broadcast(sizes) if not outer else sizes, [*outer, group])
-    before = F.sum(amount).over(Window.partitionBy(*outer, F.lit(0)).orderBy("turn", "_place").rowsBetween(Window.unboundedPreceding, -1))
-    if not outer:
-        # bucket the running sum by turn: the sums of whole turns first, then within a turn
-        turns = dealt.groupBy("turn").agg(F.sum(amount).alias("_s"))
-        offset = F.coalesce(F.sum("_s").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        turns = turns.select("turn", offset.alias("_off"))
-        inside = F.coalesce(F.sum(amount).over(Window.partitionBy("turn").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        dealt = dealt.withColumn("_in", inside).join(turns, "turn").withColumn("before", F.col("_off") + F.col("_in")).drop("_in", "_off")
-    else:
-        dealt = dealt.withColumn("before", F.coalesce(before, F.lit(0)))
+    numbered = ranked_sum(df.withColumn("_one", F.lit(1)), "_one", *order, by=(*outer, group))
+    dealt = numbered.withColumn("turn", (F.col("before") + 1).cast("int")).drop("before", "_one").join(sizes, [*outer, group])
+    # the running sum over turns and places, in ranges of turns
+    dealt = ranked_sum(dealt, amount, "turn", "_place", by=tuple(outer))
     return dealt.where(F.col("before") < target).drop("_place")
 
 
@@ -152,8 +154,10 @@ def hash_sample(df: DataFrame, group: str, n: int, key: Column, tie: str) -> Dat
     return top_per_group(df, group, n, key, F.col(tie))
 
 
-def every_kth(df: DataFrame, k: int, *order: str) -> Column:
-    return (F.row_number().over(Window.orderBy(*order)) - 1) % k == 0
+def every_kth(df: DataFrame, k: int, *order: str) -> DataFrame:
+    """Every k-th row of all, the first included; the first order column is numeric."""
+    ranked = ranked_sum(df.withColumn("_one", F.lit(1)), "_one", *order)
+    return ranked.where(F.col("before") % k == 0).drop("_one", "before")
 
 
 def spread_top(df: DataFrame, group: str, start: str, score: str, n: int, gap: float) -> DataFrame:

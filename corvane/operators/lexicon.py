@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,29 +26,35 @@ def tag_summary(df: DataFrame, tag: str, text: Column, least: int = 2) -> DataFr
 
 
 def weighted(corpus: DataFrame, glossary: DataFrame, bonus: int = 50, least: int = 2) -> DataFrame:
-    """word, freq: one for each corpus token and a bonus for each glossary word, from a least frequency on."""
-    rows = corpus.select("word", F.lit(1).alias("n")).unionByName(glossary.select("word", F.lit(bonus).alias("n")))
+    """word, freq: one for each corpus token (a table with counts n has them summed) and a bonus for each glossary word,
+    from a least frequency on."""
+    rows = corpus.select("word", F.col("n") if "n" in corpus.columns else F.lit(1).alias("n")).unionByName(glossary.select("word", F.lit(bonus).alias("n")))
     return rows.groupBy("word").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least)
 
 
+def counted(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, word, n) of each key's words."""
+    return tokens(df, text, key).groupBy(key, "word").agg(F.count("*").alias("n"))
+
+
 def oov(df: DataFrame, key: str, text: Column, lexicon: DataFrame) -> DataFrame:
     """Tokens and out-of-vocabulary rate of each key."""
-    known = lexicon.select("word", F.lit(True).alias("known"))
-    t = tokens(df, text, key).groupBy(key, "word").count().join(known, "word", "left")
-    return t.groupBy(key).agg(F.sum("count").alias("tokens"), (F.sum(F.when(F.col("known").isNull(), F.col("count")).otherwise(0)) / F.sum("count")).alias("oov_rate"))
+    return oov_of(counted(df, key, text), key, lexicon)
+
+
+def oov_of(counts: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+    t = counts.join(lexicon.select("word", F.lit(True).alias("known")), "word", "left")
+    return t.groupBy(key).agg(F.sum("n").alias("tokens"), (F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("oov_rate"))
 
 
 def fuzzy(left: DataFrame, lexicon: DataFrame, most: int = 2, k: int | None = 5) -> DataFrame:
     """(word, cand, freq, dist) within an edit distance, other than the word itself; the k best by distance, frequency
     and word.
 
-    Both sides are keyed by their deletion neighbourhoods: two words within `most` edits share a string that `most`
+    The lexicon is cut to words whose length a word of the other side allows.  Both sides are keyed by their deletion neighbourhoods: two words within `most` edits share a string that `most`
     deletions or fewer make of each.  That equi-key keeps the join from comparing whole length bands, and the distance
     is confirmed on the pairs."""
-    l = left.select("word").distinct().select("word", F.explode(_deletions(F.col("word"), most)).alias("key"))
-    r = lexicon.select(F.col("word").alias("cand"), "freq", F.explode(_deletions(F.col("word"), most)).alias("key"))
-    pairs = l.join(r, "key").where((F.col("word") != F.col("cand")) & (F.abs(F.length("word") - F.length("cand")) <= most)).select("word", "cand", "freq").distinct()
-    found = pairs.withColumn("dist", F.levenshtein("word", "cand", most)).where("dist >= 0")
+    found = _neighbours(left, lexicon, most).withColumn("dist", F.levenshtein("word", "cand", most)).where("dist >= 0")
     if k is None:
         return found
     from pyspark.sql import Window
@@ -59,6 +63,22 @@ def fuzzy(left: DataFrame, lexicon: DataFrame, most: int = 2, k: int | None = 5)
     return found.withColumn("rn", rank).where(F.col("rn") <= k).drop("rn")
 
 
+#: Words of the left side up to this number are broadcast with their deletion keys.
+BROADCAST_WORDS = 5_000
+
+
+def _neighbours(left: DataFrame, lexicon: DataFrame, most: int) -> DataFrame:
+    """(word, cand, freq) of different words that share a deletion key."""
+    l = left.select("word").distinct()
+    few = l.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    lengths = l.select(F.explode(F.sequence(F.length("word") - most, F.length("word") + most)).alias("length")).distinct()
+    r = lexicon.withColumn("length", F.length("word")).join(lengths, "length", "left_semi")
+    l = l.select("word", F.explode(_deletions(F.col("word"), most)).alias("key"))
+    r = r.select(F.col("word").alias("cand"), "freq", F.explode(_deletions(F.col("word"), most)).alias("key"))
+    pairs = r.join(F.broadcast(l) if few else l, "key").where((F.col("word") != F.col("cand")) & (F.abs(F.length("word") - F.length("cand")) <= most))
+    return pairs.select("word", "cand", "freq").distinct()
+
+
 def _deletions(w: Column, most: int) -> Column:
     """The word and all it becomes by up to `most` deletions."""
     drop = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
@@ -70,8 +90,14 @@ def _deletions(w: Column, most: int) -> Column:
     return out
 
 
-def edit_one(left: DataFrame, lexicon: DataFrame, alphabet: str) -> DataFrame:
-    """(word, cand, freq): lexicon words one deletion, substitution, insertion or transposition away."""
+def edit_one(left: DataFrame, lexicon: DataFrame, alphabet: str | None = None) -> DataFrame:
+    """(word, cand, freq): lexicon words one deletion, substitution, insertion or transposition of neighbours away.  With
+    an alphabet only its letters are put in; without, any letter is, and words meet by what one deletion makes of both."""
+    if alphabet is None:
+        pairs, x, y = _neighbours(left, lexicon, 1), F.col("word"), F.col("cand")
+        swap = lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x)))
+        swapped = (F.length(x) == F.length(y)) & (F.length(x) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: swap(i) == y)
+        return pairs.where((F.levenshtein(x, y, 1) >= 0) | swapped)
     letters = F.array(*(F.lit(c) for c in alphabet))
     w = F.col("word")
     head, tail = (lambda i: F.substring(w, F.lit(1), i)), (lambda i: F.substring(w, i + 1, F.length(w)))
@@ -96,43 +122,37 @@ def splits(left: DataFrame, lexicon: DataFrame, least: int = 6, part: int = 2) -
     return found.groupBy("word").agg(best.alias("b")).select("word", "b.*")
 
 
-def tile(word: str, logfreq: dict, penalty: float = 6.0, least: int = 2, most: int = 22) -> list[str]:
-    """The word as known pieces with the largest sum of log frequencies less a penalty each; the whole if it is short,
-    known or cannot be covered.  Earlier cuts win ties."""
-    n = len(word)
-    if n < 6 or word in logfreq:
-        return [word]
-    best: list = [(0.0, None)] + [None] * n
-    for end in range(1, n + 1):
-        for start in range(max(0, end - most), end - least + 1):
-            gain = logfreq.get(word[start:end])
-            if gain is not None and best[start] is not None:
-                score = best[start][0] + gain - penalty
-                if best[end] is None or score > best[end][0]:
-                    best[end] = (score, start)
-    if best[n] is None:
-        return [word]
-    out, at = [], n
-    while at:
-        out.append(word[best[at][1] : at])
-        at = best[at][1]
-    return out[::-1]
-
-
-def tiled(df: DataFrame, word: str, lexicon: DataFrame, most_words: int = 500_000) -> DataFrame:
-    """Adds pieces.  The lexicon is sent to the tasks if it has at most `most_words` words; a larger one is refused, and
-    should be cut by frequency first."""
-    rows = lexicon.select("word", "freq").limit(most_words + 1).collect()
-    if len(rows) > most_words:
-        raise ValueError(f"lexicon has more than {most_words} words; raise the least frequency")
-    total = sum(r["freq"] for r in rows) or 1
-    shared = df.sparkSession.sparkContext.broadcast({r["word"]: math.log(r["freq"] / total) for r in rows})
+def best_tiling(word: str, hits: list, penalty: float) -> list[str]:
+    """The word cut into hits (end, start, log frequency) with the largest sum less a penalty each; the whole if they do
+    not cover it.  Hits come by end and start, and the first of equal sums stays."""
+    reached = {0: (0.0, 0)}
+    for end, start, gain in hits:
+        if start in reached and (end not in reached or reached[start][0] + gain - penalty > reached[end][0]):
+            reached[end] = (reached[start][0] + gain - penalty, start)
+    cuts = [len(word)]
+    while cuts[-1] and cuts[-1] in reached:
+        cuts.append(reached[cuts[-1]][1])
+    return [word] if cuts[-1] else [word[a:b] for b, a in zip(cuts[-2::-1], cuts[:0:-1])]
+
+
+def tiled(df: DataFrame, word: str, lexicon: DataFrame, penalty: float = 6.0, least: int = 2, most: int = 22) -> DataFrame:
+    """Adds pieces: a word of known pieces, or the whole if it is under six characters, known or cannot be covered.  The
+    substrings of distinct words find the lexicon by a join, so a lexicon of any size will do; one word's hits meet in a
+    task."""
+    w, n = F.col("word"), F.length("word")
+    known = lexicon.crossJoin(F.broadcast(lexicon.agg(F.sum("freq").alias("all")))).select(F.col("word").alias("piece"), F.log(F.col("freq") / F.col("all")).alias("gain"))
+    long_ = df.select(F.col(word).alias("word")).distinct().where(n >= 6).join(lexicon.select("word"), "word", "left_anti")
+    starts = long_.select("word", F.explode(F.sequence(F.lit(0), n - least)).alias("start"))
+    spans = starts.select("word", "start", F.explode(F.sequence(F.col("start") + least, F.least(F.col("start") + most, n))).alias("end"))
+    spans = spans.withColumn("piece", F.substring(w, F.col("start") + 1, F.col("end") - F.col("start")))
+    hits = spans.join(known, "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "start", "gain"))).alias("hits"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: tile(w, shared.value), na_action="ignore")
+    def run(words_: pd.Series, hits_: pd.Series) -> pd.Series:
+        return pd.Series([best_tiling(x, [(h["end"], h["start"], h["gain"]) for h in found], penalty) for x, found in zip(words_, hits_, strict=True)])
 
-    return df.withColumn("pieces", run(word))
+    made = hits.select(F.col("word").alias(word), run("word", "hits").alias("pieces"))
+    return df.join(made, word, "left").withColumn("pieces", F.when(F.col(word).isNotNull(), F.coalesce("pieces", F.array(word))))
 
 
 def recoverability(pairs: DataFrame, candidates: DataFrame, lexicon: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import align, edit
 from corvane.functions.align import anchor
 from corvane.functions.text import words
+from corvane.operators.curate import ranked_sum
 
 # Character classes of the substitution taxonomy, in order of precedence.
 TAXONOMY = (
@@ -66,14 +67,16 @@ def word_accuracy(pairs: DataFrame, *by: str, ref: str = "ref", hyp: str = "hyp"
     return ops.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("o.op") == "M").cast("int")).alias("word_accuracy"), F.avg(close.cast("int")).alias("within_one"))
 
 
-def char_op_rows(pairs: DataFrame, *by: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+def char_ops(pairs: DataFrame, *by: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """(op, rc, hc, n): counts of alignment operations by characters, counted within each pair first."""
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    return pairs.select(*by, F.explode(align.char_ops(bare(ref), bare(hyp))).alias("o")).select(*by, "o.*")
+    counted = pairs.select(*by, F.explode(align.char_op_counts(bare(ref), bare(hyp))).alias("o"))
+    return counted.groupBy(*by, "o.op", "o.rc", "o.hc").agg(F.sum("o.n").alias("n"))
 
 
 def confusions(ops: DataFrame, *by: str) -> DataFrame:
     """Counts of substitutions and deletions by characters."""
-    return ops.where("op in ('S', 'D')").groupBy(*by, "op", "rc", "hc").count()
+    return ops.where("op in ('S', 'D')").groupBy(*by, "op", "rc", "hc").agg(F.sum("n").alias("count"))
 
 
 def top(df: DataFrame, n: int, by: Column, *ties: str) -> DataFrame:
@@ -128,27 +131,48 @@ def unlike_words(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", n: int =
 def family_recall(ops: DataFrame, family: str, *by: str) -> DataFrame:
     """Matched share of a class of reference characters, and the hypothesis' number of them over the reference's."""
     r, h = F.col("rc").isin(*family), F.col("hc").isin(*family)
-    g = ops.groupBy(*by).agg(F.sum(r.cast("int")).alias("ref_n"), F.sum((r & (F.col("op") == "M")).cast("int")).alias("matched"), F.sum(h.cast("int")).alias("hyp_n"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    g = ops.groupBy(*by).agg(n(r).alias("ref_n"), n(r & (F.col("op") == "M")).alias("matched"), n(h).alias("hyp_n"))
     return g.withColumns({"recall": F.try_divide("matched", "ref_n"), "over_insertion": F.try_divide("hyp_n", "ref_n")})
 
 
-def anchored(segments: DataFrame, key: str, order: str, hyp: str, ref: str) -> DataFrame:
-    """Each segment's span of its recording's reference (the first row's) and the character error rate.  One recording's
-    segments meet in a task: the alignment is of all of them together."""
+def anchored(segments: DataFrame, references: DataFrame, key: str, order: str, hyp: str, ref: str) -> DataFrame:
+    """Each segment's span of its recording's reference (one row in references) and the character error rate.  One
+    recording's segments meet its reference in a task: the alignment is of all of them together."""
     kinds = {c: segments.schema[c].dataType.simpleString() for c in (key, order)}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        spans = anchor([h or "" for h in pdf[hyp]], pdf[ref].iloc[0] or "")
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "span": [s for s, _ in spans], "cer": [c for _, c in spans]})
-
-    return segments.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, span string, cer double")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by(order)
+        text = right[ref].to_pylist()
+        spans = anchor([h or "" for h in left[hyp].to_pylist()], (text[0] if text else None) or "")
+        return pa.table({key: left[key], order: left[order], "span": pa.array([s for s, _ in spans], pa.string()), "cer": pa.array([c for _, c in spans], pa.float64())})
+
+    grouped = segments.select(key, order, hyp).groupBy(key).cogroup(references.select(key, ref).groupBy(key))
+    return grouped.applyInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, span string, cer double")
+
+
+def exact_percentiles(df: DataFrame, value: str, points: list[float], *by: str) -> DataFrame:
+    """(by, p): an array of the linearly interpolated percentiles of each group.  Values are counted first; running counts
+    are made in value ranges, so neither a group's values nor its distinct values meet in one task or buffer."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranked = ranked_sum(counts, "n", "v", by=by)
+    total = counts.groupBy(*by).agg(F.sum("n").alias("all"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by]
+    j = ranked.alias("r").join(total.alias("a"), same) if by else ranked.alias("r").crossJoin(total.alias("a"))
+    j = j.select(*(F.col(f"r.{c}").alias(c) for c in by), "v", "before", "n", "all")
+    # the values at the two places around each percentile's place
+    place = lambda p: (F.col("all") - 1) * F.lit(p)
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("v")))
+    sides = [x for i, p in enumerate(points) for x in (at(F.floor(place(p))).alias(f"lo{i}"), at(F.ceil(place(p))).alias(f"hi{i}"))]
+    found = j.groupBy(*by, "all").agg(*sides)
+    mixed = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (place(p) - F.floor(place(p))) for i, p in enumerate(points)]
+    return found.select(*by, F.array(*mixed).alias("p"))
 
 
 def percentiles(df: DataFrame, value: str, points: tuple = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
     """Linearly interpolated percentiles and the mean."""
-    p = F.percentile(value, F.array(*(F.lit(x / 100) for x in points)))
-    return df.agg(p.alias("p"), F.avg(value).alias("mean")).select(*(F.col("p")[i].alias(f"p{x}") for i, x in enumerate(points)), "mean")
+    p = exact_percentiles(df, value, [x / 100 for x in points])
+    return p.crossJoin(df.agg(F.avg(value).alias("mean"))).select(*(F.col("p")[i].alias(f"p{x}") for i, x in enumerate(points)), "mean")
 
 
 def bucket(c: Column, edges: tuple) -> Column:
@@ -170,18 +194,17 @@ def best_and_worst(df: DataFrame, rate: str, key: str, best: int = 4, worst: int
 
 def auc(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
     """Rank-sum area under the curve without tie correction; ties rank positives first, then by key.  Ranks come from
-    counts below each distinct score, so no global sort meets in one task."""
-    per = df.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts below each distinct score, summed in ranges of scores, so no global sort meets in one task."""
+    per = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
     # positives of one score hold ranks below .. below + p - 1
-    ranks = per.withColumn("below", below).agg(F.sum(F.col("p") * F.col("below") + F.col("p") * (F.col("p") - 1) / 2).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    ranks = ranked_sum(per, "n", score).withColumnRenamed("before", "below").agg(F.sum(F.col("p") * F.col("below") + F.col("p") * (F.col("p") - 1) / 2).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return ranks.select(((F.col("r") - F.col("p") * (F.col("p") - 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"), F.col("p").alias("positives"), (F.col("n") - F.col("p")).alias("negatives"))
 
 
 def threshold_at_fpr(df: DataFrame, score: str, label: str, rate: float) -> DataFrame:
     """The score at a false positive rate (label 0 is good, low scores are flagged), the recall there and the rate
     realised."""
-    cut = df.where(F.col(label) == 0).agg(F.percentile(score, F.lit(rate)).alias("threshold"))
+    cut = exact_percentiles(df.where(F.col(label) == 0), score, [rate]).select(F.col("p")[0].alias("threshold"))
     flagged = (F.col(score) < F.col("threshold")).cast("int")
     return df.crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.avg(F.when(F.col(label) == 1, flagged)).alias("recall"), F.avg(F.when(F.col(label) == 0, flagged)).alias("fpr"))
 

@@ -95,44 +95,51 @@ def forward_score(logp: np.ndarray, ids: list[int], blank: int = 0) -> float:
     return float(np.logaddexp(a[-1], a[-2]))
 
 
-def viterbi_path(logp: np.ndarray, ids: list[int], blank: int = 0) -> np.ndarray | None:
-    """Place in the extended sequence at each frame on the best alignment; None if it is infeasible.  Of equal scores
-    the one that stays wins, then the previous, then the skip."""
-    if not len(ids) or len(logp) < len(ids):
+def best_path(logp: np.ndarray, ids: list[int], blank: int = 0) -> np.ndarray | None:
+    """The number of the token that each frame holds on the best alignment, -1 on blank; None if there is none.  A frame
+    is in the gap before a token, in a token, or in the gap after the last.  Of equal scores staying wins, then coming
+    from the neighbour, then passing over a gap; a path that can end in the last gap does."""
+    tokens = np.asarray(ids, np.int64)
+    if not len(tokens) or not len(logp):
         return None
-    ext = _extended(list(ids))
-    ext[::2] = blank
-    skip = np.zeros(len(ext), bool)
-    skip[2:] = (ext[2:] != blank) & (ext[2:] != ext[:-2])
-    a = np.full(len(ext), NEG)
-    a[:2] = logp[0, ext[:2]]
-    back = np.zeros((len(logp), len(ext)), np.int8)
+    none = np.full(1, -np.inf)
+    gap, token = np.full(len(tokens) + 1, -np.inf), np.full(len(tokens), -np.inf)
+    gap[0], token[0] = logp[0, blank], logp[0, tokens[0]]
+    closed = np.append(True, tokens[1:] == tokens[:-1])  # a repeated token needs a gap before it
+    entered, source = np.zeros((len(logp), len(tokens) + 1), bool), np.zeros((len(logp), len(tokens)), np.int8)
     for t in range(1, len(logp)):
-        moves = np.full((3, len(ext)), NEG)
-        moves[0], moves[1, 1:] = a, a[:-1]
-        moves[2, 2:] = np.where(skip[2:], a[:-2], NEG)
-        back[t] = moves.argmax(0)
-        a = moves.max(0) + logp[t, ext]
-    s = len(ext) - 1 if a[-1] >= a[-2] else len(ext) - 2
-    if a[s] <= NEG / 2:
+        ended = np.append(none, token)
+        passed = np.where(closed, -np.inf, ended[:-1])
+        entered[t] = ended > gap
+        source[t] = np.where(token >= np.maximum(gap[:-1], passed), 0, np.where(gap[:-1] >= passed, 1, 2))
+        token = np.maximum(np.maximum(token, gap[:-1]), passed) + logp[t, tokens]
+        gap = np.maximum(gap, ended) + logp[t, blank]
+    k, resting = len(tokens) - 1, gap[-1] >= token[-1]
+    if np.isneginf(max(gap[-1], token[-1])):
         return None
-    path = np.empty(len(logp), np.int64)
+    owner = np.full(len(logp), -1, np.int64)
+    place = len(tokens) if resting else k
     for t in range(len(logp) - 1, -1, -1):
-        path[t] = s
-        s -= back[t, s]
-    return path
+        if resting:
+            if entered[t, place]:
+                resting, place = False, place - 1
+            continue
+        owner[t] = place
+        came = source[t, place]
+        resting, place = came == 1, place - (came == 2)
+    return owner
 
 
 def token_scores(logp: np.ndarray, ids: list[int], classes: dict | None = None) -> list[dict] | None:
     """Of each token of an alignment: span, mean log probability (raw), mean of it less the frame's best (norm), and the
     top competitor at its worst frame.  With `classes` a token scores the best of its class, and blank does not
     compete."""
-    path = viterbi_path(logp, ids)
+    path = best_path(logp, ids)
     if path is None:
         return None
     out = []
     for k, token in enumerate(ids):
-        at = np.flatnonzero(path == 2 * k + 1)
+        at = np.flatnonzero(path == k)
         own = logp[np.ix_(at, classes.get(token, [token]) if classes else [token])].max(1)
         best = (logp[at, 1:] if classes else logp[at]).max(1)
         rival = logp[at].copy()

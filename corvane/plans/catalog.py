@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import align, script
 from corvane.functions.edit import word_disagreement
-from corvane.functions.text import ascii_fold, cache_key, char_tokens, degenerate, first_rule, html_text, low_variety, norm, words
+from corvane.functions.text import cache_key, char_tokens, degenerate, first_rule, html_text, low_variety, norm, words
 from corvane.operators import curate, fusion, lexicon, metrics, posterior, sequence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,19 +31,21 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def turn_pairs(spark: SparkSession, d: str, fold: bool = True) -> DataFrame:
-    """Each turn (ref) with the next turn of its conversation (hyp)."""
-    text = ascii_fold(F.col("text")) if fold else norm(F.col("text"), "latin", compose=False)
-    c = t(spark, d, "conversations").select("conv_id", "turn", "role", text.alias("ref"))
+def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn (ref) with the next turn of its conversation (hyp), all letters of both."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role", latin("text").alias("ref"))
     return c.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))).where("hyp is not null")
 
 
-_FOLD = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z]', ' ', 'g'), ' +', ' ', 'g'))"
-_PAIRS = f"""p AS (SELECT * FROM (SELECT conv_id, turn, role, ref, lead(ref) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp
-  FROM (SELECT conv_id, turn, role, {_FOLD.format(c="text")} AS ref FROM conversations)) WHERE hyp IS NOT NULL),
-e AS (SELECT *, levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', '')) AS ce, length(replace(ref, ' ', '')) AS cl FROM p)"""
 _LATIN = "trim(regexp_replace(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _WORDS = "list_filter(string_split({c}, ' '), lambda w: w <> '')"
+#: DuckDB measures edits in bytes: letters beyond ASCII become ASCII characters that normalised text does not have.
+_ONE_BYTE = """sy AS (SELECT coalesce(string_agg(x, '' ORDER BY x), '') AS src FROM (SELECT DISTINCT unnest(string_split({norm}, '')) AS x FROM {table}) WHERE x > '~'),
+enc AS (SELECT src, substr('0123456789!#$%&()*+,-./:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[]^_{{|}}~', 1, length(src)) AS dst FROM sy)"""
+_PAIRS = f"""{_ONE_BYTE.format(norm=_LATIN.format(c="text"), table="conversations")},
+p AS (SELECT * FROM (SELECT conv_id, turn, role, ref, lead(ref) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp
+  FROM (SELECT conv_id, turn, role, {_LATIN.format(c="text")} AS ref FROM conversations)) WHERE hyp IS NOT NULL),
+e AS (SELECT p.*, levenshtein(translate(replace(ref, ' ', ''), src, dst), translate(replace(hyp, ' ', ''), src, dst)) AS ce, length(replace(ref, ' ', '')) AS cl FROM p, enc)"""
 
 
 def latin(c: str):
@@ -100,9 +102,9 @@ def cache_keys(spark, d):
     return t(spark, d, "documents").select("doc_id", cache_key(F.col("text"), F.col("lang"), F.lit("60")).alias("key"))
 
 
-@query("SELECT item_id, array_to_string(list_transform(" + _WORDS.format(c=_FOLD.format(c="text")) + ", lambda w: array_to_string(string_split(w, ''), ' ')), ' | ') AS tokens FROM benchmark")
+@query("SELECT item_id, array_to_string(list_transform(" + _WORDS.format(c=_LATIN.format(c="text")) + ", lambda w: array_to_string(string_split(w, ''), ' ')), ' | ') AS tokens FROM benchmark")
 def char_lm_tokens(spark, d):
-    return t(spark, d, "benchmark").select("item_id", char_tokens(ascii_fold(F.col("text"))).alias("tokens"))
+    return t(spark, d, "benchmark").select("item_id", char_tokens(latin("text")).alias("tokens"))
 
 
 @query("SELECT symbol, row_number() OVER (ORDER BY encode(symbol)) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS symbol FROM benchmark) WHERE symbol <> ''")
@@ -121,7 +123,7 @@ def micro_cer(spark, d):
 
 @query()
 def micro_wer(spark, d):
-    return metrics.rollup_micro(metrics.with_edits(turn_pairs(spark, d, fold=False)), "role")
+    return metrics.rollup_micro(metrics.with_edits(turn_pairs(spark, d)), "role")
 
 
 @query(f"WITH {_PAIRS} SELECT {', '.join(f'quantile_cont(ce / cl::DOUBLE, {x / 100}) AS p{x}' for x in (10, 25, 50, 75, 90, 95, 99))}, avg(ce / cl::DOUBLE) AS mean FROM e WHERE cl > 0")
@@ -155,14 +157,15 @@ def best_and_worst_conversations(spark, d):
 def systems(spark, d) -> DataFrame:
     """Three stand-in systems for each turn: the next turn, the one after, and the one before."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = t(spark, d, "conversations").select("conv_id", "turn", F.replace(ascii_fold(F.col("text")), F.lit(" "), F.lit("")).alias("ref"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.replace(latin("text"), F.lit(" "), F.lit("")).alias("ref"))
     c = c.withColumns({"h1": F.lead("ref", 1).over(w), "h2": F.lead("ref", 2).over(w), "h3": F.lag("ref", 1).over(w)}).where("h1 is not null and h2 is not null and h3 is not null")
     return c.withColumns({f"e{i}": F.levenshtein("ref", f"h{i}") for i in (1, 2, 3)}).withColumn("n", F.length("ref"))
 
 
-_SYSTEMS = f"""s AS (SELECT *, levenshtein(ref, h1) AS e1, levenshtein(ref, h2) AS e2, levenshtein(ref, h3) AS e3, length(ref) AS n FROM (
+_SYSTEMS = f"""{_ONE_BYTE.format(norm=_LATIN.format(c="text"), table="conversations")},
+s AS (SELECT *, levenshtein(ref, h1) AS e1, levenshtein(ref, h2) AS e2, levenshtein(ref, h3) AS e3, length(ref) AS n FROM (
   SELECT conv_id, turn, ref, lead(ref, 1) OVER w AS h1, lead(ref, 2) OVER w AS h2, lag(ref, 1) OVER w AS h3
-  FROM (SELECT conv_id, turn, replace({_FOLD.format(c="text")}, ' ', '') AS ref FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  FROM (SELECT conv_id, turn, translate(replace({_LATIN.format(c="text")}, ' ', ''), src, dst) AS ref FROM conversations, enc) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE h1 IS NOT NULL AND h2 IS NOT NULL AND h3 IS NOT NULL)"""
 
 
@@ -200,17 +203,17 @@ def word_accuracy(spark, d):
 
 @query()
 def confusions_topk(spark, d):
-    return metrics.top(metrics.confusions(metrics.char_op_rows(turn_pairs(spark, d))), 10, F.desc("count"), "op", "rc", "hc")
+    return metrics.top(metrics.confusions(metrics.char_ops(turn_pairs(spark, d))), 10, F.desc("count"), "op", "rc", "hc")
 
 
 @query()
 def edit_breakdown(spark, d):
-    return metrics.breakdown(turn_pairs(spark, d, fold=False))
+    return metrics.breakdown(turn_pairs(spark, d))
 
 
 @query()
 def vowel_recall(spark, d):
-    return metrics.family_recall(metrics.char_op_rows(turn_pairs(spark, d), "role"), "aeiou", "role")
+    return metrics.family_recall(metrics.char_ops(turn_pairs(spark, d), "role"), "aeiou", "role")
 
 
 @query()
@@ -220,14 +223,14 @@ def single_char_substitutions(spark, d):
 
 @query()
 def disagreement_band(spark, d):
-    p = turn_pairs(spark, d, fold=False).withColumn("dis", word_disagreement(F.col("ref"), F.col("hyp")))
+    p = turn_pairs(spark, d).withColumn("dis", word_disagreement(F.col("ref"), F.col("hyp")))
     return curate.disagreement_band(p, "dis", "hyp", most=0.97).select("conv_id", "turn", "dis")
 
 
 @query()
 def consensus_bands(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = t(spark, d, "conversations").select("conv_id", "turn", words(ascii_fold(F.col("text"))).alias("ref"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", words(latin("text")).alias("ref"))
     c = c.withColumns({f"h{i}": F.coalesce(F.lead("ref", i).over(w), F.array().cast("array<string>")) for i in (1, 2, 3)})
     c = c.where(F.size("ref") > 0).withColumn("ops", fusion.consensus(F.col("ref"), [F.col("h1"), F.col("h2"), F.col("h3")]))
     units = c.select("conv_id", F.explode("ops").alias("o"))
@@ -238,10 +241,10 @@ def consensus_bands(spark, d):
 
 @query()
 def anchored_turns(spark, d):
-    c = t(spark, d, "conversations").select("conv_id", "turn", "role", ascii_fold(F.col("text")).alias("s"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role", latin("text").alias("s"))
     whole = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]))  # the turns of one conversation
     ref = c.groupBy("conv_id").agg(whole.alias("ref"))
-    return metrics.anchored(c.where("role = 'assistant'").join(ref, "conv_id"), "conv_id", "turn", "s", "ref")
+    return metrics.anchored(c.where("role = 'assistant'"), ref, "conv_id", "turn", "s", "ref")
 
 
 @query()
@@ -291,6 +294,12 @@ def main_lexicon(spark, d) -> DataFrame:
     return lexicon.weighted(corpus_words(spark, d), corpus_words(spark, d, "benchmark").distinct())
 
 
+def oov_rates(spark, d) -> DataFrame:
+    """Of each document; its words are counted once, for the rates and for the lexicon."""
+    counts = lexicon.counted(t(spark, d, "documents"), "doc_id", latin("text"))
+    return lexicon.oov_of(counts, "doc_id", lexicon.weighted(counts, corpus_words(spark, d, "benchmark").distinct()))
+
+
 _TOKENS = "tok AS (SELECT doc_id, lang, unnest(" + _WORDS.format(c=_LATIN.format(c="text")) + ") AS word FROM documents)"
 _GLOSS = "gl AS (SELECT DISTINCT unnest(" + _WORDS.format(c=_LATIN.format(c="text")) + ") AS word FROM benchmark)"
 _LEX = f"{_TOKENS}, {_GLOSS}, lex AS (SELECT word, sum(n)::BIGINT AS freq FROM (SELECT word, 1 AS n FROM tok UNION ALL SELECT word, 50 FROM gl) GROUP BY word HAVING sum(n) >= 2)"
@@ -313,30 +322,30 @@ def lexicon_weighted(spark, d):
 
 @query(f"WITH {_LEX} SELECT doc_id, count(*) AS tokens, sum(CASE WHEN lex.word IS NULL THEN 1 ELSE 0 END) / count(*)::DOUBLE AS oov_rate FROM tok LEFT JOIN lex USING (word) GROUP BY doc_id")
 def oov_rate(spark, d):
-    return lexicon.oov(t(spark, d, "documents"), "doc_id", latin("text"), main_lexicon(spark, d))
+    return oov_rates(spark, d)
 
 
-_ASCII = "^[a-z]+$"
-_BENCH = f"{_TOKENS}, {_GLOSS}, lx AS (SELECT word, count(*) AS freq FROM tok WHERE regexp_matches(word, '{_ASCII}') GROUP BY word HAVING count(*) >= 2), b AS (SELECT word FROM gl WHERE regexp_matches(word, '{_ASCII}'))"
+_BENCH = f"""{_TOKENS}, {_GLOSS}, {_ONE_BYTE.format(norm="word", table="(SELECT word FROM tok UNION ALL SELECT word FROM gl)")},
+lx AS (SELECT word, count(*) AS freq, translate(word, any_value(src), any_value(dst)) AS code FROM tok, enc GROUP BY word HAVING count(*) >= 2), b AS (SELECT word, translate(word, src, dst) AS code FROM gl, enc)"""
 
 
 def bench_words(spark, d):
-    """Distinct ASCII words of the benchmark, and the corpus lexicon of ASCII words seen twice or more."""
-    left = corpus_words(spark, d, "benchmark").distinct().where(F.col("word").rlike(_ASCII))
-    return left, corpus_words(spark, d).where(F.col("word").rlike(_ASCII)).groupBy("word").agg(F.count("*").alias("freq")).where("freq >= 2")
+    """Distinct words of the benchmark, and the corpus lexicon of words seen twice or more."""
+    left = corpus_words(spark, d, "benchmark").distinct()
+    return left, corpus_words(spark, d).groupBy("word").agg(F.count("*").alias("freq")).where("freq >= 2")
 
 
-@query(
-    f"WITH {_BENCH}, c AS (SELECT b.word, lx.word AS cand, freq, levenshtein(b.word, lx.word) AS dist FROM b JOIN lx ON abs(length(b.word) - length(lx.word)) <= 2 AND b.word <> lx.word) "
-    "SELECT word, cand, freq, dist FROM c WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, cand) <= 5"
-)
+_NEAR = f"WITH {_BENCH}, c AS (SELECT b.word, lx.word AS cand, freq, levenshtein(b.code, lx.code) AS dist FROM b JOIN lx ON abs(length(b.word) - length(lx.word)) <= 2 AND b.word <> lx.word) "
+
+
+@query(_NEAR + "SELECT word, cand, freq, dist FROM c WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, cand) <= 5")
 def fuzzy_candidates(spark, d):
     return lexicon.fuzzy(*bench_words(spark, d))
 
 
-@query(f"WITH {_BENCH} SELECT b.word, lx.word AS cand, freq FROM b JOIN lx ON abs(length(b.word) - length(lx.word)) <= 1 AND b.word <> lx.word WHERE damerau_levenshtein(b.word, lx.word) = 1")
+@query(f"WITH {_BENCH} SELECT b.word, lx.word AS cand, freq FROM b JOIN lx ON abs(length(b.word) - length(lx.word)) <= 1 AND b.word <> lx.word WHERE damerau_levenshtein(b.code, lx.code) = 1")
 def edit_one_candidates(spark, d):
-    return lexicon.edit_one(*bench_words(spark, d), "abcdefghijklmnopqrstuvwxyz")
+    return lexicon.edit_one(*bench_words(spark, d))
 
 
 @query(
@@ -347,12 +356,19 @@ def split_candidates(spark, d):
     return lexicon.splits(*bench_words(spark, d))
 
 
-@query(f"WITH {_BENCH}, c AS (SELECT b.word, lx.word AS cand, freq, levenshtein(b.word, lx.word) AS dist FROM b JOIN lx ON abs(length(b.word) - length(lx.word)) <= 2 AND b.word <> lx.word) SELECT word, cand AS projected FROM c WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, cand) = 1")
+@query(_NEAR + "SELECT word, cand AS projected FROM c WHERE dist <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, cand) = 1")
 def blind_projection(spark, d):
     return fusion.project_blind(lexicon.fuzzy(*bench_words(spark, d), k=None))
 
 
-@query()
+@query(
+    # every split of a word into known pieces, and the one with the largest sum of log frequencies less a penalty each
+    f"WITH RECURSIVE {_BENCH}, n AS (SELECT sum(freq) AS n FROM lx WHERE length(word) BETWEEN 2 AND 22), k AS (SELECT word, ln(freq / n::DOUBLE) - 6 AS gain FROM lx, n WHERE length(word) BETWEEN 2 AND 22), "
+    "s AS (SELECT word, 0 AS pos, 0.0::DOUBLE AS score, []::VARCHAR[] AS pieces FROM b WHERE length(word) >= 6 AND word NOT IN (SELECT word FROM k) "
+    "UNION ALL SELECT s.word, s.pos + length(k.word), s.score + k.gain, list_append(s.pieces, k.word) FROM s JOIN k ON substr(s.word, s.pos + 1, length(k.word)) = k.word), "
+    "f AS (SELECT word, pieces FROM s WHERE pos = length(word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC) = 1) "
+    "SELECT b.word, coalesce(f.pieces, [b.word]) AS pieces FROM b LEFT JOIN f USING (word)"
+)
 def dictionary_tiling(spark, d):
     left, lx = bench_words(spark, d)
     return lexicon.tiled(left, "word", lx.where("length(word) between 2 and 22"))
@@ -388,7 +404,7 @@ def topn_per_group(spark, d):
 
 @query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, greatest(count(*) OVER (PARTITION BY source) // 12, 1) AS s FROM documents) SELECT doc_id, source, rn FROM r WHERE (rn - 1) % s = 0 AND (rn - 1) // s < 12")
 def systematic_sample(spark, d):
-    return curate.systematic(t(spark, d, "documents").select("doc_id", "source"), "source", 12, F.col("doc_id"))
+    return curate.systematic(t(spark, d, "documents").select("doc_id", "source"), "source", 12, "doc_id")
 
 
 @query("SELECT doc_id, n_chars, before FROM (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) WHERE before < 200000")
@@ -464,7 +480,7 @@ _Z = "(x.n_chars - m1) / (s1 + 1e-9) + (x.o - m2) / (s2 + 1e-9)"
     f"SELECT x.doc_id, round({_Z}, 6) AS z FROM x, m"
 )
 def zscore_hardness(spark, d):
-    o = lexicon.oov(t(spark, d, "documents"), "doc_id", latin("text"), main_lexicon(spark, d)).join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    o = oov_rates(spark, d).join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return curate.z_hardness(o, "n_chars", "oov_rate").select("doc_id", F.round("z", 6).alias("z"))
 
 
@@ -507,7 +523,11 @@ def distinct_counts(spark, d):
 @query("SELECT quality, count(*) AS n, median(n_chars) AS median, min(n_chars) AS low, max(n_chars) AS high FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality")
 def coverage_by_label(spark, d):
     j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
-    return j.groupBy("quality").agg(F.count("*").alias("n"), F.percentile("n_chars", F.lit(0.5)).alias("median"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high")).orderBy(F.col("quality").asc_nulls_last())
+    j = j.select("quality", "n_chars")
+    sums = j.groupBy("quality").agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high")).alias("s")
+    median = metrics.exact_percentiles(j, "n_chars", [0.5], "quality").select("quality", F.col("p")[0].alias("median")).alias("m")
+    both = sums.join(median, F.col("s.quality").eqNullSafe(F.col("m.quality")), "left")
+    return both.select("s.quality", "n", "median", "low", "high").orderBy(F.col("quality").asc_nulls_last())
 
 
 # ------------------------------------------------------------------ sequences

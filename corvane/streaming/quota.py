@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import heapq
 import tempfile
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -165,7 +166,25 @@ def bounded_segments(chunks: DataFrame, session: str, order: str, seconds: str,
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream through all that is available into a memory table (tests and small results)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Drive a stream through all that is available, and the rows it gave.  In append mode they are written as Parquet by
+    the committed file sink, with the query's checkpoint beside them, both in the shared folder; a complete result is as
+    small as its groups and is rewritten there by each batch."""
+    base = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", f"{base}/rows").start()
+    else:
+        q = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/rows")).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/rows")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only a local master may have one of its own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
