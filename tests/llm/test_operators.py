@@ -1,10 +1,13 @@
 """Each operator against a brute-force version on the smallest tables, and on a table of awkward rows."""
 
+import codecs
 import hashlib
 import json
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -416,13 +419,93 @@ def test_templates_carry_labels_to_their_other_urls(spark):
     assert urltree.judge(spark.createDataFrame([], "url string")).count() == 0
 
 
+class _Text(HTMLParser):
+    """Visible text by the standard library's parser: what the scanner is held against."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.links = [], 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self.out.clear()
+        self.out += ["\n"] * (tag in warc._BREAKS)
+        self.hidden += tag in warc._HIDDEN
+        if tag in warc._LINKING:
+            self.links += [v for k, v in attrs if k in ("href", "src")]
+
+    def handle_endtag(self, tag):
+        self.out += ["\n"] * (tag in warc._BREAKS)
+        self.hidden -= tag in warc._HIDDEN
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_page_text_matches_another_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(pages) > 20
+    squeeze = lambda x: " ".join(x.split())
+    for r in pages:
+        other = _Text()
+        other.feed(r.html)
+        other.close()
+        got = warc.Page(r.html)
+        assert squeeze(got.text) == squeeze("".join(other.out)), r.page_id
+        assert [x["url"] for x in got.links] == other.links
+
+
+@pytest.mark.parametrize("mark", ["<a href ", "<!--", "<title>", "<script>", "<a ", '<a x="', "<a x='>", "</", '<a href=" ', "x < y ", "&#" + "9" * 5000 + ";", "a = b "])
+def test_a_megabyte_of_any_markup_takes_no_time(mark):
+    start = time.perf_counter()
+    warc.Page(mark * (1_000_000 // len(mark)))
+    assert time.perf_counter() - start < 1
+
+
+def test_page_parts():
+    page = warc.Page("<head><title>T &amp; x</title><script src='s.js'>var a='<b>';</script></head><BODY class='a>b'>Hi<br>there <b>bold</b> &lt;x&gt; <!-- no --> <a HREF='u?a=1&amp;b'>link</a> 3 < 4<style>p{}</style><p>End &#00000000065;&#99999999999;</body> tail")
+    assert page.title == "T & x" and page.text == "Hi\nthere bold <x> link 3 < 4\nEnd A\ufffd"
+    assert page.links == [{"path": "SCRIPT@/src", "url": "s.js"}, {"path": "A@/href", "url": "u?a=1&b"}]
+    assert warc.Page("<p>a<script>b").text == "a" and warc.Page("a<!-- b").text == "a" and warc.Page("a<b c").text == "a" and warc.Page("").text == ""
+
+
+def _stored(http: bytes, *headers, kind="response") -> bytes:
+    return warc.record([("WARC-Type", kind), ("WARC-Record-ID", "<urn:x>"), ("warc-target-uri", "http://x/"), *headers], http)
+
+
+def test_derivatives_keep_all_headers_and_decode_bodies(spark):
+    plain = "<p>caf\u00e9</p>"
+    zipped = zlib.compressobj(wbits=31)
+    body = zipped.compress(plain.encode()) + zipped.flush()
+    chunks = b"".join(b"%x;e=1\r\n%s\r\n" % (len(body[i : i + 7]), body[i : i + 7]) for i in range(0, len(body), 7)) + b"0\r\n\r\n"
+    good = [
+        b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie:b\r\n folded\r\ncontent-type: text/html; charset=iso-8859-1\r\n\r\n" + plain.encode("latin-1"),
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunks,
+        b"HTTP/1.1 200 OK\r\n\r\n" + b'<meta charset="windows-1252">' + plain.encode("cp1252"),
+        b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=no-such\r\n\r\n" + plain.encode(),
+        b"HTTP/1.1 200 OK\r\n\r\n" + codecs.BOM_UTF16_LE + plain.encode("utf-16-le"),
+    ]
+    bad = [None, b"", b"junk", b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort", b"WARC/1.1\r\nContent-Length: x\r\n\r\n", _stored(b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\nx"), _stored(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz")]
+    rows = [(i, _stored(x, ("X-Note", "1"), ("X-Note", "2"))) for i, x in enumerate(good)] + [(100 + i, x) for i, x in enumerate(bad)] + [(200, _stored(b"software: x", kind="warcinfo"))]
+    got = warc.derive(spark.createDataFrame(rows, "page_id bigint, warc binary")).collect()
+    by = {(r.page_id, r.record_type): r for r in got}
+    assert all(bytes(by[i, "conversion"].block).decode().strip("\ufeff") == "caf\u00e9" for i in range(len(good)))
+    meta = json.loads(bytes(by[0, "metadata"].block))["Envelope"]
+    assert meta["HTTP-Response-Metadata"]["Headers"][:2] == [["Set-Cookie", "a"], ["Set-Cookie", "b folded"]]
+    assert [x for x in meta["WARC-Header-Metadata"] if x[0] == "X-Note"] == [["X-Note", "1"], ["X-Note", "2"]]
+    assert by[0, "conversion"].target_uri == "http://x/"
+    assert sorted(r.page_id for r in got if r.error) == [100 + i for i in range(len(bad))] and 200 not in {r.page_id for r in got}
+
+
 def test_derivatives_link_back_to_responses(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").union(spark.createDataFrame([(10**6, None, None), (10**6 + 1, "http://x/\r\ny", "<p>a&amp;b<script>no</script><br>c")], "page_id bigint, url string, html string"))
-    source = {r.page_id: warc.parse(bytes(r.warc)) for r in warc.responses(pages).collect()}
-    rows = warc.derive(warc.responses(pages)).collect()
-    assert len(rows) == 2 * pages.count()
+    named = lambda data: (lambda h, block: (dict(h), block))(*warc.parse(bytes(data)))
+    source = {r.page_id: named(r.warc) for r in warc.responses(pages).collect()}
+    rows = warc.derive(warc.responses(pages).withColumn("block", F.lit("clash")).withColumn("error", F.lit(1))).collect()
+    assert len(rows) == 2 * pages.count() and all(r.error is None for r in rows)
     for r in rows:
-        headers, block = warc.parse(bytes(r.warc))
+        headers, block = named(r.warc)
         origin, http = source[r.page_id]
         body = http.partition(b"\r\n\r\n")[2]
         assert r.refers_to == headers["WARC-Refers-To"] == origin["WARC-Record-ID"] and headers["WARC-Target-URI"] == origin["WARC-Target-URI"]
