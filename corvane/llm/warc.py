@@ -39,8 +39,8 @@ _HIDDEN = frozenset("script style noscript template".split())
 _PLAIN = frozenset("title textarea".split())
 _BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav blockquote pre title td th hr form main aside".split())
 _LINKING = frozenset("a area link img script iframe".split())
-_LOWER = {i: i + 32 for i in range(65, 91)}
-_NAME = re.compile(r"/?([a-z][^\s/>]*)")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in (*_HIDDEN, *_PLAIN)}
 _STOP = re.compile(r"[>=]")
 _SPACE = re.compile(r"\s*")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
@@ -139,15 +139,15 @@ class Page:
     def __init__(self, page: str):
         self.title, self.links = None, []
         out, last, in_body = [], None, False
-        low, i = page.translate(_LOWER), 0
+        i = 0
         while (j := page.find("<", i)) >= 0:
             out.append(page[i:j])
-            if low.startswith("<!--", j):
+            if page.startswith("<!--", j):
                 end = page.find("-->", j + 2)
                 i = len(page) if end < 0 else end + 3
                 out.append(" ")
                 continue
-            m = _NAME.match(low, j + 1)
+            m = _NAME.match(page, j + 1)
             if not m:
                 if page[j + 1 : j + 2] in ("!", "?", "/"):
                     end = page.find(">", j)
@@ -156,7 +156,7 @@ class Page:
                     out.append("<")
                     i = j + 1
                 continue
-            name, opens = m[1], low[j + 1] != "/"
+            name, opens = m[1].lower(), page[j + 1] != "/"
             end = _tag_end(page, m.end())
             i = min(end + 1, len(page))
             if end == len(page):
@@ -176,14 +176,12 @@ class Page:
                     if (kind := a[1].lower()) in ("href", "src"):
                         self.links.append({"path": f"{name.upper()}@/{kind}", "url": unescape(a[2].strip("\"'"))})
             if name in _HIDDEN or name in _PLAIN:
-                close = low.find(f"</{name}", i)
-                while close >= 0 and low[close + 2 + len(name) : close + 3 + len(name)] not in (">", "/", " ", "\t", "\n", "\r", "\f"):
-                    close = low.find(f"</{name}", close + 2)
-                content = page[i : len(page) if close < 0 else close]
+                found = _CLOSE[name].search(page, i)
+                content = page[i : found.start() if found else len(page)]
                 if name == "title" and self.title is None:
                     self.title = unescape(content).strip()
                 out.append(content if name in _PLAIN else " ")
-                i = len(page) if close < 0 else close
+                i += len(content)
         out.append(page[i:])
         text = unescape("".join(out[:last] if in_body and last is not None else out))
         self.text = _LINES.sub("\n", _BLANK.sub(" ", text)).strip()
