@@ -205,13 +205,20 @@ class WordCache:
         self.seen = self.seen[kept]
         self.compact(kept)
 
+    def lookup_array(self, words: pa.Array) -> np.ndarray:
+        """The numbers of an Arrow array of words; only its distinct words become objects."""
+        coded = words.dictionary_encode()
+        return self._numbers(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False))
+
     def lookup(self, words: list) -> np.ndarray:
-        if len(self.ids) > self.limit:
-            self._shrink()
         # a small dict numbers this call's distinct words first, so the large one is asked once for each of them
         local = defaultdict(count().__next__)
         at = np.fromiter(map(local.__getitem__, words), np.int64, len(words))
-        distinct = list(local)
+        return self._numbers(list(local), at)
+
+    def _numbers(self, distinct: list, at: np.ndarray) -> np.ndarray:
+        if len(self.ids) > self.limit:
+            self._shrink()
         got = np.fromiter(map(self.ids.get, distinct, repeat(-1)), np.int64, len(distinct))
         if len(missing := np.flatnonzero(got < 0)):
             new = list(map(distinct.__getitem__, missing.tolist()))

@@ -1,19 +1,24 @@
 """Token ids of whole texts through a tokenizers file, with distinct chunks encoded once.
 
-Pre-tokenisation of both vocabularies used here never joins characters across the start of a run of ASCII white space
-that follows another character, so a text is cut there, distinct pieces are encoded, and ids are joined again.  Texts
-with other white space, which pre-tokenisers may join with ASCII white space, are encoded as they are."""
+Pre-tokenisation of the two kinds of file known here never joins characters across the start of a run of ASCII white
+space that follows another character, so a text is cut there, distinct pieces are encoded, and ids are joined again.
+Texts are cut and pieces numbered by Arrow, without an object for each piece.  Texts with other white space, which
+pre-tokenisers may join with ASCII white space, and texts that may hold a special token are encoded as they are, and so
+is every text if the file is of another kind."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from corvane.llm.common import HELD, LOWER, WordCache
+from corvane.llm.common import HELD, WordCache
 
 _CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Bytes of text that are encoded at once.
@@ -30,54 +35,78 @@ _SEPARATOR = "<|endoftext|>"
 _JOINED = 500
 
 
-def _keys(t: bytes) -> list:
-    """A text's chunks.  A chunk whose white space is one space goes without it; any other chunk of no or different
-    white space than a line break has a zero byte before it."""
-    if b"  " in t or b"\n\n" in t or b" \n" in t or b"\n " in t or t[:1] in b" \n" or t[-1:] in b" \n" or len(t) != len(t.translate(None, b"\0\t\v\f\r")):
-        return [b"\0" + c for c in _CHUNK.findall(t)]
-    own = t.replace(b"\n", b" \n").split(b" ")
-    own[0] = b"\0" + own[0]
-    return own
+def _single_spaces(t: bytes) -> bool:
+    """Whether white space of a text is single spaces and line breaks between other characters.  Its chunks are then cut
+    at spaces and go without them, but for the first, which has a zero byte before it, and those of line breaks; in other
+    texts each chunk has a zero byte before it."""
+    return not (b"  " in t or b"\n\n" in t or b" \n" in t or b"\n " in t or t[:1] in b" \n" or t[-1:] in b" \n" or len(t) != len(t.translate(None, b"\0\t\v\f\r")))
 
 
 def _unkey(c: bytes) -> bytes:
     return c[1:] if c[:1] == b"\0" else c if c[:1] == b"\n" else b" " + c
 
 
-#: A full stop or comma next to anything but white space and letters or digits of ASCII and Latin-1.
-_JOINED_STOP = re.compile(rb"[.,](?![ \t-\rA-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|$)|(?<![ \t-\rA-Za-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]")
+# What a byte is to pre-tokenisation: a stop or comma, a letter, digit or space, or something else.
+_CLASS = bytes(46 if chr(i) in ".," else 97 if i >= 128 or chr(i).isalnum() or i in (*range(9, 14), 32) else 33 for i in range(256))
+_ASCII = bytes(range(128))
+#: Chunks of words that pre-tokenisation cuts as the known files do.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _words(t: bytes) -> list:
-    """A text's words in lower case.  Stops and commas that pre-tokenisation cuts off anyway become words of their own,
-    so that fewer distinct words are left to encode."""
-    t = t.translate(LOWER)
-    if not _JOINED_STOP.search(t):
-        t = t.replace(b".", b" . ").replace(b",", b" , ")
-    return t.split()
+def _latin(t: bytes) -> bool:
+    """Whether all characters beyond ASCII are letters of Latin-1."""
+    rest = t.translate(None, _ASCII)
+    return not rest or 2 * rest.count(b"\xc3") == len(rest) and b"\xc3\x97" not in rest and b"\xc3\xb7" not in rest
 
 
-def encoder(path: str, spaces: bool, remembered: int = CACHED) -> Encoder:
+def _lone_stops(t: bytes) -> bool:
+    """Whether stops and commas of a Latin text stand next to white space, letters and digits alone.  Pre-tokenisation
+    then cuts them off anyway, and as words of their own they leave fewer distinct words to encode."""
+    c = t.translate(_CLASS)
+    return not (b".." in c or b".!" in c or b"!." in c)
+
+
+def known_kind(path: str, spaces: bool) -> bool:
+    """Whether a file's normaliser, pre-tokeniser and special tokens are those that cutting at white space relies on."""
+    with open(path, encoding="utf-8") as f:
+        head = json.load(f)
+    steps = lambda x, many: [] if not x else x[many] if x["type"] == "Sequence" else [x]
+    normal, cut = steps(head.get("normalizer"), "normalizers"), steps(head.get("pre_tokenizer"), "pretokenizers")
+    special = all(t["special"] and not t["normalized"] and t["content"].startswith("<|") for t in head["added_tokens"])
+    if not special or head["model"]["type"] != "BPE" or head["model"].get("dropout") or any(t["content"] == _SEPARATOR for t in head["added_tokens"]) is False:
+        return False
+    if spaces:
+        return not normal and [(c["type"], c.get("use_regex"), c.get("add_prefix_space")) for c in cut] == [("ByteLevel", True, False)]
+    return (
+        [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cut] == ["Split", "ByteLevel"]
+        and cut[0]["pattern"] == {"Regex": _WORD_PATTERN} and cut[0]["behavior"] == "Removed" and not cut[1]["use_regex"]
+    )
+
+
+def encoder(path: str, spaces: bool, remembered: int = CACHED, escape: bool = False) -> Encoder:
     """This process's encoder of a file: a reused Python worker keeps its chunks from one task to the next."""
     held = sys.modules.setdefault(HELD, types.ModuleType(HELD)).__dict__
-    if (path, spaces, remembered) not in held:
+    if (path, spaces, remembered, escape) not in held:
         held.clear()
-        held[path, spaces, remembered] = Encoder(path, spaces, remembered)
-    return held[path, spaces, remembered]
+        held[path, spaces, remembered, escape] = Encoder(path, spaces, remembered, escape)
+    return held[path, spaces, remembered, escape]
 
 
 class Encoder:
-    """encode(texts) returns the ids of all texts end to end and the number of each.
+    """encode(texts) returns the ids of all texts end to end and the number of each, as the library's plain call gives
+    them with add_special_tokens=False.
 
     `spaces`: the vocabulary's ids depend on white space and case (byte-level); otherwise words in lower case are looked
-    up."""
+    up.  `escape`: a special token's name in a text is encoded as plain characters; by default it is that token, as in
+    the plain call."""
 
-    def __init__(self, path: str, spaces: bool, remembered: int = CACHED):
+    def __init__(self, path: str, spaces: bool, remembered: int = CACHED, escape: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path, self.tok, self.joiner = path, None, Tokenizer.from_file(path)
-        self.cut = self.joiner.token_to_id(_SEPARATOR)
+        self.tok, self.joiner = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = escape
+        self.cut = self.joiner.token_to_id(_SEPARATOR) if known_kind(path, spaces) else None
         self.spaces = spaces
         self._reset()
         self.cache = WordCache(self._grow, limit=remembered, compact=self._compact)
@@ -95,19 +124,11 @@ class Encoder:
         spare = np.zeros(1 << 14, np.int64)
         self.start, self.size = np.concatenate([ends - size, spare]), np.concatenate([size, spare])
 
-    def _plain(self, texts: list) -> list:
-        if self.tok is None:
-            from tokenizers import Tokenizer
-
-            self.tok = Tokenizer.from_file(self.path)
-            self.tok.encode_special_tokens = True
-        return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, text: bytes) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
 
     def _chunks(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks end to end, and the number of each."""
-        if self.cut is None or any(b"<|" in c for c in chunks):
-            ids = self._plain([(_unkey(c) if self.spaces else c).decode("utf-8", "replace") for c in chunks])
-            return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
         between = _SEPARATOR.encode()
         if self.spaces:
             chunks = [_unkey(c) for c in chunks]
@@ -131,30 +152,49 @@ class Encoder:
         self.used += len(ids)
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        chunks, counts, odd = [], np.zeros(len(texts), np.int64), {}
+        whole, kinds = {}, ([], [])  # texts as they are; two ways to cut the others
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if not t.isascii() and _OTHER_SPACE.search(t.decode("utf-8", "replace")) or t.translate(None, _KEEP):
-                odd[i] = self._plain([t.decode("utf-8", "replace")])[0]
-                continue
-            own = _keys(t) if self.spaces else _words(t)
-            counts[i] = len(own)
-            chunks += own
-        at = self.cache.lookup(chunks)
+            latin = _latin(t)
+            if self.cut is None or b"<|" in t or t.translate(None, _KEEP) or not latin and _OTHER_SPACE.search(t.decode("utf-8", "replace")):
+                whole[i] = self._plain(t)
+            elif self.spaces:
+                kinds[not _single_spaces(t)].append(i)
+            else:
+                kinds[not (latin and _lone_stops(t))].append(i)
+        pieces, counts = zip(*(self._cut([texts[i] for i in own], simple) for own, simple in zip(kinds, (True, False))))
+        order = np.array(kinds[0] + kinds[1], np.int64)
+        at = self.cache.lookup_array(pa.concat_arrays(pieces))
+        counts = np.concatenate(counts)
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
-        per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), sizes, len(texts)).astype(np.int64)
-        if odd:
-            parts = np.split(ids, np.cumsum(per_text)[:-1])
-            for i, x in odd.items():
-                parts[i] = np.array(x, np.uint32)
+        per_text = np.zeros(len(texts), np.int64)
+        per_text[order] = np.bincount(np.repeat(np.arange(len(order)), counts), sizes, len(order)).astype(np.int64)
+        if whole or len(kinds[0]) and len(kinds[1]):
+            own = dict(zip(order.tolist(), np.split(ids, np.cumsum(per_text[order])[:-1]) if len(order) else [])) | whole
+            for i, x in whole.items():
                 per_text[i] = len(x)
-            ids = np.concatenate(parts).astype(np.uint32)
+            ids = np.concatenate([np.zeros(0, np.uint32), *(own[i] for i in sorted(own))]).astype(np.uint32)
         return ids, per_text
 
+    def _cut(self, texts: list, simple: bool) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts, and how many each has."""
+        if not texts:
+            return pa.array([], pa.binary()), np.zeros(0, np.int64)
+        if not self.spaces:
+            low = pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string()))
+            if simple:
+                low = pc.replace_substring(pc.replace_substring(low, ".", " . "), ",", " , ")
+            cut = pc.ascii_split_whitespace(low)  # an end of white space gives an empty word, which has no ids
+        elif simple:
+            cut = pc.split_pattern(pa.array([b"\0" + t.replace(b"\n", b" \n") for t in texts], pa.binary()), " ")
+        else:
+            cut = pa.array([[b"\0" + c for c in _CHUNK.findall(t)] for t in texts], pa.list_(pa.binary()))
+        return cut.flatten().cast(pa.binary()), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
 #: All bytes but the four ASCII separators 0x1C to 0x1F, to find whether a text has one of those.
 _KEEP = bytes(i for i in range(256) if not 0x1C <= i <= 0x1F)
