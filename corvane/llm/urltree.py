@@ -1,17 +1,25 @@
 r"""URL filter by a path-template tree, in DataFrame operations only.
 
-Each host has a tree of path segments.  Level by level, a segment becomes a wildcard where it varies: its runs of
-digits are generalised, and a branch without a label that holds a single path is generalised whole, to `?`, which no
-path contains.  That depends on the branch alone, not on how many siblings it has, and never pools a labelled branch
-with an unlabelled one.  Named branches whose labelled shares do not differ from that of their labelled siblings (two-proportion test)
-are merged.  What remains is a template; a template is rejected if the smoothed share of bad among its labelled urls,
-(bad + 1) / (labelled + 2), reaches a threshold.  Urls that a rule decides are the labelled ones.
-
-All statistics are sums over distinct (host, path) pairs, so a hot host or a hot url is pre-aggregated before any
-shuffle, and decisions come back by plain joins.
-
-Defined cases: a null url, and one without `://`, has an empty host and path and is allowed unless a template says
-otherwise (it has none); the tree is as deep as the deepest path; repeated rows are judged alike; an empty table gives no rows."""
+Each host has a tree of path segments.  Runs of digits are generalised to `*` first, so the tree is made of distinct
+shapes, however many paths they have.  Level by level, a branch without a label that holds a single path is generalised
+whole, to `?`, which no path contains.  That depends on the branch alone, not on how many siblings it has, and never
+pools a labelled branch with an unlabelled one.  Branches whose labelled shares do not differ from that of their labelled
+siblings (two-proportion test) are merged into `?+`.  What remains is a template.  Urls that a rule decides are the
+labelled ones.
+
+A template's purity is the share of bad among its labelled urls, smoothed towards its parent node as if by SMOOTH urls;
+a node's is the share among all its urls, of which an unlabelled one counts as half bad, smoothed towards the node above
+it; a host's is smoothed towards that of all hosts.  So a template without labels is rejected only where nearly all urls
+around it are known to be bad: four in five or more, in a large branch.
+
+All statistics are sums over distinct shapes, so a hot host, path or template is pre-aggregated before any shuffle.
+Verdicts come back by broadcast for the shapes that hold more than one in BROADCAST_SHAPES of all urls, which are at most
+so many, and by shuffle for the rest, so no hot shape meets in one task.
+
+Defined cases: a null url, and one without `://`, has an empty host and path, is one shape and is allowed unless nearly
+all urls of empty hosts are bad; the tree is as deep as the deepest path; very long urls are read whole; repeated rows
+are judged alike and count each; ties cannot arise; an empty table gives no rows; columns of the input named host, path,
+rule, verdict, template or purity give way to the operator's own."""
 
 from __future__ import annotations
 
@@ -24,7 +32,10 @@ from corvane.llm.common import materialize
 
 #: Labelled urls that both sides of a merge test need, and the test's threshold in standard errors.
 MERGE_LABELS, MERGE_ERRORS = 5, 1.64
-REJECT = 0.9
+#: A template of this purity is rejected; the urls that smoothing counts for.
+REJECT, SMOOTH = 0.9, 2
+#: Verdicts of at most so many shapes are broadcast.
+BROADCAST_SHAPES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,15 +76,26 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return text, verdict
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """paths: (host, path, bad, good), distinct.  Adds template, the generalised path."""
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    t = materialize(paths.withColumn("seg", segments).withColumn("template", F.lit("")), "paths")
+def _smoothed(bad: Column, good: Column, urls: Column, above: Column) -> Column:
+    """The purity of a node."""
+    return (bad + (urls - bad - good) / 2 + SMOOTH * above) / (urls + SMOOTH)
+
+
+def templates(shapes: DataFrame) -> DataFrame:
+    """shapes: (host, shape, paths, urls, bad, good), distinct.  Adds template, the generalised shape, and above, the
+    purity of the node that the template hangs on."""
+    sums = [F.sum(c).alias(c) for c in ("paths", "urls", "bad", "good")]
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    everything = shapes.agg((_smoothed(n("bad"), n("good"), n("urls"), F.lit(0.5))).alias("p_all"))
+    hosts = shapes.groupBy("host").agg(*sums).crossJoin(F.broadcast(everything))
+    hosts = hosts.select("host", _smoothed(F.col("bad"), F.col("good"), F.col("urls"), F.col("p_all")).alias("p"))
+    segments = F.filter(F.split("shape", "/"), lambda s: s != "")
+    t = shapes.join(hosts, "host").withColumns({"seg": segments, "template": F.lit(""), "above": F.col("p")})
+    t = materialize(t, "shapes")
     deepest = t.agg(F.max(F.size("seg"))).first()[0] or 0
     for d in range(1, deepest + 1):
-        t = t.withColumn("s", F.when(F.size("seg") >= d, F.regexp_replace(F.get("seg", F.lit(d - 1)), "[0-9]+", "*")))
-        sums = [F.count("*").alias("paths"), F.sum("bad").alias("bad"), F.sum("good").alias("good")]
-        child = t.where("s is not null").groupBy("host", "template", "s").agg(*sums)
+        t = t.withColumn("s", F.get("seg", F.lit(d - 1)))
+        child = t.where("s is not null").groupBy("host", "template", "s").agg(*sums, F.max("p").alias("p"))
         parent = child.groupBy("host", "template").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
         j = child.join(parent, ["host", "template"])
         own, rest = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
@@ -81,28 +103,41 @@ def templates(paths: DataFrame) -> DataFrame:
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), own) + F.try_divide(F.lit(1.0), rest)))
         apart = F.abs(F.try_divide("bad", own) - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
         alike = (own >= MERGE_LABELS) & (rest >= MERGE_LABELS) & (apart <= MERGE_ERRORS * error)
-        step = F.when((own == 0) & (F.col("paths") == 1), F.lit("?")).when(F.coalesce(alike, F.lit(False)), F.lit("+")).otherwise(F.col("s"))
-        decided = j.select("host", "template", "s", step.alias("step"))
+        step = F.when((own == 0) & (F.col("paths") == 1), F.lit("?")).when(F.coalesce(alike, F.lit(False)), F.lit("?+")).otherwise(F.col("s"))
+        j = materialize(j.select("host", "template", "s", step.alias("step"), "urls", "bad", "good", "p"), f"branches{d}")
+        node = j.groupBy("host", "template", "step").agg(*sums[1:], F.max("p").alias("above"))
+        node = node.select("host", "template", "step", "above", _smoothed(F.col("bad"), F.col("good"), F.col("urls"), F.col("above")).alias("p"))
+        decided = j.select("host", "template", "s", "step").join(node, ["host", "template", "step"])
+        decided = decided.select("host", "template", "s", "step", F.col("above").alias("_above"), F.col("p").alias("_p"))
         t = t.join(decided, ["host", "template", "s"], "left")
-        t = t.withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("s", "step")
+        longer = F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))
+        t = t.withColumns({"template": longer, "above": F.coalesce("_above", "above"), "p": F.coalesce("_p", "p")}).drop("s", "step", "_above", "_p")
         t = materialize(t, f"level{d}")
-    return t.drop("seg")
+    return t.drop("seg", "p")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", reject: float = REJECT) -> DataFrame:
     """pages with host, path, rule, verdict, template and purity (null for urls that a rule decides)."""
     host, path = parse(F.col(url))
-    parsed = pages.drop("host", "path", "rule", "verdict", "template", "purity").withColumns({"host": host, "path": path})
-    text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parsed.withColumns({"rule": text, "_given": verdict})
-    count = lambda v: F.count(F.when(F.col("_given") == v, 1))
-    paths = ruled.groupBy("host", "path").agg(count("block").alias("bad"), count("allow").alias("good"))
-    tree = templates(paths)
-    scored = tree.groupBy("host", "template").agg(((F.sum("bad") + 1) / (F.sum("bad") + F.sum("good") + 2)).alias("purity"))
-    found = tree.select("host", "path", "template").join(scored, ["host", "template"])
-    out = ruled.join(found, ["host", "path"])
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "template", "purity")]
+    given = "_given" + "_" * max([len(c) for c in kept], default=0)  # no column of pages has these names
+    shape = "_shape" + given
+    text, verdict = rule_of(host, path, rules)
+    ruled = pages.select(*kept, host.alias("host"), path.alias("path"), text.alias("rule"), verdict.alias(given), F.regexp_replace(path, "[0-9]+", "*").alias(shape))
+    count = lambda v: F.count(F.when(F.col(given) == v, 1))
+    paths = ruled.groupBy("host", shape, "path").agg(F.count("*").alias("urls"), count("block").alias("bad"), count("allow").alias("good"))
+    shapes = paths.groupBy("host", F.col(shape).alias("shape")).agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("urls", "bad", "good")))
+    tree = templates(shapes)
+    scored = tree.groupBy("host", "template").agg(((F.sum("bad") + SMOOTH * F.max("above")) / (F.sum("bad") + F.sum("good") + SMOOTH)).alias("purity"))
+    found = materialize(tree.select("host", F.col("shape").alias(shape), "template", "urls").join(scored, ["host", "template"]), "verdicts")
+    total = found.agg(F.sum("urls")).first()[0] or 0
+    # a shape with more than total / BROADCAST_SHAPES urls is one of at most BROADCAST_SHAPES
+    often, seldom = found.where(F.col("urls") * BROADCAST_SHAPES > total).drop("urls"), found.where(F.col("urls") * BROADCAST_SHAPES <= total).drop("urls")
+    out = ruled.join(F.broadcast(often), ["host", shape])
+    if total > BROADCAST_SHAPES:
+        out = out.unionByName(ruled.join(F.broadcast(often), ["host", shape], "left_anti").join(seldom, ["host", shape]))
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("verdict", F.coalesce("_given", own)).withColumn("purity", F.when(F.col("_given").isNull(), F.col("purity"))).drop("_given")
+    return out.select(*kept, "host", "path", "rule", F.coalesce(given, own).alias("verdict"), "template", F.when(F.col(given).isNull(), F.col("purity")).alias("purity"))
 
 
 def op4(pages: DataFrame) -> DataFrame:

@@ -120,7 +120,6 @@ def test_packing_covers_every_document(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
     rows = packing.op2(docs, tokenizer_file("byte_bpe_50k.json")).collect()
     by_doc, by_sequence = {}, {}
@@ -284,7 +283,6 @@ def test_token_files_round_trip(spark, docs, tmp_path):
 
     path = tokenizer_file("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     files = tokenfile.write(docs, path, end_id=1, shard_tokens=20_000)
     rows = {r.doc_id: r for r in tokenfile.read(files, with_ids=True).collect()}
     start = 0
@@ -419,6 +417,90 @@ def test_templates_carry_labels_to_their_other_urls(spark):
     assert urltree.judge(spark.createDataFrame([], "url string")).count() == 0
 
 
+def plain_judge(urls, rules, reject=0.9):
+    """(template, purity, verdict) of each url by plain dictionaries."""
+    parsed = []
+    for u in urls:
+        host, path = "", ""
+        if u and "://" in u:
+            rest = u[u.index("://") + 3 :]
+            host = re.match(r"[^/?#]*", rest)[0]
+            path = re.match(r"[^?#]*", rest[len(host) :])[0]
+            host = host.translate({i: i + 32 for i in range(65, 91)})
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        parsed.append((host, path, max(fits, key=lambda r: len(r.text)).verdict if fits else None))
+    smooth = lambda rows, above: (sum(v == "block" for *_, v in rows) + sum(v is None for *_, v in rows) / 2 + 2 * above) / (len(rows) + 2)
+    top, out = smooth(parsed, 0.5), {}
+
+    def settle(rows, template, above):
+        bad, good = (sum(v == x for *_, v in rows) for x in ("block", "allow"))
+        for r in rows:
+            out.setdefault(template, [above, 0, 0])
+            out[template, r[:2]] = None
+        out[template][1] += bad
+        out[template][2] += good
+
+    def grow(rows, template, depth, above, p):
+        own = [r for r in rows if len(seg(r)) == depth]
+        if own:
+            settle(own, template, above)
+        branches = {}
+        for r in rows:
+            if len(seg(r)) > depth:
+                branches.setdefault(seg(r)[depth], []).append(r)
+        labelled = {s: (sum(v == "block" for *_, v in rs), sum(v is not None for *_, v in rs)) for s, rs in branches.items()}
+        all_bad, all_n = (sum(x[i] for x in labelled.values()) for i in (0, 1))
+        steps = {}
+        for s, rs in branches.items():
+            b, n = labelled[s]
+            rest, step = all_n - n, s
+            if n == 0 and len({r[1] for r in rs}) == 1:
+                step = "?"
+            elif n >= 5 and rest >= 5:
+                pooled = all_bad / all_n
+                if abs(b / n - (all_bad - b) / rest) <= 1.64 * (pooled * (1 - pooled) * (1 / n + 1 / rest)) ** 0.5:
+                    step = "?+"
+            steps.setdefault(step, []).extend(rs)
+        for step, rs in steps.items():
+            grow(rs, f"{template}/{step}", depth + 1, p, smooth(rs, p))
+
+    seg = lambda r: [x for x in re.sub("[0-9]+", "*", r[1]).split("/") if x]
+    answers = {}
+    for host in {h for h, *_ in parsed}:
+        rows = [r for r in parsed if r[0] == host]
+        out.clear()
+        grow(rows, "", 0, smooth(rows, top), smooth(rows, top))
+        for key in [k for k in out if isinstance(k, tuple)]:
+            template, (h, path) = key
+            above, bad, good = out[template]
+            answers[h, path] = (template, (bad + 2 * above) / (bad + good + 2))
+    return [(*answers[h, p], v or ("block" if answers[h, p][1] >= reject else "allow")) for h, p, v in parsed]
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_verdicts_match_a_plain_tree(spark, monkeypatch, few):
+    monkeypatch.setattr(urltree, "BROADCAST_SHAPES", few)
+    rng = random.Random(9)
+    rules = (urltree.Rule("a.test/x/", "block"), urltree.Rule("a.test/x/ok/", "allow"), urltree.Rule("b.test/", "block"), urltree.Rule("b.test/n/", "allow"), urltree.Rule("c.test/x/y/1", "block"))
+    urls = [f"http://{rng.choice('abc')}.test/" + "/".join(rng.choice(["x", "y", "ok", "n", str(rng.randint(1, 30)), f"slug-{rng.randint(1, 9)}"]) for _ in range(rng.randint(0, 4))) for _ in range(400)]
+    urls += [f"http://bad.a.test/x/{i}" for i in range(95)] + ["http://bad.a.test/about", "http://bad.a.test/news/1", "http://bad.a.test/news/2"]
+    urls += [None, "", "no scheme", "http://", "HTTP://A.TEST/x/1?q", "http://a.test//x//1#f"] + ["http://c.test/x/y/12"] * 20 + ["http://c.test/x/y/22"] * 3
+    got = urltree.judge(spark.createDataFrame(list(enumerate(urls)), "i int, url string"), rules).orderBy("i").collect()
+    want = plain_judge(urls, rules)
+    assert len(got) == len(urls)
+    for r, (template, purity, verdict) in zip(got, want, strict=True):
+        assert (r.template, r.verdict) == (template, verdict), r
+        assert r.purity is None if r.rule else r.purity == pytest.approx(purity)
+    by = {r.url: r for r in got}
+    assert by["http://bad.a.test/about"].rule is None and by["http://bad.a.test/about"].verdict == "block" and by["http://c.test/x/y/22"].verdict == "block"
+
+
+def test_the_drivers_pages_match_a_plain_tree(spark):
+    rows = urltree.op4(spark.read.parquet(f"{SF}/pages.parquet")).orderBy("page_id").collect()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()
+    assert [(r.template, r.verdict) for r in rows] == [(t, v) for t, _, v in plain_judge([p.url for p in pages], urltree.RULES)]
+
+
 class _Text(HTMLParser):
     """Visible text by the standard library's parser: what the scanner is held against."""
 
