@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 #: Words are maximal runs of anything but these six ASCII characters; bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts of more characters are not used to fit a model, so a sample's bytes are bounded as its rows are.
+LONGEST_SAMPLED = 200_000
+
 #: Bytes of text that a kernel handles at once; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
@@ -38,10 +41,13 @@ _folders: set = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests, a single machine), one of our own."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset a local master (tests, a single machine) gets
+    one of our own, and a cluster an error, since its executors share no temporary folder."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -97,18 +103,21 @@ def stable_hash(*cols: Column | str) -> Column:
 
 
 def sample_per_class(df: DataFrame, label: str, key: str, columns: list[str], per_class: int) -> tuple[list, dict]:
-    """At most `per_class` rows of each label value, the smallest by hash of the key: a bounded, repeatable sample on
-    the driver for fitting a classifier.  Also the number of rows of each label value."""
+    """At most `per_class` rows of each label value, the smallest by hash of the key and the columns: a bounded,
+    repeatable sample on the driver for fitting a classifier.  Rows are chosen by a share of the hashes that gives a
+    little more than that many, and repeated rows count once.  Also the number of rows of each label value."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
     if not counts:
         return [], {}
-    share = F.lit(None).cast("double")
     pairs = []
     for value, n in counts.items():
         pairs += [F.lit(value), F.lit(min(1.0, 1.3 * per_class / n + 20.0 / n))]
     share = F.create_map(*pairs)[F.col(label)]
-    unit = (F.xxhash64(F.col(key), F.lit(71)).bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-    rows = df.where(F.col(label).isNotNull()).where(unit <= share).select(unit.alias("_unit"), label, *columns).collect()
+    # a null or repeated id is told apart by the other columns
+    own = F.xxhash64(F.col(key), *(F.col(c) for c in columns if c != key), F.lit(71))
+    unit = own.bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    chosen = df.where(F.col(label).isNotNull()).where(unit <= share).select(unit.alias("_unit"), label, *columns).distinct()
+    rows = chosen.collect()
     rows.sort(key=lambda r: (r[0], str(r[1]), *(str(x) for x in r[2:])))
     taken: dict = {}
     out = []
@@ -274,10 +283,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, per_class: int) -> tuple[list, dict]:
     """A bounded sample of (key, label, text) rows.  The ids are chosen from the narrow label table alone and pushed
-    into the scan of the documents, so no text is shuffled."""
+    into the scan of the documents, so no text of another is shuffled.  Rows that repeat an id count once for each text,
+    of which two are read at most; texts longer than LONGEST_SAMPLED are left out."""
     chosen, counts = sample_per_class(labels.where(F.col(key).isNotNull()), label, key, [key], per_class)
     by_id = {r[2]: r[1] for r in chosen}
     if not by_id:
         return [], counts
-    found = docs.where(F.col(key).isin(list(by_id)) & F.col(text).isNotNull()).select(key, text).collect()
-    return sorted((r[0], by_id[r[0]], r[1]) for r in found), counts
+    found = docs.where(F.col(key).isin(list(by_id)) & (F.length(text) <= LONGEST_SAMPLED)).groupBy(key).agg(F.min(text).alias("a"), F.max(text).alias("b"))
+    return sorted((r[0], by_id[r[0]], t) for r in found.collect() for t in {r["a"], r["b"]}), counts

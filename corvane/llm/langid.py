@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import crf
-from corvane.llm.common import LOWER, Rows, WordCache, append_columns, remainder, sample_per_class, share, split_words
+from corvane.llm.common import LONGEST_SAMPLED, LOWER, Rows, WordCache, append_columns, remainder, sample_per_class, share, split_words
 
 #: Rows of each language that the model is fitted on, at most.
 SAMPLE_PER_LANGUAGE = 120
@@ -161,8 +161,9 @@ def train(rows: list, epochs: int = 30, seed: int = 5) -> LanguageModel:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit on a bounded sample: at most `per_language` rows of each language, chosen by hash of the key."""
-    rows, _ = sample_per_class(docs.where(F.col(text).isNotNull()), lang, key, [text], per_language)
+    """Fit on a bounded sample: at most `per_language` rows of each language, of at most LONGEST_SAMPLED characters each,
+    chosen by hash of the key and the text."""
+    rows, _ = sample_per_class(docs.where(F.length(text) <= LONGEST_SAMPLED), lang, key, [text], per_language)
     return train([(r[text], r[lang]) for r in rows])
 
 
@@ -190,14 +191,17 @@ def labeller(m: LanguageModel):
     return label
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = False, certainty: bool = False) -> DataFrame:
     """docs with lang_pred and score; with `spans` also lang_spans, the runs of words of one language: an array of
-    (lang, first_word, n_words) that covers every word."""
+    (lang, first_word, n_words) that covers every word; with `certainty` the mean probability of the likeliest label of
+    words with a letter, which is high for a text of several languages if each word's is clear."""
     shared = share(docs.sparkSession, model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
         fields.append(T.StructField("lang_spans", T.ArrayType(span)))
+    if certainty:
+        fields.append(T.StructField("certainty", T.DoubleType()))
 
     def make():
         m = shared()
@@ -215,6 +219,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", spans: b
             out = [pred, score]
             if spans:
                 out.append(_spans(counts, gamma.argmax(1), m.langs or ["und"]))
+            if certainty:
+                out.append(np.where(known, np.bincount(doc, gamma.max(1) * letter, len(texts)) / np.maximum(total, 1), 0.0))
             return out
 
         return kernel
