@@ -14,14 +14,14 @@ from corvane.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = "_row"
-#: Documents whose language is less certain than this are rejected, as are those without a letter.
-LEAST_LANGUAGE_SCORE = 0.5
+#: Documents whose words have languages less certain than this are rejected, as are those without a letter.
+LEAST_CERTAINTY = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(F.col("lang").isNotNull()))
-    known = langid.identify(docs.select(*COLUMNS), model)
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    known = langid.identify(docs.select(*COLUMNS), model, certainty=True)
+    return known.where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY)).select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
