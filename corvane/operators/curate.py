@@ -261,3 +261,12 @@ def threshold_sweep(df: DataFrame, by: list[str], score: str, amount: str, thres
 
 def degenerate_rows(df: DataFrame, text: str) -> DataFrame:
     return df.where(degenerate(words(F.col(text))))
+
+
+def matrix(df: DataFrame, configs: dict[str, Column], column: str, sets: list[str]) -> DataFrame:
+    """One row for each configuration (a named test) and evaluation set (a value of a column): rows of the set and the
+    share that passes.  The table is read once: each row counts for all configurations."""
+    tests = F.array(*(F.struct(F.lit(name).alias("config"), ok.cast("int").alias("ok")) for name, ok in configs.items()))
+    found = df.where(F.col(column).isin(*sets)).select(F.col(column).alias("eval_lang"), F.explode(tests).alias("t")).groupBy("t.config", "eval_lang").agg(F.count("*").alias("n"), F.avg("t.ok").alias("share"))
+    grid = df.sparkSession.createDataFrame([(c, s) for c in configs for s in sets], "config string, eval_lang string")
+    return grid.join(found, ["config", "eval_lang"], "left").select("config", "eval_lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("share", F.lit(0.0)).alias("share"))

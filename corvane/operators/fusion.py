@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import align
-from corvane.functions.text import chars
+from corvane.functions.text import chars, words
 
 
 def rover(a: Column, b: Column, c: Column) -> Column:
@@ -78,3 +78,25 @@ def agreeing_runs(a: Column, b: Column, least: int = 3) -> Column:
     """(start, end) word places in a of runs of equal words of both systems."""
     equal = F.filter(align.word_opcodes(a, b), lambda c: (c["tag"] == "equal") & (c["i2"] - c["i1"] >= least))
     return F.transform(equal, lambda c: F.struct(c["i1"].alias("start"), c["i2"].alias("end")))
+
+
+def gated_runs(pairs: DataFrame, keys: list[str], a: str, b: str, lexicon: DataFrame, seconds_per_word: float, confidence: str | None = None, least: int = 3, least_conf: float = 0.55, least_share: float = 0.60, pad: float = 0.1, shortest: float = 1.0, longest: float = 18.0) -> DataFrame:
+    """Agreeing runs that may become labels: at least `least` equal words, a mean confidence (an array column, one value
+    for each word of a; none: not asked) and a share of words in the lexicon that reach their bounds, and a span, padded
+    and clamped to the recording, between `shortest` and `longest` seconds.
+
+    Runs are cut into words that find the lexicon by a join, so a lexicon of any size will do."""
+    w = words(F.col(a))
+    own = [F.col(confidence).alias("conf")] if confidence else []
+    runs = pairs.select(*keys, w.alias("w"), *own, F.explode(agreeing_runs(F.col(a), F.col(b), least)).alias("r"))
+    runs = runs.select(*keys, F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.size("w").alias("n_words"), F.slice("w", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("run"), *(["conf"] if confidence else []))
+    if confidence:
+        part = F.slice("conf", F.col("start") + 1, F.col("end") - F.col("start"))
+        runs = runs.where(F.aggregate(part, F.lit(0.0), lambda x, y: x + y) / F.size(part) >= least_conf).drop("conf")
+    known = lexicon.select("word", F.lit(1).alias("known")).distinct()
+    each = runs.select(*keys, "start", "end", "n_words", F.array_join("run", " ").alias("text"), F.explode("run").alias("word")).join(known, "word", "left")
+    share = F.sum(F.coalesce("known", F.lit(0))) / F.count("*")
+    out = each.groupBy(*keys, "start", "end", "n_words", "text").agg(share.alias("corpus_share")).where(F.col("corpus_share") >= least_share)
+    total = F.col("n_words") * seconds_per_word
+    out = out.withColumns({"from_s": F.greatest(F.col("start") * seconds_per_word - pad, F.lit(0.0)), "to_s": F.least(F.col("end") * seconds_per_word + pad, total)})
+    return out.where((F.col("to_s") - F.col("from_s")).between(shortest, longest)).drop("n_words")

@@ -61,11 +61,13 @@ def frame_entropy(frames: DataFrame, unit: str, logp: str) -> DataFrame:
     return frames.where(argmax(F.col(logp)) != 0).groupBy(unit).agg(F.avg(entropy(F.col(logp))).alias("entropy"), F.count("*").alias("frames"))
 
 
-def word_confidence(emitted: DataFrame, unit: str, t: str, starts: Column, lp: str) -> DataFrame:
-    """Words as islands of emitted tokens: span and the geometric mean of their probabilities."""
+def word_confidence(emitted: DataFrame, unit: str, t: str, starts: Column, lp: str, worst: bool = False) -> DataFrame:
+    """Words as islands of emitted tokens: span and the geometric mean of their probabilities; with `worst` also the
+    smallest log probability."""
     from corvane.operators.sequence import islands, spans
 
-    return spans(islands(emitted, unit, t, starts), unit, t, F.exp(F.avg(lp)).alias("conf"), F.count("*").alias("tokens"))
+    more = [F.min(lp).alias("worst")] if worst else []
+    return spans(islands(emitted, unit, t, starts), unit, t, F.exp(F.avg(lp)).alias("conf"), *more, F.count("*").alias("tokens"))
 
 
 def spread_times(frames: DataFrame, unit: str, duration: str) -> DataFrame:
@@ -203,6 +205,13 @@ def rescore(nbest: DataFrame, key: str, text: str, am: str, lm: str, length: str
     return nbest.groupBy(key).agg(F.max_by(text, F.struct(total, text)).alias(text), F.max(total).alias("total"))
 
 
+def rescore_sweep(nbest: DataFrame, key: str, text: str, am: str, lm: str, length: str, alphas: list[float], beta: float) -> DataFrame:
+    """The best of an n-best list for each language model weight."""
+    swept = nbest.withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in alphas))))
+    total = F.col(am) + F.col("alpha") * F.col(lm) + beta * F.col(length)
+    return swept.groupBy("alpha", key).agg(F.max_by(text, F.struct(total, text)).alias(text), F.max(total).alias("total"))
+
+
 def best_setting(results: DataFrame, setting: list[str], rate: str, *by: str) -> DataFrame:
     """The setting with the lowest rate; ties go to the smaller setting."""
     return results.groupBy(*by).agg(F.min_by(F.struct(*setting), F.struct(rate, *setting)).alias("s"), F.min(rate).alias(rate)).select(*by, "s.*", rate)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,19 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
     if not exists(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def gate_view(scored: DataFrame, ok) -> DataFrame:
+    """The rows of a scored table that pass; the table keeps the others, so that a gate can be cut again."""
+    return scored.where(ok)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only a local master may have one of its own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -10,10 +10,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corvane.sources.sinks import shared_folder
+
 
 #: Events of one key and day that are held at once, and that are read or given back at once.
 RUN, SLICE = 500_000, 10_000
@@ -116,15 +118,22 @@ def claims(requests: DataFrame, manifest: str, ttl_seconds: int = 900) -> DataFr
     return rows.groupBy(manifest).applyInPandasWithState(step, schema, "items array<string>, holders array<string>, times array<bigint>, done array<boolean>", "append", GroupStateTimeout.NoTimeout)
 
 
+def consented(events: DataFrame, consent: str, kind: str = "kind", kinds: tuple = ("segment", "final")) -> DataFrame:
+    """Session events that may be stored: of a known kind, and only with the speaker's consent (null is none)."""
+    return events.where(F.coalesce(F.col(consent), F.lit(False)) & F.col(kind).isin(*kinds))
+
+
 def session_windows(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Events and their value of each session, closed by a gap."""
+    """Events of each session, closed by a gap."""
     w = F.session_window(ts, gap)
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def session_statistics(events: DataFrame, kind: str, key: str) -> DataFrame:
-    """Events and (approximate) keys of each kind, for complete mode."""
-    return events.groupBy(kind).agg(F.count("*").alias("n"), F.approx_count_distinct(key).alias("keys"))
+def session_statistics(events: DataFrame, kind: str, key: str, exact: bool = True) -> DataFrame:
+    """Events and keys of each kind, for complete mode.  Exact counts keep each kind's keys as state; approximate ones a
+    sketch."""
+    keys = F.size(F.collect_set(key)).cast("bigint") if exact else F.approx_count_distinct(key)
+    return events.groupBy(kind).agg(F.count("*").alias("n"), keys.alias("keys"))
 
 
 def partial_commit(partials: DataFrame, session: str, order: str, text: str, volatile: int = 3) -> DataFrame:
@@ -177,14 +186,3 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         q = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/rows")).start()
     q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{base}/rows")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only a local master may have one of its own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
