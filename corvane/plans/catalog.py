@@ -47,6 +47,19 @@ p AS (SELECT * FROM (SELECT conv_id, turn, role, ref, lead(ref) OVER (PARTITION
   FROM (SELECT conv_id, turn, role, {_LATIN.format(c="text")} AS ref FROM conversations)) WHERE hyp IS NOT NULL),
 e AS (SELECT p.*, levenshtein(translate(replace(ref, ' ', ''), src, dst), translate(replace(hyp, ' ', ''), src, dst)) AS ce, length(replace(ref, ' ', '')) AS cl FROM p, enc)"""
 
+#: Word alignments as SQL: each row of the distance table is a running minimum, and the trace goes from the end.
+_TRACE = f"""p AS (SELECT conv_id, turn, role, ref, hyp, {_WORDS.format(c='ref')} AS r, {_WORDS.format(c='hyp')} AS h FROM (
+  SELECT conv_id, turn, role, ref, lead(ref) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM (SELECT conv_id, turn, role, {_LATIN.format(c="text")} AS ref FROM conversations)) WHERE hyp IS NOT NULL),
+dp AS (SELECT conv_id, turn, 0 AS i, range(0, len(h) + 1)::INT[] AS d FROM p
+  UNION ALL SELECT conv_id, turn, i + 1, list_transform(range(1, len(h) + 2), lambda j: list_min(list_transform(u[1:j], lambda x, k: x - k)) + j)::INT[] FROM (
+    SELECT dp.*, h, [i + 1] || list_transform(range(1, len(h) + 1), lambda j: least(d[j + 1] + 1, d[j] + (r[i + 1] <> h[j])::INT)) AS u FROM dp JOIN p USING (conv_id, turn) WHERE i < len(r)) dp),
+wd AS (SELECT conv_id, turn, d[len(d)] AS we FROM dp JOIN p USING (conv_id, turn) WHERE i = len(r)),
+tr AS (SELECT conv_id, turn, len(r)::INT AS i, len(h)::INT AS j, NULL::VARCHAR AS op, 0 AS ri, 0 AS hi FROM p
+  UNION ALL SELECT conv_id, turn, CASE WHEN o = 'I' THEN i ELSE i - 1 END, CASE WHEN o = 'D' THEN j ELSE j - 1 END, o, i - 1, CASE WHEN o = 'D' THEN -1 ELSE j - 1 END FROM (
+    SELECT tr.conv_id, tr.turn, tr.i, tr.j, CASE WHEN tr.i > 0 AND tr.j > 0 AND r[tr.i] = h[tr.j] THEN 'M' WHEN tr.i > 0 AND tr.j > 0 AND a.d[tr.j + 1] = b.d[tr.j] + 1 THEN 'S' WHEN tr.i > 0 AND a.d[tr.j + 1] = b.d[tr.j + 1] + 1 THEN 'D' ELSE 'I' END AS o
+    FROM tr JOIN p USING (conv_id, turn) JOIN dp a ON a.conv_id = tr.conv_id AND a.turn = tr.turn AND a.i = tr.i LEFT JOIN dp b ON b.conv_id = tr.conv_id AND b.turn = tr.turn AND b.i = tr.i - 1 WHERE tr.i + tr.j > 0)),
+ops AS (SELECT p.role, tr.conv_id, tr.turn, op, ri, hi, CASE WHEN op <> 'I' THEN r[ri + 1] END AS rc, CASE WHEN op <> 'D' THEN h[hi + 1] END AS hc FROM tr JOIN p USING (conv_id, turn) WHERE op IS NOT NULL)"""
+
 
 def latin(c: str):
     return norm(F.col(c), "latin", compose=False)
@@ -121,7 +134,10 @@ def micro_cer(spark, d):
     return sums.withColumn("cer", F.try_divide("char_edits", "char_len"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_ONE_BYTE.format(norm=_LATIN.format(c='text'), table='conversations')}, {_TRACE}, e AS (SELECT role, we, len(r) AS wl, levenshtein(translate(replace(ref, ' ', ''), src, dst), translate(replace(hyp, ' ', ''), src, dst)) AS ce, length(replace(ref, ' ', '')) AS cl FROM p JOIN wd USING (conv_id, turn), enc) "
+    "SELECT role, count(*) AS n, sum(ce)::BIGINT AS char_edits, sum(cl)::BIGINT AS char_len, sum(we)::BIGINT AS word_edits, sum(wl)::BIGINT AS word_len, sum(ce) / nullif(sum(cl), 0)::DOUBLE AS cer, sum(we) / nullif(sum(wl), 0)::DOUBLE AS wer FROM e GROUP BY ROLLUP (role)"
+)
 def micro_wer(spark, d):
     return metrics.rollup_micro(metrics.with_edits(turn_pairs(spark, d)), "role")
 
@@ -191,12 +207,15 @@ def sn_wer(spark, d):
     return metrics.sn_wer(turn_pairs(spark, d), "role")
 
 
-@query()
+@query(f"WITH RECURSIVE {_TRACE} SELECT role, least(ri, 7)::INT AS position, count(*) AS n, sum((op <> 'M')::INT)::BIGINT AS errors, errors / n AS rate FROM ops WHERE op <> 'I' GROUP BY role, position")
 def position_error(spark, d):
     return metrics.position_errors(turn_pairs(spark, d), "role")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_ONE_BYTE.format(norm=_LATIN.format(c='text'), table='conversations')}, {_TRACE} SELECT role, count(*) AS n, avg((op = 'M')::INT) AS word_accuracy, "
+    "avg((op = 'M' OR op = 'S' AND levenshtein(translate(rc, src, dst), translate(hc, src, dst)) <= 1)::INT) AS within_one FROM ops, enc WHERE op <> 'I' GROUP BY role"
+)
 def word_accuracy(spark, d):
     return metrics.word_accuracy(turn_pairs(spark, d), "role")
 
@@ -216,12 +235,18 @@ def vowel_recall(spark, d):
     return metrics.family_recall(metrics.char_ops(turn_pairs(spark, d), "role"), "aeiou", "role")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_TRACE}, s AS (SELECT rc, hc, list_filter(range(1, length(rc) + 1), lambda i: substr(rc, i, 1) <> substr(hc, i, 1)) AS spots FROM ops WHERE op = 'S' AND length(rc) = length(hc)) "
+    "SELECT substr(rc, spots[1], 1) AS rc, substr(hc, spots[1], 1) AS hc, count(*) AS n FROM s WHERE len(spots) = 1 GROUP BY ALL"
+)
 def single_char_substitutions(spark, d):
     return metrics.single_substitutions(turn_pairs(spark, d))
 
 
-@query()
+_THIN = "coalesce(len(list_distinct(string_split(replace(hyp, ' ', ''), ''))) / nullif(length(replace(hyp, ' ', '')), 0)::DOUBLE < 0.3, true)"
+
+
+@query(f"WITH RECURSIVE {_TRACE}, x AS (SELECT conv_id, turn, hyp, we / greatest(len(r), len(h), 1)::DOUBLE AS dis FROM p JOIN wd USING (conv_id, turn)) SELECT conv_id, turn, dis FROM x WHERE dis <= 0.97 AND NOT {_THIN}")
 def disagreement_band(spark, d):
     p = turn_pairs(spark, d).withColumn("dis", word_disagreement(F.col("ref"), F.col("hyp")))
     return curate.disagreement_band(p, "dis", "hyp", most=0.97).select("conv_id", "turn", "dis")
@@ -381,7 +406,11 @@ def word_sets(spark, d):
     return n(b.join(l, "word", "left_semi"), "both").crossJoin(n(b.join(tok, "word", "left_anti"), "new")).crossJoin(n(b.union(l).distinct(), "any"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_BENCH}, {_TRACE}, wr AS (SELECT DISTINCT w.word, translate(w.word, src, dst) AS code FROM (SELECT unnest(h) AS word FROM p) w, enc), "
+    "c AS (SELECT wr.word, lx.word AS cand FROM wr JOIN lx ON abs(length(wr.word) - length(lx.word)) <= 2 AND wr.word <> lx.word WHERE levenshtein(wr.code, lx.code) <= 2 QUALIFY row_number() OVER (PARTITION BY wr.word ORDER BY levenshtein(wr.code, lx.code), freq DESC, lx.word) <= 5) "
+    "SELECT count(*) AS n, count(*) FILTER (op = 'M') AS correct, count(*) FILTER (op <> 'M' AND (hc, rc) IN (SELECT (word, cand) FROM c)) AS recoverable, count(*) FILTER (rc IN (SELECT word FROM lx)) AS in_lexicon FROM ops WHERE op <> 'I'"
+)
 def recoverable_words(spark, d):
     left, lx = bench_words(spark, d)
     pairs = turn_pairs(spark, d)
@@ -626,33 +655,65 @@ def frame_entropy(spark, d):
     return posterior.frame_entropy(frames(spark, d), "label", "logp").withColumn("entropy", F.round("entropy", 6))
 
 
-@query()
+_CTC = f"""{_FRAMES}, q AS (SELECT label, t, k, list_transform(v, lambda x: x - list_max(v) + lp) AS q FROM k),
+c AS (SELECT *, lag(k) OVER (PARTITION BY label ORDER BY t) AS p FROM k), y AS (SELECT label, list(k ORDER BY t) AS ids FROM c WHERE p IS DISTINCT FROM k AND k <> 0 GROUP BY label)"""
+_SWEEP = f"""{_FRAMES}, b AS (SELECT unnest([0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0])::DOUBLE AS beta), l AS (SELECT label, t, list_transform(v, lambda x: x - list_max(v) + lp) AS q FROM k),
+z AS (SELECT label, beta, t, [q[1] - beta] || q[2:] AS q FROM l, b), m AS (SELECT label, beta, t, list_position(q, list_max(q)) - 1 AS k, list_max(q) AS lp FROM z),
+c AS (SELECT *, lag(k) OVER (PARTITION BY label, beta ORDER BY t) AS p FROM m), g AS (SELECT label, beta, count(*)::INT AS n, round(exp(avg(lp)), 6) AS conf FROM c WHERE p IS DISTINCT FROM k AND k <> 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {_SWEEP} SELECT label, beta, n, conf FROM g")
 def blank_sweep(spark, d):
     s = posterior.blank_sweep(frames(spark, d), "label", "t", "logp", [0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0])
     return s.select("label", "beta", F.size("ids").alias("n"), F.round("conf", 6).alias("conf"))
 
 
-@query()
+_ALIGN = f"""{_CTC}, x AS (SELECT label, ids, flatten(list_transform(ids, lambda i: [0, i])) || [0] AS ext FROM y),
+vt AS (SELECT label, 0 AS t, [q[1], q[ids[1] + 1]] || list_transform(range(3, len(ext) + 1), lambda s: -1e30) AS a, NULL::INT[] AS back FROM q JOIN x USING (label) WHERE t = 0
+  UNION ALL SELECT label, t, list_transform(ext, lambda e, s: CASE back[s] WHEN 0 THEN a[s] WHEN 1 THEN a[s - 1] ELSE a[s - 2] END + q[e + 1]), back FROM (
+    SELECT vt.label, q.t, a, ext, q, list_transform(range(1, len(ext) + 1), lambda s: CASE
+      WHEN a[s] >= coalesce(a[s - 1], -1e30) AND (s < 4 OR s % 2 = 1 OR ext[s] = ext[s - 2] OR a[s] >= a[s - 2]) THEN 0
+      WHEN s < 4 OR s % 2 = 1 OR ext[s] = ext[s - 2] OR a[s - 1] >= a[s - 2] THEN 1 ELSE 2 END)::INT[] AS back
+    FROM vt JOIN q ON q.label = vt.label AND q.t = vt.t + 1 JOIN x ON x.label = vt.label)),
+tb AS (SELECT label, t, CASE WHEN a[len(a)] >= a[len(a) - 1] THEN len(a) ELSE len(a) - 1 END::INT AS s FROM vt QUALIFY row_number() OVER (PARTITION BY label ORDER BY t DESC) = 1
+  UNION ALL SELECT tb.label, tb.t - 1, tb.s - vt.back[tb.s] FROM tb JOIN vt ON vt.label = tb.label AND vt.t = tb.t WHERE tb.t > 0),
+f2 AS (SELECT tb.label, tb.t, s // 2 - 1 AS k, ext[s] AS token, q[ext[s] + 1] AS own, list_max(q) AS best, list_transform(q, lambda v, i: CASE WHEN i IN (1, ext[s] + 1) THEN -1e30 ELSE v END) AS rival FROM tb JOIN q ON q.label = tb.label AND q.t = tb.t JOIN x ON x.label = tb.label WHERE s % 2 = 0),
+f3 AS (SELECT *, list_position(rival, list_max(rival)) - 1 AS other FROM f2),
+co AS (SELECT label, k, other FROM f3 GROUP BY label, k, other QUALIFY row_number() OVER (PARTITION BY label, k ORDER BY count(*) DESC, other) = 1),
+al AS (SELECT f3.label, f3.k::INT AS k, token::INT AS token, min(t)::INT AS start, max(t)::INT + 1 AS end_, round(avg(own - best), 6) AS norm, any_value(co.other)::INT AS confuser FROM f3 JOIN co USING (label, k) GROUP BY ALL)"""
+
+
+@query(f'WITH RECURSIVE {_ALIGN} SELECT label, k, token, start, end_ AS "end", norm, confuser FROM al')
 def forced_alignment(spark, d):
     f = frames(spark, d)
     ids = posterior.greedy(f, "label", "t", "logp").select("label", "ids")
     return posterior.align_tokens(f, ids, "label").select("label", "k", "token", "start", "end", F.round("norm", 6).alias("norm"), "confuser")
 
 
-@query()
+@query(f"WITH RECURSIVE {_ALIGN}, n AS (SELECT token, confuser, count(*) AS n, sum(count(*)) OVER (PARTITION BY token)::BIGINT AS of FROM al GROUP BY token, confuser) SELECT token, confuser, n, of FROM n QUALIFY row_number() OVER (PARTITION BY token ORDER BY n DESC, confuser) = 1")
 def confusion_map(spark, d):
     f = frames(spark, d)
     ids = posterior.greedy(f, "label", "t", "logp").select("label", "ids")
     return posterior.confusion_map(posterior.align_tokens(f, ids, "label"))
 
 
-@query()
+@query(f"WITH {_SWEEP} SELECT label, beta, round(1 - conf, 6) AS miss FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(1 - conf, 6), beta) = 1")
 def best_blank_penalty(spark, d):
     s = posterior.blank_sweep(frames(spark, d), "label", "t", "logp", [0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0])
     return posterior.best_setting(s.withColumn("miss", F.round(1 - F.col("conf"), 6)), ["beta"], "miss", "label")
 
 
-@query()
+def _either(a: str, b: str) -> str:
+    """Logarithm of the sum of two probabilities."""
+    return f"(greatest({a}, {b}) + ln(1 + exp(least({a}, {b}) - greatest({a}, {b}))))"
+
+
+@query(
+    f"WITH RECURSIVE {_CTC}, w AS (SELECT label, 'greedy' AS cand, ids FROM y UNION ALL SELECT label, 'without_last', ids[:len(ids) - 1] FROM y), x AS (SELECT *, flatten(list_transform(ids, lambda i: [0, i])) || [0] AS ext FROM w WHERE len(ids) > 0), "
+    "fw AS (SELECT label, cand, 0 AS t, [q[1], q[ids[1] + 1]] || list_transform(range(3, len(ext) + 1), lambda s: -1e30) AS a FROM q JOIN x USING (label) WHERE t = 0 "
+    f"UNION ALL SELECT fw.label, fw.cand, q.t, list_transform(ext, lambda e, s: {_either(_either('a[s]', 'coalesce(a[s - 1], -1e30)'), 'CASE WHEN s < 4 OR s % 2 = 1 OR e = ext[s - 2] THEN -1e30 ELSE a[s - 2] END')} + q[e + 1]) FROM fw JOIN q ON q.label = fw.label AND q.t = fw.t + 1 JOIN x ON x.label = fw.label AND x.cand = fw.cand), "
+    f"z AS (SELECT label, cand, a FROM fw QUALIFY row_number() OVER (PARTITION BY label, cand ORDER BY t DESC) = 1) SELECT label, cand, round({_either('a[len(a)]', 'a[len(a) - 1]')}, 4) AS score FROM z UNION ALL SELECT label, cand, -1e30 FROM w WHERE len(ids) = 0"
+)
 def forward_scores(spark, d):
     f = frames(spark, d)
     ids = posterior.greedy(f, "label", "t", "logp").select("label", F.lit("greedy").alias("cand"), "ids")
