@@ -26,6 +26,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of more characters are not used to fit a model, so a sample's bytes are bounded as its rows are.
 LONGEST_SAMPLED = 200_000
 
+#: Rows of an Arrow batch, at most: whole texts and sets are in it, in the executor and in its Python worker.
+BATCH_ROWS = 1000
+
 #: Bytes of text that a kernel handles at once; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
@@ -53,16 +56,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage is cut and survives lost executors."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows alone, for a session: the kernels here need no more than BATCH_ROWS at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def materialize(df: DataFrame, tag: str = "step", rows: int | None = None, per_file: int = 500_000) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: the lineage is cut and survives lost executors.  With
+    `rows`, about how many there are at most, the table gets no more files than one for each `per_file` rows: a shuffle's
+    many small partitions make few files."""
     spark = df.sparkSession
     folder = f"{scratch_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_clear, folder)
     path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+    schema = df.schema
+    small_batches(spark)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._corvane_path = path
     return out
 
@@ -157,7 +173,9 @@ def append_columns(
     df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]
 ) -> DataFrame:
     """df with columns computed from its text column.  `make` runs once for each task and returns a kernel from a list
-    of UTF-8 texts (None: null) to one array for each field.  Input columns named like a field give way to it."""
+    of UTF-8 texts (None: null) to one array for each field.  Input columns named like a field give way to it, which each
+operator that uses this says of its own."""
+    small_batches(df.sparkSession)
     names = {f.name for f in fields}
     keep = [c for c in df.columns if c not in names or c == text]
     schema = T.StructType([*(f for f in df.schema.fields if f.name in keep), *fields])

@@ -3,8 +3,9 @@ r"""I-Match document fingerprints.
 The lexicon keeps terms whose inverse document frequency lies in a band, that is, whose share of documents lies between
 LEAST_SHARE and MOST_SHARE.  A text's fingerprint takes its distinct lexicon terms in sorted order and hashes those of
 each of several randomised subsets of the lexicon; subsets are drawn at several rates, so that short and long texts
-both have subsets with a few of their terms.  Equal texts have equal fingerprints; likeness is the share of equal
-hashes among subsets that hold a term of either text (1 if none does).
+both have subsets with a few of their terms.  A text without a term in any subset has the hash of all its terms in the
+place of the first, so that different texts do not share an empty fingerprint.  Equal texts have equal fingerprints;
+likeness is the share of equal hashes among subsets that hold a term of either text (1 if none does).
 
 A document has a bounded number of distinct terms on average, so fewer than (that number / LEAST_SHARE) terms can reach
 LEAST_SHARE of all documents: the lexicon has a proven bound however large the corpus is, and is sent to executors as a
@@ -13,8 +14,10 @@ reports the terms that reach half that share in it; what blocks leave out of a t
 term that reaches it has reports over half of it, and at most twice as many terms do.  Pass 2 counts those everywhere.
 
 Terms are words cut at ASCII white space, A-Z lower-cased.  Defined cases: null and empty texts have no term and the
-fingerprint of the empty set; repeated rows have equal fingerprints, and follow each other as next documents; the next
-of the last document is the first, so a lone document is its own next."""
+fingerprint of the empty set; repeated rows have equal fingerprints, and follow each other as next documents; rows of one
+id are in order of their text's hash; the next of the last document is the first, so a lone document is its own next;
+very long texts are read whole, alone; an empty table gives no rows; `fingerprint` takes the place of an input column of
+that name, and `compare` reads the id and the text alone."""
 
 from __future__ import annotations
 
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import LOWER, append_columns, forget, mix64, parts, share, word_hashes
+from corvane.llm.common import LOWER, append_columns, forget, mix64, parts, share, small_batches, word_hashes
 
 #: Terms in fewer or more of the documents than these shares are outside the band.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
@@ -55,6 +58,7 @@ def distinct_terms(texts: list) -> tuple[np.ndarray, np.ndarray]:
 def _count_pass(docs: DataFrame, text: str, candidates) -> DataFrame:
     """(term, n) of each block: with `candidates` the document counts of those terms, else of the terms that reach half
     the least share in it; both with one row for term null that counts documents."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -117,8 +121,16 @@ class Fingerprinter:
         self.powers = np.cumprod(np.full(len(terms) + 1, 0x9E3779B97F4A7C15, np.uint64))
 
     def __call__(self, texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), len(RATES)), np.uint16)
         doc, h = distinct_terms(texts)
+        out = self._subsets(len(texts), doc, h)
+        if len(bare := np.flatnonzero(~out[doc].any(1))):
+            total = np.zeros(len(texts), np.uint64)
+            np.add.at(total, doc[bare], mix64(h[bare]))
+            out[doc[bare], 0] = np.maximum((mix64(total) >> np.uint64(48)).astype(np.uint16), 1)[doc[bare]]
+        return out
+
+    def _subsets(self, n_texts: int, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = np.zeros((n_texts, len(RATES)), np.uint16)
         if not len(self.terms) or not len(h):
             return out
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)

@@ -8,7 +8,8 @@ probability over its words that have a letter, its score that share.
 
 Defined cases: null texts and texts without a letter give `und` with score 0; with nothing to learn from, every text
 does.  Ties go to the language that comes first by code point.  Repeated rows get equal results; very long texts are
-one chain, handled whole."""
+one chain, handled whole; an empty table gives no rows, and a model of an empty table knows no language; columns of the
+input named lang_pred, score, lang_spans or certainty give way to the operator's own."""
 
 from __future__ import annotations
 

@@ -11,7 +11,9 @@ by the distribution that the keys have), bucket totals are summed up per source,
 sorted, so a source with any share of all rows is spread over many tasks.
 
 Defined cases: a null or empty text has size 0 and is taken with 0 words; a null source is a source; repeated rows are
-documents of their own, ordered by key, id and size; an empty table gives no rows."""
+documents of their own, ordered by key, id and size, which are the ties; very long texts are counted whole and taken
+whole, so a source may miss its target by half of one; an empty table gives no rows; the key and the source alone are
+carried along, so no other column can clash."""
 
 from __future__ import annotations
 

@@ -174,8 +174,8 @@ def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFr
                 good.append(100 * hits >= PERCENT * (len(x) + len(y) - hits))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["u", "v"])
 
-    likely = materialize(both(pairs, signatures, "signature").mapInArrow(alike, "u bigint, v bigint"), "likely")
-    links = materialize(both(likely, sets, "members").mapInArrow(linked, "u bigint, v bigint"), "links")
+    likely = materialize(both(pairs, signatures, "signature").mapInArrow(alike, "u bigint, v bigint"), "likely", pairs.count(), 100_000)
+    links = materialize(both(likely, sets, "members").mapInArrow(linked, "u bigint, v bigint"), "links", likely.count(), 10_000)
     drop(likely)
     return links
 
@@ -248,24 +248,26 @@ def _in_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
             us, vs = np.minimum(node[i], node[j])[apart], np.maximum(node[i], node[j])[apart]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return materialize(dealt.join(sets, "node").groupBy("bucket", "p", "q").applyInArrow(compare, "u bigint, v bigint"), "links")
+    compared = dealt.join(sets, "node").groupBy("bucket", "p", "q").applyInArrow(compare, "u bigint, v bigint")
+    return materialize(compared, "links", placed.count(), 1_000)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node with a link can reach, by alternating large-star and small-star
     until nothing changes.  Every round is written to the shared folder."""
     pairs = lambda df: df.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges, state = materialize(pairs(links), "edges"), None
+    edges, state = materialize(pairs(links), "edges", links.count()), None
     while True:
+        n = edges.count()
         # large-star: every larger neighbour of a node is tied to the smallest node around it
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low"))
         large = both.join(low, "u").where("v > u").select(F.least("u", "low").alias("u"), "v")
         # small-star: a node and its smaller neighbours are tied to the smallest of them
-        large = materialize(pairs(large), "large")
+        large = materialize(pairs(large), "large", 2 * n)
         least = large.groupBy("v").agg(F.min("u").alias("low"))
         small = large.join(least, "v").select(F.col("low").alias("a"), F.explode(F.array("u", "v")).alias("b"))
-        new = materialize(pairs(small.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
+        new = materialize(pairs(small.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges", 2 * n)
         now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
         drop(large)
         drop(edges)
@@ -303,23 +305,28 @@ def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc
     """key, n_shingles, component_id (the smallest reachable key) and kept, one row per row of docs."""
     sketched = materialize(sketch(docs, width, text, key).withColumn("node", F.monotonically_increasing_id()), "sketch")
     filled = sketched.where((F.col("n_shingles") > 0) & F.col(key).isNotNull())
-    classes = materialize(filled.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.min(key).alias("id")), "classes")
-    all_ = materialize(sketched.select(key, "n_shingles", "h1", "h2"), "sizes")
-    first = materialize(filled.join(classes.select("node"), "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "buckets", "signature"), "first")
-    drop(sketched)
+    n = sketched.count()
+    classes = materialize(filled.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.min(key).alias("id")), "classes", n)
+    first = filled.join(classes.select("node"), "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "buckets", "signature")
+    first = materialize(first, "first", n, 15_000)
     # aggregates that are joined back are written first, so that a hot bucket's side of the join can be split
-    live, roots, tested, sets = first.select(F.explode("buckets").alias("bucket"), "node", "n"), None, None, None
-    sets_of = lambda nodes: materialize(_sets(docs, materialize(classes.join(nodes.distinct(), "node", "left_semi"), "shared"), width, text, key), "sets")
+    live, roots, tested, sets, held = first.select(F.explode("buckets").alias("bucket"), "node", "n"), None, None, None, BANDS * n
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        shared = materialize(classes.join(nodes.distinct(), "node", "left_semi"), "shared", n)
+        return materialize(_sets(docs, shared, width, text, key), "sets", shared.count(), 20_000)
+
     for turn in range(PIVOT_ROUNDS):
         # in the first round buckets of like members take the same pivot, so that most of their pairs are the same
         chance = F.xxhash64("node", "bucket", F.lit(turn)) if turn else F.xxhash64("node")
         placed, several = _open(live, roots, F.min_by(F.struct("node", "n", "root"), chance).alias("p"))
-        pivots = materialize(several, "pivots")
-        open_ = materialize(placed.join(pivots, "bucket").where("node <> p.node"), "open")
+        pivots = materialize(several, "pivots", held)
+        open_ = materialize(placed.join(pivots, "bucket").where("node <> p.node"), "open", held)
+        held = open_.count()
         sets = sets or sets_of(open_.select("node").union(pivots.select("p.node")))
         pairs = open_.where(F.col("root") != F.col("p.root")).where(_within("n", "p.n"))
         pairs = pairs.select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "candidates")
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "candidates", held)
         tested = pairs if tested is None else tested.union(pairs)
         found = _confirm(pairs, first, sets)
         roots = _joined(roots, found)
@@ -327,24 +334,24 @@ def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc
         if turn:
             drop(before)
         live, before = open_.select("bucket", "node", "n"), open_
-        if SPARSE * found.count() < open_.count():
+        if SPARSE * found.count() < held:
             break
     placed, several = _open(live, roots)
-    rest = materialize(placed.join(several, "bucket", "left_semi"), "rest")
+    rest = materialize(placed.join(several, "bucket", "left_semi"), "rest", held)
     sets = sets or sets_of(rest.select("node"))
     lone = _lone(sets.join(rest.select("node").distinct(), "node", "left_semi"))
-    own = materialize(rest.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0))), "lone")
+    own = materialize(rest.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0))), "lone", held)
     # the shingles that only one of two linked sets has are at most (100 - PERCENT) / PERCENT of the smaller set
     low = own.groupBy("bucket").agg(F.min("lone").alias("low"))
     near = own.join(low, "bucket").where(PERCENT * (F.col("lone") + F.col("low")) <= (100 - PERCENT) * F.col("n"))
-    roots = _joined(roots, _in_blocks(materialize(near.select("bucket", "node", "n", "root"), "near"), sets))
+    roots = _joined(roots, _in_blocks(materialize(near.select("bucket", "node", "n", "root"), "near", held), sets))
     for table in (first, sets, rest, own):
         drop(table)
 
     placed = classes.join(roots, "node", "left").select("h1", "h2", "id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("id").alias("component"))
     placed = placed.join(least, "root").select("h1", "h2", "component")
-    out = all_.join(placed, ["h1", "h2"], "left")
+    out = sketched.select(key, "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("component")).otherwise(F.col(key))
     return out.select(key, "n_shingles", own.alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
 

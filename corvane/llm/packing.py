@@ -8,8 +8,9 @@ by the piece's rank among those of its length.  Ranks come from counts over hash
 length's pieces meet in one task.
 
 Defined cases: null and empty texts are one piece that holds the end token; repeated rows are packed once each; texts
-longer than the capacity are cut from the end, so that only the first piece may be shorter; an empty table gives no
-pieces."""
+longer than the capacity are cut from the end, so that only the first piece may be shorter; pieces of one length are
+ranked by a hash of id and piece, then by id, piece and crc32, and what ties in all of these is alike; an empty table
+gives no pieces; the id and the text alone are read, so other columns cannot clash."""
 
 from __future__ import annotations
 

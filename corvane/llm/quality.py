@@ -10,7 +10,9 @@ of bad ones start as boilerplate and are relabelled by the fitted field in a few
 at least one boilerplate line.
 
 Defined cases: null and empty texts have no words and fail the base rule; without labels of both classes every line is
-content.  Lines longer than any bound are single tokens of the chain; texts are handled whole."""
+content.  Lines of any length are single tokens of the chain; very long texts are handled whole.  Repeated rows get equal
+results; of equal path scores the label that comes first wins; an empty table gives no rows; columns of the input named
+like the operator's own give way to them."""
 
 from __future__ import annotations
 

@@ -11,7 +11,8 @@ file in each row's `file` column, so lost executors and retried tasks leave no p
 plain files.
 
 Defined cases: null and empty texts are documents of the end token alone; null ids come first; repeated rows are
-documents of their own, in order of their text's hash; an empty table makes no shard."""
+documents of their own, in order of their text's hash; a very long text makes a long shard of its own; an empty table
+makes no shard; the id and the text alone are read, so other columns cannot clash."""
 
 from __future__ import annotations
 

@@ -6,7 +6,8 @@ labelled texts; ratios within a few standard errors of zero count as zero.  A lo
 penalty is fitted over the scaled features.  The intercept is set back from the sample to the labels' true shares.
 
 Defined cases: null and empty texts get the intercept's score; without labels of both classes every score is the share
-of label 1 (0 without labels).  Texts are scored whole; repeated rows get equal scores."""
+of label 1 (0 without labels).  Very long texts are scored whole; repeated rows get equal scores; a score of exactly 0.5
+predicts 1; an empty table gives no rows; columns of the input named score or predicted give way to the operator's own."""
 
 from __future__ import annotations
 

@@ -92,7 +92,7 @@ def templates(shapes: DataFrame) -> DataFrame:
     segments = F.filter(F.split("shape", "/"), lambda s: s != "")
     t = shapes.join(hosts, "host").withColumns({"seg": segments, "template": F.lit(""), "above": F.col("p")})
     t = materialize(t, "shapes")
-    deepest = t.agg(F.max(F.size("seg"))).first()[0] or 0
+    n, deepest = t.agg(F.count("*"), F.coalesce(F.max(F.size("seg")), F.lit(0))).first()
     for d in range(1, deepest + 1):
         t = t.withColumn("s", F.get("seg", F.lit(d - 1)))
         child = t.where("s is not null").groupBy("host", "template", "s").agg(*sums, F.max("p").alias("p"))
@@ -104,7 +104,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         apart = F.abs(F.try_divide("bad", own) - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
         alike = (own >= MERGE_LABELS) & (rest >= MERGE_LABELS) & (apart <= MERGE_ERRORS * error)
         step = F.when((own == 0) & (F.col("paths") == 1), F.lit("?")).when(F.coalesce(alike, F.lit(False)), F.lit("?+")).otherwise(F.col("s"))
-        j = materialize(j.select("host", "template", "s", step.alias("step"), "urls", "bad", "good", "p"), f"branches{d}")
+        j = materialize(j.select("host", "template", "s", step.alias("step"), "urls", "bad", "good", "p"), f"branches{d}", n)
         node = j.groupBy("host", "template", "step").agg(*sums[1:], F.max("p").alias("above"))
         node = node.select("host", "template", "step", "above", _smoothed(F.col("bad"), F.col("good"), F.col("urls"), F.col("above")).alias("p"))
         decided = j.select("host", "template", "s", "step").join(node, ["host", "template", "step"])
@@ -112,7 +112,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         t = t.join(decided, ["host", "template", "s"], "left")
         longer = F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))
         t = t.withColumns({"template": longer, "above": F.coalesce("_above", "above"), "p": F.coalesce("_p", "p")}).drop("s", "step", "_above", "_p")
-        t = materialize(t, f"level{d}")
+        t = materialize(t, f"level{d}", n)
     return t.drop("seg", "p")
 
 
@@ -129,7 +129,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", reject: floa
     shapes = paths.groupBy("host", F.col(shape).alias("shape")).agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("urls", "bad", "good")))
     tree = templates(shapes)
     scored = tree.groupBy("host", "template").agg(((F.sum("bad") + SMOOTH * F.max("above")) / (F.sum("bad") + F.sum("good") + SMOOTH)).alias("purity"))
-    found = materialize(tree.select("host", F.col("shape").alias(shape), "template", "urls").join(scored, ["host", "template"]), "verdicts")
+    found = materialize(tree.select("host", F.col("shape").alias(shape), "template", "urls").join(scored, ["host", "template"]), "verdicts", tree.count())
     total = found.agg(F.sum("urls")).first()[0] or 0
     # a shape with more than total / BROADCAST_SHAPES urls is one of at most BROADCAST_SHAPES
     often, seldom = found.where(F.col("urls") * BROADCAST_SHAPES > total).drop("urls"), found.where(F.col("urls") * BROADCAST_SHAPES <= total).drop("urls")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import parts
+from corvane.llm.common import parts, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 # Elements whose content is not text, whose content is plain characters, that break lines, that link.
@@ -276,6 +276,7 @@ def derivatives(data: bytes | None) -> list[tuple[list, bytes]]:
 
 def responses(pages: DataFrame, url: str = "url", body: str = "html", key: str = "page_id") -> DataFrame:
     """(key, warc): a response record of each page."""
+    small_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,12 @@
 import codecs
 import hashlib
 import json
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -95,6 +97,31 @@ def test_language_is_predicted_on_held_out_rows(spark, docs):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
 
 
+def test_languages_match_plain_forward_backward(spark, docs):
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    model = langid.fit(docs.where(~F.col("doc_id").isin([r.doc_id for r in docs.collect() if held(r.doc_id)]) & F.col("lang").isNotNull()))
+    got = {r.doc_id: r for r in langid.op1(docs).collect()}
+    total = lambda x: max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+    k = len(model.langs)
+    for r in docs.where("n_chars < 900").limit(25).collect():
+        words = (r.text or "").encode().split()
+        emit = langid._emissions(words, model).astype(float) if words else np.zeros((0, k))
+        if not any(map(langid._has_letter, words)):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        fore, back = [[emit[0][y] + model.start[y] for y in range(k)]], [[0.0] * k]
+        for e in emit[1:]:
+            fore.append([e[y] + total([fore[-1][a] + model.trans[a, y] for a in range(k)]) for y in range(k)])
+        for e in emit[:0:-1]:
+            back.append([total([model.trans[y, b] + e[b] + back[-1][b] for b in range(k)]) for y in range(k)])
+        mass, n = [0.0] * k, 0
+        for f, b, w in zip(fore, back[::-1], words):
+            if langid._has_letter(w):
+                mass, n = [m + math.exp(x + y - total(fore[-1])) for m, x, y in zip(mass, f, b)], n + 1
+        best = max(range(k), key=lambda y: mass[y])
+        assert got[r.doc_id].lang_pred == model.langs[best] and got[r.doc_id].score == pytest.approx(mass[best] / n, abs=1e-3)
+
+
 def test_language_labels_switch_within_a_text(spark, docs):
     model = langid.fit(docs)
     texts = {r.lang: r.text for r in docs.where("length(text) > 300").collect()}
@@ -181,6 +208,24 @@ def test_quality_counts_match_brute_force(spark, docs, labels):
             assert not (r.base_failed and r.kept)
 
 
+def test_quality_verdicts_match_plain_viterbi(spark, docs, labels):
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.op3(docs, labels).collect()}
+    seen = Counter()
+    for r in docs.collect():
+        base, lines = quality.measure([(r.text or "").encode()])
+        emit = lines.features @ model.weights
+        best = [[(emit[0][y] + model.start[y], (y,)) for y in (0, 1)]] if len(emit) else []
+        for e in emit[1:]:
+            best.append([max(((s + model.trans[a, y] + e[y], (*path, y)) for a, (s, path) in enumerate(best[-1])), key=lambda x: x[0]) for y in (0, 1)])
+        path = max(best[-1], key=lambda x: x[0])[1] if best else ()
+        words, content = int(base["n_words"][0]), sum(int(w) for w, y in zip(lines.words, path) if y)
+        kept = not got[r.doc_id].base_failed and content >= quality.KEEP_SHARE * max(words, 1)
+        assert got[r.doc_id].kept == kept
+        seen[kept] += 1
+    assert min(seen.values()) > 5
+
+
 def test_quality_labels_follow_training(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.op3(d, l).join(l, "doc_id").where("not base_failed").collect()
@@ -264,6 +309,12 @@ def test_near_duplicates_with_long_sets_and_many_columns_in_blocks(spark, monkey
     assert neardup._overlaps(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
 
 
+def test_near_duplicates_ignore_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    d = spark.createDataFrame([(1, text, 5, "a"), (2, text, 6, "b")], "doc_id bigint, text string, node int, component_id string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.op5(d.withColumns({c: F.lit(0) for c in ("h1", "h2", "bucket", "root", "kept", "n")})).collect()) == [(1, 1), (2, 1)]
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (5, 2), (3, 3)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
@@ -322,6 +373,25 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r.predicted for r in bad) >= 0.85 * len(bad) and sum(r.predicted for r in good) <= 0.02 * len(good)
 
 
+def test_toxicity_scores_match_plain_loops(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    model = toxicity.fit(docs, labels.where(F.col("doc_id").isin([r.doc_id for r in labels.collect() if not held(r.doc_id)])))
+    got = {r.doc_id: r for r in toxicity.op7(docs, labels).collect()}
+    assert all(r.held_out == held(d) for d, r in got.items())
+    for r in docs.where("n_chars < 1500").limit(25).collect():
+        codes = [ord(c) for c in " " + re.sub(r"[\t\n\v\f\r]", " ", r.text).translate({i: i + 32 for i in range(65, 91)}) + " "]
+        counts = Counter()
+        for n in toxicity.ORDERS:
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x01000193 + codes[i + k] + k + 1) & 0xFFFFFFFF
+                counts[((h ^ h >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - toxicity.BITS] += 1
+        z = model.bias + sum(float(model.weights[b]) * math.log2(1 + c) for b, c in counts.items())
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+
+
 def test_toxicity_awkward(spark, docs, labels, awkward, empty):
     rows = toxicity.score(awkward, toxicity.fit(docs, labels)).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
@@ -344,6 +414,13 @@ def brute_targets(sizes):
     return target
 
 
+def brute_draw(doc_id, text):
+    """A document's exponential key: its digest's draw over its quality weight."""
+    unit = (int(hashlib.md5(f"{'' if doc_id is None else doc_id}:mix".encode()).hexdigest()[:13], 16) + 1) / (1 << 52)
+    size, symbols = len(WORD.findall(text.encode())), sum(c in "#*$%&|<>{}[]!" for c in text)
+    return -math.log(unit) * (size + 1 + symbols) / (size + 1)
+
+
 def test_mixing_reaches_targets(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a"] * 60 + ["b", "c", None, "\U0001F600", "z"])) for i in range(3000)]
@@ -614,6 +691,9 @@ def brute_imatch(texts, terms):
             chosen = [t for t in own if mix(t ^ int(seed)) >> 32 < int(limit)]
             total = sum(mix(t) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, t in enumerate(chosen)) & mask
             row.append(max(mix(total) >> 48, 1) if chosen else 0)
+        every = {xxhash.xxh64_intdigest(w.lower()) for w in WORD.findall(text.encode())}
+        if every and not any(row):
+            row[0] = max(mix(sum(map(mix, every)) & mask) >> 48, 1)
         out.append("".join(f"{x:04x}" for x in row))
     return out
 
@@ -658,5 +738,8 @@ def test_fingerprints_awkward(spark, awkward, empty):
     rows = imatch.op10(awkward).collect()
     assert len(rows) == len(AWKWARD) and len({r.fingerprint for r in rows if r.doc_id in (5, 6)}) == 1
     assert imatch.op10(empty).count() == 0
+    # texts without a term of the lexicon are told apart, but for those of equal terms
+    short = imatch.Fingerprinter(np.zeros(0, np.uint64))([b"one two", b"three", b"two One", b"", None])
+    assert (short[0] == short[2]).all() and (short[0] != short[1]).any() and not short[3:].any()
     alone = imatch.op10(spark.createDataFrame([(1, "just one")], "doc_id bigint, text string")).first()
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"just" + b"just").hexdigest()
