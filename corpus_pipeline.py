@@ -1,7 +1,12 @@
 """A training-data pipeline over `documents`: language ID, toxicity, near-duplicate removal, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept.  All but the last return the
-columns of documents.  A document that mixing takes k times comes out as k rows."""
+columns of documents.  A document that mixing takes k times comes out as k rows.
+
+Defined cases: rows with a null or empty text, or one without a letter, are rejected by the first stage as no language;
+rows with a null id are kept, compared and drawn like others; of rows equal in every column, as of all copies, one
+stays; ties for the row that stays go to the smaller id, then to the earlier row; very long texts pass whole; an empty
+table gives no rows; columns beside those of documents are dropped by the first stage, so none can clash."""
 
 from __future__ import annotations
 
