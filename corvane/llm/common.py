@@ -63,7 +63,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def materialize(df: DataFrame, tag: str = "step", rows: int | None = None, per_file: int = 500_000) -> DataFrame:
+def materialize(df: DataFrame, tag: str = "step", rows: int | None = None, per_file: int = 25_000) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage is cut and survives lost executors.  With
     `rows`, about how many there are at most, the table gets no more files than one for each `per_file` rows: a shuffle's
     many small partitions make few files."""

@@ -174,8 +174,8 @@ def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFr
                 good.append(100 * hits >= PERCENT * (len(x) + len(y) - hits))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["u", "v"])
 
-    likely = materialize(both(pairs, signatures, "signature").mapInArrow(alike, "u bigint, v bigint"), "likely", pairs.count(), 100_000)
-    links = materialize(both(likely, sets, "members").mapInArrow(linked, "u bigint, v bigint"), "links", likely.count(), 10_000)
+    likely = materialize(both(pairs, signatures, "signature").mapInArrow(alike, "u bigint, v bigint"), "likely", pairs.count(), 10_000)
+    links = materialize(both(likely, sets, "members").mapInArrow(linked, "u bigint, v bigint"), "links", likely.count(), 2_000)
     drop(likely)
     return links
 
@@ -314,7 +314,7 @@ def cluster(docs: DataFrame, width: int = 5, text: str = "text", key: str = "doc
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         shared = materialize(classes.join(nodes.distinct(), "node", "left_semi"), "shared", n)
-        return materialize(_sets(docs, shared, width, text, key), "sets", shared.count(), 20_000)
+        return materialize(_sets(docs, shared, width, text, key), "sets", shared.count(), 2_000)
 
     for turn in range(PIVOT_ROUNDS):
         # in the first round buckets of like members take the same pivot, so that most of their pairs are the same
