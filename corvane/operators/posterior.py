@@ -174,6 +174,14 @@ def align_tokens(frames: DataFrame, targets: DataFrame, unit: str, t: str = "t",
     return frames.groupBy(unit).cogroup(targets.groupBy(unit)).applyInPandas(run, f"{unit} {kind}, {SCORES}")
 
 
+def segments(aligned: DataFrame, unit: str, part: Column, frame_seconds: float, least: float = -2.0, shortest: float = 1.0, longest: float = 20.0) -> DataFrame:
+    """Parts (verses) of aligned utterances: span in seconds and the mean log probability of their tokens, where it
+    reaches a bound and the length is within bounds."""
+    g = aligned.groupBy(unit, part.alias("part")).agg(F.min("start").alias("a"), F.max("end").alias("b"), F.avg("raw").alias("score"))
+    g = g.select(unit, "part", (F.col("a") * frame_seconds).alias("start_s"), (F.col("b") * frame_seconds).alias("end_s"), "score")
+    return g.where((F.col("score") >= least) & (F.col("end_s") - F.col("start_s")).between(shortest, longest))
+
+
 def confusion_map(aligned: DataFrame) -> DataFrame:
     """Of each token its most frequent confuser, the smaller of equals, and how often it is that."""
     counts = aligned.groupBy("token", "confuser").agg(F.count("*").alias("n"))

@@ -108,9 +108,31 @@ def numbering(df: DataFrame, value: str) -> DataFrame:
 
 
 def grid_shift(left: DataFrame, right: DataFrame, key: str, grid: Column) -> DataFrame:
-    """The constant time shift of each key that makes most left intervals (s, e) overlap right ones."""
-    l = left.withColumn("delta", F.explode(grid))
-    pairs = l.join(right.select(key, F.col("s").alias("rs"), F.col("e").alias("re")), key)
-    overlap = F.greatest(F.least(F.col("e") + F.col("delta"), F.col("re")) - F.greatest(F.col("s") + F.col("delta"), F.col("rs")), F.lit(0.0))
-    per = pairs.groupBy(key, "delta").agg(F.sum(overlap).alias("overlap"))
+    """The constant time shift of each key that makes most left intervals (s, e) overlap right ones; the smallest of
+    equals.  Intervals meet by cells as wide as the longest one, so those that are apart are not compared."""
+    width = max((r[0] or 0.0 for df in (left, right) for r in [df.agg(F.max(F.col("e") - F.col("s"))).first()]), default=0.0) or 1.0
+    cell = lambda c: F.floor(c / width)
+    l = left.withColumn("delta", F.explode(grid)).select(key, "delta", (F.col("s") + F.col("delta")).alias("ls"), (F.col("e") + F.col("delta")).alias("le"))
+    near = l.withColumn("cell", F.explode(F.sequence(cell(F.col("ls")) - 1, cell(F.col("le")))))
+    pairs = near.join(right.select(key, F.col("s").alias("rs"), F.col("e").alias("re"), cell(F.col("s")).alias("cell")), [key, "cell"])
+    overlap = F.greatest(F.least("le", "re") - F.greatest("ls", "rs"), F.lit(0.0))
+    found = pairs.groupBy(key, "delta").agg(F.sum(overlap).alias("overlap"))
+    both = left.select(key).distinct().join(right.select(key).distinct(), key).select(key, F.explode(grid).alias("delta"), F.lit(0.0).alias("overlap"))
+    per = found.unionByName(both).groupBy(key, "delta").agg(F.sum("overlap").alias("overlap"))
     return per.groupBy(key).agg(F.max_by("delta", F.struct("overlap", (-F.col("delta")).alias("d"))).alias("delta"), F.max("overlap").alias("overlap"))
+
+
+def shift_search(left: DataFrame, right: DataFrame, key: str, reach: float, coarse: float = 5.0, fine: float = 1.0, at: float = 0.8) -> DataFrame:
+    """(key, delta, overlap, valid): the shift by a coarse grid within `reach`, then a fine one around the best; valid if
+    the left interval at a share `at` of the key's order, shifted, overlaps a right one."""
+    steps = lambda low, high, step: F.transform(F.sequence(F.lit(0), F.floor((high - low) / step).cast("int")), lambda i: low + i * F.lit(step))
+    rough = grid_shift(left, right, key, steps(F.lit(-reach), F.lit(reach), coarse)).select(key, F.col("delta").alias("rough"))
+    near = left.join(rough, key)
+    moved = near.select(key, (F.col("s") + F.col("rough")).alias("s"), (F.col("e") + F.col("rough")).alias("e"))
+    best = grid_shift(moved, right, key, steps(F.lit(-coarse), F.lit(coarse), fine)).join(rough, key)
+    best = best.select(key, (F.col("rough") + F.col("delta")).alias("delta"), "overlap")
+    order = Window.partitionBy(key).orderBy("s", "e")
+    ranked = left.withColumn("_n", F.row_number().over(order) - 1).join(left.groupBy(key).agg(F.count("*").alias("_all")), key)
+    block = ranked.where(F.col("_n") == F.least(F.floor(F.col("_all") * at), F.col("_all") - 1)).select(key, F.col("s").alias("bs"), F.col("e").alias("be")).join(best, key)
+    hit = block.join(right, key).where((F.col("bs") + F.col("delta") < F.col("e")) & (F.col("s") < F.col("be") + F.col("delta"))).select(key, F.lit(True).alias("hit")).distinct()
+    return best.join(hit, key, "left").select(key, "delta", "overlap", F.coalesce("hit", F.lit(False)).alias("valid"))

@@ -680,7 +680,7 @@ tb AS (SELECT label, t, CASE WHEN a[len(a)] >= a[len(a) - 1] THEN len(a) ELSE le
 f2 AS (SELECT tb.label, tb.t, s // 2 - 1 AS k, ext[s] AS token, q[ext[s] + 1] AS own, list_max(q) AS best, list_transform(q, lambda v, i: CASE WHEN i IN (1, ext[s] + 1) THEN -1e30 ELSE v END) AS rival FROM tb JOIN q ON q.label = tb.label AND q.t = tb.t JOIN x ON x.label = tb.label WHERE s % 2 = 0),
 f3 AS (SELECT *, list_position(rival, list_max(rival)) - 1 AS other FROM f2),
 co AS (SELECT label, k, other FROM f3 GROUP BY label, k, other QUALIFY row_number() OVER (PARTITION BY label, k ORDER BY count(*) DESC, other) = 1),
-al AS (SELECT f3.label, f3.k::INT AS k, token::INT AS token, min(t)::INT AS start, max(t)::INT + 1 AS end_, round(avg(own - best), 6) AS norm, any_value(co.other)::INT AS confuser FROM f3 JOIN co USING (label, k) GROUP BY ALL)"""
+al AS (SELECT f3.label, f3.k::INT AS k, token::INT AS token, min(t)::INT AS start, max(t)::INT + 1 AS end_, round(avg(own - best), 6) AS norm, avg(own) AS raw, any_value(co.other)::INT AS confuser FROM f3 JOIN co USING (label, k) GROUP BY ALL)"""
 
 
 @query(f'WITH RECURSIVE {_ALIGN} SELECT label, k, token, start, end_ AS "end", norm, confuser FROM al')

@@ -3,12 +3,12 @@ from the driver's Latin text, letter by letter, the same way in Spark and in SQL
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions import script, text
-from corvane.operators import curate, fusion, lexicon, metre, metrics, posterior, sequence
-from corvane.plans.catalog import _BENCH, _FRAMES, _LATIN, _WORDS, bench_words, frames, latin, query, t, turn_pairs
+from corvane.operators import curate, fusion, lexicon, metre, posterior, sequence
+from corvane.plans.catalog import _ALIGN, _BENCH, _FRAMES, _WORDS, bench_words, frames, query, t, turn_pairs
 
 # A Latin letter, stop, digit or accent for each Devanagari sign.
 _FROM = "abcdefghijklmnopqrstuvwxyz.,!?0123456789"
@@ -457,3 +457,87 @@ def gated_runs(spark, d):
     p = turn_pairs(spark, d)
     lx = bench_words(spark, d)[1].where("freq >= 5")
     return fusion.gated_runs(p, ["conv_id", "turn"], "ref", "hyp", lx, seconds_per_word=0.4)
+
+
+_SHIFT = "greatest(least(e + {d}, re) - greatest(s + {d}, rs), 0)"
+
+
+@query(
+    f"WITH {_SPANS}, o AS (SELECT user_id, delta, sum({_SHIFT.format(d='delta')}) AS overlap FROM l JOIN r USING (user_id), (SELECT unnest(range(-240, 241, 60))::DOUBLE AS delta) GROUP BY ALL), c AS (SELECT user_id, delta AS rough FROM o QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY overlap DESC, delta) = 1), "
+    f"f AS (SELECT user_id, rough + d AS delta, sum({_SHIFT.format(d='(rough + d)')}) AS overlap FROM l JOIN r USING (user_id) JOIN c USING (user_id), (SELECT unnest(range(-60, 61, 20))::DOUBLE AS d) GROUP BY ALL), b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(overlap, 6) DESC, delta) = 1), "
+    "k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS m FROM l) WHERE n = least(floor(m * 0.8), m - 1)), "
+    "v AS (SELECT DISTINCT k.user_id FROM k JOIN b USING (user_id) JOIN r USING (user_id) WHERE k.s + delta < re AND rs < k.e + delta) "
+    "SELECT b.user_id, b.delta, round(b.overlap, 3) AS overlap, v.user_id IS NOT NULL AS valid FROM b LEFT JOIN v USING (user_id)"
+)
+def searched_shifts(spark, d):
+    """Coarse, then fine, with a check at four fifths of each user's intervals."""
+    second = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000)) / F.lit(1e6)
+    l = t(spark, d, "events").where("event_type = 'view'").select("user_id", second.alias("s"), (second + 600).alias("e"))
+    move = (F.col("user_id") % 7) * 60 - 180
+    r = l.select("user_id", (F.col("s") + move).alias("s"), (F.col("e") + move).alias("e"))
+    return sequence.shift_search(l, r, "user_id", 240.0, 60.0, 20.0).withColumn("overlap", F.round("overlap", 3))
+
+
+@query(
+    f"WITH RECURSIVE {_ALIGN}, g AS (SELECT label, k // 8 AS part, min(start) * 0.5 AS start_s, max(end_) * 0.5 AS end_s, avg(raw) AS score FROM al GROUP BY ALL) "
+    "SELECT label, part::BIGINT AS part, start_s::DOUBLE AS start_s, end_s::DOUBLE AS end_s, round(score, 6) AS score FROM g WHERE score >= -4 AND end_s - start_s BETWEEN 1 AND 20"
+)
+def aligned_segments(spark, d):
+    f = frames(spark, d)
+    ids = posterior.greedy(f, "label", "t", "logp").select("label", "ids")
+    s = posterior.segments(posterior.align_tokens(f, ids, "label"), "label", F.floor(F.col("k") / 8), 0.5, least=-4.0)
+    return s.withColumn("score", F.round("score", 6))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 OR url IS NULL THEN '' ELSE upper(substr(url, 1, 12)) END AS answer FROM pages")
+def enriched_rows(spark, d):
+    """What a call says of each row, '' where it fails."""
+    from corvane.sources.readers import enriched
+
+    def call(value: str) -> str:
+        number, url = value.split(" ", 1)
+        if int(number) % 5 == 0:
+            raise TimeoutError(number)
+        return url[:12].upper()
+
+    asked = t(spark, d, "pages").select("page_id", F.concat_ws(" ", "page_id", "url").alias("q"))
+    return enriched(asked, call, "q", "answer").select("page_id", "answer")
+
+
+# ------------------------------------------------------------------ verse units
+
+
+@query(
+    "WITH x AS (SELECT item_id, list_filter(string_split(text, ' '), lambda w: w <> '') AS w, (item_id % 5 + 3)::INT AS n FROM benchmark) "
+    "SELECT item_id, i::INT AS pada, list_transform(w[i * n + 1:(i + 1) * n], lambda v, k: v || CASE WHEN k = len(w[i * n + 1:(i + 1) * n]) OR length(v) % 2 = 0 THEN ' ' ELSE '' END) AS parts FROM (SELECT *, unnest(range((len(w) - 1) // n + 1)) AS i FROM x WHERE len(w) > 0)"
+)
+def quarter_rows(spark, d):
+    """Units in groups of a length, the last of each marked as a word end."""
+    w = F.filter(F.split("text", " "), lambda x: x != "")
+    units = F.transform(w, lambda x: F.struct(x.alias("text"), (F.length(x) % 2 == 0).alias("word_end")))
+    x = t(spark, d, "benchmark").select("item_id", script.padas(units, (F.col("item_id") % 5 + 3).cast("int")).alias("p"))
+    shown = F.transform("g", lambda u: F.concat(u["text"], F.when(u["word_end"], " ").otherwise("")))
+    return x.select("item_id", F.posexplode("p").alias("pada", "g")).select("item_id", "pada", shown.alias("parts"))
+
+
+@query(
+    "WITH x AS (SELECT conv_id AS item, turn % 3 AS verse, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) - 1 AS place, substr(text, 1, 40) AS line, role FROM conversations WHERE text IS NOT NULL), "
+    "u AS (SELECT *, place // 2 AS unit FROM x) SELECT item, verse::INT AS verse, unit::INT AS unit, arg_min(role, place) AS metre, string_agg(trim(line), ' ' ORDER BY place) AS text, string_agg(trim(line), chr(10) ORDER BY place) AS tts_text FROM u GROUP BY item, verse, unit"
+)
+def paired_units(spark, d):
+    """Consecutive pairs of a verse's quarters, here the turns of a conversation."""
+    c = t(spark, d, "conversations").where("text is not null")
+    one = F.array(F.struct(F.substring("text", 1, 40).alias("text"), F.lit(True).alias("word_end")))
+    padas = c.select(F.col("conv_id").alias("item"), (F.col("turn") % 3).cast("int").alias("verse"), F.col("turn").cast("int").alias("pada"), F.col("role").alias("metre"), one.alias("aksharas"))
+    return metre.units(padas, "item", "ardha").drop("aksharas")
+
+
+@query(
+    "WITH u AS (SELECT lang || '-' || source AS text, 'm' || (n_chars % 3) AS metre, doc_id AS verse, 0 AS unit FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), f AS (SELECT text, arg_min(metre, verse) AS metre FROM u GROUP BY text), "
+    "k AS (SELECT *, substr(sha1(text || '|' || metre || '|60'), 1, 16) AS key FROM f) SELECT text, metre, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE metre = 'm1')"
+)
+def jobs_to_render(spark, d):
+    """Distinct texts with the first metre seen, less those that are there already."""
+    u = t(spark, d, "documents").where("lang is not null and source is not null").select(F.concat_ws("-", "lang", "source").alias("text"), F.concat(F.lit("m"), F.col("n_chars") % 3).alias("metre"), F.col("doc_id").alias("verse"), F.lit(0).alias("unit"))
+    every = metre.render_jobs(u, u.select(F.lit("").alias("key")).limit(0))
+    return metre.render_jobs(u, every.where("metre = 'm1'").select("key")).select("text", "metre", "key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import curate
@@ -67,7 +67,7 @@ def commented_lines(spark, d):
     """The first column of lines, without comments and blanks."""
     path = folder(spark, "text")
     docs = t(spark, d, "documents")
-    docs.select(F.explode(F.array(F.lit("# comment"), F.lit("  "), F.concat_ws("\t", " doc_id ".strip(), "source", F.lit("#")))).alias("value")).write.text(path)
+    docs.select(F.explode(F.array(F.lit("# comment"), F.lit("  "), F.concat_ws("\t", "doc_id", "source", F.lit("#")))).alias("value")).write.text(path)
     return readers.text_lines(spark, path)
 
 

@@ -179,6 +179,53 @@ def test_curation(spark):
     assert one(spark, curate.tri_state(C("s"), F.lit(True), 0.2, 0.35), s=0.3) == "retained"
 
 
+def test_running_sums_of_groups_match_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i, rng.randint(0, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k int, i int, n int")
+    got = {r.i: r.before for r in curate.ranked_sum(df, "n", "k", "i", by=("g",), buckets=7).collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    assert got == {r[2]: sum(x[3] for x in rows if x[0] == r[0] and key(x) < key(r)) for r in rows}
+    numbered = curate.row_numbers(df, "g", "i").collect()
+    assert all(r.rn == 1 + sum(x[0] == r.g and x[2] < r.i for x in rows) for r in numbered)
+    tenth = curate.every_kth(df, 10, "i").collect()
+    assert sorted(r.i for r in tenth) == list(range(0, 300, 10)) and tenth[0].asDict().keys() == {"g", "k", "i", "n"}
+
+
+def test_exact_percentiles_match_numpy(spark):
+    import numpy as np
+
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), rng.choice([None, rng.random(), 0.5, float(rng.randint(0, 3))])) for _ in range(400)]
+    got = {r.g: r.p for r in metrics.exact_percentiles(spark.createDataFrame(rows, "g string, v double"), "v", [0.0, 0.1, 0.5, 0.95, 1.0], "g").collect()}
+    for g in "ab":
+        assert got[g] == pytest.approx(np.percentile([v for x, v in rows if x == g and v is not None], [0, 10, 50, 95, 100]).tolist())
+
+
+def test_edits_of_lists_with_very_many_words(spark):
+    n = F.sequence(F.lit(41_980), F.lit(41_990))
+    codes = one(spark, edit._as_symbols(n, F.sequence(F.lit(1), F.lit(42_000))))
+    assert len(set(codes)) == 11 and not any(0xD800 <= ord(c) < 0xE000 for c in codes)
+
+
+def test_lexicon_joins_of_any_letters(spark):
+    left = spark.createDataFrame([("caf\u00e9s",), ("ab",), ("\u092e\u0928",)], "word string")
+    lx = spark.createDataFrame([("caf\u00e9", 3), ("acf\u00e9s", 2), ("caf\u00e9ss", 2), ("fac\u00e9s", 2), ("ba", 1), ("b", 1), ("\u0928\u092e", 5)], "word string, freq bigint")
+    assert {(r.word, r.cand) for r in lexicon.edit_one(left, lx).collect()} == {("caf\u00e9s", "caf\u00e9"), ("caf\u00e9s", "acf\u00e9s"), ("caf\u00e9s", "caf\u00e9ss"), ("ab", "ba"), ("ab", "b"), ("\u092e\u0928", "\u0928\u092e")}
+    words = spark.createDataFrame([("abcdef",), ("abcde",), ("xyxyxy",), ("known1",), (None,)], "word string")
+    lx = spark.createDataFrame([("abc", 50), ("def", 50), ("ab", 2), ("cdef", 2), ("known1", 1), ("xy", 1), ("xyx", 0)], "word string, freq bigint").where("freq > 0")
+    got = {r.word: r.pieces for r in lexicon.tiled(words, "word", lx).collect()}
+    assert got == {"abcdef": ["abc", "def"], "abcde": ["abcde"], "xyxyxy": ["xy", "xy", "xy"], "known1": ["known1"], None: None}
+
+
+def test_gated_runs(spark):
+    pairs = spark.createDataFrame([(1, "a b c d x e f g", "a b c d y e f g", [0.9] * 4 + [0.1] * 4), (2, "p q r s", "p q r s", [0.9] * 4), (3, "a b", "a b", [1.0, 1.0])], "k int, ref string, hyp string, conf array<double>")
+    lx = spark.createDataFrame([(w,) for w in "abcdefg"], "word string")
+    rows = fusion.gated_runs(pairs, ["k"], "ref", "hyp", lx, 0.5, confidence="conf").collect()
+    assert [(r.k, r.start, r.end, r.text, r.from_s, r.to_s) for r in rows] == [(1, 0, 4, "a b c d", 0.0, 2.1)]
+    assert sorted((r.k, r.start) for r in fusion.gated_runs(pairs, ["k"], "ref", "hyp", lx, 0.5).collect()) == [(1, 0), (1, 5)]
+
+
 def test_round_robin_matches_a_loop(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice("abc"), rng.randint(1, 9)) for i in range(60)]
