@@ -9,7 +9,7 @@ length's pieces meet in one task.
 
 Defined cases: null and empty texts are one piece that holds the end token; repeated rows are packed once each; texts
 longer than the capacity are cut from the end, so that only the first piece may be shorter; pieces of one length are
-ranked by a hash of id and piece, then by id, piece and crc32, and what ties in all of these is alike; an empty table
+dealt to chunks by row number and ranked by id, piece, crc32 and row number; an empty table
 gives no pieces; the id and the text alone are read, so other columns cannot clash."""
 
 from __future__ import annotations
@@ -116,21 +116,23 @@ def slots(plan_: list) -> dict:
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """pieces (a table that can be read again: key, piece, start, length, ...) with sequence_id and offset."""
+    """pieces (a table that can be read again: key, piece, start, length, ...) with sequence_id and offset.  A column _row
+    of row numbers, which goes, deals equal rows to chunks too."""
+    numbered = "_row" in pieces.columns
     spark = pieces.sparkSession
     per_length = pieces.groupBy("length").count()
     histogram = {r["length"]: r["count"] for r in per_length.collect()}  # at most `capacity` rows
     table = share(spark, slots(plan(histogram, capacity)))
 
     chunked = spark.createDataFrame([(n, max(1, -(-c // CHUNK_ROWS))) for n, c in histogram.items()] or [(0, 1)], "length bigint, chunks bigint")
-    dealt = pieces.join(F.broadcast(chunked), "length").withColumn("chunk", F.pmod(F.xxhash64(key, "piece"), "chunks")).drop("chunks")
+    dealt = pieces.join(F.broadcast(chunked), "length").withColumn("chunk", F.pmod(F.xxhash64("_row") if numbered else F.xxhash64(key, "piece", "ids_crc32"), "chunks")).drop("chunks")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = dealt.groupBy("length", "chunk").count().select("length", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "chunk").orderBy(key, "piece", "ids_crc32"))
+    own = F.row_number().over(Window.partitionBy("length", "chunk").orderBy(key, "piece", "ids_crc32", *(["_row"] if numbered else [])))
     ranked = dealt.withColumn("rank", own.cast("bigint") - 1).join(offsets, ["length", "chunk"]).withColumn("rank", F.col("rank") + F.col("before"))
-    ranked = ranked.select(*pieces.columns, "rank")
-    kept = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id bigint, offset bigint"
+    kept = [c for c in pieces.columns if c != "_row"]
+    ranked = ranked.select(*kept, "rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name in kept) + ", sequence_id bigint, offset bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table()
@@ -148,5 +150,5 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Da
 
 def op2(docs: DataFrame, tokenizer: str, remembered: int = CACHED, at_once: int = ENCODE_BYTES) -> DataFrame:
     """The contract's digest."""
-    pieces = materialize(cut(docs, tokenizer, end_id=2, remembered=remembered, at_once=at_once), "pieces")
+    pieces = materialize(cut(docs, tokenizer, end_id=2, remembered=remembered, at_once=at_once).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     return pack(pieces)

@@ -159,7 +159,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key:
         if keys:
             yield close()
 
-    ordered = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(text))
+    # rows that repeat an id, and equal rows too, can lie in several ranges
+    order = (F.col(key).asc_nulls_first(), F.col("_hash").asc(), F.col("_row").asc())
+    numbered = docs.select(key, text, F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = numbered.repartitionByRange(*order).sortWithinPartitions(*order).select(key, text)
     return materialize(ordered.mapInArrow(run, "part int, shard bigint, n_docs bigint, n_tokens bigint, file binary"), "tokens")
 
 
