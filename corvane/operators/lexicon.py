@@ -124,10 +124,10 @@ def splits(left: DataFrame, lexicon: DataFrame, least: int = 6, part: int = 2) -
 
 def best_tiling(word: str, hits: list, penalty: float) -> list[str]:
     """The word cut into hits (end, start, log frequency) with the largest sum less a penalty each; the whole if they do
-    not cover it.  Hits come by end and start, and the first of equal sums stays."""
+    not cover it.  Hits come by end and start, and the first of equal sums (to rounding) stays."""
     reached = {0: (0.0, 0)}
     for end, start, gain in hits:
-        if start in reached and (end not in reached or reached[start][0] + gain - penalty > reached[end][0]):
+        if start in reached and (end not in reached or reached[start][0] + gain - penalty > reached[end][0] + 1e-9):
             reached[end] = (reached[start][0] + gain - penalty, start)
     cuts = [len(word)]
     while cuts[-1] and cuts[-1] in reached:

@@ -389,9 +389,9 @@ def blind_projection(spark, d):
 @query(
     # every split of a word into known pieces, and the one with the largest sum of log frequencies less a penalty each
     f"WITH RECURSIVE {_BENCH}, n AS (SELECT sum(freq) AS n FROM lx WHERE length(word) BETWEEN 2 AND 22), k AS (SELECT word, ln(freq / n::DOUBLE) - 6 AS gain FROM lx, n WHERE length(word) BETWEEN 2 AND 22), "
-    "s AS (SELECT word, 0 AS pos, 0.0::DOUBLE AS score, []::VARCHAR[] AS pieces FROM b WHERE length(word) >= 6 AND word NOT IN (SELECT word FROM k) "
-    "UNION ALL SELECT s.word, s.pos + length(k.word), s.score + k.gain, list_append(s.pieces, k.word) FROM s JOIN k ON substr(s.word, s.pos + 1, length(k.word)) = k.word), "
-    "f AS (SELECT word, pieces FROM s WHERE pos = length(word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC) = 1) "
+    "s AS (SELECT word, 0 AS pos, 0.0::DOUBLE AS score, []::VARCHAR[] AS pieces, []::INT[] AS cuts FROM b WHERE length(word) >= 6 AND word NOT IN (SELECT word FROM k) "
+    "UNION ALL SELECT s.word, s.pos + length(k.word), s.score + k.gain, list_append(s.pieces, k.word), [s.pos::INT] || s.cuts FROM s JOIN k ON substr(s.word, s.pos + 1, length(k.word)) = k.word), "
+    "f AS (SELECT word, pieces FROM s WHERE pos = length(word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY round(score, 6) DESC, cuts) = 1) "
     "SELECT b.word, coalesce(f.pieces, [b.word]) AS pieces FROM b LEFT JOIN f USING (word)"
 )
 def dictionary_tiling(spark, d):

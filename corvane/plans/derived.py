@@ -301,7 +301,7 @@ r AS (SELECT user_id, s + (user_id % 7) * 60 - 180 AS rs, e + (user_id % 7) * 60
 
 @query(
     f"WITH {_SPANS}, g AS (SELECT unnest(range(-240, 241, 60))::DOUBLE AS delta), p AS (SELECT l.user_id, delta, sum(greatest(least(e + delta, re) - greatest(s + delta, rs), 0)) AS overlap FROM l JOIN r USING (user_id), g GROUP BY ALL) "
-    "SELECT user_id, delta, overlap FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY overlap DESC, delta) = 1"
+    "SELECT user_id, delta, round(overlap, 3) AS overlap FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY overlap DESC, delta) = 1"
 )
 def time_shifts(spark, d):
     """The constant shift of each user's intervals that makes most of them overlap another set."""
@@ -309,7 +309,7 @@ def time_shifts(spark, d):
     l = t(spark, d, "events").where("event_type = 'view'").select("user_id", second.alias("s"), (second + 600).alias("e"))
     move = (F.col("user_id") % 7) * 60 - 180
     r = l.select("user_id", (F.col("s") + move).alias("s"), (F.col("e") + move).alias("e"))
-    return sequence.grid_shift(l, r, "user_id", F.transform(F.sequence(F.lit(-240), F.lit(240), F.lit(60)), lambda x: x.cast("double")))
+    return sequence.grid_shift(l, r, "user_id", F.transform(F.sequence(F.lit(-240), F.lit(240), F.lit(60)), lambda x: x.cast("double"))).withColumn("overlap", F.round("overlap", 3))
 
 
 @query(

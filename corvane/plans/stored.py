@@ -90,7 +90,7 @@ def files_by_name(spark, d):
 
 
 @query(
-    "SELECT cut, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents, (SELECT unnest([0.1, 0.3]) AS cut) WHERE (doc_id * 37 % 101) / 100.0::DOUBLE <= cut GROUP BY cut"
+    "SELECT cut, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents, (SELECT unnest([0.1, 0.3]::DOUBLE[]) AS cut) WHERE (doc_id * 37 % 101) / 100.0::DOUBLE <= cut GROUP BY cut"
 )
 def scored_and_cut(spark, d):
     """All rows are stored with their scores, once; gates are views of that table and can be cut anew."""
