@@ -215,13 +215,28 @@ def _overlaps(left: list, right: list) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _first_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each of n places the first that it reaches by the links i, j."""
+    first = np.arange(n)
+    while True:
+        low = np.minimum(first[i], first[j])
+        new = first.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == first).all():
+            return first
+        first = new
+
+
 def _in_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (u, v) between members of one bucket that are in different components; placed: (bucket, node, n, root).
+    """Links (u, v) that join the members of one bucket as all its links between different components do; placed:
+    (bucket, node, n, root).  A task ties what its links connect to one member, so it returns no more pairs than it has
+    members.
 
     A bucket's members are dealt into blocks of about BLOCK_ROWS and BLOCK_SHINGLES, those of its largest component apart
-    from the others, and pairs of blocks are compared within a task that returns the links alone.  Blocks of the largest
-    component are not compared with each other, so a bucket costs in proportion to its members times the blocks of the
-    others."""
+    from the others, and pairs of blocks are compared within a task.  Blocks of the largest component are not compared
+    with each other, so a bucket costs in proportion to its members times the blocks of the others."""
     per_root = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     main = F.max_by(F.struct("root", "c", "s"), F.struct("s", "root")).alias("main")
     shape = per_root.groupBy("bucket").agg(main, F.sum("c").alias("c"), F.sum("s").alias("s")).where("c > main.c")
@@ -245,7 +260,9 @@ def _in_blocks(placed: DataFrame, sets: DataFrame) -> DataFrame:
             i, j = np.nonzero(100 * hits >= PERCENT * (size[left][:, None] + size[right][None, :] - hits))
             i, j = left[i], right[j]
             apart = root[i] != root[j]
-            us, vs = np.minimum(node[i], node[j])[apart], np.maximum(node[i], node[j])[apart]
+            first = _first_of(len(node), i[apart], j[apart])
+            tied = np.flatnonzero(first != np.arange(len(node)))
+            us, vs = np.minimum(node[tied], node[first[tied]]), np.maximum(node[tied], node[first[tied]])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     compared = dealt.join(sets, "node").groupBy("bucket", "p", "q").applyInArrow(compare, "u bigint, v bigint")
