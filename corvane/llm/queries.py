@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import imatch, langid, mixing, neardup, packing, quality, tokenfile, toxicity, trie, urltree, warc
+from corvane.llm import imatch, importance, langid, mixing, neardup, packing, quality, runs, tokenfile, toxicity, trie, urltree, warc
 from corvane.llm.common import table
 
 
@@ -59,11 +59,19 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.op11(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_url_filter, op5_minhash_near_dedup, op6_token_binary, op7_toxicity, op8_source_mixing, op9_warc_derivatives,
-        op10_imatch_fingerprints, op11_exact_dedup,
+        op10_imatch_fingerprints, op11_exact_dedup, op12_periodic_runs, op13_importance_resampling,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_minhash_near_dedup": neardup.OP5_SQL, "op8_source_mixing": mixing.OP8_SQL, "op11_exact_dedup": trie.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_minhash_near_dedup": neardup.OP5_SQL, "op8_source_mixing": mixing.OP8_SQL, "op11_exact_dedup": trie.OP11_SQL, "op13_importance_resampling": importance.OP13_SQL}
