@@ -331,15 +331,15 @@ def op13(docs: DataFrame, target: DataFrame) -> DataFrame:
 
 
 OP13_SQL = r"""
-WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb),
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb),
 c AS (SELECT 'd' AS src, doc_id AS id, text, row_number() OVER () AS r FROM documents UNION ALL SELECT 'b', item_id, text, row_number() OVER () FROM benchmark),
 w AS (SELECT src, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM c),
 g AS (SELECT src, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
 n AS (SELECT src, r, f, count(*) AS n FROM g GROUP BY ALL),
 h AS MATERIALIZED (SELECT f, xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i::INT + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, tb[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM n), tab),
 p AS (SELECT src, r, b, sum(n)::BIGINT AS n FROM n JOIN h USING (f) GROUP BY ALL),
-s AS (SELECT b, sum(n) FILTER (src = 'd') AS s, coalesce(sum(n) FILTER (src = 'b'), 0) AS t FROM p GROUP BY b),
-q AS (SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(t) FROM s) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE)))::BIGINT AS gain FROM s WHERE s IS NOT NULL),
+s AS (SELECT b, sum(n) FILTER (src = 'd') AS own, coalesce(sum(n) FILTER (src = 'b'), 0) AS aim FROM p GROUP BY b),
+q AS (SELECT b, floor(1000 * ln(((aim + 1)::DOUBLE * ((SELECT sum(own) FROM s) + 10000)::DOUBLE) / ((own + 1)::DOUBLE * ((SELECT sum(aim) FROM s) + 10000)::DOUBLE)))::BIGINT AS gain FROM s WHERE own IS NOT NULL),
 x AS (SELECT r, sum(n * gain)::BIGINT AS total, sum(n)::BIGINT AS m FROM p JOIN q USING (b) WHERE src = 'd' GROUP BY r),
 y AS (SELECT id AS doc_id, len(w.w) AS words, coalesce(m, 0)::BIGINT AS n_features, coalesce((total - ((total % m) + m) % m) // m, 0)::BIGINT AS weight, ('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT AS h FROM w LEFT JOIN x USING (r) WHERE src = 'd'),
 z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM y),
