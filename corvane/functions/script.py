@@ -160,12 +160,14 @@ def akshara(c: Column) -> Column:
 
     raw = F.flatten(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), clusters))
 
-    def join(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.concat(last["text"], x["text"]).alias("text"), x["word_end"].alias("word_end"))))
-        return F.when((F.size(acc) > 0) & x["text"].endswith(VIRAMA), merged).otherwise(F.concat(acc, F.array(x)))
+    # where a group begins is known from each cluster's own ending, so groups are cut out once
+    heads = lambda a: F.filter(F.transform(a, lambda x, i: F.when((i == 0) | ~x["text"].endswith(VIRAMA), i)), lambda i: i.isNotNull())
 
-    return F.aggregate(raw, none, join)
+    def group(a: Column, at: Column) -> Column:
+        part = lambda i, k: F.slice(a, i + 1, F.coalesce(F.get(at, k + 1), F.size(a)) - i)
+        return F.transform(at, lambda i, k: let(part(i, k), lambda g: F.struct(F.array_join(F.transform(g, lambda x: x["text"]), "").alias("text"), F.element_at(g, -1)["word_end"].alias("word_end"))))
+
+    return F.coalesce(let(raw, lambda a: let(heads(a), lambda at: group(a, at))), none)
 
 
 def scansion(slp1: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
 from corvane.functions.text import degenerate, low_variety, words
+from corvane.sources.sinks import kept
 
 
 # ------------------------------------------------------------------ gates
@@ -85,7 +86,7 @@ def top_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFram
 
 
 def systematic(df: DataFrame, group: str, n: int, *order: str) -> DataFrame:
-    """Every k-th of a group with k = max(1, size // n), the first n of those.  The first order column is numeric."""
+    """Every k-th of a group with k = max(1, size // n), the first n of those."""
     sizes = df.groupBy(F.col(group).alias("_g")).agg(F.greatest(F.floor(F.count("*") / n), F.lit(1)).alias("step"))
     d = row_numbers(df, group, *order).join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     return d.where(((F.col("rn") - 1) % F.col("step") == 0) & (F.floor((F.col("rn") - 1) / F.col("step")) < n)).drop("step")
@@ -100,52 +101,68 @@ def budget_prefix(df: DataFrame, amount: str, cap: float, *order: str, group: li
     return ranked_sum(df, amount, *order).where(F.col("before") < cap)
 
 
-def ranked_sum(df: DataFrame, amount: str, *order: str, buckets: int = 64, by: tuple = ()) -> DataFrame:
-    """Adds before, the sum of the rows earlier in the order (of the same `by`): bucket sums first, then within each
-    bucket, so that a group of any size is spread.  The first order column must be numeric; its quantiles bound the
-    buckets."""
-    lead = order[0]
-    cuts = sorted(set(df.approxQuantile(lead, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    bounds = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
-    b = df.withColumn("_b", F.when(F.col(lead).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col(lead)))))
-    sums = b.groupBy(*by, "_b").agg(F.sum(amount).alias("_s"))
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a group and bucket
-    sums = sums.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_b").alias("_c"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_off"))
-    inside = F.coalesce(F.sum(amount).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = F.col("_b") == F.col("_c")
+#: Rows that one task sorts at most, about, to sum or number them; tables of so many ranges are broadcast.
+SPAN, BROADCAST_RANGES = 100_000, 10_000
+
+
+def running(df: DataFrame, sums: dict[str, Column], *order: str, by: tuple = (), span: int = SPAN) -> DataFrame:
+    """Adds, under each name, the sum of a column over the rows earlier in the order (of the same `by`, nulls being one
+    value).  Up to `span` rows are summed by a window.  More are dealt into ranges of `by` and the order, of about `span`
+    rows each however the rows are spread, since a row number breaks ties; the ranges are written down, so that they stay what
+    they are when an executor is lost.  Sums of whole ranges come first, then those inside each."""
+    n = df.count()
+    if n <= span:
+        before = Window.partitionBy(*by or (F.lit(0),)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({name: F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in sums.items()})
+    ranges = -(-n // span)
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *by, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    dealt = kept(dealt, "ranges")
+    whole = dealt.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_of_{name}") for name, c in sums.items()))
+    earlier = Window.partitionBy(*by or (F.lit(0),)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range and group
+    offsets = whole.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_of_{name}").over(earlier), F.lit(0)).alias(f"_of_{name}") for name in sums))
+    inside = Window.partitionBy(*by, "_range").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumns({f"_in_{name}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()})
+    same = F.col("_range") == F.col("_at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    joined = b.withColumn("_in", inside).join(sums if by else F.broadcast(sums), same)  # without groups: one row a bucket
-    return joined.withColumn("before", F.col("_off") + F.col("_in")).select(*df.columns, "before")
+    joined = summed.join(offsets if by or ranges > BROADCAST_RANGES else F.broadcast(offsets), same)
+    return joined.select(*df.columns, *((F.col(f"_of_{name}") + F.col(f"_in_{name}")).alias(name) for name in sums))
+
+
+def ranked_sum(df: DataFrame, amount: str, *order: str, by: tuple = (), span: int = SPAN) -> DataFrame:
+    """Adds before, the sum of the rows earlier in the order (of the same `by`)."""
+    return running(df, {"before": F.col(amount)}, *order, by=by, span=span)
 
 
 def row_numbers(df: DataFrame, group: str, *order: str, name: str = "rn") -> DataFrame:
     """Adds the number of each row in its group, from 1, by a running count over ranges of the order."""
-    numbered = ranked_sum(df.withColumn("_one", F.lit(1)), "_one", *order, by=(group,))
-    return numbered.withColumn(name, (F.col("before") + 1).cast("int")).drop("_one", "before")
+    return running(df, {name: F.lit(1)}, *order, by=(group,)).withColumn(name, F.col(name).cast("bigint") + 1)
 
 
-def round_robin(df: DataFrame, group: str, amount: str, target: float, *order: str, within: list[str] | None = None) -> DataFrame:
-    """One item of each group in turn, larger groups first, until the amounts reach the target."""
-    outer = within or []
-    sizes = df.groupBy(*outer, group).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(*outer, F.lit(0)).orderBy(F.desc("_n"), group))
-    sizes = sizes.withColumn("_place", place).drop("_n")
-    numbered = ranked_sum(df.withColumn("_one", F.lit(1)), "_one", *order, by=(*outer, group))
-    dealt = numbered.withColumn("turn", (F.col("before") + 1).cast("int")).drop("before", "_one").join(sizes, [*outer, group])
-    # the running sum over turns and places, in ranges of turns
-    dealt = ranked_sum(dealt, amount, "turn", "_place", by=tuple(outer))
-    return dealt.where(F.col("before") < target).drop("_place")
+def round_robin(df: DataFrame, group: str, amount: str, target: float | Column, *order: str, within: list[str] | None = None) -> DataFrame:
+    """One item of each group in turn, larger groups first, until the amounts reach the target; a null group is a group.
+    With `within`, so in each of its values.  No row can be taken that its own group's earlier rows bring to the target, so the
+    rest is cut off before the turns are put in order."""
+    outer, target = within or [], target if isinstance(target, Column) else F.lit(float(target))
+    keys = [*outer, group]
+    place = F.row_number().over(Window.partitionBy(*outer, F.lit(0)).orderBy(F.desc("_n"), group))  # one row a group
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_place", place).select(*(F.col(c).alias(f"_g_{c}") for c in keys), "_place")
+    numbered = running(df, {"turn": F.lit(1), "_own": F.col(amount)}, *order, by=tuple(keys)).where(F.col("_own") < target)
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    dealt = numbered.join(sizes, same).select(*df.columns, (F.col("turn").cast("bigint") + 1).alias("turn"), "_place")
+    return ranked_sum(dealt, amount, "turn", "_place", by=tuple(outer)).where(F.col("before") < target).drop("_place")
 
 
 def per_group_caps(df: DataFrame, group: str, inner: str, amount: str, caps: dict, default: float, *order: str) -> DataFrame:
-    """Round robin within each group up to its cap; a group with cap 0 is held out whole.  Adds split."""
-    cap = F.lit(default)
+    """Round robin within each group up to its cap; a group with cap 0 is held out whole, a null group has the default.
+    Adds split."""
+    cap = F.lit(float(default))
     for name, value in caps.items():
         cap = F.when(F.col(group) == name, F.lit(float(value))).otherwise(cap)
     held = df.where(cap == 0).withColumn("split", F.lit("eval"))
-    pool = df.where(cap > 0).withColumn("_cap", cap)
-    dealt = round_robin(pool, inner, amount, float("inf"), *order, within=[group]).where(F.col("before") < F.col("_cap"))
+    dealt = round_robin(df.where(cap > 0).withColumn("_cap", cap), inner, amount, F.col("_cap"), *order, within=[group])
     return dealt.drop("turn", "before", "_cap").withColumn("split", F.lit("train")).unionByName(held)
 
 
@@ -155,9 +172,8 @@ def hash_sample(df: DataFrame, group: str, n: int, key: Column, tie: str) -> Dat
 
 
 def every_kth(df: DataFrame, k: int, *order: str) -> DataFrame:
-    """Every k-th row of all, the first included; the first order column is numeric."""
-    ranked = ranked_sum(df.withColumn("_one", F.lit(1)), "_one", *order)
-    return ranked.where(F.col("before") % k == 0).drop("_one", "before")
+    """Every k-th row of all, the first included."""
+    return running(df, {"_before": F.lit(1)}, *order).where(F.col("_before") % k == 0).drop("_before")
 
 
 def spread_top(df: DataFrame, group: str, start: str, score: str, n: int, gap: float) -> DataFrame:

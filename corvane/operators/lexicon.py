@@ -20,9 +20,10 @@ def by_tag(df: DataFrame, tag: str, text: Column, least: int = 2) -> DataFrame:
 
 
 def tag_summary(df: DataFrame, tag: str, text: Column, least: int = 2) -> DataFrame:
-    """Files, tokens and types of each tag; word counts are aggregated before types are counted."""
-    lexicon = by_tag(df, tag, text, least).groupBy(tag).agg(F.sum("freq").alias("tokens"), F.count("*").alias("types"))
-    return df.groupBy(tag).agg(F.count("*").alias("files")).join(lexicon, tag)
+    """Files, tokens and types of each tag, null among them; word counts are aggregated before types are counted."""
+    lexicon = by_tag(df, tag, text, least).groupBy(F.col(tag).alias("_tag")).agg(F.sum("freq").alias("tokens"), F.count("*").alias("types"))
+    files = df.groupBy(tag).agg(F.count("*").alias("files"))
+    return files.join(lexicon, F.col(tag).eqNullSafe(F.col("_tag")), "left").select(tag, "files", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "types")))
 
 
 def weighted(corpus: DataFrame, glossary: DataFrame, bonus: int = 50, least: int = 2) -> DataFrame:

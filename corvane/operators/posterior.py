@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.text import let
+
 NEG = -1e30
 
 
 def log_softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
-    return F.transform(v, lambda x: x.cast("double") - top - F.log(total))
+    """Log probabilities; the maximum and the sum are bound once, so a frame costs its symbols once each."""
+    return let(v.cast("array<double>"), lambda x: let(F.array_max(x), lambda top: let(F.log(F.aggregate(x, F.lit(0.0), lambda a, y: a + F.exp(y - top))), lambda total: F.transform(x, lambda y: y - top - total))))
 
 
 def select_columns(v: Column, blank: int, first: int, n: int) -> Column:
@@ -202,8 +203,9 @@ def sequence_scores(frames: DataFrame, candidates: DataFrame, unit: str, t: str
 
 
 def corrupt(tokens: DataFrame, key: list[str], token: str, replacement: str, share: float = 0.3, seed: int = 7) -> DataFrame:
-    """Swaps a repeatable share of tokens for their replacement; adds corrupted."""
-    draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    """Swaps a share of tokens, drawn by a digest of the seed and the key, for their replacement; adds corrupted."""
+    named = F.md5(F.concat_ws(":", F.lit(seed), *(F.col(c).cast("string") for c in key)))
+    draw = F.conv(F.substring(named, 1, 8), 16, 10).cast("bigint") % 10_000 < int(share * 10_000)
     return tokens.withColumn("corrupted", draw & (F.col(token) != F.col(replacement))).withColumn(token, F.when(F.col("corrupted"), F.col(replacement)).otherwise(F.col(token)))
 
 

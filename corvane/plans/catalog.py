@@ -335,7 +335,7 @@ def lexicon_by_tag(spark, d):
     return lexicon.by_tag(t(spark, d, "documents"), "lang", latin("text"))
 
 
-@query(f"WITH {_TOKENS}, f AS (SELECT lang, count(*) AS files FROM documents GROUP BY lang) SELECT lang, any_value(files) AS files, count(*) AS tokens, count(DISTINCT word) AS types FROM tok JOIN f USING (lang) WHERE length(word) >= 2 GROUP BY lang")
+@query(f"WITH {_TOKENS}, f AS (SELECT lang, count(*) AS files FROM documents GROUP BY lang), x AS (SELECT lang, count(*) AS tokens, count(DISTINCT word) AS types FROM tok WHERE length(word) >= 2 GROUP BY lang) SELECT f.lang, files, coalesce(tokens, 0) AS tokens, coalesce(types, 0) AS types FROM f LEFT JOIN x ON f.lang IS NOT DISTINCT FROM x.lang")
 def lexicon_summary(spark, d):
     return lexicon.tag_summary(t(spark, d, "documents"), "lang", latin("text"))
 
@@ -444,7 +444,7 @@ def budget_prefix(spark, d):
 @query(
     "WITH g AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents GROUP BY source), "
     "r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents), "
-    "s AS (SELECT r.*, coalesce(sum(n_chars) OVER (ORDER BY turn, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM r JOIN g USING (source)) SELECT * FROM s WHERE before < 200000"
+    "s AS (SELECT r.*, coalesce(sum(n_chars) OVER (ORDER BY turn, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source) SELECT * FROM s WHERE before < 200000"
 )
 def round_robin_budget(spark, d):
     return curate.round_robin(t(spark, d, "documents").select("doc_id", "source", "n_chars"), "source", "n_chars", 200_000, "doc_id")
@@ -454,7 +454,7 @@ def round_robin_budget(spark, d):
     "WITH d AS (SELECT *, CASE lang WHEN 'de' THEN 0.0 WHEN 'fr' THEN 100000.0 ELSE 150000.0 END AS cap FROM documents), "
     "g AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS place FROM d GROUP BY lang, source), "
     "r AS (SELECT doc_id, lang, source, n_chars, cap, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM d WHERE cap > 0), "
-    "s AS (SELECT r.*, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY turn, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN g USING (lang, source)) "
+    "s AS (SELECT r.*, coalesce(sum(n_chars) OVER (PARTITION BY r.lang ORDER BY turn, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN g ON r.lang IS NOT DISTINCT FROM g.lang AND r.source IS NOT DISTINCT FROM g.source) "
     "SELECT doc_id, lang, source, n_chars, 'train' AS split FROM s WHERE before < cap UNION ALL SELECT doc_id, lang, source, n_chars, 'eval' FROM d WHERE cap = 0"
 )
 def language_caps(spark, d):

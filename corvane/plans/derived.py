@@ -91,9 +91,9 @@ def name_fields(spark, d):
     return t(spark, d, "pages").select("page_id", text.alnum_key(F.col("url")).alias("key"), text.range_set(ranges).alias("numbers"), text.last_number(folded).alias("last"), lo.alias("first_verse"), hi.alias("last_verse"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(substr(text, 1, 50)), '[^\x00-\x7F]', '', 'g'), '\W+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'), '\W+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")
 def slugs(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.slug(F.concat(F.substring("text", 1, 50), F.lit(".mp3.wav"))).alias("slug"))
+    return t(spark, d, "documents").select("doc_id", text.slug(F.concat("text", F.lit(".mp3.wav"))).alias("slug"))
 
 
 _BODY = "coalesce(list_position(list_transform(l, lambda x: len(regexp_extract_all(x, '[äöüßéèêñóí]')) >= 2), true), 0)"
@@ -434,18 +434,10 @@ def rescored_nbest(spark, d):
     return posterior.rescore_sweep(n, "label", "vec_id", "am", "lm", "len", [0.0, 0.25, 0.5, 1.0], 0.1).withColumn("total", F.round("total", 6))
 
 
-@query(
-    # every token's draw is a hash that SQL has not: what a swap does is checked on the swapped rows, and their share by bounds
-    "SELECT count(*) AS n, true AS share_near, true AS all_swapped, true AS none_else FROM embeddings"
-)
+@query("SELECT vec_id, CASE WHEN c THEN vec_id % 5 ELSE vec_id % 7 END AS token, c AS corrupted FROM (SELECT vec_id, ('0x' || substr(md5('7:' || vec_id || ':' || label), 1, 8))::BIGINT % 10000 < 3000 AND vec_id % 7 <> vec_id % 5 AS c FROM embeddings)")
 def corrupted_tokens(spark, d):
-    tokens = t(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("token"), (F.col("vec_id") % 5).alias("other"), (F.col("vec_id") % 7).alias("was"))
-    c = posterior.corrupt(tokens, ["vec_id"], "token", "other", share=0.3)
-    able = F.count_if(F.col("was") != F.col("other"))
-    swapped = F.count_if(F.col("corrupted"))
-    near = F.abs(swapped / able - 0.3) < 0.15
-    right = F.bool_and(~F.col("corrupted") | ((F.col("token") == F.col("other")) & (F.col("token") != F.col("was"))))
-    return c.agg(F.count("*").alias("n"), near.alias("share_near"), right.alias("all_swapped"), F.bool_and(F.col("corrupted") | (F.col("token") == F.col("was"))).alias("none_else"))
+    tokens = t(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 7).alias("token"), (F.col("vec_id") % 5).alias("other"))
+    return posterior.corrupt(tokens, ["vec_id", "label"], "token", "other", share=0.3).select("vec_id", "token", "corrupted")
 
 
 # ------------------------------------------------------------------ agreement of two systems with gates
@@ -521,13 +513,13 @@ def quarter_rows(spark, d):
 
 
 @query(
-    "WITH x AS (SELECT conv_id AS item, turn % 3 AS verse, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) - 1 AS place, substr(text, 1, 40) AS line, role FROM conversations WHERE text IS NOT NULL), "
+    "WITH x AS (SELECT conv_id AS item, turn % 3 AS verse, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) - 1 AS place, text AS line, role FROM conversations WHERE text IS NOT NULL), "
     "u AS (SELECT *, place // 2 AS unit FROM x) SELECT item, verse::INT AS verse, unit::INT AS unit, arg_min(role, place) AS metre, string_agg(trim(line), ' ' ORDER BY place) AS text, string_agg(trim(line), chr(10) ORDER BY place) AS tts_text FROM u GROUP BY item, verse, unit"
 )
 def paired_units(spark, d):
     """Consecutive pairs of a verse's quarters, here the turns of a conversation."""
     c = t(spark, d, "conversations").where("text is not null")
-    one = F.array(F.struct(F.substring("text", 1, 40).alias("text"), F.lit(True).alias("word_end")))
+    one = F.array(F.struct(F.col("text"), F.lit(True).alias("word_end")))
     padas = c.select(F.col("conv_id").alias("item"), (F.col("turn") % 3).cast("int").alias("verse"), F.col("turn").cast("int").alias("pada"), F.col("role").alias("metre"), one.alias("aksharas"))
     return metre.units(padas, "item", "ardha").drop("aksharas")
 

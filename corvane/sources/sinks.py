@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +47,25 @@ def shared_folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
+
+
+_kept: set = set()
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: what it holds stays the same when an executor is lost.  An
+    application's tables go when its driver ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/kept/{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        _kept.add(folder)
+        atexit.register(_clear, folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clear(folder: str) -> None:
+    if (sc := SparkContext._active_spark_context) is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

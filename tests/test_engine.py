@@ -183,7 +183,7 @@ def test_running_sums_of_groups_match_a_loop(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i, rng.randint(0, 5)) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, k int, i int, n int")
-    got = {r.i: r.before for r in curate.ranked_sum(df, "n", "k", "i", by=("g",), buckets=7).collect()}
+    got = {r.i: r.before for r in curate.ranked_sum(df, "n", "k", "i", by=("g",), span=30).collect()}
     key = lambda r: (r[1] is not None, r[1] or 0, r[2])
     assert got == {r[2]: sum(x[3] for x in rows if x[0] == r[0] and key(x) < key(r)) for r in rows}
     numbered = curate.row_numbers(df, "g", "i").collect()
@@ -360,3 +360,46 @@ def test_spread_topn_reads_all_events_of_a_user(spark, tmp_path):
     one_, two = [r for r in got if r.user_id == 1], [r for r in got if r.user_id == 2]
     assert [(r.pick, r.start, r.backfill) for r in one_] == [(i, 172_800.0 * i, False) for i in range(20)]
     assert [(r.start, r.backfill) for r in two] == [(24.0 - i, i > 0) for i in range(20)]
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(1, None, None, 5), (2, None, "s", 5), (3, "x", None, 5), (4, "x", "s", 5), (5, None, None, 5), (6, "de", None, 5)]
+    df = spark.createDataFrame(rows, "i bigint, lang string, source string, n bigint")
+    got = curate.round_robin(df, "source", "n", 1000, "i").collect()
+    assert {(r.i, r.turn, r.before) for r in got} == {(1, 1, 0), (2, 1, 5), (3, 2, 10), (4, 2, 15), (5, 3, 20), (6, 4, 25)}
+    capped = curate.per_group_caps(df, "lang", "source", "n", {"de": 0}, 8, "i").collect()
+    assert {(r.i, r.split) for r in capped} == {(1, "train"), (2, "train"), (3, "train"), (4, "train"), (6, "eval")}
+    texts = spark.createDataFrame([("a", "one two two"), (None, "three four"), (None, ""), ("b", "")], "tag string, text string")
+    assert {tuple(r) for r in lexicon.tag_summary(texts, "tag", C("text")).collect()} == {("a", 1, 3, 2), (None, 2, 2, 2), ("b", 1, 0, 0)}
+
+
+def test_round_robin_in_ranges_equals_one_window(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, "a", "a", "a", "b"]), rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i bigint, g string, n bigint")
+    want = {tuple(r) for r in curate.round_robin(df, "g", "n", 600, "i").collect()}
+    monkeypatch.setattr(curate.running, "__defaults__", ((), 40))
+    monkeypatch.setattr(curate.ranked_sum, "__defaults__", ((), 40))
+    assert {tuple(r) for r in curate.round_robin(df, "g", "n", 600, "i").collect()} == want and len(want) > 80
+
+
+def test_running_sums_of_equal_rows_are_spread(spark):
+    df = spark.createDataFrame([(1, 2)] * 250, "k int, n int")
+    got = curate.ranked_sum(df, "n", "k", span=20)
+    assert sorted(r.before for r in got.collect()) == list(range(0, 500, 2))
+
+
+def test_long_inputs_take_time_in_proportion(spark):
+    import time
+
+    wide = spark.range(500).select(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.sin(i * C("id")).cast("float")).alias("v"))
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.when(i % 3 == 0, F.lit("रामम्")).otherwise(F.lit("क्षेत्रात्"))), " ").alias("s"))
+    wide.limit(2).select(posterior.log_softmax(C("v"))).collect()
+    start = time.perf_counter()
+    total = wide.select(F.aggregate(posterior.log_softmax(C("v")), F.lit(0.0), lambda a, x: a + F.exp(x)).alias("p")).collect()
+    assert all(r.p == pytest.approx(1.0) for r in total) and time.perf_counter() - start < 8
+    start = time.perf_counter()
+    units = long.select(script.akshara(C("s")).alias("a")).first().a
+    assert time.perf_counter() - start < 20
+    words = "".join(u.text + " " * u.word_end for u in units).split()
+    assert len(units) == 80_000 and len(words) == 40_000 and units[0].text == "क्षे" and "".join(words).startswith("क्षेत्रात्क्षेत्रात्रामम्")
