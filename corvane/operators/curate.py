@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
-from corvane.functions.text import degenerate, low_variety, words
+from corvane.functions.text import degenerate, let, low_variety, words
 from corvane.sources.sinks import kept
 
 
@@ -171,6 +172,45 @@ def hash_sample(df: DataFrame, group: str, n: int, key: Column, tie: str) -> Dat
     return top_per_group(df, group, n, key, F.col(tie))
 
 
+def shuffled_place(place: Column, n: int, seed: int = 7, rounds: int = 6) -> Column:
+    """The place that row `place` (0 .. n - 1) has in a seeded shuffle of n rows, by itself: a Feistel network over a grid of
+    a columns and b rows with a * b >= n > a * b - a, walked on while it leads beyond n.  Fewer than a cells of the grid lie
+    there, so a walk takes that many steps more at most; after WALK of them the result is -1 (see `shuffled`)."""
+    a = max(1, math.isqrt(n - 1) + 1) if n else 1
+    b = max(1, -(-n // a))
+
+    def mixed(x: Column, k: Column, modulus: int) -> Column:
+        """A draw from 0 .. modulus - 1 for each x below 2**31."""
+        y = (x * 1_103_515_245 + (k * 12_345 + (seed * 40_503 + 1)) % (1 << 31)) % (1 << 31)
+        y = (y.bitwiseXOR(F.shiftright(y, 15)) * 22_695_477 + 1) % (1 << 31)
+        return F.shiftright(y, 5) % modulus
+
+    def turn(s: Column, k: Column) -> Column:
+        u = (s["u"] + mixed(s["v"], 2 * k, b)) % b
+        return F.struct(u.alias("u"), ((s["v"] + mixed(u, 2 * k + 1, a)) % a).alias("v"))
+
+    def once(x: Column) -> Column:
+        cell = F.struct(F.call_function("div", x, F.lit(a).cast("bigint")).alias("u"), (x % a).alias("v"))
+        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), cell, turn, lambda s: s["u"] * a + s["v"])
+
+    if not 0 < n < 1 << 62:
+        return F.lit(None).cast("bigint")
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(min(WALK, a))), once(place.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return let(walk, lambda x: F.when(x < n, x).otherwise(-1))
+
+
+#: Steps that a walk takes in one expression.
+WALK = 16
+
+
+def shuffled(df: DataFrame, place: str, n: int, seed: int = 7, name: str = "shuffled") -> DataFrame:
+    """Adds each row's place in a global shuffle, without sorting; `place` counts the n rows from 0.  For n of some hundreds
+    or more a walk of over WALK steps has a chance below n ** -8; a row that needs one is an error, not lost."""
+    got = shuffled_place(F.col(place), n, seed)
+    sure = F.when(got < 0, F.raise_error(F.lit("a walk of the shuffle takes too long: choose another seed"))).otherwise(got)
+    return df.withColumn(name, sure.cast("bigint"))
+
+
 def every_kth(df: DataFrame, k: int, *order: str) -> DataFrame:
     """Every k-th row of all, the first included."""
     return running(df, {"_before": F.lit(1)}, *order).where(F.col("_before") % k == 0).drop("_before")
