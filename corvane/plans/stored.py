@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.operators import curate
 from corvane.plans.catalog import query, t
 from corvane.sources import readers, sinks
-from corvane.streaming import quota
+from corvane.streaming import quota, stateful
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -42,11 +42,13 @@ def jsonl_appended(spark, d):
 
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def json_arrays(spark, d):
-    """One document, an array of turns, for each conversation."""
+    """Documents that are arrays of turns, each with those of some whole conversations."""
     path = folder(spark, "arrays")
     c = t(spark, d, "conversations")
-    whole = c.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "conv_id")))).alias("value"))  # the turns of one conversation
-    whole.withColumn("part", F.col("conv_id")).select("part", "value").write.partitionBy("part").text(path)
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "conv_id"))).alias("turns"))  # the turns of one conversation
+    files = max(1, c.select("conv_id").distinct().count() // 100)  # a file is one array of the turns of about a hundred conversations
+    dealt = turns.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(files)).alias("part")).agg(F.to_json(F.flatten(F.collect_list("turns"))).alias("value"))
+    dealt.write.partitionBy("part").text(path)
     return readers.json_array(spark, f"{path}/*", "conv_id bigint, turn bigint, role string, text string").select("conv_id", "turn", "role", F.length("text").alias("n"))
 
 
@@ -135,17 +137,19 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS keys FROM events GROUP BY event_type")
 def stream_statistics(spark, d):
-    return quota.run_to_table(quota.session_statistics(events(spark, d), "event_type", "user_id"), "stream_statistics", "complete")
+    """Deltas of each micro-batch, summed."""
+    deltas = quota.run_to_table(stateful.session_counts(events(spark, d), "event_type", "user_id"), "stream_statistics")
+    return deltas.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
 
 
 @query(
     "WITH c AS (SELECT * FROM events WHERE event_id % 5 > 0 AND event_type IN ('view', 'click')), g AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 21600000000, true)::INT AS new FROM c), "
-    "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end_, count(*) AS n FROM s GROUP BY user_id, session"
+    "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end_, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 6 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM c)) - INTERVAL 1 HOUR"
 )
 def stream_sessions(spark, d):
-    """Sessions of consented events of two kinds."""
+    """Closed sessions of consented events of two kinds; the watermark drops their state."""
     e = quota.consented(events(spark, d).withColumn("consent", F.col("event_id") % 5 > 0), "consent", "event_type", ("view", "click"))
-    s = quota.run_to_table(quota.session_windows(e, "user_id", "ts", "6 hours"), "stream_sessions", "complete")
+    s = quota.run_to_table(quota.session_windows(e, "user_id", "ts", "6 hours"), "stream_sessions")
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end_"), "n")
 
 
@@ -159,12 +163,37 @@ def stream_partials(spark, d):
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT user_id, event_id, (event_id % 7 + 1)::DOUBLE / 2 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), "
-    "s AS (SELECT user_id, n, event_id AS first, event_id AS last, sec AS held, 0::BIGINT AS segment, sec >= 10 AS full_ FROM e WHERE n = 1 "
-    "UNION ALL SELECT e.user_id, e.n, CASE WHEN full_ THEN e.event_id ELSE first END, e.event_id, CASE WHEN full_ THEN sec ELSE held + sec END, CASE WHEN full_ THEN segment + 1 ELSE segment END, CASE WHEN full_ THEN sec ELSE held + sec END >= 10 FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1) "
-    "SELECT user_id, segment, first, last, held AS seconds FROM s WHERE full_"
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, (event_id % 7 + 1)::DOUBLE / 2 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events), "
+    "s AS (SELECT user_id, n, ms, event_id AS first, event_id AS last, sec AS held, 0::BIGINT AS segment, sec >= 10 AS full_, NULL::BIGINT AS c_first, NULL::BIGINT AS c_last, NULL::DOUBLE AS c_held FROM e WHERE n = 1 "
+    "UNION ALL SELECT e.user_id, e.n, e.ms, CASE WHEN full_ OR gone THEN e.event_id ELSE first END, e.event_id, CASE WHEN full_ OR gone THEN sec ELSE held + sec END, CASE WHEN full_ OR gone THEN segment + 1 ELSE segment END, "
+    "CASE WHEN full_ OR gone THEN sec ELSE held + sec END >= 10, CASE WHEN gone THEN first END, CASE WHEN gone THEN last END, CASE WHEN gone THEN held END FROM (SELECT s.*, NOT full_ AND e.ms - s.ms >= 21600000 AS gone FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1) s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1) "
+    "SELECT user_id, segment, first, last, held AS seconds, 'full' AS flushed FROM s WHERE full_ UNION ALL SELECT user_id, segment - 1, c_first, c_last, c_held, 'idle' FROM s WHERE c_first IS NOT NULL "
+    "UNION ALL SELECT user_id, segment, first, last, held, 'idle' FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1) WHERE NOT full_ AND ms + 21600000 <= (SELECT max(epoch_ms(ts)) FROM events) - 3600000"
 )
 def stream_segments(spark, d):
-    """Segments flushed whenever a session holds ten seconds."""
-    e = events(spark, d).select("user_id", "event_id", ((F.col("event_id") % 7 + 1).cast("double") / 2).alias("sec"))
-    return quota.run_to_table(quota.bounded_segments(e, "user_id", "event_id", "sec"), "stream_segments")
+    """Segments flushed whenever a session holds ten seconds, or when nothing has come for six hours."""
+    e = events(spark, d).select("user_id", "ts", "event_id", ((F.col("event_id") % 7 + 1).cast("double") / 2).alias("sec"))
+    return quota.run_to_table(stateful.bounded_segments(e, "user_id", "ts", "event_id", "sec", idle="6 hours", delay="1 hour"), "stream_segments")
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY manifest ORDER BY seq) AS n FROM (SELECT user_id % 5 AS manifest, event_id AS seq, event_id * 7 AS ms, 'w' || (event_id // 7 % 6) AS worker, ['add', 'next', 'save', 'next'][(event_id % 4 + 1)::INT] AS action, "
+    "CASE event_id % 4 WHEN 0 THEN 'i' || event_id WHEN 2 THEN 'i' || (event_id // 8 * 4) END AS item FROM events)), "
+    "q AS (SELECT manifest, 0::BIGINT AS n, []::VARCHAR[] AS items, []::VARCHAR[] AS who, []::BIGINT[] AS since, []::BOOLEAN[] AS done, []::VARCHAR[] AS early, NULL::BIGINT AS seq, NULL::VARCHAR AS worker, NULL::VARCHAR AS action, NULL::INT AS pick FROM (SELECT DISTINCT manifest FROM e) "
+    "UNION ALL SELECT manifest, n, CASE WHEN action = 'add' AND place IS NULL THEN items || [item] ELSE items END, "
+    "CASE WHEN action = 'add' AND place IS NULL THEN who || [''] WHEN action = 'save' AND place IS NOT NULL THEN who[:place - 1] || [''] || who[place + 1:] WHEN pick IS NOT NULL THEN who[:pick - 1] || [worker] || who[pick + 1:] ELSE who END, "
+    "CASE WHEN action = 'add' AND place IS NULL THEN since || [0] WHEN pick IS NOT NULL THEN since[:pick - 1] || [ms] || since[pick + 1:] ELSE since END, "
+    "CASE WHEN action = 'add' AND place IS NULL THEN done || [list_contains(early, item)] WHEN action = 'save' AND place IS NOT NULL THEN done[:place - 1] || [true] || done[place + 1:] ELSE done END, "
+    "CASE WHEN action = 'save' AND place IS NULL THEN early || [item] ELSE early END, seq, worker, action, pick FROM ("
+    "SELECT q.manifest, e.n, items, who, since, done, early, e.seq, e.worker, e.action, e.ms, e.item, list_position(items, e.item)::INT AS place, "
+    "CASE WHEN e.action = 'next' THEN list_position(list_transform(items, lambda x, i: NOT done[i] AND (who[i] = '' OR who[i] = e.worker OR e.ms - since[i] >= 900)), true)::INT END AS pick FROM q JOIN e ON e.manifest = q.manifest AND e.n = q.n + 1)) "
+    "SELECT manifest, seq, worker, items[pick] AS item FROM q WHERE action = 'next'"
+)
+def claim_queue(spark, d):
+    """Items put in, handed out to workers and saved, a queue for each fifth of the users; a claim lives 900 seconds, which
+    are 128 events here."""
+    e = F.col("event_id")
+    action = F.element_at(F.array(*(F.lit(x) for x in ("add", "next", "save", "next"))), (e % 4 + 1).cast("int"))
+    item = F.when(e % 4 == 0, F.concat(F.lit("i"), e)).when(e % 4 == 2, F.concat(F.lit("i"), F.expr("event_id div 8 * 4")))
+    r = events(spark, d).select((F.col("user_id") % 5).alias("manifest"), F.timestamp_seconds(e * 7).alias("ts"), e.alias("seq"), F.concat(F.lit("w"), F.expr("event_id div 7 % 6")).alias("worker"), action.alias("action"), item.alias("item"))
+    return quota.run_to_table(stateful.claims(r, "manifest"), "claim_queue")

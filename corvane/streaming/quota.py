@@ -1,4 +1,4 @@
-"""Daily quotas and claim queues as keyed state; sessions, statistics and partial commits over streams."""
+"""Daily quotas as keyed state; sessions, statistics and partial commits over streams."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.sources.sinks import shared_folder
+from corvane.streaming.stateful import ordered
 
 
 #: Events of one key and day that are held at once, and that are read or given back at once.
@@ -83,41 +84,6 @@ def quota(events: DataFrame, key: str, ts: str, order: str, limit: int, delay: s
     return rows.groupBy(key, "day").applyInPandasWithState(step, f"{key} {kind}, day date, event bigint, nth bigint, allowed boolean, remaining bigint", "n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def claims(requests: DataFrame, manifest: str, ttl_seconds: int = 900) -> DataFrame:
-    """A claim queue.  requests: (manifest, ts, seq, worker, action, item), actions `add` (puts an item in), `next` and
-    `save`.  `next` hands out the first item that is neither done nor claimed by another worker within the time to
-    live; a worker with a live claim is offered it again; `save` marks the item done.  The queue of a manifest is one key
-    by nature: hand-out is exclusive."""
-    kind = requests.schema[manifest].dataType.simpleString()
-    rows = requests.select(manifest, F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "seq", "worker", "action", "item")
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, holders, times, done = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["at", "seq"]).itertuples():
-            if r.action == "add":
-                if r.item not in items:
-                    items.append(r.item), holders.append(""), times.append(0), done.append(False)
-                continue
-            if r.action == "save":
-                if r.item in items:
-                    i = items.index(r.item)
-                    holders[i], done[i] = "", True
-                continue
-            live = [bool(h) and r.at - t < ttl_seconds for h, t in zip(holders, times)]
-            free = [i for i in range(len(items)) if not done[i]]
-            own = [i for i in free if live[i] and holders[i] == r.worker]
-            pick = next(iter(own or [i for i in free if not live[i]]), None)
-            if pick is not None:
-                holders[pick], times[pick] = r.worker, int(r.at)
-            out.append((k[0], int(r.seq), r.worker, None if pick is None else items[pick]))
-        state.update((items, holders, times, done))
-        yield pd.DataFrame(out, columns=[manifest, "seq", "worker", "item"])
-
-    schema = f"{manifest} {kind}, seq bigint, worker string, item string"
-    return rows.groupBy(manifest).applyInPandasWithState(step, schema, "items array<string>, holders array<string>, times array<bigint>, done array<boolean>", "append", GroupStateTimeout.NoTimeout)
-
-
 def consented(events: DataFrame, consent: str, kind: str = "kind", kinds: tuple = ("segment", "final")) -> DataFrame:
     """Session events that may be stored: of a known kind, and only with the speaker's consent (null is none)."""
     return events.where(F.coalesce(F.col(consent), F.lit(False)) & F.col(kind).isin(*kinds))
@@ -129,11 +95,10 @@ def session_windows(events: DataFrame, key: str, ts: str, gap: str = "30 minutes
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def session_statistics(events: DataFrame, kind: str, key: str, exact: bool = True) -> DataFrame:
-    """Events and keys of each kind, for complete mode.  Exact counts keep each kind's keys as state; approximate ones a
-    sketch."""
-    keys = F.size(F.collect_set(key)).cast("bigint") if exact else F.approx_count_distinct(key)
-    return events.groupBy(kind).agg(F.count("*").alias("n"), keys.alias("keys"))
+def session_statistics(events: DataFrame, kind: str, key: str) -> DataFrame:
+    """Events and about how many keys of each kind, from a sketch of fixed size, for complete mode.  Exact counts of keys:
+    stateful.session_counts."""
+    return events.groupBy(kind).agg(F.count("*").alias("n"), F.approx_count_distinct(key).alias("keys"))
 
 
 def partial_commit(partials: DataFrame, session: str, order: str, text: str, volatile: int = 3) -> DataFrame:
@@ -142,43 +107,26 @@ def partial_commit(partials: DataFrame, session: str, order: str, text: str, vol
     rows = partials.select(session, F.col(order).cast("bigint").alias("seq"), F.col(text).alias("text"))
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        locked = list(state.get[0]) if state.exists else []
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            words = (r.text or "").split()
+        locked, out = list(state.get[0]) if state.exists else [], []
+        for seq, text in ordered((b[["seq", "text"]] for b in batches), ["seq"]):
+            words = (text or "").split()
             locked += words[len(locked) : max(len(locked), len(words) - volatile)]
-            out.append((k[0], int(r.seq), list(locked)))
+            out.append((k[0], int(seq), list(locked)))
+            if len(out) == SLICE:
+                yield pd.DataFrame(out, columns=[session, "seq", "locked"])
+                out = []
         state.update((locked,))
         yield pd.DataFrame(out, columns=[session, "seq", "locked"])
 
     return rows.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, seq bigint, locked array<string>", "locked array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def bounded_segments(chunks: DataFrame, session: str, order: str, seconds: str, most: float = 10.0) -> DataFrame:
-    """Segments flushed whenever a session's buffered seconds reach a bound; what is left stays buffered."""
-    kind = chunks.schema[session].dataType.simpleString()
-    rows = chunks.select(session, F.col(order).cast("bigint").alias("seq"), F.col(seconds).cast("double").alias("seconds"))
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, first, number = state.get if state.exists else (0.0, -1, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            first = int(r.seq) if first < 0 else first
-            held += r.seconds
-            if held >= most:
-                out.append((k[0], int(number), int(first), int(r.seq), float(held)))
-                held, first, number = 0.0, -1, number + 1
-        state.update((float(held), int(first), int(number)))
-        yield pd.DataFrame(out, columns=[session, "segment", "first", "last", "seconds"])
-
-    return rows.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, segment bigint, first bigint, last bigint, seconds double", "held double, first bigint, number bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Drive a stream through all that is available, and the rows it gave.  In append mode they are written as Parquet by
     the committed file sink, with the query's checkpoint beside them, both in the shared folder; a complete result is as
-    small as its groups and is rewritten there by each batch."""
-    base = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    small as its groups and is rewritten there by each batch.  With the same `base` a later run goes on where the last one
+    ended, and gives the rows of all."""
+    base = base or f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", f"{base}/rows").start()
