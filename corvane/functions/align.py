@@ -56,6 +56,12 @@ def distance(ref, hyp) -> int:
     return len(hyp) + up.bit_count() - down.bit_count()
 
 
+@F.pandas_udf(_I)
+def list_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Unit-cost edit distance of two arrays of strings; null if either is."""
+    return pd.Series([None if x is None or y is None else distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
 def trace(ref, hyp) -> list[tuple]:
     """(op, ri, hi) from left to right.  Equal symbols match; otherwise substitution before deletion before insertion.
     Memory is that of BLOCK columns and of one column for each block."""

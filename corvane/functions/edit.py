@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.text import let, words
+from corvane.functions.align import list_distance
+from corvane.functions.text import words
 
 #: What an empty reference does to a row's rate: count as 1, add its insertions to the sums alone, or skip the row.
 EMPTY_REF = ("one", "accumulate", "skip")
@@ -20,18 +21,10 @@ def bounded_edits(a: Column, b: Column, most: int) -> Column:
     return F.levenshtein(a, b, most)
 
 
-def _as_symbols(w: Column, vocabulary: Column) -> Column:
-    """One character for each distinct word, from U+3400 on, without surrogates: enough for 1.1 million distinct words."""
-    place = lambda k: F.when(k + 0x33FF < 0xD800, k + 0x33FF).otherwise(k + 0x3BFF)
-    code = lambda k: F.decode(F.unhex(F.lpad(F.hex(place(k)), 8, "0")), "UTF-32")
-    return F.array_join(F.transform(w, lambda x: code(F.array_position(vocabulary, x))), "")
-
-
 def word_edits(a: Column, b: Column) -> Column:
-    """Levenshtein distance between word lists: distinct words of a pair become single characters."""
-    pair = F.struct(words(a).alias("a"), words(b).alias("b"))
-    named = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("v"))
-    return let(pair, lambda p: let(named(p), lambda q: F.levenshtein(_as_symbols(q["a"], q["v"]), _as_symbols(q["b"], q["v"]))))
+    """Levenshtein distance between word lists, by the bit-parallel kernel: a pair costs its words of one side times a few
+    operations on integers with a bit for each word of the other."""
+    return list_distance(words(a), words(b))
 
 
 def word_disagreement(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from corvane.plans import catalog, decoding, derived, signals, stored  # noqa: F401  (these add to the registered queries)
+from corvane.plans import catalog, decoding, derived, items, signals, stored  # noqa: F401  (these add to the registered queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
