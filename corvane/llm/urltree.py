@@ -1,25 +1,31 @@
 r"""URL filter by a path-template tree, in DataFrame operations only.
 
 Each host has a tree of path segments.  Runs of digits are generalised to `*` first, so the tree is made of distinct
-shapes, however many paths they have.  Level by level, a branch without a label that holds a single path is generalised
-whole, to `?`, which no path contains.  That depends on the branch alone, not on how many siblings it has, and never
-pools a labelled branch with an unlabelled one.  Branches whose labelled shares do not differ from that of their labelled
-siblings (two-proportion test) are merged into `?+`.  What remains is a template.  Urls that a rule decides are the
-labelled ones.
-
-A template's purity is the share of bad among its labelled urls, smoothed towards its parent node as if by SMOOTH urls;
-a node's is the share among all its urls, of which an unlabelled one counts as half bad, smoothed towards the node above
-it; a host's is smoothed towards that of all hosts.  So a template without labels is rejected only where nearly all urls
-around it are known to be bad: four in five or more, in a large branch.
+shapes, however many paths they have.  Every prefix of a shape is a branch; all branches of all levels are summed up at once,
+so the number of jobs does not follow the depth of paths.  Urls that a rule decides are the labelled ones.
+
+What a branch holds, counted in paths, is its profile: its children by segment, those of a single path without a label as
+one class `?`, and paths that end there.  A branch without labels looks like its labelled siblings, bad or good, if its
+profile does not differ from their pooled one (chi-square test of homogeneity).  Branches are merged into `?+` where they
+look like MERGE_BRANCHES labelled siblings or more, and labelled ones whose share of bad does not differ from that of their
+labelled siblings (two-proportion test).  Other branches of a single path without a label are generalised to `?`, which no path
+contains.  What remains is a template.
+
+A template's purity is the share of bad among its labelled urls, smoothed towards what is known around it as if by SMOOTH
+urls.  That is found along the path, from one half at the host: at each branch, the mean share of bad of the labelled siblings that
+it looks like (of all other labelled ones, if it has labels itself), each weighing as much as its labelled urls allow, at
+most one, is smoothed towards what the branch above has.  A branch's own urls never count for it there, and siblings
+count as branches: one blocked section says little of the others however many urls it has, ten of one look decide.
 
 All statistics are sums over distinct shapes, so a hot host, path or template is pre-aggregated before any shuffle.
-Verdicts come back by broadcast for the shapes that hold more than one in BROADCAST_SHAPES of all urls, which are at most
-so many, and by shuffle for the rest, so no hot shape meets in one task.
+Tables of at most BROADCAST_SHAPES rows are broadcast.  Verdicts come back by broadcast for the shapes that hold more
+than one in BROADCAST_SHAPES of all urls, which are at most so many, and by shuffle for the rest, so no hot shape meets in
+one task.
 
-Defined cases: a null url, and one without `://`, has an empty host and path, is one shape and is allowed unless nearly
-all urls of empty hosts are bad; the tree is as deep as the deepest path; very long urls are read whole; repeated rows
-are judged alike and count each; ties cannot arise; an empty table gives no rows; columns of the input named host, path,
-rule, verdict, template or purity give way to the operator's own."""
+Defined cases: a null url, and one without `://`, has an empty host and path, is one shape without branches and is allowed
+unless rules label it; very long urls are read whole, with work and rows in proportion to the square and the number of their
+segments; repeated rows are judged alike and count each; ties cannot arise; an empty table gives no rows; columns of the
+input named host, path, rule, verdict, template or purity give way to the operator's own."""
 
 from __future__ import annotations
 
@@ -30,11 +36,14 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
 
-#: Labelled urls that both sides of a merge test need, and the test's threshold in standard errors.
+#: Labelled urls that both sides of a test of shares need, and the test's threshold in standard errors.
 MERGE_LABELS, MERGE_ERRORS = 5, 1.64
+#: Labelled siblings that a branch without labels must look like to be merged, and the test's threshold: chi-square up to
+#: its mean and so many standard deviations.
+MERGE_BRANCHES, ALIKE_DEVIATIONS = 10, 2.33
 #: A template of this purity is rejected; the urls that smoothing counts for.
 REJECT, SMOOTH = 0.9, 2
-#: Verdicts of at most so many shapes are broadcast.
+#: Tables of branches, and verdicts, of at most so many rows are broadcast.
 BROADCAST_SHAPES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,44 +85,73 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return text, verdict
 
 
-def _smoothed(bad: Column, good: Column, urls: Column, above: Column) -> Column:
-    """The purity of a node."""
-    return (bad + (urls - bad - good) / 2 + SMOOTH * above) / (urls + SMOOTH)
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_SHAPES else df
+
+
+def _branches(shapes: DataFrame) -> DataFrame:
+    """One row for each prefix of each shape: (host, shape, d, node, parent, step, last) and the shape's numbers."""
+    cut = lambda d: F.struct(F.array_join(F.slice("seg", F.lit(1), d), "/").alias("node"), F.array_join(F.slice("seg", F.lit(1), d - 1), "/").alias("parent"), F.element_at("seg", d).alias("step"), (d == F.size("seg")).alias("last"), d.alias("d"))
+    every = F.transform(F.sequence(F.lit(1), F.size("seg")), cut)
+    return shapes.where(F.size("seg") > 0).select("host", "shape", "paths", "urls", "bad", "good", F.inline(every))
+
+
+def _profiles(nodes: DataFrame) -> DataFrame:
+    """(host, parent, node, kind, c, n): how many paths each branch holds in each class of children; `/` is the end."""
+    held = nodes.select("host", F.col("parent").alias("node"), F.when((F.col("own") == 0) & (F.col("paths") == 1), "?").otherwise(F.col("step")).alias("c"), F.col("paths").alias("n"))
+    ends = nodes.where("ends > 0").select("host", "node", F.lit("/").alias("c"), F.col("ends").alias("n"))
+    counted = held.where("node <> ''").unionByName(ends).groupBy("host", "node", "c").agg(F.sum("n").alias("n"))
+    return counted.join(nodes.select("host", "parent", "node", "kind"), ["host", "node"])
+
+
+def _evidence(nodes: DataFrame) -> DataFrame:
+    """(host, node, alike, a, b): how many labelled siblings a branch looks like, the sum of their shares of bad, and of
+    their weights; of a branch with labels, all its other labelled siblings."""
+    labelled = nodes.where("own > 0")
+    known = labelled.groupBy("host", "parent", "kind").agg(F.count("*").alias("m"), F.sum(F.col("weight") * F.col("share")).alias("s"), F.sum("weight").alias("w"))
+    profiles = materialize(_profiles(nodes), "profiles")
+    pooled = materialize(profiles.where("kind is not null").groupBy("host", "parent", "kind", "c").agg(F.sum("n").alias("pn")), "pools")
+    totals = pooled.groupBy("host", "parent", "kind").agg(F.sum("pn").alias("all_p"), F.count("*").alias("classes")).join(known, ["host", "parent", "kind"])
+    totals = materialize(totals, "totals")
+    met = profiles.where("kind is null").drop("kind").join(_few(totals), ["host", "parent"]).join(_few(pooled), ["host", "parent", "kind", "c"], "left").withColumn("pn", F.coalesce("pn", F.lit(0)))
+    both = F.col("n") + F.col("pn")
+    sums = met.groupBy("host", "node", "kind").agg(
+        F.sum("n").alias("all_n"), F.sum("pn").alias("met_p"), F.count("*").alias("own_classes"), F.count_if(F.col("pn") > 0).alias("shared"), F.sum(F.col("n") * F.col("n") / both).alias("nn"),
+        F.sum(F.col("n") * F.col("pn") / both).alias("np"), F.sum(F.col("pn") * F.col("pn") / both).alias("pp"), *(F.max(c).alias(c) for c in ("all_p", "classes", "m", "s", "w")),
+    )
+    ratio = F.col("all_n") / F.col("all_p")
+    chi = F.col("nn") / ratio - 2 * F.col("np") + ratio * F.col("pp") + ratio * (F.col("all_p") - F.col("met_p"))
+    freedom = F.col("own_classes") + F.col("classes") - F.col("shared") - 1
+    alike = sums.where(chi <= freedom + ALIKE_DEVIATIONS * F.sqrt(2 * freedom) + 1e-9)
+    without = alike.groupBy("host", "node").agg(F.sum("m").alias("alike"), F.sum("s").alias("a"), F.sum("w").alias("b"))
+    siblings = known.groupBy("host", "parent").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("w").alias("w"))
+    others = labelled.join(siblings, ["host", "parent"]).select("host", "node", (F.col("m") - 1).alias("alike"), (F.col("s") - F.col("weight") * F.col("share")).alias("a"), (F.col("w") - F.col("weight")).alias("b"))
+    return without.unionByName(others)
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """shapes: (host, shape, paths, urls, bad, good), distinct.  Adds template, the generalised shape, and above, the
-    purity of the node that the template hangs on."""
-    sums = [F.sum(c).alias(c) for c in ("paths", "urls", "bad", "good")]
-    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    everything = shapes.agg((_smoothed(n("bad"), n("good"), n("urls"), F.lit(0.5))).alias("p_all"))
-    hosts = shapes.groupBy("host").agg(*sums).crossJoin(F.broadcast(everything))
-    hosts = hosts.select("host", _smoothed(F.col("bad"), F.col("good"), F.col("urls"), F.col("p_all")).alias("p"))
-    segments = F.filter(F.split("shape", "/"), lambda s: s != "")
-    t = shapes.join(hosts, "host").withColumns({"seg": segments, "template": F.lit(""), "above": F.col("p")})
-    t = materialize(t, "shapes")
-    n, deepest = t.agg(F.count("*"), F.coalesce(F.max(F.size("seg")), F.lit(0))).first()
-    for d in range(1, deepest + 1):
-        t = t.withColumn("s", F.get("seg", F.lit(d - 1)))
-        child = t.where("s is not null").groupBy("host", "template", "s").agg(*sums, F.max("p").alias("p"))
-        parent = child.groupBy("host", "template").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
-        j = child.join(parent, ["host", "template"])
-        own, rest = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
-        pooled = F.try_divide("all_bad", F.col("all_bad") + F.col("all_good"))
-        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), own) + F.try_divide(F.lit(1.0), rest)))
-        apart = F.abs(F.try_divide("bad", own) - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
-        alike = (own >= MERGE_LABELS) & (rest >= MERGE_LABELS) & (apart <= MERGE_ERRORS * error)
-        step = F.when((own == 0) & (F.col("paths") == 1), F.lit("?")).when(F.coalesce(alike, F.lit(False)), F.lit("?+")).otherwise(F.col("s"))
-        j = materialize(j.select("host", "template", "s", step.alias("step"), "urls", "bad", "good", "p"), f"branches{d}", n)
-        node = j.groupBy("host", "template", "step").agg(*sums[1:], F.max("p").alias("above"))
-        node = node.select("host", "template", "step", "above", _smoothed(F.col("bad"), F.col("good"), F.col("urls"), F.col("above")).alias("p"))
-        decided = j.select("host", "template", "s", "step").join(node, ["host", "template", "step"])
-        decided = decided.select("host", "template", "s", "step", F.col("above").alias("_above"), F.col("p").alias("_p"))
-        t = t.join(decided, ["host", "template", "s"], "left")
-        longer = F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))
-        t = t.withColumns({"template": longer, "above": F.coalesce("_above", "above"), "p": F.coalesce("_p", "p")}).drop("s", "step", "_above", "_p")
-        t = materialize(t, f"level{d}", n)
-    return t.drop("seg", "p")
+    """shapes: (host, shape, paths, urls, bad, good), distinct.  Adds template, the generalised shape, and above, what is
+    known around it."""
+    t = materialize(shapes.withColumn("seg", F.filter(F.split("shape", "/"), lambda s: s != "")), "shapes")
+    nodes = _branches(t).groupBy("host", "parent", "node", "step").agg(*(F.sum(c).alias(c) for c in ("paths", "bad", "good")), F.sum(F.when(F.col("last"), F.col("paths")).otherwise(0)).alias("ends"))
+    nodes = nodes.withColumn("own", F.col("bad") + F.col("good")).withColumn("share", F.try_divide("bad", "own")).withColumn("weight", F.col("own") / (F.col("own") + SMOOTH))
+    nodes = materialize(nodes.withColumn("kind", F.when(F.col("share") >= 0.5, "bad").when(F.col("own") > 0, "good")), "nodes")
+    parents = nodes.groupBy("host", "parent").agg(F.sum("bad").alias("all_bad"), F.sum("own").alias("all_own"))
+    rest = F.col("all_own") - F.col("own")
+    pooled = F.try_divide("all_bad", "all_own")
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("own")) + F.try_divide(F.lit(1.0), rest)))
+    apart = F.abs(F.col("share") - F.try_divide(F.col("all_bad") - F.col("bad"), rest))
+    same = F.coalesce((F.col("own") >= MERGE_LABELS) & (rest >= MERGE_LABELS) & (apart <= MERGE_ERRORS * error), F.lit(False))
+    merged = F.when(F.col("own") > 0, same).otherwise(F.coalesce(F.col("alike") >= MERGE_BRANCHES, F.lit(False)))
+    step = F.when(merged, "?+").when((F.col("own") == 0) & (F.col("paths") == 1), "?").otherwise(F.col("step"))
+    decided = nodes.join(parents, ["host", "parent"]).join(_evidence(nodes), ["host", "node"], "left")
+    decided = materialize(decided.select("host", "node", step.alias("general"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b")), "decided")
+    levels = _branches(t).select("host", "shape", "node", "d").join(_few(decided), ["host", "node"]).groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("d", "general", "a", "b"))).alias("path"))  # a path's levels
+    out = t.join(levels, ["host", "shape"], "left")
+    template = F.array_join(F.transform("path", lambda x: F.concat(F.lit("/"), x["general"])), "")
+    above = F.aggregate("path", F.lit(0.5), lambda q, x: (x["a"] + SMOOTH * q) / (x["b"] + SMOOTH))
+    return out.select("host", "shape", "paths", "urls", "bad", "good", F.coalesce(template, F.lit("")).alias("template"), F.coalesce(above, F.lit(0.5)).alias("above"))
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", reject: float = REJECT) -> DataFrame:
@@ -127,7 +165,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", reject: floa
     count = lambda v: F.count(F.when(F.col(given) == v, 1))
     paths = ruled.groupBy("host", shape, "path").agg(F.count("*").alias("urls"), count("block").alias("bad"), count("allow").alias("good"))
     shapes = paths.groupBy("host", F.col(shape).alias("shape")).agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("urls", "bad", "good")))
-    tree = templates(shapes)
+    tree = materialize(templates(shapes), "tree")
     scored = tree.groupBy("host", "template").agg(((F.sum("bad") + SMOOTH * F.max("above")) / (F.sum("bad") + F.sum("good") + SMOOTH)).alias("purity"))
     found = materialize(tree.select("host", F.col("shape").alias(shape), "template", "urls").join(scored, ["host", "template"]), "verdicts", tree.count())
     total = found.agg(F.sum("urls")).first()[0] or 0

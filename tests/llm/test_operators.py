@@ -506,52 +506,76 @@ def plain_judge(urls, rules, reject=0.9):
             host = host.translate({i: i + 32 for i in range(65, 91)})
         fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         parsed.append((host, path, max(fits, key=lambda r: len(r.text)).verdict if fits else None))
-    smooth = lambda rows, above: (sum(v == "block" for *_, v in rows) + sum(v is None for *_, v in rows) / 2 + 2 * above) / (len(rows) + 2)
-    top, out = smooth(parsed, 0.5), {}
-
-    def settle(rows, template, above):
-        bad, good = (sum(v == x for *_, v in rows) for x in ("block", "allow"))
-        for r in rows:
-            out.setdefault(template, [above, 0, 0])
-            out[template, r[:2]] = None
-        out[template][1] += bad
-        out[template][2] += good
-
-    def grow(rows, template, depth, above, p):
-        own = [r for r in rows if len(seg(r)) == depth]
-        if own:
-            settle(own, template, above)
-        branches = {}
-        for r in rows:
-            if len(seg(r)) > depth:
-                branches.setdefault(seg(r)[depth], []).append(r)
-        labelled = {s: (sum(v == "block" for *_, v in rs), sum(v is not None for *_, v in rs)) for s, rs in branches.items()}
-        all_bad, all_n = (sum(x[i] for x in labelled.values()) for i in (0, 1))
-        steps = {}
-        for s, rs in branches.items():
-            b, n = labelled[s]
-            rest, step = all_n - n, s
-            if n == 0 and len({r[1] for r in rs}) == 1:
-                step = "?"
-            elif n >= 5 and rest >= 5:
-                pooled = all_bad / all_n
-                if abs(b / n - (all_bad - b) / rest) <= 1.64 * (pooled * (1 - pooled) * (1 / n + 1 / rest)) ** 0.5:
-                    step = "?+"
-            steps.setdefault(step, []).extend(rs)
-        for step, rs in steps.items():
-            grow(rs, f"{template}/{step}", depth + 1, p, smooth(rs, p))
-
-    seg = lambda r: [x for x in re.sub("[0-9]+", "*", r[1]).split("/") if x]
-    answers = {}
+    seg = lambda path: [re.sub("[0-9]+", "*", s) for s in path.split("/") if s]
+    out = {}
     for host in {h for h, *_ in parsed}:
-        rows = [r for r in parsed if r[0] == host]
-        out.clear()
-        grow(rows, "", 0, smooth(rows, top), smooth(rows, top))
-        for key in [k for k in out if isinstance(k, tuple)]:
-            template, (h, path) = key
-            above, bad, good = out[template]
-            answers[h, path] = (template, (bad + 2 * above) / (bad + good + 2))
-    return [(*answers[h, p], v or ("block" if answers[h, p][1] >= reject else "allow")) for h, p, v in parsed]
+        own = [(seg(p), p, v) for h, p, v in parsed if h == host]
+
+        def branches(rows, depth):
+            found = {}
+            for r in rows:
+                if len(r[0]) > depth:
+                    found.setdefault(r[0][depth], []).append(r)
+            return found
+
+        def labels(rows):
+            return sum(v == "block" for *_, v in rows), sum(v is not None for *_, v in rows)
+
+        def profile(rows, depth):
+            """Paths by class of the branch's children; depth: that of the children."""
+            n = Counter()
+            for s, rs in branches(rows, depth).items():
+                paths = {p for _, p, _ in rs}
+                n["?" if len(paths) == 1 and not labels(rs)[1] else s] += len(paths)
+            if ends := {p for x, p, _ in rows if len(x) == depth}:
+                n["/"] = len(ends)
+            return n
+
+        def alike(a, b):
+            n, p, classes = sum(a.values()), sum(b.values()), set(a) | set(b)
+            chi = sum((math.sqrt(p / n) * a[c] - math.sqrt(n / p) * b[c]) ** 2 / (a[c] + b[c]) for c in classes)
+            k = len(classes) - 1
+            return chi <= k + 2.33 * math.sqrt(2 * k) + 1e-9
+
+        def grow(rows, template, depth, q):
+            for x, p, v in rows:
+                if len(x) == depth:
+                    t = out.setdefault((host, (template,)), [0, 0, q])
+                    t[0] += v == "block"
+                    t[1] += v is not None
+                    t[2] = max(t[2], q)
+                    out[host, p] = template
+            found = branches(rows, depth)
+            known = {s: labels(rs) for s, rs in found.items() if labels(rs)[1]}
+            weigh = lambda s: known[s][1] / (known[s][1] + 2)
+            for s, rs in found.items():
+                b, n = labels(rs)
+                if n:
+                    like = [x for x in known if x != s]
+                    rest_b, rest_n = sum(known[x][0] for x in like), sum(known[x][1] for x in like)
+                    merged = False
+                    if n >= 5 and rest_n >= 5:
+                        share = (b + rest_b) / (n + rest_n)
+                        merged = abs(b / n - rest_b / rest_n) <= 1.64 * math.sqrt(share * (1 - share) * (1 / n + 1 / rest_n))
+                else:
+                    like = []
+                    for bad in (True, False):
+                        kin = [x for x in known if (known[x][0] / known[x][1] >= 0.5) == bad]
+                        if kin and alike(profile(rs, depth + 1), sum((profile(found[x], depth + 1) for x in kin), Counter())):
+                            like += kin
+                    merged = len(like) >= 10
+                step = "?+" if merged else "?" if not n and len({p for _, p, _ in rs}) == 1 else s
+                a, w = sum(weigh(x) * known[x][0] / known[x][1] for x in like), sum(map(weigh, like))
+                grow(rs, f"{template}/{step}", depth + 1, (a + 2 * q) / (w + 2))
+
+        grow(own, "", 0, 0.5)
+    result = []
+    for host, path, verdict in parsed:
+        template = out[host, path]
+        bad, n, q = out[host, (template,)]
+        purity = (bad + 2 * q) / (n + 2)
+        result.append((template, purity, verdict or ("block" if purity >= reject else "allow")))
+    return result
 
 
 @pytest.mark.parametrize("few", [100_000, 3])
@@ -569,7 +593,28 @@ def test_verdicts_match_a_plain_tree(spark, monkeypatch, few):
         assert (r.template, r.verdict) == (template, verdict), r
         assert r.purity is None if r.rule else r.purity == pytest.approx(purity)
     by = {r.url: r for r in got}
-    assert by["http://bad.a.test/about"].rule is None and by["http://bad.a.test/about"].verdict == "block" and by["http://c.test/x/y/22"].verdict == "block"
+    # one blocked section decides nothing of the others; a template's own labels decide its other urls
+    assert by["http://bad.a.test/about"].rule is None and by["http://bad.a.test/about"].verdict == "allow" and by["http://c.test/x/y/22"].verdict == "block"
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_an_unlabelled_branch_among_blocked_ones_of_its_look(spark, depth):
+    deep = "/".join(f"level-{chr(97 + i)}" for i in range(depth))
+    names = [chr(97 + i) * 3 for i in range(12)]
+    for others, shape, verdict in (("blocked", "{}/item-{}", "block"), ("blocked", "{}/more/x{}y/z", "allow"), ("few", "{}/item-{}", "allow"), ("mixed", "{}/item-{}", "allow")):
+        base = "http://x.test/" + (deep + "/" if deep else "")
+        ruled = names[:4] if others == "few" else names
+        rules = tuple(urltree.Rule(f"x.test/{deep + '/' if deep else ''}{s}/", "allow" if others == "mixed" and i % 2 else "block") for i, s in enumerate(ruled))
+        urls = [f"{base}{s}/item-{i}" for s in names for i in range(8)] + [base + shape.format("new", i) for i in range(8)]
+        rows = urltree.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).where("url like '%/new/%'").collect()
+        assert {r.verdict for r in rows} == {verdict} and len(rows) == 8, (others, shape)
+        assert [(r.template, r.verdict) for r in rows] == [x[::2] for x in plain_judge(urls, rules)[-8:]]
+
+
+def test_paths_of_hundreds_of_segments(spark):
+    urls = ["http://x.test/" + "/".join(f"s{i % 7}" for i in range(400)) + f"/{k}" for k in (1, 2)] + ["http://x.test" + "/a" * 300]
+    rows = urltree.judge(spark.createDataFrame([(u,) for u in urls], "url string"), (urltree.Rule("x.test/s0/", "block"),)).collect()
+    assert [r.verdict for r in rows] == ["block", "block", "allow"] and rows[2].template == "/?" * 300
 
 
 def test_the_drivers_pages_match_a_plain_tree(spark):
