@@ -17,8 +17,8 @@ it looks like (of all other labelled ones, if it has labels itself), each weighi
 most one, is smoothed towards what the branch above has.  A branch's own urls never count for it there, and siblings
 count as branches: one blocked section says little of the others however many urls it has, ten of one look decide.
 
-All statistics are sums over distinct shapes, so a hot host, path or template is pre-aggregated before any shuffle.
-Tables of at most BROADCAST_SHAPES rows are broadcast.  Verdicts come back by broadcast for the shapes that hold more
+All statistics are sums over distinct shapes, so a hot host, path or template is pre-aggregated before any shuffle.  Joins
+of branches are left to the adaptive planner, which broadcasts tables that it finds small and splits skewed keys.  Verdicts come back by broadcast for the shapes that hold more
 than one in BROADCAST_SHAPES of all urls, which are at most so many, and by shuffle for the rest, so no hot shape meets in
 one task.
 
@@ -43,7 +43,7 @@ MERGE_LABELS, MERGE_ERRORS = 5, 1.64
 MERGE_BRANCHES, ALIKE_DEVIATIONS = 10, 2.33
 #: A template of this purity is rejected; the urls that smoothing counts for.
 REJECT, SMOOTH = 0.9, 2
-#: Tables of branches, and verdicts, of at most so many rows are broadcast.
+#: Verdicts of at most so many shapes are broadcast.
 BROADCAST_SHAPES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,11 +85,6 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return text, verdict
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A written table, broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_SHAPES else df
-
-
 def _branches(shapes: DataFrame) -> DataFrame:
     """One row for each prefix of each shape: (host, shape, d, node, parent, step, last) and the shape's numbers."""
     cut = lambda d: F.struct(F.array_join(F.slice("seg", F.lit(1), d), "/").alias("node"), F.array_join(F.slice("seg", F.lit(1), d - 1), "/").alias("parent"), F.element_at("seg", d).alias("step"), (d == F.size("seg")).alias("last"), d.alias("d"))
@@ -110,11 +105,10 @@ def _evidence(nodes: DataFrame) -> DataFrame:
     their weights; of a branch with labels, all its other labelled siblings."""
     labelled = nodes.where("own > 0")
     known = labelled.groupBy("host", "parent", "kind").agg(F.count("*").alias("m"), F.sum(F.col("weight") * F.col("share")).alias("s"), F.sum("weight").alias("w"))
-    profiles = materialize(_profiles(nodes), "profiles")
-    pooled = materialize(profiles.where("kind is not null").groupBy("host", "parent", "kind", "c").agg(F.sum("n").alias("pn")), "pools")
+    profiles = _profiles(nodes)
+    pooled = profiles.where("kind is not null").groupBy("host", "parent", "kind", "c").agg(F.sum("n").alias("pn"))
     totals = pooled.groupBy("host", "parent", "kind").agg(F.sum("pn").alias("all_p"), F.count("*").alias("classes")).join(known, ["host", "parent", "kind"])
-    totals = materialize(totals, "totals")
-    met = profiles.where("kind is null").drop("kind").join(_few(totals), ["host", "parent"]).join(_few(pooled), ["host", "parent", "kind", "c"], "left").withColumn("pn", F.coalesce("pn", F.lit(0)))
+    met = profiles.where("kind is null").drop("kind").join(totals, ["host", "parent"]).join(pooled, ["host", "parent", "kind", "c"], "left").withColumn("pn", F.coalesce("pn", F.lit(0)))
     both = F.col("n") + F.col("pn")
     sums = met.groupBy("host", "node", "kind").agg(
         F.sum("n").alias("all_n"), F.sum("pn").alias("met_p"), F.count("*").alias("own_classes"), F.count_if(F.col("pn") > 0).alias("shared"), F.sum(F.col("n") * F.col("n") / both).alias("nn"),
@@ -146,8 +140,8 @@ def templates(shapes: DataFrame) -> DataFrame:
     merged = F.when(F.col("own") > 0, same).otherwise(F.coalesce(F.col("alike") >= MERGE_BRANCHES, F.lit(False)))
     step = F.when(merged, "?+").when((F.col("own") == 0) & (F.col("paths") == 1), "?").otherwise(F.col("step"))
     decided = nodes.join(parents, ["host", "parent"]).join(_evidence(nodes), ["host", "node"], "left")
-    decided = materialize(decided.select("host", "node", step.alias("general"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b")), "decided")
-    levels = _branches(t).select("host", "shape", "node", "d").join(_few(decided), ["host", "node"]).groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("d", "general", "a", "b"))).alias("path"))  # a path's levels
+    decided = decided.select("host", "node", step.alias("general"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    levels = _branches(t).select("host", "shape", "node", "d").join(decided, ["host", "node"]).groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("d", "general", "a", "b"))).alias("path"))  # a path's levels
     out = t.join(levels, ["host", "shape"], "left")
     template = F.array_join(F.transform("path", lambda x: F.concat(F.lit("/"), x["general"])), "")
     above = F.aggregate("path", F.lit(0.5), lambda q, x: (x["a"] + SMOOTH * q) / (x["b"] + SMOOTH))
@@ -167,13 +161,15 @@ def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", reject: floa
     shapes = paths.groupBy("host", F.col(shape).alias("shape")).agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("urls", "bad", "good")))
     tree = materialize(templates(shapes), "tree")
     scored = tree.groupBy("host", "template").agg(((F.sum("bad") + SMOOTH * F.max("above")) / (F.sum("bad") + F.sum("good") + SMOOTH)).alias("purity"))
-    found = materialize(tree.select("host", F.col("shape").alias(shape), "template", "urls").join(scored, ["host", "template"]), "verdicts", tree.count())
-    total = found.agg(F.sum("urls")).first()[0] or 0
-    # a shape with more than total / BROADCAST_SHAPES urls is one of at most BROADCAST_SHAPES
-    often, seldom = found.where(F.col("urls") * BROADCAST_SHAPES > total).drop("urls"), found.where(F.col("urls") * BROADCAST_SHAPES <= total).drop("urls")
-    out = ruled.join(F.broadcast(often), ["host", shape])
-    if total > BROADCAST_SHAPES:
-        out = out.unionByName(ruled.join(F.broadcast(often), ["host", shape], "left_anti").join(seldom, ["host", shape]))
+    found = tree.select("host", F.col("shape").alias(shape), "template", "urls").join(scored, ["host", "template"])
+    total = tree.agg(F.sum("urls")).first()[0] or 0
+    if total <= BROADCAST_SHAPES:
+        out = ruled.join(F.broadcast(found.drop("urls")), ["host", shape])
+    else:
+        # a shape with more than total / BROADCAST_SHAPES urls is one of at most BROADCAST_SHAPES
+        found = materialize(found, "verdicts")
+        often, seldom = found.where(F.col("urls") * BROADCAST_SHAPES > total).drop("urls"), found.where(F.col("urls") * BROADCAST_SHAPES <= total).drop("urls")
+        out = ruled.join(F.broadcast(often), ["host", shape]).unionByName(ruled.join(F.broadcast(often), ["host", shape], "left_anti").join(seldom, ["host", shape]))
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(*kept, "host", "path", "rule", F.coalesce(given, own).alias("verdict"), "template", F.when(F.col(given).isNull(), F.col("purity")).alias("purity"))
 
