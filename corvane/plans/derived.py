@@ -481,6 +481,20 @@ def aligned_segments(spark, d):
     return s.withColumn("score", F.round("score", 6))
 
 
+@query(
+    f"WITH RECURSIVE {_ALIGN}, w AS (SELECT f3.*, row_number() OVER (PARTITION BY label, k ORDER BY own - best, t) AS n FROM f3) "
+    "SELECT w.label, w.k::INT AS k, w.token::INT AS token, round(al.raw, 6) AS raw, w.t::INT AS worst_frame, round(own, 6) AS worst_own, other::INT AS worst_rival, round(list_max(rival), 6) AS worst_rival_lp, round(own - list_max(rival), 6) AS margin "
+    "FROM w JOIN al ON al.label = w.label AND al.k = w.k WHERE n = 1"
+)
+def alignment_diagnostics(spark, d):
+    """Of each aligned token its mean score, its worst frame, and the strongest other symbol there."""
+    f = frames(spark, d)
+    ids = posterior.greedy(f, "label", "t", "logp").select("label", "ids")
+    a = posterior.align_tokens(f, ids, "label")
+    shown = {c: F.round(c, 6) for c in ("raw", "worst_own", "worst_rival_lp")}
+    return a.select("label", "k", "token", "raw", "worst_frame", "worst_own", "worst_rival", "worst_rival_lp", (F.col("worst_own") - F.col("worst_rival_lp")).alias("margin")).withColumns(shown | {"margin": F.round("margin", 6)})
+
+
 @query("SELECT page_id, CASE WHEN page_id % 5 = 0 OR url IS NULL THEN '' ELSE upper(substr(url, 1, 12)) END AS answer FROM pages")
 def enriched_rows(spark, d):
     """What a call says of each row, '' where it fails."""

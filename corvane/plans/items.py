@@ -3,10 +3,12 @@ reports and greedy selections as SQL."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import align, edit
+from corvane.functions import align, edit, script
 from corvane.functions.text import words
 from corvane.operators import fusion, metrics
 from corvane.plans.catalog import _LATIN, _PAIRS, _WORDS, QUERIES, SQL, latin, query, t
@@ -140,6 +142,54 @@ def row_rates(spark, d):
     return docs.select(F.explode(F.array(*rates)).alias("r")).groupBy("r.policy").agg(F.count("r.rate").alias("rows"), F.round(F.avg("r.rate"), 6).alias("mean"))
 
 
+# ------------------------------------------------------------------ Roman schemes
+
+
+SCHEMES = ("iast", "slp1", "hk", "itrans", "velthuis")
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _map(pairs: dict) -> str:
+    return f"MAP {{{', '.join(f'{_quoted(k)}: {_quoted(v)}' for k, v in pairs.items())}}}"
+
+
+def _written(scheme: str, x: str) -> str:
+    """Devanagari in a Roman scheme: a consonant has the first vowel unless a sign or virama follows."""
+    vowels, consonants, marks = script._ROMAN[scheme]
+    cons, sign = dict(zip(script._CONSONANTS, consonants)), dict(zip(script._SIGNS[1:], vowels[1:]))
+    letters = dict(zip(script._VOWELS, vowels)) | dict(zip(script._MARKS, marks)) | {chr(0x0966 + i): str(i) for i in range(10)} | cons | sign | {script.VIRAMA: ""}
+    bearing, ending = _quoted("".join(cons)), _quoted("".join(sign) + script.VIRAMA)
+    chars = f"regexp_extract_all({x}, '(?s).')"
+    piece = f"CASE WHEN i > 1 AND contains({bearing}, c[i - 1]) AND NOT contains({ending}, ch) THEN 'a' ELSE '' END || coalesce({_map(letters)}[ch], ch)"
+    return f"(SELECT array_to_string(list_transform(c, lambda ch, i: {piece}), '') || CASE WHEN contains({bearing}, c[len(c)]) THEN 'a' ELSE '' END FROM (SELECT {chars} AS c))"
+
+
+def _read(scheme: str, x: str) -> str:
+    """A Roman scheme in Devanagari, by the longest letters: a vowel after a consonant is a sign, anything else a virama."""
+    vowels, consonants, marks = script._ROMAN[scheme]
+    also = script._ALIASES.get(scheme, {})
+    named = lambda roman, deva_: dict(zip(roman, deva_)) | {k: dict(zip(roman, deva_))[r] for k, r in also.items() if r in roman}
+    whole, sign, cons, mark = named(vowels, script._VOWELS), named(vowels, script._SIGNS), named(consonants, script._CONSONANTS), named(marks, script._MARKS)
+    letters = sorted({*whole, *cons, *mark}, key=len, reverse=True)
+    tokens = f"regexp_extract_all({x}, {_quoted('(?s)' + '|'.join(map(re.escape, letters)) + '|.')})"
+    after = f"i > 1 AND map_contains({_map(cons)}, c[i - 1])"
+    vowel = f"CASE WHEN {after} THEN {_map(sign)}[ch] ELSE {_map(whole)}[ch] END"
+    other = f"CASE WHEN {after} THEN '{script.VIRAMA}' ELSE '' END || coalesce({_map(cons | mark)}[ch], ch)"
+    piece = f"CASE WHEN map_contains({_map(whole)}, ch) THEN {vowel} ELSE {other} END"
+    return f"(SELECT array_to_string(list_transform(c, lambda ch, i: {piece}), '') || CASE WHEN map_contains({_map(cons)}, c[len(c)]) THEN '{script.VIRAMA}' ELSE '' END FROM (SELECT {tokens} AS c))"
+
+
+@query(f"WITH x AS (SELECT item_id, text, {_deva('text')} AS dev FROM benchmark WHERE length(text) > 0) " + " UNION ALL ".join(f"SELECT item_id, '{s}' AS scheme, {_written(s, 'dev')} AS written, {_read(s, 'text')} AS read FROM x" for s in SCHEMES))
+def roman_schemes(spark, d):
+    """Items in Devanagari written in each Roman scheme, and their Latin text read as if in it."""
+    x = t(spark, d, "benchmark").where("length(text) > 0").select("item_id", "text", deva(F.col("text")).alias("dev"))
+    each = [F.struct(F.lit(s).alias("scheme"), script.transliterate(F.col("dev"), "devanagari", s).alias("written"), script.transliterate(F.col("text"), s).alias("read")) for s in SCHEMES]
+    return x.select("item_id", F.inline(F.array(*each)))
+
+
 # ------------------------------------------------------------------ SQL of earlier queries
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.operators import curate
 from corvane.plans.catalog import query, t
 from corvane.sources import readers, sinks
-from corvane.streaming import quota, stateful
+from corvane.streaming import progress, quota, stateful
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -197,3 +197,25 @@ def claim_queue(spark, d):
     item = F.when(e % 4 == 0, F.concat(F.lit("i"), e)).when(e % 4 == 2, F.concat(F.lit("i"), F.expr("event_id div 8 * 4")))
     r = events(spark, d).select((F.col("user_id") % 5).alias("manifest"), F.timestamp_seconds(e * 7).alias("ts"), e.alias("seq"), F.concat(F.lit("w"), F.expr("event_id div 7 % 6")).alias("worker"), action.alias("action"), item.alias("item"))
     return quota.run_to_table(stateful.claims(r, "manifest"), "claim_queue")
+
+
+@query(
+    "WITH n AS (SELECT count(*) AS total, sum(event_id)::DOUBLE AS ids FROM events), b AS (SELECT k, floor(total * (k + 1) / 4)::BIGINT AS done, total FROM n, (SELECT unnest(range(4)) AS k)) "
+    "SELECT 'plan' AS type, 0::BIGINT AS done, total, NULL::DOUBLE AS ids FROM n UNION ALL SELECT 'progress', done, total, NULL FROM b UNION ALL SELECT 'done', total, total, ids FROM n"
+)
+def stream_progress(spark, d):
+    """A stream over four files of equal size, followed from its plan to its end."""
+    source, base = folder(spark, "progress-in"), folder(spark, "progress")
+    e = t(spark, d, "events").select("event_id")
+    total = e.count()
+    placed = curate.running(e, {"place": F.lit(1)}, "event_id")
+    part = F.least(F.call_function("div", F.col("place") * 4, F.lit(max(total, 1))), F.lit(3))
+    for k in range(4):  # a file each, so that a micro-batch takes one
+        placed.where(part == k).select("event_id").coalesce(1).write.mode("append").parquet(source)
+    rows = spark.readStream.schema("event_id bigint").option("maxFilesPerTrigger", 1).parquet(source)
+
+    def start(df, name):
+        return df.writeStream.queryName(name).format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    p = progress.followed(rows, "progress", {"ids": F.col("event_id")}, f"{base}/progress", start, total)
+    return p.select("type", "done", "total", F.when(F.col("type") == "done", F.col("metrics")["ids"]).alias("ids"))

@@ -139,3 +139,24 @@ def test_ordered_rows_spill_and_merge():
     chunks = (pd.DataFrame(rows[i : i + 37], columns=["k", "i"]).astype(object) for i in range(0, 500, 37))
     got = list(stateful.ordered(chunks, ["k", "i"], run=60))
     assert [(None if k is None or k != k else k, i) for k, i in got] == sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def test_a_failing_stream_reports_its_failure(spark, tmp_path):
+    from corvane.streaming import progress
+
+    df = spark.createDataFrame([(i,) for i in range(10)], "x int")
+    rows = stream(spark, df, tmp_path / "in", 2).select(F.when(F.col("x") < 9, F.col("x")).otherwise(F.raise_error(F.lit("nine")).cast("int")).alias("x"))
+    start = lambda d, name: d.writeStream.queryName(name).format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    try:
+        progress.followed(rows, "bad", {}, f"file://{tmp_path}/progress", start)
+        raise AssertionError("no failure")
+    except Exception as e:
+        assert "nine" in str(e)
+    import time
+
+    for _ in range(50):
+        told = [r.type for r in spark.read.schema(progress.SCHEMA).parquet(f"file://{tmp_path}/progress").collect()] if (tmp_path / "progress").exists() else []
+        if told[:1] == ["plan"]:
+            break
+        time.sleep(0.2)
+    assert "plan" in told and "done" not in told
