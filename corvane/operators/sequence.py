@@ -109,12 +109,15 @@ def numbering(df: DataFrame, value: str) -> DataFrame:
 
 def grid_shift(left: DataFrame, right: DataFrame, key: str, grid: Column) -> DataFrame:
     """The constant time shift of each key that makes most left intervals (s, e) overlap right ones; the smallest of
-    equals.  Intervals meet by cells as wide as the longest one, so those that are apart are not compared."""
-    width = max((r[0] or 0.0 for df in (left, right) for r in [df.agg(F.max(F.col("e") - F.col("s"))).first()]), default=0.0) or 1.0
-    cell = lambda c: F.floor(c / width)
-    l = left.withColumn("delta", F.explode(grid)).select(key, "delta", (F.col("s") + F.col("delta")).alias("ls"), (F.col("e") + F.col("delta")).alias("le"))
-    near = l.withColumn("cell", F.explode(F.sequence(cell(F.col("ls")) - 1, cell(F.col("le")))))
-    pairs = near.join(right.select(key, F.col("s").alias("rs"), F.col("e").alias("re"), cell(F.col("s")).alias("cell")), [key, "cell"])
+    equals.  Intervals meet in cells of time as wide as the key's mean interval, so that all of them together lie in at most
+    twice as many cells as there are intervals, however long some are; a pair counts in the first cell that both are in."""
+    size = lambda df: df.select(key, (F.col("e") - F.col("s")).alias("size"))
+    mean = size(left).unionByName(size(right)).groupBy(key).agg(F.avg("size").alias("width")).withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(1.0))
+    cell = lambda c: F.floor(F.col(c) / F.col("width"))
+    l = left.join(mean, key).withColumn("delta", F.explode(grid)).select(key, "width", "delta", (F.col("s") + F.col("delta")).alias("ls"), (F.col("e") + F.col("delta")).alias("le"))
+    near = l.select(key, "delta", "ls", "le", cell("ls").alias("lc"), F.explode(F.sequence(cell("ls"), cell("le"))).alias("cell"))
+    r = right.join(mean, key).select(key, "width", F.col("s").alias("rs"), F.col("e").alias("re"))
+    pairs = near.join(r.select(key, "rs", "re", cell("rs").alias("rc"), F.explode(F.sequence(cell("rs"), cell("re"))).alias("cell")), [key, "cell"]).where("cell = greatest(lc, rc)")
     overlap = F.greatest(F.least("le", "re") - F.greatest("ls", "rs"), F.lit(0.0))
     found = pairs.groupBy(key, "delta").agg(F.sum(overlap).alias("overlap"))
     both = left.select(key).distinct().join(right.select(key).distinct(), key).select(key, F.explode(grid).alias("delta"), F.lit(0.0).alias("overlap"))
