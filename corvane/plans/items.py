@@ -142,6 +142,97 @@ def row_rates(spark, d):
     return docs.select(F.explode(F.array(*rates)).alias("r")).groupBy("r.policy").agg(F.count("r.rate").alias("rows"), F.round(F.avg("r.rate"), 6).alias("mean"))
 
 
+# ------------------------------------------------------------------ longest common blocks
+
+
+def blocks_sql(pairs: str, tag: str = "") -> str:
+    """CTEs mb{tag} (id, i, j, k): the longest common block of the lists a and b of each row of `pairs` (id, a, b), then those
+    to its left and right, and so on, the first of equal ones, adjacent ones joined; and oc{tag} (id, tag, i1, i2, j1, j2), the
+    opcodes between them."""
+    t_ = tag
+    return f"""pb{t_} AS MATERIALIZED ({pairs}),
+eq{t_} AS (SELECT x.id, x.i, y.j FROM (SELECT id, unnest(a) AS w, unnest(range(len(a))) AS i FROM pb{t_}) x JOIN (SELECT id, unnest(b) AS w, unnest(range(len(b))) AS j FROM pb{t_}) y ON x.id = y.id AND x.w = y.w),
+rn{t_} AS MATERIALIZED (SELECT id, i, j, max(i) OVER (PARTITION BY id, i - j, g) - i + 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS g FROM eq{t_})),
+rg{t_} AS (SELECT id, 'p' AS kind, 0::BIGINT AS alo, len(a)::BIGINT AS ahi, 0::BIGINT AS blo, len(b)::BIGINT AS bhi FROM pb{t_}
+  UNION ALL SELECT id, CASE c WHEN 0 THEN 'b' ELSE 'p' END, CASE c WHEN 0 THEN -m[2] WHEN 1 THEN alo ELSE m[1] - m[2] END, CASE c WHEN 0 THEN m[1] - m[2] WHEN 1 THEN -m[2] ELSE ahi END, CASE c WHEN 0 THEN -m[3] WHEN 1 THEN blo ELSE m[1] - m[3] END, CASE c WHEN 0 THEN m[1] - m[3] WHEN 1 THEN -m[3] ELSE bhi END
+    FROM (SELECT g.id, alo, ahi, blo, bhi, max([least(n, ahi - i, bhi - j), -i, -j]) AS m FROM rg{t_} g JOIN rn{t_} r ON r.id = g.id AND i >= alo AND i < ahi AND j >= blo AND j < bhi WHERE g.kind = 'p' GROUP BY ALL), (SELECT unnest([0, 1, 2]) AS c)),
+bk{t_} AS (SELECT id, alo AS i, blo AS j, ahi - alo AS k FROM rg{t_} WHERE kind = 'b'),
+mb{t_} AS MATERIALIZED (SELECT id, min(i) AS i, min(j) AS j, sum(k)::BIGINT AS k FROM (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS isle FROM (SELECT *, coalesce(lag(i + k) OVER w <> i OR lag(j + k) OVER w <> j, true)::INT AS new FROM bk{t_} WINDOW w AS (PARTITION BY id ORDER BY i))) GROUP BY id, isle),
+oc{t_} AS MATERIALIZED (SELECT id, CASE WHEN i2 > i1 AND j2 > j1 THEN 'replace' WHEN i2 > i1 THEN 'delete' ELSE 'insert' END AS tag, i1, i2, j1, j2 FROM (
+  SELECT id, coalesce(lag(i + k) OVER w, 0) AS i1, i AS i2, coalesce(lag(j + k) OVER w, 0) AS j1, j AS j2 FROM (SELECT * FROM mb{t_} UNION ALL SELECT id, len(a), len(b), 0 FROM pb{t_}) WINDOW w AS (PARTITION BY id ORDER BY i, j, k DESC)) WHERE i2 > i1 OR j2 > j1)"""
+
+
+_SPLIT = "SELECT id, string_split(ref, ' ') AS a, string_split(hyp, ' ') AS b FROM pr"
+_BARE = "list_filter(string_split(replace({c}, ' ', ''), ''), lambda x: x <> '')"
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, {blocks_sql(_SPLIT)} SELECT id AS item_id, 2 * coalesce(sum(k), 0)::DOUBLE / any_value(len(a) + len(b)) AS ratio FROM pb LEFT JOIN mb USING (id) GROUP BY id")
+def word_ratios_of_items(spark, d):
+    """How alike the words of neighbouring items are: twice the words in common blocks over all."""
+    codes = item_pairs(spark, d).select("item_id", F.split("ref", " ").alias("a"), F.split("hyp", " ").alias("b"), align.word_opcodes("ref", "hyp").alias("c"))
+    same = F.aggregate(F.filter("c", lambda c: c["tag"] == "equal"), F.lit(0), lambda n, c: n + c["i2"] - c["i1"])
+    return codes.select("item_id", (2 * same.cast("double") / (F.size("a") + F.size("b"))).alias("ratio"))
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, {blocks_sql('SELECT id, ' + _BARE.format(c='ref') + ' AS a, ' + _BARE.format(c='hyp') + ' AS b FROM pr')} SELECT id AS item_id, round(2 * coalesce(sum(k), 0)::DOUBLE / any_value(len(a) + len(b)), 9) AS ratio FROM pb LEFT JOIN mb USING (id) GROUP BY id")
+def match_ratios_of_items(spark, d):
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    return item_pairs(spark, d).select("item_id", F.round(align.match_ratio(bare("ref"), bare("hyp")), 9).alias("ratio"))
+
+
+_KINDS = f"""{blocks_sql('SELECT id, ' + _BARE.format(c='hyp') + ' AS a, ' + _BARE.format(c='ref') + ' AS b FROM pr')},
+sb AS (SELECT oc.*, least(i2 - i1, j2 - j1) AS bo FROM oc),
+kd AS (SELECT kind, count(*) AS n FROM (SELECT {_category('rc', 'hc')} AS kind FROM (SELECT b[j1 + t + 1] AS rc, a[i1 + t + 1] AS hc FROM (SELECT *, unnest(range(bo)) AS t FROM sb) JOIN pb USING (id))) GROUP BY kind
+  UNION ALL SELECT 'insertion', sum(i2 - i1 - bo) FROM sb UNION ALL SELECT 'deletion', sum(j2 - j1 - bo) FROM sb)"""
+
+
+@query(
+    f"WITH RECURSIVE bi AS (SELECT item_id, {_deva(_LATIN.format(c='text'))} AS ref FROM benchmark), pr AS (SELECT a.item_id AS id, a.ref, b.ref AS hyp FROM bi a JOIN bi b ON b.item_id = a.item_id + 1), {_KINDS} "
+    "SELECT kind, n::BIGINT AS n, n / sum(n) OVER ()::DOUBLE AS share FROM kd WHERE n > 0"
+)
+def edit_kinds_of_items(spark, d):
+    """Edit operations by class, in Devanagari, from longest common blocks of characters."""
+    return metrics.breakdown(deva_pairs(spark, d))
+
+
+_THREE = f"bi AS (SELECT item_id, replace({_LATIN.format(c='text')}, ' ', '') AS ref FROM benchmark), pr AS (SELECT {{'i': a.item_id, 'k': k}} AS id, a.ref, b.ref AS hyp FROM bi a, (SELECT unnest([1, 2]) AS k) JOIN bi b ON b.item_id = a.item_id + k)"
+
+
+@query(
+    f"WITH RECURSIVE {_THREE}, {blocks_sql('SELECT id, ' + _BARE.format(c='ref') + ' AS a, ' + _BARE.format(c='hyp') + ' AS b FROM pr')}, "
+    "ce AS (SELECT id, i + t AS p, b[j + t + 1] AS x FROM (SELECT *, unnest(range(k)) AS t FROM mb) JOIN pb USING (id) UNION ALL SELECT id, i1 + t, b[j1 + t + 1] FROM (SELECT *, unnest(range(least(i2 - i1, j2 - j1))) AS t FROM oc WHERE tag = 'replace') JOIN pb USING (id)), "
+    "ba AS (SELECT id.i AS item_id, unnest(a) AS x, unnest(range(len(a))) AS p FROM pb WHERE id.k = 1 AND id.i + 2 IN (SELECT item_id FROM bi)), "
+    "vo AS (SELECT ba.item_id, ba.p, CASE WHEN coalesce(o.x, '') = coalesce(q.x, '') THEN coalesce(o.x, '') ELSE ba.x END AS x FROM ba LEFT JOIN ce o ON o.id.i = ba.item_id AND o.id.k = 1 AND o.p = ba.p LEFT JOIN ce q ON q.id.i = ba.item_id AND q.id.k = 2 AND q.p = ba.p) "
+    "SELECT item_id, string_agg(x, '' ORDER BY p) AS voted FROM vo GROUP BY item_id"
+)
+def votes_of_items(spark, d):
+    """Each item's characters, overridden where the two items after it agree."""
+    b = t(spark, d, "benchmark").select("item_id", F.replace(latin("text"), F.lit(" "), F.lit("")).alias("a"))
+    every = b
+    for k, name in ((1, "b"), (2, "c")):
+        b = b.join(every.select((F.col("item_id") - k).alias("item_id"), F.col("a").alias(name)), "item_id")
+    return b.where("length(a) > 0").select("item_id", fusion.rover(F.col("a"), F.col("b"), F.col("c")).alias("voted"))
+
+
+@query(
+    f"WITH RECURSIVE bi AS (SELECT item_id AS id, {_WORDS.format(c=_LATIN.format(c='text'))} AS a FROM benchmark), {blocks_sql('SELECT id, a, list_transform(a, lambda w, i: CASE WHEN (i * 7 + id) % 5 = 0 THEN reverse(w) ELSE w END) AS b FROM bi')}, "
+    "lx AS (SELECT w FROM (SELECT unnest(a) AS w FROM bi) GROUP BY w HAVING count(*) >= 3), "
+    "r AS (SELECT id, i AS start, i + k AS end_, len(a) AS n, a[i + 1:i + k] AS run, list_transform(range(i + 1, i + k + 1), lambda x: (x * 13 + id) % 10 / 10.0::DOUBLE) AS conf FROM mb JOIN pb USING (id) WHERE k >= 3), "
+    "y AS (SELECT id, start, end_, n, array_to_string(run, ' ') AS text, count(lx.w) / count(*)::DOUBLE AS share FROM (SELECT *, unnest(run) AS w FROM r WHERE list_sum(conf) / len(conf) >= 0.45) LEFT JOIN lx USING (w) GROUP BY ALL) "
+    "SELECT id AS item_id, start::INT AS start, end_::INT AS \"end\", text, round(share, 6) AS corpus_share, round(greatest(start * 0.4 - 0.1, 0), 6)::DOUBLE AS from_s, round(least(end_ * 0.4 + 0.1, n * 0.4), 6)::DOUBLE AS to_s FROM y WHERE share >= 0.6 AND least(end_ * 0.4 + 0.1, n * 0.4) - greatest(start * 0.4 - 0.1, 0) BETWEEN 1 AND 18"
+)
+def confident_runs_of_items(spark, d):
+    """Runs of words that an item shares with a copy of which some words are changed, by confidence and corpus share."""
+    w = words(latin("text"))
+    b = t(spark, d, "benchmark").select("item_id", w.alias("w"))
+    lx = b.select(F.explode("w").alias("word")).groupBy("word").count().where("count >= 3")
+    changed = F.transform("w", lambda x, i: F.when(((i + 1) * 7 + F.col("item_id")) % 5 == 0, F.reverse(x)).otherwise(x))
+    conf = F.transform("w", lambda x, i: ((i + 1) * 13 + F.col("item_id")) % 10 / F.lit(10.0))
+    p = b.select("item_id", F.array_join("w", " ").alias("a"), F.array_join(changed, " ").alias("b"), conf.alias("conf"))
+    r = fusion.gated_runs(p, ["item_id"], "a", "b", lx, 0.4, confidence="conf", least_conf=0.45)
+    return r.withColumns({c: F.round(c, 6) for c in ("corpus_share", "from_s", "to_s")})
+
+
 # ------------------------------------------------------------------ Roman schemes
 
 
