@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 from collections import Counter
 
@@ -191,13 +192,66 @@ def unit_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([units(*([] if x is None else list(x) for x in pair)) for pair in zip(ref, hyp, strict=True)])
 
 
+#: Texts whose lengths' product is at most this are aligned by longest common blocks at once; longer ones between seeds.
+BLOCK_PRODUCT, SEED, SHORTEST_SEED = 4_000_000, 32, 8
+
+
+def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest rising chain of (i, j) pairs that are in order of i."""
+    tails, ends, before = [], [], [-1] * len(pairs)
+    for x, (_, j) in enumerate(pairs):
+        k = bisect.bisect_left(tails, j)
+        before[x] = ends[k - 1] if k else -1
+        tails[k : k + 1], ends[k : k + 1] = [j], [x]
+    out, x = [], ends[-1] if ends else -1
+    while x >= 0:
+        out.append(pairs[x])
+        x = before[x]
+    return out[::-1]
+
+
+def common_blocks(a: str, b: str, seed: int = SEED) -> list[tuple[int, int, int]]:
+    """(i, j, n): equal blocks of two texts in order.  Short texts: the longest common block, then those to its left and
+    right, and so on.  Long ones: stretches of `seed` characters that occur once in each are chained, extended to all
+    equal characters around, and what lies between is aligned in the same way with seeds of half the length; without seeds
+    of SHORTEST_SEED it is aligned at once.  So time follows the texts' lengths where they have stretches in common."""
+    if len(a) * len(b) <= BLOCK_PRODUCT or seed < SHORTEST_SEED:
+        return [tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+
+    def once(s: str) -> dict:
+        found: dict = {}
+        for i in range(len(s) - seed + 1):
+            k = s[i : i + seed]
+            found[k] = -1 if k in found else i
+        return found
+
+    there = once(b)
+    pairs = [(i, j) for k, i in once(a).items() if i >= 0 and (j := there.get(k, -1)) >= 0]  # in order of i
+    out, at, bt = [], 0, 0
+    for i, j in [*_chain(pairs), (len(a), len(b))]:
+        if i < at or j < bt:
+            continue  # inside the block before, or across it
+        n = 0
+        if i < len(a):
+            while i > at and j > bt and a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+        out += [(at + x, bt + y, m) for x, y, m in common_blocks(a[at:i], b[bt:j], seed // 2)]
+        if n:
+            out.append((i, j, n))
+        at, bt = i + n, j + n
+    return out
+
+
 def anchor(segments: list[str], ref: str) -> list[tuple[str, float]]:
     """Each segment's span of the reference by one alignment of all segments, widened to word edges, and its character
     error rate; ('', 1.0) if nothing of it is found."""
     joined = "".join(s + " " for s in segments)
     owner = [i for i, s in enumerate(segments) for _ in range(len(s) + 1)]
     low, high = {}, {}
-    for a, b, n in difflib.SequenceMatcher(None, joined, ref, autojunk=False).get_matching_blocks():
+    for a, b, n in common_blocks(joined, ref):
         for k in range(n):
             i = owner[a + k]
             low[i], high[i] = min(low.get(i, b + k), b + k), max(high.get(i, b + k), b + k)

@@ -136,3 +136,16 @@ def enriched(df: DataFrame, call: Callable[[str], str], column: str, out: str, r
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), said], names=[*kept, out])
 
     return df.mapInArrow(run, schema)
+
+
+def http_call(url: str, timeout: float = 30.0) -> Callable[[str], str]:
+    """A call for `enriched`: posts the value to a service and gives its answer's `raw_text`; what is no answer fails."""
+
+    def call(value: str) -> str:
+        import json
+        from urllib.request import Request, urlopen
+
+        with urlopen(Request(url, value.encode(), {"Content-Type": "text/plain; charset=utf-8"}), timeout=timeout) as answer:
+            return str(json.load(answer).get("raw_text") or "")
+
+    return call

@@ -403,3 +403,31 @@ def test_long_inputs_take_time_in_proportion(spark):
     assert time.perf_counter() - start < 20
     words = "".join(u.text + " " * u.word_end for u in units).split()
     assert len(units) == 80_000 and len(words) == 40_000 and units[0].text == "क्षे" and "".join(words).startswith("क्षेत्रात्क्षेत्रात्रामम्")
+
+
+def test_blocks_between_seeds(monkeypatch):
+    import difflib
+    import time
+
+    rng = random.Random(21)
+    plain = lambda a, b: [tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    text = " ".join(word() for _ in range(120))
+    noisy = "".join(c if rng.random() > 0.03 else rng.choice(["", "x", c + "y"]) for c in text)
+    assert align.common_blocks(text, noisy) == plain(text, noisy)
+    monkeypatch.setattr(align, "BLOCK_PRODUCT", 2000)
+    for a, b in ((text, noisy), (text, text), (text, ""), ("", text), (text, text[300:] + text[:300]), ("ab" * 400, "ba" * 300), (text, "zzz" * 100)):
+        blocks = align.common_blocks(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in blocks)
+        assert all(i + n <= x and j + n <= y for (i, j, n), (x, y, _) in zip(blocks, blocks[1:]))
+    got, want = (sum(n for *_, n in f(text, noisy)) for f in (align.common_blocks, plain))
+    assert got >= 0.97 * want
+    monkeypatch.undo()
+    long = " ".join(word() for _ in range(30_000))
+    said = long.split(" ")
+    spans = [" ".join(said[i : i + 40]) for i in range(0, len(said), 40)]
+    start = time.perf_counter()
+    found = align.anchor([s.replace("e", "f", 2) for s in spans], long)
+    assert time.perf_counter() - start < 30
+    # a segment's separator is found too, which takes in the word after it
+    assert sum(got.startswith(s) and len(got) < len(s) + 10 for s, (got, _) in zip(spans, found)) > 0.95 * len(spans) and sum(c < 0.1 for _, c in found) > 0.95 * len(spans)
