@@ -16,7 +16,8 @@ term that reaches it has reports over half of it, and at most twice as many term
 Terms are words cut at ASCII white space, A-Z lower-cased.  Defined cases: null and empty texts have no term and the
 fingerprint of the empty set; repeated rows have equal fingerprints, and follow each other as next documents; rows of one
 id are in order of their text's hash; the next of the last document is the first, so a lone document is its own next;
-very long texts are read whole, alone; an empty table gives no rows; `fingerprint` takes the place of an input column of
+very long texts are read whole, alone; rows with a null id come first, in one run, and if the first row of all has one they
+are all sent a second time, to the last run; an empty table gives no rows; `fingerprint` takes the place of an input column of
 that name, and `compare` reads the id and the text alone."""
 
 from __future__ import annotations

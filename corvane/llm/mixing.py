@@ -27,7 +27,7 @@ CAP = 3
 BUCKET_ROWS = 1000
 #: Source tables of at most so many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
-SYMBOL = r"[#*$%&|<>{}\\[\\]!]"
+SYMBOL = r"[#*$%&|<>{}\[\]!]"
 
 
 def word_count(text: Column) -> Column:
@@ -36,7 +36,7 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column, size: Column) -> Column:
     """Words over words and symbols, from 0 to 1: the default document quality weight."""
-    return (size + 1) / (size + 1 + F.coalesce(F.regexp_count(text, F.lit(SYMBOL.replace("\\\\", "\\"))), F.lit(0)))
+    return (size + 1) / (size + 1 + F.coalesce(F.regexp_count(text, F.lit(SYMBOL)), F.lit(0)))
 
 
 def unit(key: Column, seed: str) -> Column:

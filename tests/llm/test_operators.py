@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import crf, imatch, langid, mixing, neardup, packing, quality, tokenfile, toxicity, urltree, warc
+from corvane.llm.common import labelled_sample
 from corvane.llm.queries import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -788,3 +789,25 @@ def test_fingerprints_awkward(spark, awkward, empty):
     assert (short[0] == short[2]).all() and (short[0] != short[1]).any() and not short[3:].any()
     alone = imatch.op10(spark.createDataFrame([(1, "just one")], "doc_id bigint, text string")).first()
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"just" + b"just").hexdigest()
+
+
+def test_texts_too_long_to_learn_from_are_still_judged(spark):
+    """Fits leave out texts above LONGEST_SAMPLED characters; every text is read whole by what they fit."""
+    long = "zeta omega " * 20_000
+    rows = [(i, f"alpha beta gamma {i}", "en") for i in range(1, 80)] + [(i, f"eins zwei drei {i}", "de") for i in range(100, 180)] + [(999, long, "xx")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known = langid.identify(df, langid.fit(df))
+    assert {r.lang_pred for r in known.collect()} == {"en", "de"}  # nothing of xx was learned
+    marks = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), (F.col("doc_id") % 2).cast("int").alias("quality"))
+    found, counts = labelled_sample(df, marks, "toxic", "text", "doc_id", 500)
+    assert 999 not in {r[0] for r in found} and len(found) == 159 and sum(counts.values()) == 160
+    scored = toxicity.score(df, toxicity.fit(df, marks)).where("doc_id = 999").first()
+    assert 0 <= scored.score <= 1
+    judged = quality.op3(df, marks).where("doc_id = 999").first()
+    assert judged.n_words == 40_000 and judged.base_failed
+
+
+def test_fingerprints_of_many_null_ids(spark):
+    rows = [(None, f"text number {i} of some words") for i in range(2500)] + [(i, f"other {i} text") for i in range(20)]
+    got = imatch.op10(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 2520 and sum(r.doc_id is None for r in got) == 2500 and all(0 <= r.near_next <= 1 for r in got)
