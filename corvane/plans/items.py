@@ -305,3 +305,27 @@ _add(
     "f AS (SELECT user_id, starts || lstarts AS a, vals || lvals AS v, len(starts) AS c FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1) "
     "SELECT user_id, (i - 1)::INT AS pick, a[i] AS start, v[i] AS value, i > c AS backfill FROM (SELECT *, unnest(range(1, least(len(a), 20) + 1)) AS i FROM f)",
 )
+
+_TURNS = f"""tu AS (SELECT conv_id, turn, {_LATIN.format(c='text')} AS ref FROM conversations),
+tp AS (SELECT {{'c': conv_id, 't': turn}} AS id, {_WORDS.format(c='ref')} AS a, {_WORDS.format(c='hyp')} AS b FROM (SELECT *, lead(ref) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM tu) WHERE hyp IS NOT NULL)"""
+_add(
+    "agreeing_runs",
+    f"WITH RECURSIVE {_TURNS}, {blocks_sql('SELECT id, a, b FROM tp')} SELECT id.c AS conv_id, id.t AS turn, i::INT AS start, (i + k)::INT AS \"end\" FROM mb WHERE k >= 3",
+)
+_add(
+    "gated_runs",
+    f"WITH RECURSIVE {_TURNS}, {blocks_sql('SELECT id, a, b FROM tp')}, lx AS (SELECT w FROM (SELECT unnest({_WORDS.format(c=_LATIN.format(c='text'))}) AS w FROM documents) GROUP BY w HAVING count(*) >= 5), "
+    "r AS (SELECT id, i AS start, i + k AS end_, len(a) AS n, a[i + 1:i + k] AS run FROM mb JOIN pb USING (id) WHERE k >= 3), "
+    "y AS (SELECT id, start, end_, n, array_to_string(run, ' ') AS text, count(lx.w) / count(*)::DOUBLE AS share FROM (SELECT *, unnest(run) AS w FROM r) LEFT JOIN lx USING (w) GROUP BY ALL), "
+    "z AS (SELECT *, greatest(start * 0.4::DOUBLE - 0.1::DOUBLE, 0) AS from_s, least(end_ * 0.4::DOUBLE + 0.1::DOUBLE, n * 0.4::DOUBLE) AS to_s FROM y) "
+    "SELECT id.c AS conv_id, id.t AS turn, start::INT AS start, end_::INT AS \"end\", text, share AS corpus_share, from_s, to_s FROM z WHERE share >= 0.6 AND to_s - from_s BETWEEN 1 AND 18",
+)
+_CW = f"c AS (SELECT conv_id, turn, {_WORDS.format(c=_LATIN.format(c='text'))} AS w FROM conversations), cw AS (SELECT conv_id, turn, w, k, coalesce(lead(w, k) OVER (PARTITION BY conv_id, k ORDER BY turn), []) AS h FROM c, (SELECT unnest([1, 2, 3]) AS k))"
+_TURN_ID = "{'c': conv_id, 't': turn, 'k': k}"
+_add(
+    "consensus_bands",
+    f"WITH RECURSIVE {_CW}, {trace_sql('SELECT ' + _TURN_ID + ' AS id, w AS r, h FROM cw WHERE len(w) > 0')}, "
+    "u AS (SELECT id.c AS c, id.t AS t, ri, list(op ORDER BY id.k) AS ops, list(CASE WHEN op = 'S' THEN hc ELSE '' END ORDER BY id.k) AS heard FROM op WHERE op <> 'I' GROUP BY ALL), "
+    "z AS (SELECT len(list_filter(ops, lambda o: o = 'M')) AS hits, len(list_filter(ops, lambda o: o = 'S')) AS subs, len(list_distinct(heard)) AS kinds FROM u) "
+    "SELECT CASE hits WHEN 3 THEN 'green' WHEN 0 THEN 'red' ELSE 'amber' END AS strict, CASE WHEN hits > 0 THEN 'green' WHEN subs = 3 AND kinds = 1 THEN 'red' ELSE 'amber' END AS liberal, count(*) AS n FROM z GROUP BY ALL",
+)
