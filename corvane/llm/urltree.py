@@ -45,6 +45,8 @@ MERGE_BRANCHES, ALIKE_DEVIATIONS = 10, 2.33
 REJECT, SMOOTH = 0.9, 2
 #: Verdicts of at most so many shapes are broadcast.
 BROADCAST_SHAPES = 100_000
+#: The tree of at most so many shapes is worked out by one task: its dozen joins and sums then need no shuffle.
+ONE_TASK_SHAPES = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -128,9 +130,12 @@ def templates(shapes: DataFrame) -> DataFrame:
     """shapes: (host, shape, paths, urls, bad, good), distinct.  Adds template, the generalised shape, and above, what is
     known around it."""
     t = materialize(shapes.withColumn("seg", F.filter(F.split("shape", "/"), lambda s: s != "")), "shapes")
+    few = t.count() <= ONE_TASK_SHAPES
+    t = t.coalesce(1) if few else t
     nodes = _branches(t).groupBy("host", "parent", "node", "step").agg(*(F.sum(c).alias(c) for c in ("paths", "bad", "good")), F.sum(F.when(F.col("last"), F.col("paths")).otherwise(0)).alias("ends"))
     nodes = nodes.withColumn("own", F.col("bad") + F.col("good")).withColumn("share", F.try_divide("bad", "own")).withColumn("weight", F.col("own") / (F.col("own") + SMOOTH))
     nodes = materialize(nodes.withColumn("kind", F.when(F.col("share") >= 0.5, "bad").when(F.col("own") > 0, "good")), "nodes")
+    nodes = nodes.coalesce(1) if few else nodes
     parents = nodes.groupBy("host", "parent").agg(F.sum("bad").alias("all_bad"), F.sum("own").alias("all_own"))
     rest = F.col("all_own") - F.col("own")
     pooled = F.try_divide("all_bad", "all_own")
