@@ -620,10 +620,10 @@ def fixed_windows(spark, d):
 
 @query()
 def stream_daily_quota(spark, d):
-    from corvane.streaming import quota
+    from corvane.streaming import quota, stateful
 
     e = spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    return quota.run_to_table(quota.quota(e, "user_id", "ts", "event_id", 10, delay="40 days"), "stream_daily_quota")
+    return quota.run_to_table(stateful.quota(e, "user_id", "ts", "event_id", 10, delay="40 days"), "stream_daily_quota")
 
 
 SQL["stream_daily_quota"] = _QUOTA

@@ -1,87 +1,17 @@
-"""Daily quotas as keyed state; sessions, statistics and partial commits over streams."""
+"""Sessions, statistics and partial commits over streams, and how a stream is run into a table."""
 
 from __future__ import annotations
 
-import heapq
-import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.sources.sinks import shared_folder
-from corvane.streaming.stateful import ordered
-
-
-#: Events of one key and day that are held at once, and that are read or given back at once.
-RUN, SLICE = 500_000, 10_000
-
-
-def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-    """All rows (ts, 1 for a null event, event) of the batches by ts and event, nulls last, in slices.  Up to RUN rows are
-    sorted in memory; more become sorted runs in temporary files of this call, which are merged."""
-
-    def sorted_run(held: list) -> np.ndarray:
-        rows = np.concatenate(held)
-        return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-
-    def read(f) -> Iterator[tuple]:
-        f.seek(0)
-        while len(part := f.read(24 * SLICE)):
-            yield from map(tuple, np.frombuffer(part, np.int64).reshape(-1, 3).tolist())
-
-    held, files = [], []
-    try:
-        for b in batches:
-            null = b["event"].isna().to_numpy()
-            ts = b["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            held.append(np.stack([ts, null.astype(np.int64), b["event"].fillna(0).to_numpy().astype(np.int64)], 1))
-            if sum(map(len, held)) >= RUN:
-                files.append(tempfile.TemporaryFile())
-                files[-1].write(sorted_run(held).tobytes())
-                held = []
-        last = sorted_run(held) if held else np.zeros((0, 3), np.int64)
-        if not files:
-            yield from (last[i : i + SLICE] for i in range(0, len(last), SLICE))
-            return
-        rest = chain.from_iterable(map(tuple, last[i : i + SLICE].tolist()) for i in range(0, len(last), SLICE))
-        merged = heapq.merge(*map(read, files), rest)
-        while part := [r for _, r in zip(range(SLICE), merged)]:
-            yield np.array(part, np.int64)
-    finally:
-        for f in files:
-            f.close()
-
-
-def quota(events: DataFrame, key: str, ts: str, order: str, limit: int, delay: str = "1 day") -> DataFrame:
-    """Accept or deny each event: the n-th of a key and day is allowed up to the limit.  All events of a key and day in
-    one micro-batch are numbered in order, whatever Arrow chunks they come in.  A day's counter is dropped when the
-    watermark passes its end."""
-    kind = events.schema[key].dataType.simpleString()
-    rows = events.select(key, F.col(ts).cast("timestamp").alias("ts"), F.col(order).cast("bigint").alias("event")).withWatermark("ts", delay).withColumn("day", F.to_date("ts"))
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n = state.get[0] if state.exists else 0
-        for rows in in_order(batches):
-            nth = np.arange(n + 1, n + 1 + len(rows))
-            n += len(rows)
-            event = pd.array(rows[:, 2], dtype="Int64")
-            event[rows[:, 1] == 1] = pd.NA
-            yield pd.DataFrame({key: k[0], "day": k[1], "event": event, "nth": nth, "allowed": nth <= limit, "remaining": np.maximum(limit - nth, 0)})
-        state.update((n,))
-        end = int(pd.Timestamp(k[1]).timestamp() * 1000) + 86_400_000
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-
-    return rows.groupBy(key, "day").applyInPandasWithState(step, f"{key} {kind}, day date, event bigint, nth bigint, allowed boolean, remaining bigint", "n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+from corvane.streaming.stateful import SLICE, ordered
 
 
 def consented(events: DataFrame, consent: str, kind: str = "kind", kinds: tuple = ("segment", "final")) -> DataFrame:

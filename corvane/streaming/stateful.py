@@ -139,6 +139,58 @@ class _Bare(StatefulProcessor):
         self.inner.close()
 
 
+class _Quota(StatefulProcessor):
+    """How many events each day of a key has had; a timer at the day's end drops the entry."""
+
+    def __init__(self, columns: list[str], limit: int):
+        self.columns, self.limit = columns, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day int", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        counts, out = {}, []
+        for _, event, day in ordered(rows, ["at", "event"]):
+            if day not in counts:
+                counts[day] = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
+            counts[day] = n = counts[day] + 1
+            out.append((key[0], day, event, n, n <= self.limit, max(self.limit - n, 0)))
+            if len(out) == SLICE:
+                yield self._frame(out)
+                out = []
+        for day, n in counts.items():
+            self.days.updateValue((day,), (n,))
+            if (end := (day + 1) * 86_400_000) > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(end)
+        yield self._frame(out)
+
+    def _frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.columns).astype({self.columns[2]: "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        day = expiredTimerInfo.getExpiryTimeInMs() // 86_400_000 - 1
+        if self.days.containsKey((day,)):
+            self.days.removeKey((day,))
+        yield self._frame([])
+
+    def close(self) -> None:
+        pass
+
+
+def quota(events: DataFrame, key: str, ts: str, order: str, limit: int, delay: str = "1 day") -> DataFrame:
+    """Accept or deny each event: the n-th of a key and day is allowed up to the limit.  All events of a key in one
+    micro-batch are numbered in order of time and `order` (null last).  A day's counter is dropped when the watermark passes
+    its end; events later than that are dropped by the watermark."""
+    rocksdb(events.sparkSession)
+    kind = events.schema[key].dataType.simpleString()
+    timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    rows = timed.select(key, "_ts", F.unix_micros("_ts").alias("at"), F.col(order).cast("bigint").alias("event"), F.unix_date(F.to_date("_ts")).alias("day"))
+    bare = _Bare(_Quota([key, "day", "event", "nth", "allowed", "remaining"], limit), ["at", "event", "day"])
+    out = rows.groupBy(key).transformWithStateInPandas(bare, f"`{key}` {kind}, day int, event bigint, nth bigint, allowed boolean, remaining bigint", "append", "EventTime")
+    return out.withColumn("day", F.date_from_unix_date("day"))
+
+
 class _Segments(StatefulProcessor):
     """The open segment of a session: seconds held, its first and last chunk, its number, and when the last chunk came."""
 

@@ -17,7 +17,7 @@ def stream(spark, df, folder, files=3):
 def test_quota_matches_batch(spark, tmp_path):
     rows = [("k", f"2024-01-01 0{i // 6}:0{i % 6}:00", i) for i in range(11)] + [("k", "2024-01-02 00:00:00", 11), ("z", "2024-01-01 00:00:00", 12)]
     df = spark.createDataFrame(rows, "k string, ts string, e bigint").withColumn("ts", F.to_timestamp("ts"))
-    got = quota.run_to_table(quota.quota(stream(spark, df, tmp_path / "q"), "k", "ts", "e", 10, "3 days"), "quota_test")
+    got = quota.run_to_table(stateful.quota(stream(spark, df, tmp_path / "q"), "k", "ts", "e", 10, "3 days"), "quota_test")
     want = sequence.running_quota(df, "k", "ts", "e", 10)
     assert {(r.k, r.event, r.allowed, r.remaining) for r in got.collect()} == {(r.k, r.e, r.allowed, r.remaining) for r in want.collect()}
     last = got.where("event = 10").first()
@@ -30,19 +30,30 @@ def test_quota_orders_a_group_across_chunks(spark, tmp_path):
     want = {(r.k, r.e, r.rn, r.allowed, r.remaining) for r in sequence.running_quota(df, "k", "ts", "e", 10).withColumnRenamed("nth", "rn").collect()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = quota.run_to_table(quota.quota(stream(spark, df, tmp_path / "q"), "k", "ts", "e", 10, "3 days"), "quota_chunks").collect()
+        got = quota.run_to_table(stateful.quota(stream(spark, df, tmp_path / "q"), "k", "ts", "e", 10, "3 days"), "quota_chunks").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.k, r.event, r.nth, r.allowed, r.remaining) for r in got} == want and len(got) == 104
 
 
-def test_quota_merges_sorted_runs(monkeypatch):
-    monkeypatch.setattr(quota, "RUN", 20)
-    monkeypatch.setattr(quota, "SLICE", 8)
-    pairs = [((i * 37) % 101 // 2, None if i == 50 else i) for i in range(101)]
-    chunks = (pd.DataFrame({"ts": pd.to_datetime([t for t, _ in pairs[i : i + 7]], unit="s"), "event": [e for _, e in pairs[i : i + 7]]}) for i in range(0, 101, 7))
-    got = [(t // 1_000_000, None if null else e) for part in quota.in_order(chunks) for t, null, e in part.tolist()]
-    assert got == sorted(pairs, key=lambda p: (p[0], p[1] is None, p[1] or 0))
+def test_quota_goes_on_and_drops_closed_days(spark, tmp_path):
+    folder, base = tmp_path / "in", f"file://{tmp_path}/base"
+    schema = "k string, at bigint, e bigint"
+    day = 86_400
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        source = spark.readStream.schema(schema).parquet(str(folder)).withColumn("ts", F.timestamp_seconds("at"))
+        got = quota.run_to_table(stateful.quota(source, "k", "ts", "e", 2, "1 hour"), "quota_runs", base=base)
+        return {(r.k, str(r.day), r.event): (r.nth, r.allowed, r.remaining) for r in got.collect()}
+
+    a = run([("k", 10 * day + 50, 2), ("k", 10 * day + 50, 1), ("k", 10 * day + 50, None), (None, 10 * day + 1, 5)])
+    assert a == {("k", "1970-01-11", 1): (1, True, 1), ("k", "1970-01-11", 2): (2, True, 0), ("k", "1970-01-11", None): (3, False, 0), (None, "1970-01-11", 5): (1, True, 1)}
+    b = run([("k", 10 * day + 60, 9), ("k", 11 * day + 9, 1)])
+    assert b == a | {("k", "1970-01-11", 9): (4, False, 0), ("k", "1970-01-12", 1): (1, True, 1)}
+    run([("z", 13 * day, 1)])  # the watermark passes both days
+    c = run([("k", 10 * day + 70, 3), ("k", 13 * day + 5, 4)])
+    assert ("k", "1970-01-11", 3) not in c and c["k", "1970-01-14", 4] == (1, True, 1)
 
 
 def test_claims_expire_and_are_offered_again(spark, tmp_path):
