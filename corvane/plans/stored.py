@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +104,17 @@ def scored_and_cut(spark, d):
     return gates[0].union(gates[1]).groupBy("cut").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
+def deferred_stage(spark, d):
+    """A stage that waits for the table of a job that runs beside it."""
+    path = folder(spark, "deferred")
+    job = threading.Thread(target=lambda: t(spark, d, "documents").select("source", "n_chars").write.parquet(path))
+    job.start()
+    rows = sinks.when_there(spark, path, poll=0.1, timeout=600.0)
+    job.join()
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
 @query("SELECT doc_id::VARCHAR || '|' || source || '|' || substr(text, 1, 90) AS line FROM documents WHERE source IS NOT NULL AND text IS NOT NULL")
 def metadata_lines(spark, d):
     docs = t(spark, d, "documents").where("source is not null and text is not null")

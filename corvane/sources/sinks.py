@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -33,6 +34,17 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
     return spark.read.parquet(path)
 
 
+def when_there(spark: SparkSession, path: str, poll: float = 0.5, timeout: float = 3600.0) -> DataFrame:
+    """The table at path, as soon as a complete one is there: a stage that begins when another job has ended.  A table that
+    is still being written is not complete; none in time is an error."""
+    until = time.monotonic() + timeout
+    while not exists(spark, path):
+        if time.monotonic() >= until:
+            raise TimeoutError(f"no complete table at {path}")
+        time.sleep(poll)
+    return spark.read.parquet(path)
+
+
 def gate_view(scored: DataFrame, ok) -> DataFrame:
     """The rows of a scored table that pass; the table keeps the others, so that a gate can be cut again."""
     return scored.where(ok)

@@ -171,3 +171,16 @@ def test_a_failing_stream_reports_its_failure(spark, tmp_path):
             break
         time.sleep(0.2)
     assert "plan" in told and "done" not in told
+
+
+def test_a_stage_waits_for_a_complete_table(spark, tmp_path):
+    from corvane.sources import sinks
+
+    (tmp_path / "t").mkdir()  # begun, not complete
+    try:
+        sinks.when_there(spark, f"file://{tmp_path}/t", poll=0.05, timeout=0.2)
+        raise AssertionError("taken too early")
+    except TimeoutError:
+        pass
+    spark.range(3).write.mode("overwrite").parquet(f"file://{tmp_path}/t")
+    assert sinks.when_there(spark, f"file://{tmp_path}/t", timeout=1.0).count() == 3
