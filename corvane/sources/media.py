@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from corvane.sources.sinks import kept
 
 HEAD = 4096
+#: Files whose next chunk is still to be read are broadcast, by path and place, if there are at most so many.
+BROADCAST_OPEN = 100_000
 # Format tags of the container, and names of sample codecs by tag and bits.
 PCM, FLOAT, ALAW, MULAW, EXTENSIBLE = 1, 3, 6, 7, 0xFFFE
 CODECS = {(PCM, 8): "pcm_u8", (PCM, 16): "pcm_s16le", (PCM, 24): "pcm_s24le", (PCM, 32): "pcm_s32le", (FLOAT, 32): "pcm_f32le", (FLOAT, 64): "pcm_f64le", (ALAW, 8): "pcm_alaw", (MULAW, 8): "pcm_mulaw"}
@@ -48,7 +50,7 @@ def walk(head: bytes, length: int, at: int, known: dict) -> dict:
 
 
 def probed(files: DataFrame, path: str = "path", content: str = "content", head: int = HEAD) -> DataFrame:
-    """(path, duration, codec, sr, ch, ok) of each file: duration 0.0 and nulls where it is no container with samples, and
+    """(path, duration, codec, sr, ch, ok) of each file, by its path, which must be its own: duration 0.0 and nulls where it is no container with samples, and
     for null contents.  A file that ends early has the duration of what is there."""
     fields = [f.split()[0] for f in STATE.split(", ")]
     types = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
@@ -60,25 +62,27 @@ def probed(files: DataFrame, path: str = "path", content: str = "content", head:
             for piece, length, *held in zip(*(b.column(i).to_pylist() for i in range(1, b.num_columns))):
                 known = dict(zip(fields, held, strict=True))
                 out.append(walk(piece, length, known["at"], known) if piece is not None else known | {"done": True})
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[f] for o in out], k) for f, k in zip(fields, kinds, strict=True))], names=["_row", *fields])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[f] for o in out], k) for f, k in zip(fields, kinds, strict=True))], names=["path", *fields])
 
-    # names and lengths are read from the files once; ranges of them as long as some are open
-    rows = kept(files.select(F.col(path).alias("path"), F.col(content).alias("content")).withColumn("_row", F.monotonically_increasing_id()), "media")
+    rows = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    length = F.octet_length("content").cast("bigint").alias("length")
     start = [F.lit(0).cast("bigint").alias("at"), *(F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in STATE.split(", ")[1:-1]), F.lit(False).alias("done")]
-    known, found = rows.select("_row", *start), None
+    ranges, found = rows.select("path", F.expr(f"substring(content, 1, {head})").alias("piece"), length, *start), None
     while True:
-        ranges = rows.join(known, "_row").select("_row", F.expr(f"substring(content, cast(at + 1 as int), {head})").alias("piece"), F.octet_length("content").cast("bigint").alias("length"), *fields)
-        state = kept(ranges.mapInArrow(run, f"_row bigint, {STATE}"), "probed")
-        closed = state.where("done")
+        state = kept(ranges.mapInArrow(run, f"path string, {STATE}"), "probed")
+        closed, open_ = state.where("done"), state.where("not done")
         found = closed if found is None else found.unionByName(closed)
-        known = state.where("not done")
-        if known.isEmpty():
+        n = open_.count()
+        if not n:
             break
+        # only open files meet their next place; few of them are broadcast, so that no content is shuffled
+        met = rows.join(F.broadcast(open_) if n <= BROADCAST_OPEN else open_, "path")
+        ranges = met.select("path", F.expr(f"substring(content, cast(at + 1 as int), {head})").alias("piece"), length, *fields)
     codec = F.lit(None).cast("string")
     for (tag, bits), name in CODECS.items():
         codec = F.when((F.col("tag") == tag) & (F.col("bits") == bits), name).otherwise(codec)
     ok = F.coalesce((F.col("bytes_a_second") > 0) & F.col("samples").isNotNull(), F.lit(False))
-    out = rows.select("_row", "path").join(found, "_row").withColumn("ok", ok)
+    out = found.withColumn("ok", ok)
     return out.select("path", F.when(ok, F.col("samples") / F.col("bytes_a_second")).otherwise(0.0).alias("duration"), F.when(ok, codec).alias("codec"), F.when(ok, F.col("rate").cast("string")).alias("sr"), F.when(ok, F.col("channels").cast("string")).alias("ch"), "ok")
 
 
