@@ -76,7 +76,8 @@ def _neighbours(left: DataFrame, lexicon: DataFrame, most: int) -> DataFrame:
     r = lexicon.withColumn("length", F.length("word")).join(lengths, "length", "left_semi")
     l = l.select("word", F.explode(_deletions(F.col("word"), most)).alias("key"))
     r = r.select(F.col("word").alias("cand"), "freq", F.explode(_deletions(F.col("word"), most)).alias("key"))
-    pairs = r.join(F.broadcast(l) if few else l, "key").where((F.col("word") != F.col("cand")) & (F.abs(F.length("word") - F.length("cand")) <= most))
+    # a table's file says nothing about the size of its words' deletion keys, so it must not choose the join
+    pairs = r.join(F.broadcast(l) if few else l.hint("merge"), "key").where((F.col("word") != F.col("cand")) & (F.abs(F.length("word") - F.length("cand")) <= most))
     return pairs.select("word", "cand", "freq").distinct()
 
 
@@ -161,13 +162,20 @@ def recoverability(pairs: DataFrame, candidates: DataFrame, lexicon: DataFrame,
     ops = pairs.select(F.explode(align.word_ops(ref, hyp)).alias("o")).where("o.op <> 'I'").select("o.op", F.col("o.rc").alias("rc"), F.col("o.hc").alias("word"))
     cands = candidates.groupBy("word").agg(F.collect_list("cand").alias("cands"))  # k for each word
     known = lexicon.select(F.col("word").alias("rc"), F.lit(True).alias("known"))
-    j = ops.join(cands, "word", "left").join(known, "rc", "left")
+    j = ops.join(cands.hint("merge"), "word", "left").join(known.hint("merge"), "rc", "left")
     right = F.col("op") == "M"
     hit = ~right & F.coalesce(F.array_contains("cands", F.col("rc")), F.lit(False))
     return j.agg(F.count("*").alias("n"), F.count_if(right).alias("correct"), F.count_if(hit).alias("recoverable"), F.count_if(F.col("known").isNotNull()).alias("in_lexicon"))
 
 
 def bucketed_recall(df: DataFrame, dist: str = "dist") -> DataFrame:
+def near_misses(pairs: DataFrame, most: int = 2, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Distinct words that stand within an edit distance for another word: only these can have the right word among their
+    candidates."""
+    ops = pairs.select(F.explode(align.word_ops(ref, hyp)).alias("o")).where("o.op = 'S'")
+    return ops.where(F.levenshtein("o.rc", "o.hc", most) >= 0).select(F.col("o.hc").alias("word")).distinct()
+
+
     """(n, in_lexicon, generated, top5, top1) by true distance 1, 2, 3 and more; df has these flags as booleans."""
     flags = ("in_lexicon", "generated", "top5", "top1")
     return df.groupBy(F.least(F.col(dist), F.lit(3)).alias("distance")).agg(F.count("*").alias("n"), *(F.avg(F.col(f).cast("int")).alias(f) for f in flags))

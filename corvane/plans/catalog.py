@@ -414,8 +414,7 @@ def word_sets(spark, d):
 def recoverable_words(spark, d):
     left, lx = bench_words(spark, d)
     pairs = turn_pairs(spark, d)
-    wrong = pairs.select(F.explode(words(F.col("hyp"))).alias("word")).distinct()
-    return lexicon.recoverability(pairs, lexicon.fuzzy(wrong, lx), lx)
+    return lexicon.recoverability(pairs, lexicon.fuzzy(lexicon.near_misses(pairs), lx), lx)
 
 
 # ------------------------------------------------------------------ curation
