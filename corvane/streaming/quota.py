@@ -25,6 +25,17 @@ def session_windows(events: DataFrame, key: str, ts: str, gap: str = "30 minutes
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def sessions(events: DataFrame, key: str, ts: str, gap: str, name: str, delay: str = "1 hour", base: str | None = None) -> DataFrame:
+    """All sessions of what is available.  The stream gives a session, and drops its state, when the watermark closes it; so
+    its table has the closed ones, and its state the others."""
+    windows = session_windows(events, key, ts, gap, delay)
+    base = base or f"{shared_folder(events.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    closed = run_to_table(windows, name, base=base)
+    state = events.sparkSession.read.format("statestore").load(f"{base}/checkpoint")
+    still = state.select(F.col("value")[key].alias(key), F.col("value.session_window.start").alias("start"), F.col("value.session_window.end").alias("end"), F.col("value.count").alias("n"))
+    return closed.unionByName(still)
+
+
 def session_statistics(events: DataFrame, kind: str, key: str) -> DataFrame:
     """Events and about how many keys of each kind, from a sketch of fixed size, for complete mode.  Exact counts of keys:
     stateful.session_counts."""

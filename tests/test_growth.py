@@ -29,3 +29,12 @@ def test_deletion_keys_of_many_words_are_not_broadcast(spark, monkeypatch):
 def test_only_near_misses_need_candidates(spark):
     pairs = spark.createDataFrame([("the cot is far", "the kot is distant"), ("a line", "a lion")], "ref string, hyp string")
     assert {r.word for r in lexicon.near_misses(pairs).collect()} == {"kot", "lion"}
+
+
+def test_sessions_are_whole(spark, tmp_path):
+    rows = [("u", 0), ("u", 600), ("u", 50_000), ("v", 200_000), ("v", 200_100), (None, 200_050)]
+    spark.createDataFrame(rows, "u string, at bigint").select("u", F.timestamp_seconds("at").alias("ts")).write.parquet(str(tmp_path / "e"))
+    source = spark.readStream.schema("u string, ts timestamp").parquet(str(tmp_path / "e"))
+    got = quota.sessions(source, "u", "ts", "1 hour", "whole", base=f"file://{tmp_path}/base")
+    seen = {(r.u, r.a, r.b, r.n) for r in got.select("u", F.unix_seconds("start").alias("a"), F.unix_seconds("end").alias("b"), "n").collect()}
+    assert seen == {("u", 0, 4200, 2), ("u", 50_000, 53_600, 1), ("v", 200_000, 203_700, 2), (None, 200_050, 203_650, 1)}
