@@ -28,8 +28,7 @@ def bands(ops: Column) -> tuple[Column, Column]:
 
 def consensus(ref: Column, decodes: list[Column]) -> Column:
     """For each unit of ref an array of its ops in every decode."""
-    zipped = F.arrays_zip(*(align.unit_ops(ref, d).alias(f"d{i}") for i, d in enumerate(decodes)))
-    return F.transform(zipped, lambda x: F.array(*(x[f"d{i}"] for i in range(len(decodes)))))
+    return align.unit_ops(ref, F.array(*decodes))
 
 
 def band_counts(units: DataFrame, key: str, band: str, strict: bool) -> DataFrame:

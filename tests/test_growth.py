@@ -5,11 +5,12 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvane.functions import align, text
-from corvane.operators import charlm, lexicon, metrics, posterior
+from corvane.operators import lexicon, metrics, posterior
 from corvane.streaming import quota, stateful
 
 
@@ -38,3 +39,24 @@ def test_sessions_are_whole(spark, tmp_path):
     got = quota.sessions(source, "u", "ts", "1 hour", "whole", base=f"file://{tmp_path}/base")
     seen = {(r.u, r.a, r.b, r.n) for r in got.select("u", F.unix_seconds("start").alias("a"), F.unix_seconds("end").alias("b"), "n").collect()}
     assert seen == {("u", 0, 4200, 2), ("u", 50_000, 53_600, 1), ("v", 200_000, 203_700, 2), (None, 200_050, 203_650, 1)}
+
+
+def test_results_are_given_back_by_slices():
+    refs, hyps = pa.array(["many words of one turn " * 100] * 500), pa.array(["many other words of a turn " * 100] * 500)
+    for f in (align.word_ops, align.char_op_counts, align.unit_ops):
+        args = (pa.array([x.split() for x in refs.to_pylist()]), pa.array([[x.split()] for x in hyps.to_pylist()])) if f is align.unit_ops else (refs, hyps)
+        parts = f.func(iter([args]))
+        first = next(parts)
+        assert 0 < len(first) < 200
+    assert len(next(text.nfc.func(iter([refs])))) < 500
+    rows = list(text.nfkd_ascii.func(iter([pa.array(["é", None, ""])])))
+    assert [x for p in rows for x in p.to_pylist()] == ["e", None, ""]
+
+
+def test_blocks_are_those_of_difflib():
+    r = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(r.choices("abcd"[: r.randint(1, 4)], k=r.randint(0, 30))) for _ in "ab")
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert align.matching_blocks(a, b) == [tuple(x) for x in m.get_matching_blocks() if x.size]
+        assert align.opcodes(a.split("c"), b.split("c")) == difflib.SequenceMatcher(None, a.split("c"), b.split("c"), autojunk=False).get_opcodes()
