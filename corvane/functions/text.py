@@ -6,11 +6,12 @@ from __future__ import annotations
 import html
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.batch import by_slices
+
 # Code points dropped by each profile, and those a word may hold.
 _DIGITS_AND_STOPS = "०-९।॥ऽॐ"
 _VEDIC = "॒॑॓॔᳐-᳿"
@@ -20,20 +21,20 @@ _NAMED_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")
 PROFILES = ("base", "vedic", "canonical", "raw", "latin")
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+@by_slices(T.StringType())
+def nfc(s):
+    return None if s is None else unicodedata.normalize("NFC", s)
 
 
-@F.pandas_udf(T.StringType())
-def nfkd_ascii(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
+@by_slices(T.StringType())
+def nfkd_ascii(s):
+    return None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
 
 
-@F.pandas_udf(T.StringType())
-def unescape(s: pd.Series) -> pd.Series:
+@by_slices(T.StringType())
+def unescape(s):
     """Every HTML entity."""
-    return s.map(html.unescape, na_action="ignore")
+    return None if s is None else html.unescape(s)
 
 
 def let(value: Column, body) -> Column:

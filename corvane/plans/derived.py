@@ -54,8 +54,8 @@ def _final(c: str) -> str:
     f"{_profile(_final(_undoubled('x')), _STOPS + _VEDIC)} AS canonical, {_squeezed('x')} AS raw FROM x"
 )
 def norm_profiles(spark, d):
-    x = t(spark, d, "documents").select("doc_id", deva(F.col("text")).alias("x"))
-    return x.select("doc_id", *(text.norm(F.col("x"), p).alias(p) for p in ("base", "vedic", "canonical", "raw")))
+    x = t(spark, d, "documents").select("doc_id", text.nfc(deva(F.col("text"))).alias("x"))
+    return x.select("doc_id", *(text.norm(F.col("x"), p, compose=False).alias(p) for p in ("base", "vedic", "canonical", "raw")))
 
 
 _NASAL = (
