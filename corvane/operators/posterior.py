@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,27 +111,48 @@ def best_path(logp: np.ndarray, ids: list[int], blank: int = 0) -> np.ndarray |
     gap, token = np.full(len(tokens) + 1, -np.inf), np.full(len(tokens), -np.inf)
     gap[0], token[0] = logp[0, blank], logp[0, tokens[0]]
     closed = np.append(True, tokens[1:] == tokens[:-1])  # a repeated token needs a gap before it
-    entered, source = np.zeros((len(logp), len(tokens) + 1), bool), np.zeros((len(logp), len(tokens)), np.int8)
+    # choices are held for a block of frames at once, and scores at the start of each; 16 bytes against 2 for a token
+    block = math.isqrt(8 * len(logp)) + 1
+    heads = []
     for t in range(1, len(logp)):
+        if (t - 1) % block == 0:
+            heads.append((gap, token))
         ended = np.append(none, token)
         passed = np.where(closed, -np.inf, ended[:-1])
-        entered[t] = ended > gap
-        source[t] = np.where(token >= np.maximum(gap[:-1], passed), 0, np.where(gap[:-1] >= passed, 1, 2))
         token = np.maximum(np.maximum(token, gap[:-1]), passed) + logp[t, tokens]
         gap = np.maximum(gap, ended) + logp[t, blank]
+
+    def choices(start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the frames from start on, whether a gap is entered there, and what a token comes from."""
+        gap, token = heads[(start - 1) // block]
+        frames = range(start, min(start + block, len(logp)))
+        entered, source = np.zeros((len(frames), len(tokens) + 1), bool), np.zeros((len(frames), len(tokens)), np.int8)
+        for i, t in enumerate(frames):
+            ended = np.append(none, token)
+            passed = np.where(closed, -np.inf, ended[:-1])
+            entered[i] = ended > gap
+            source[i] = np.where(token >= np.maximum(gap[:-1], passed), 0, np.where(gap[:-1] >= passed, 1, 2))
+            token = np.maximum(np.maximum(token, gap[:-1]), passed) + logp[t, tokens]
+            gap = np.maximum(gap, ended) + logp[t, blank]
+        return entered, source
+
     k, resting = len(tokens) - 1, gap[-1] >= token[-1]
     if np.isneginf(max(gap[-1], token[-1])):
         return None
     owner = np.full(len(logp), -1, np.int64)
     place = len(tokens) if resting else k
-    for t in range(len(logp) - 1, -1, -1):
-        if resting:
-            if entered[t, place]:
-                resting, place = False, place - 1
-            continue
-        owner[t] = place
-        came = source[t, place]
-        resting, place = came == 1, place - (came == 2)
+    for start in range((len(heads) - 1) * block + 1, 0, -block):
+        entered, source = choices(start)
+        for t in range(start + len(source) - 1, start - 1, -1):
+            if resting:
+                if entered[t - start, place]:
+                    resting, place = False, place - 1
+                continue
+            owner[t] = place
+            came = source[t - start, place]
+            resting, place = came == 1, place - (came == 2)
+    if not resting:
+        owner[0] = place
     return owner
 
 
@@ -141,8 +164,10 @@ def token_scores(logp: np.ndarray, ids: list[int], classes: dict | None = None)
     if path is None:
         return None
     out = []
+    held = np.flatnonzero(path >= 0)
+    ends = np.searchsorted(path[held], np.arange(len(ids) + 1))  # tokens come in order
     for k, token in enumerate(ids):
-        at = np.flatnonzero(path == k)
+        at = held[ends[k] : ends[k + 1]]
         own = logp[np.ix_(at, classes.get(token, [token]) if classes else [token])].max(1)
         best = (logp[at, 1:] if classes else logp[at]).max(1)
         rival = logp[at].copy()

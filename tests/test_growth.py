@@ -60,3 +60,13 @@ def test_blocks_are_those_of_difflib():
         m = difflib.SequenceMatcher(None, a, b, autojunk=False)
         assert align.matching_blocks(a, b) == [tuple(x) for x in m.get_matching_blocks() if x.size]
         assert align.opcodes(a.split("c"), b.split("c")) == difflib.SequenceMatcher(None, a.split("c"), b.split("c"), autojunk=False).get_opcodes()
+
+
+def test_alignment_of_many_frames_holds_blocks():
+    r = np.random.default_rng(1)
+    logp, ids = r.normal(size=(2000, 6)), r.integers(1, 6, 700).tolist()
+    tracemalloc.start()
+    path = posterior.best_path(logp, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500_000 and path.max() == 699 and (np.diff(path[path >= 0]) >= 0).all()
