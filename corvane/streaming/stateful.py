@@ -58,43 +58,76 @@ def ordered(batches: Iterator[pd.DataFrame], by: list[str], run: int | None = No
 
 
 class _Claims(StatefulProcessor):
-    """Items by place and places by item; what is done; the outstanding claims; how far the queue has been handed out.  A
-    request looks at the outstanding claims, of which a worker has few, and at the head of the queue."""
+    """Of each item its place in the queue (-1 before it is added) and whether it is done, items by place while they are
+    not, the outstanding claims, and how far the queue has been handed out.  A request looks at the outstanding claims, of
+    which a worker has few, and at the head of the queue.
+
+    State is asked and told over a socket, so what a micro-batch has touched is held and told once, at its end or when
+    there are RUN of it; what the state cannot have is not asked for."""
 
     def __init__(self, manifest: str, ttl: int):
         self.manifest, self.ttl = manifest, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.places = handle.getMapState("places", "item string", "place bigint")
+        self.known = handle.getMapState("known", "item string", "place bigint, done boolean")
         self.items = handle.getMapState("items", "place bigint", "item string")
-        self.done = handle.getMapState("done", "item string", "at bigint")
         self.claims = handle.getMapState("claims", "place bigint", "worker string, at bigint")
         self.ends = handle.getValueState("ends", "head bigint, size bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         head, size = self.ends.get() if self.ends.exists() else (0, 0)
         before = {p[0]: (w, at) for p, (w, at) in self.claims.iterator()} if self.claims.exists() else {}
-        claims, out = dict(before), []
-        for at, seq, worker, action, item in ordered(rows, ["at", "seq"]):
+        told = self.known.exists()  # whether state has items that are not held
+        claims, out, held, waiting, stored = dict(before), [], {}, {}, set()
+
+        def look(item: str) -> list:
+            """[place, done, changed] of an item, place -1 if it has none."""
+            if item not in held:
+                found = told and self.known.containsKey((item,))
+                held[item] = [*self.known.getValue((item,)), False] if found else [-1, False, False]
+            return held[item]
+
+        def at(place: int) -> str:
+            if place not in waiting:
+                waiting[place] = self.items.getValue((place,))[0]
+                stored.add(place)
+            return waiting[place]
+
+        def tell() -> None:
+            for item, (place, done, changed) in held.items():
+                if changed:
+                    self.known.updateValue((item,), (place, done))
+            for place, item in waiting.items():
+                if (place >= head or place in claims) and place not in stored:
+                    self.items.updateValue((place,), (item,))
+            held.clear(), waiting.clear(), stored.clear()
+
+        for now, seq, worker, action, item in ordered(rows, ["at", "seq"]):
             if action == "add" and item is not None:
-                if not self.places.containsKey((item,)):
-                    self.places.updateValue((item,), (size,))
-                    self.items.updateValue((size,), (item,))
+                if (x := look(item))[0] < 0:
+                    x[0], x[2], waiting[size] = size, True, item
                     size += 1
             elif action == "save" and item is not None:
-                self.done.updateValue((item,), (at,))
-                if self.places.containsKey((item,)):
-                    claims.pop(self.places.getValue((item,))[0], None)
+                x = look(item)
+                x[1] = x[2] = True
+                claims.pop(x[0], None)
             elif action == "next":
-                while head < size and self.done.containsKey(self.items.getValue((head,))):
+                while head < size and look(at(head))[1]:
                     head += 1
-                able = [p for p, (w, t) in claims.items() if w == worker or at - t >= self.ttl]
+                able = [p for p, (w, t) in claims.items() if w == worker or now - t >= self.ttl]
                 pick = min(able, default=head)
                 pick = min(pick, head) if head < size else (pick if able else None)
                 if pick is not None:
-                    claims[pick] = (worker, at)
+                    claims[pick] = (worker, now)
                     head += pick == head
-                out.append((key[0], seq, worker, None if pick is None else self.items.getValue((pick,))[0]))
+                out.append((key[0], seq, worker, None if pick is None else at(pick)))
+                if len(out) == SLICE:
+                    yield pd.DataFrame(out, columns=[self.manifest, "seq", "worker", "item"])
+                    out = []
+            if len(held) + len(waiting) >= RUN:
+                tell()
+                told = True
+        tell()
         for p in before.keys() - claims.keys():
             self.claims.removeKey((p,))
         for p, c in claims.items():

@@ -70,3 +70,71 @@ def test_alignment_of_many_frames_holds_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1_500_000 and path.max() == 699 and (np.diff(path[path >= 0]) >= 0).all()
+
+
+def test_claims_hold_a_run_and_ask_little(spark, tmp_path, monkeypatch):
+    """The same hand-outs with small runs, over two micro-batches, as by one list."""
+
+    class State(dict):
+        asked = 0
+
+        def exists(self):
+            return bool(self)
+
+        def containsKey(self, k):
+            State.asked += 1
+            return k in self
+
+        def getValue(self, k):
+            State.asked += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            State.asked += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+        def iterator(self):
+            return iter(self.items())
+
+        def get(self):
+            return self["v"]
+
+        def update(self, v):
+            self["v"] = v
+
+    class Handle:
+        def getMapState(self, *_):
+            return State()
+
+        getValueState = getMapState
+
+    r = random.Random(5)
+    acts = [(i, i, f"w{r.randrange(5)}", r.choice(["add", "next", "save", "next"]), f"i{r.randrange(i // 2 + 1)}") for i in range(3000)]
+    items, who, done, want = [], {}, set(), {}
+    for at, seq, w, act, item in acts:
+        if act == "add" and item not in items:
+            items.append(item)
+        elif act == "save":
+            done.add(item)
+            who.pop(item, None)
+        elif act == "next":
+            pick = next((x for x in items if x not in done and (x not in who or who[x][0] == w or at - who[x][1] >= 50)), None)
+            if pick:
+                who[pick] = (w, at)
+            want[seq] = pick
+    asked = []
+    for run in (100, 200_000):
+        monkeypatch.setattr(stateful, "RUN", run)
+        State.asked = 0
+        p = stateful._Claims("m", 50)
+        p.init(Handle())
+        got = {}
+        for part in (acts[:1700], acts[1700:]):
+            for f in p.handleInputRows(("q",), iter([pd.DataFrame(part, columns=["at", "seq", "worker", "action", "item"])]), None):
+                got |= dict(zip(f["seq"], f["item"]))
+        assert got == want
+        asked.append(State.asked)
+    assert asked[1] < len(acts) and asked[0] < 4 * len(acts)
