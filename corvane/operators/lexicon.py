@@ -48,6 +48,18 @@ def oov_of(counts: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     return t.groupBy(key).agg(F.sum("n").alias("tokens"), (F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("oov_rate"))
 
 
+def oov_once(df: DataFrame, key: str, text: Column, glossary: DataFrame) -> DataFrame:
+    """(key, tokens, oov_rate) under the lexicon of the same texts' words that occur twice or more, and the glossary's.  What
+    it lacks are words that occur once, so each tells its own key: words are counted with that key, and the pairs of keys and
+    words are not shuffled."""
+    w = df.select(F.col(key).alias("_key"), words(text).alias("w"))
+    total = w.groupBy("_key").agg(F.sum(F.size("w")).alias("tokens")).where("tokens > 0")
+    counts = w.select("_key", F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.min("_key").alias("_key")).where("n = 1")
+    lacking = counts.join(glossary.select("word"), "word", "left_anti").groupBy(F.col("_key").alias("_of")).agg(F.count("*").alias("lacking"))
+    rate = F.coalesce("lacking", F.lit(0)) / F.col("tokens")
+    return total.join(lacking, F.col("_key").eqNullSafe(F.col("_of")), "left").select(F.col("_key").alias(key), "tokens", rate.alias("oov_rate"))
+
+
 def fuzzy(left: DataFrame, lexicon: DataFrame, most: int = 2, k: int | None = 5) -> DataFrame:
     """(word, cand, freq, dist) within an edit distance, other than the word itself; the k best by distance, frequency
     and word.
@@ -157,6 +169,13 @@ def tiled(df: DataFrame, word: str, lexicon: DataFrame, penalty: float = 6.0, le
     return df.join(made, word, "left").withColumn("pieces", F.when(F.col(word).isNotNull(), F.coalesce("pieces", F.array(word))))
 
 
+def near_misses(pairs: DataFrame, most: int = 2, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """Distinct words that stand within an edit distance for another word: only these can have the right word among their
+    candidates."""
+    ops = pairs.select(F.explode(align.word_ops(ref, hyp)).alias("o")).where("o.op = 'S'")
+    return ops.where(F.levenshtein("o.rc", "o.hc", most) >= 0).select(F.col("o.hc").alias("word")).distinct()
+
+
 def recoverability(pairs: DataFrame, candidates: DataFrame, lexicon: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Of reference words: already right, recoverable among a wrong word's candidates, and the lexicon's ceiling."""
     ops = pairs.select(F.explode(align.word_ops(ref, hyp)).alias("o")).where("o.op <> 'I'").select("o.op", F.col("o.rc").alias("rc"), F.col("o.hc").alias("word"))
@@ -169,13 +188,6 @@ def recoverability(pairs: DataFrame, candidates: DataFrame, lexicon: DataFrame,
 
 
 def bucketed_recall(df: DataFrame, dist: str = "dist") -> DataFrame:
-def near_misses(pairs: DataFrame, most: int = 2, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Distinct words that stand within an edit distance for another word: only these can have the right word among their
-    candidates."""
-    ops = pairs.select(F.explode(align.word_ops(ref, hyp)).alias("o")).where("o.op = 'S'")
-    return ops.where(F.levenshtein("o.rc", "o.hc", most) >= 0).select(F.col("o.hc").alias("word")).distinct()
-
-
     """(n, in_lexicon, generated, top5, top1) by true distance 1, 2, 3 and more; df has these flags as booleans."""
     flags = ("in_lexicon", "generated", "top5", "top1")
     return df.groupBy(F.least(F.col(dist), F.lit(3)).alias("distance")).agg(F.count("*").alias("n"), *(F.avg(F.col(f).cast("int")).alias(f) for f in flags))

@@ -320,9 +320,8 @@ def main_lexicon(spark, d) -> DataFrame:
 
 
 def oov_rates(spark, d) -> DataFrame:
-    """Of each document; its words are counted once, for the rates and for the lexicon."""
-    counts = lexicon.counted(t(spark, d, "documents"), "doc_id", latin("text"))
-    return lexicon.oov_of(counts, "doc_id", lexicon.weighted(counts, corpus_words(spark, d, "benchmark").distinct()))
+    """Of each document, under the lexicon of all."""
+    return lexicon.oov_once(t(spark, d, "documents"), "doc_id", latin("text"), corpus_words(spark, d, "benchmark").distinct())
 
 
 _TOKENS = "tok AS (SELECT doc_id, lang, unnest(" + _WORDS.format(c=_LATIN.format(c="text")) + ") AS word FROM documents)"

@@ -72,6 +72,16 @@ def test_alignment_of_many_frames_holds_blocks():
     assert peak < 1_500_000 and path.max() == 699 and (np.diff(path[path >= 0]) >= 0).all()
 
 
+def test_words_are_not_shuffled_by_document(spark):
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "c d"), (None, "e"), (3, None), (4, ""), (2, "a g")], "k bigint, t string")
+    gloss = spark.createDataFrame([("d",)], "word string")
+    got = lexicon.oov_once(docs, "k", F.col("t"), gloss)
+    assert {(r.k, r.tokens, r.oov_rate) for r in got.collect()} == {(1, 4, 0.0), (2, 4, 0.25), (None, 1, 1.0)}
+    counts = lexicon.counted(docs, "k", F.col("t"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in lexicon.oov_of(counts, "k", lexicon.weighted(counts, gloss)).collect()}
+    assert not any("word" in x and "key" in x.lower() for x in plan(got).split("\n") if "hashpartitioning" in x)
+
+
 def test_claims_hold_a_run_and_ask_little(spark, tmp_path, monkeypatch):
     """The same hand-outs with small runs, over two micro-batches, as by one list."""
 
