@@ -10,6 +10,7 @@ from corvane.functions import align, edit
 from corvane.functions.align import anchor
 from corvane.functions.text import words
 from corvane.operators.curate import ranked_sum
+from corvane.sources.sinks import kept
 
 # Character classes of the substitution taxonomy, in order of precedence.
 TAXONOMY = (
@@ -154,7 +155,15 @@ def anchored(segments: DataFrame, references: DataFrame, key: str, order: str, h
 def exact_percentiles(df: DataFrame, value: str, points: list[float], *by: str) -> DataFrame:
     """(by, p): an array of the linearly interpolated percentiles of each group.  Values are counted first; running counts
     are made in value ranges, so neither a group's values nor its distinct values meet in one task or buffer."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return _percentiles_of(value_counts(df, value, *by), points, *by)
+
+
+def value_counts(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, v, n), written down before nulls are left out, so that values are made once."""
+    return kept(df.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")), "values").where("v is not null")
+
+
+def _percentiles_of(counts: DataFrame, points: list[float], *by: str) -> DataFrame:
     ranked = ranked_sum(counts, "n", "v", by=by)
     total = counts.groupBy(*by).agg(F.sum("n").alias("all"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by]
@@ -171,8 +180,9 @@ def exact_percentiles(df: DataFrame, value: str, points: list[float], *by: str)
 
 def percentiles(df: DataFrame, value: str, points: tuple = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
     """Linearly interpolated percentiles and the mean."""
-    p = exact_percentiles(df, value, [x / 100 for x in points])
-    return p.crossJoin(df.agg(F.avg(value).alias("mean"))).select(*(F.col("p")[i].alias(f"p{x}") for i, x in enumerate(points)), "mean")
+    counts = value_counts(df, value)
+    p = _percentiles_of(counts, [x / 100 for x in points])
+    return p.crossJoin(counts.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))).select(*(F.col("p")[i].alias(f"p{x}") for i, x in enumerate(points)), "mean")
 
 
 def bucket(c: Column, edges: tuple) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import align, script
-from corvane.functions.edit import word_disagreement
+from corvane.functions.edit import char_edits, word_disagreement
 from corvane.functions.text import cache_key, char_tokens, degenerate, first_rule, html_text, low_variety, norm, words
 from corvane.operators import curate, fusion, lexicon, metrics, posterior, sequence
 
@@ -67,7 +67,7 @@ def latin(c: str):
 
 def char_pairs(spark: SparkSession, d: str) -> DataFrame:
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    return turn_pairs(spark, d).withColumns({"ce": F.levenshtein(bare("ref"), bare("hyp")), "cl": F.length(bare("ref"))})
+    return turn_pairs(spark, d).withColumns({"ce": char_edits(bare("ref"), bare("hyp")), "cl": F.length(bare("ref"))})
 
 
 # ------------------------------------------------------------------ text
@@ -175,7 +175,7 @@ def systems(spark, d) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = t(spark, d, "conversations").select("conv_id", "turn", F.replace(latin("text"), F.lit(" "), F.lit("")).alias("ref"))
     c = c.withColumns({"h1": F.lead("ref", 1).over(w), "h2": F.lead("ref", 2).over(w), "h3": F.lag("ref", 1).over(w)}).where("h1 is not null and h2 is not null and h3 is not null")
-    return c.withColumns({f"e{i}": F.levenshtein("ref", f"h{i}") for i in (1, 2, 3)}).withColumn("n", F.length("ref"))
+    return c.withColumns({f"e{i}": char_edits(F.col("ref"), F.col(f"h{i}")) for i in (1, 2, 3)}).withColumn("n", F.length("ref"))
 
 
 _SYSTEMS = f"""{_ONE_BYTE.format(norm=_LATIN.format(c="text"), table="conversations")},

@@ -72,6 +72,18 @@ def test_alignment_of_many_frames_holds_blocks():
     assert peak < 1_500_000 and path.max() == 699 and (np.diff(path[path >= 0]) >= 0).all()
 
 
+def test_values_of_percentiles_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(x):
+        made.add(1)
+        return float(x)
+
+    got = metrics.percentiles(spark.range(101).select(value("id").alias("v")), "v").first()
+    assert (got.p50, got.p99, got.mean, made.value) == (50.0, 99.0, 50.0, 101)
+
+
 def test_words_are_not_shuffled_by_document(spark):
     docs = spark.createDataFrame([(1, "a b b c"), (2, "c d"), (None, "e"), (3, None), (4, ""), (2, "a g")], "k bigint, t string")
     gloss = spark.createDataFrame([("d",)], "word string")
