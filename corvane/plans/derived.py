@@ -158,9 +158,11 @@ k AS (SELECT doc_id, w, length(w) AS n FROM v)"""
 @query(f"WITH {_WEIGHTS}, m AS (SELECT {_metre_sql()} AS metre, n FROM k WHERE n > 0) SELECT metre.length AS length, metre.name AS name, count(*) AS lines, sum(n)::BIGINT AS weights FROM m GROUP BY ALL")
 def metres_of_lines(spark, d):
     """Lines read as if they were SLP1: their weights and metres."""
-    lines = t(spark, d, "documents").select(F.explode(F.split("text", r"[.\n]+")).alias("line")).select(script.scansion(F.col("line")).alias("w")).where("w <> ''")
-    m = lines.select("w", script.metre(F.col("w")).alias("metre"))
-    return m.groupBy(F.col("metre.length").alias("length"), F.col("metre.name").alias("name")).agg(F.count("*").alias("lines"), F.sum(F.length("w")).alias("weights"))
+    lines = t(spark, d, "documents").select(F.explode(F.split("text", r"[.\n]+")).alias("line")).where(F.col("line").rlike("[aiufxAIUFXeEoO]"))  # else no weights
+    # each line's weights and metre are worked out once: a filter on weights, or two keys of a metre, would do so again
+    m = lines.select(script.scansion(F.col("line")).alias("w")).select("w", script.metre(F.col("w")).alias("metre"))
+    m = m.groupBy("metre").agg(F.count("*").alias("lines"), F.sum(F.length("w")).alias("weights"))
+    return m.select("metre.length", "metre.name", "lines", "weights")
 
 
 _KANNADA_TO = "".join(chr(ord(x) + 0x0380) if 0x0900 <= ord(x) < 0x0980 and x not in "।॥" else x for x in _TO)

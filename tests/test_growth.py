@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -160,3 +161,19 @@ def test_claims_hold_a_run_and_ask_little(spark, tmp_path, monkeypatch):
         assert got == want
         asked.append(State.asked)
     assert asked[1] < len(acts) and asked[0] < 4 * len(acts)
+
+
+def test_scansion_is_by_whole_texts_and_once(spark):
+    from corvane.functions import script
+    from corvane.plans import derived
+
+    def plain(s):
+        units = re.findall("[aiufxAIUFXeEoO][^aiufxAIUFXeEoO]*", re.sub("[^a-zA-Z~]", "", s))
+        return "".join("G" if re.search("^[AIUFXeEoO]|[MH~]", u) or len(u) >= 3 else "L" for u in units)
+
+    r = random.Random(5)
+    texts = ["", "k", "a", "kk", "aM", "a kt", "a\n", "तa L0G1", *("".join(r.choices("aAiuekLGMH~'0 \nत", k=r.randint(0, 25))) for _ in range(500))]
+    got = spark.createDataFrame([(x,) for x in [*texts, None]], "x string").select("x", script.scansion(F.col("x")).alias("w")).collect()
+    assert all(g.w == (None if g.x is None else plain(g.x)) for g in got)
+    lines = plan(derived.metres_of_lines(spark, "/root/testdata/sf0.001"))
+    assert lines.count("regexp_replace") == 4 and "regexp_extract_all" not in lines and "[^a-zA-Z~]" not in lines
