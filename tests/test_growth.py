@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvane.functions import align, text
-from corvane.operators import lexicon, metrics, posterior
+from corvane.operators import beam, lexicon, metrics, posterior
 from corvane.streaming import quota, stateful
 
 
@@ -177,3 +177,24 @@ def test_scansion_is_by_whole_texts_and_once(spark):
     assert all(g.w == (None if g.x is None else plain(g.x)) for g in got)
     lines = plan(derived.metres_of_lines(spark, "/root/testdata/sf0.001"))
     assert lines.count("regexp_replace") == 4 and "regexp_extract_all" not in lines and "[^a-zA-Z~]" not in lines
+
+
+def test_a_decoder_keeps_what_does_not_depend_on_frames(monkeypatch):
+    r = np.random.default_rng(7)
+    fresh = lambda width: beam.Decoder(["", " ", "a", "b"], width=width, beta=0.3, hot=beam.Hotwords(["ab", "b"], 2.0))
+    utterances = [np.log(r.dirichlet(np.ones(4), 4)) for _ in range(6)]
+    utterances[3][1, 2] = -np.inf
+    for width in (None, 5):
+        kept = fresh(width)
+        kept.decode(utterances[0])
+        calls, extend = [], beam.Decoder.extend
+        with monkeypatch.context() as m:
+            m.setattr(beam.Decoder, "extend", lambda *a: calls.append(1) or extend(*a))
+            again = kept.decode(utterances[0])
+        assert not calls and again == fresh(width).decode(utterances[0])
+        for held in (50_000, 0):
+            with monkeypatch.context() as m:
+                m.setattr(beam, "HELD", held)
+                for u in utterances:
+                    whole = kept.decode(u)
+                    assert whole == fresh(width).decode(u) and kept.decode(u, 3) == whole[:3]
