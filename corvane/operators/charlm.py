@@ -27,6 +27,8 @@ START, END = "\x02", "\x03"
 FALLBACK = (0.5, 1.0, 1.5)
 #: A model is sent to the tasks as a trie if its grams hold at most so many bytes (36 a gram, about).
 TRIE_BYTES, GRAM_BYTES = 256 << 20, 36
+#: Characters whose grams are counted at once in a task.
+WINDOW = 1 << 21
 
 
 def framed(text: Column) -> Column:
@@ -34,16 +36,77 @@ def framed(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.array(F.lit(START)), F.split(F.translate(text, " ", "|"), ""), F.array(F.lit(END))))
 
 
-def grams(chars: Column, order: int) -> Column:
-    """The gram of the given length that ends at each character but the first; shorter ones at the beginning."""
-    piece = lambda a, i: F.array_join(F.slice(a, F.greatest(i - order + 1, F.lit(1)), F.least(F.lit(order), i)), "")
-    return let(chars, lambda a: F.transform(F.sequence(F.lit(2), F.size(a)), lambda i: piece(a, i)))
+def _utf8(codes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings of the given sizes from all their code points."""
+    width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+    ends = np.append(0, np.cumsum(width))[np.append(0, np.cumsum(sizes))].astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(codes.astype("<u4").tobytes().decode("utf-32-le").encode()))
+
+
+def _windows(codes: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(grams, how often) of windows of texts set end to end: the gram of the given length that ends at each character but
+    a text's first; shorter ones at a text's beginning."""
+    seen = np.zeros(0x110000, bool)
+    seen[codes] = True
+    alphabet = np.flatnonzero(seen).astype(np.uint32)
+    number = np.zeros(0x110000, np.int32)
+    number[alphabet] = np.arange(1, len(alphabet) + 1)  # 0: no character
+    begins = np.zeros(len(codes), bool)
+    begins[starts] = True
+    per_key = 1  # characters that one key of 63 bits holds
+    while per_key < order and (len(alphabet) + 1) ** (per_key + 1) < 1 << 63:
+        per_key += 1
+    for low in range(0, len(codes), WINDOW):
+        high, before = min(len(codes), low + WINDOW), min(low, order - 1)
+        own = np.append(np.zeros(order - 1 - before, np.int64), number[codes[low - before : high]].astype(np.int64))
+        new = np.append(np.zeros(order - 1 - before, bool), begins[low - before : high])
+        inside, ending, keys = np.ones(high - low, bool), ~begins[low:high], []
+        for back in range(order):
+            if back % per_key == 0:
+                keys.append(np.zeros(high - low, np.int64))
+            keys[-1] += np.where(inside, own[order - 1 - back : len(own) - back], 0) * (len(alphabet) + 1) ** (back % per_key)
+            inside &= ~new[order - 1 - back : len(new) - back]
+        keys = [k[ending] for k in keys]
+        if len(keys) == 1:
+            found, n = np.unique(keys[0], return_counts=True)
+            found = [found]
+        else:
+            found, n = np.unique(np.stack(keys), axis=1, return_counts=True)
+        if not len(n):
+            continue
+        places = []  # of each gram its last character's number, the one before it, ...
+        for back in range(order):
+            key, c = np.divmod(key if back % per_key else found[back // per_key], len(alphabet) + 1)
+            places.append(c)
+        whole = np.stack(places[::-1], 1)
+        yield _utf8(alphabet[whole[whole > 0] - 1], (whole > 0).sum(1)), n
+
+
+def gram_counts(texts: DataFrame, text: str, order: int) -> DataFrame:
+    """(gram, n): grams of the highest order and those of texts' beginnings, counted in windows of text before they are
+    shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size, last = [], 0, batch.num_rows - 1
+            for i, value in enumerate(batch.column(0)):
+                t = value.as_py()
+                if t:
+                    held.append(START + t.replace(" ", "|") + END)
+                    size += len(held[-1])
+                if held and (size >= WINDOW or i == last):
+                    codes = np.frombuffer("".join(held).encode("utf-32-le"), "<u4")
+                    starts = np.cumsum([0, *map(len, held[:-1])])
+                    held, size = [], 0
+                    for found, n in _windows(codes, starts, order):
+                        yield pa.RecordBatch.from_arrays([found, pa.array(n, pa.int64())], names=["gram", "n"])
+
+    return texts.select(text).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def counts(texts: DataFrame, text: str, order: int) -> list[DataFrame]:
     """(gram, n) of each order from 1 on, each written down."""
-    raw = texts.where(F.length(text) > 0).select(F.explode(grams(framed(F.col(text)), order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    raw = kept(raw, "grams")
+    raw = kept(gram_counts(texts, text, order), "grams")
     levels = [raw.where(F.length("gram") == order)]
     for k in range(order - 1, 0, -1):
         continued = levels[0].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvane.functions import align, text
-from corvane.operators import beam, lexicon, metrics, posterior
+from corvane.operators import beam, charlm, lexicon, metrics, posterior
 from corvane.streaming import quota, stateful
 
 
@@ -198,3 +198,35 @@ def test_a_decoder_keeps_what_does_not_depend_on_frames(monkeypatch):
                 for u in utterances:
                     whole = kept.decode(u)
                     assert whole == fresh(width).decode(u) and kept.decode(u, 3) == whole[:3]
+
+
+def test_grams_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    def plain(texts, order):
+        out = {}
+        for x in texts:
+            if x:
+                x = charlm.START + x.replace(" ", "|") + charlm.END
+                for i in range(1, len(x)):
+                    out[x[max(0, i - order + 1) : i + 1]] = out.get(x[max(0, i - order + 1) : i + 1], 0) + 1
+        return out
+
+    r = random.Random(9)
+    texts = ["", None, "a", "ab ab", "é😀 aé", *("".join(r.choices("abc é😀", k=r.randint(1, 40))) for _ in range(50)), "".join(map(chr, range(0x4E00, 0x5800)))]
+    for order in (1, 3, 6):
+        got = charlm.gram_counts(spark.createDataFrame([(x,) for x in texts], "x string").repartition(3), "x", order).collect()
+        assert {g.gram: g.n for g in got} == plain(texts, order) and len(got) == len(plain(texts, order))
+        framed = [charlm.START + x.replace(" ", "|") + charlm.END for x in texts if x]
+        codes, starts = np.frombuffer("".join(framed).encode("utf-32-le"), "<u4"), np.cumsum([0, *map(len, framed[:-1])])
+        for window in (1, 7, 100):
+            monkeypatch.setattr(charlm, "WINDOW", window)
+            sums = {}
+            for found, n in charlm._windows(codes[:2000], starts[starts < 2000], order) if window > 1 else charlm._windows(codes[:60], starts[starts < 60], order):
+                for g, k in zip(found.to_pylist(), n.tolist()):
+                    sums[g] = sums.get(g, 0) + k
+            cut = "".join(framed)[: 2000 if window > 1 else 60]
+            parts = [cut[a:b] for a, b in zip(starts, [*starts[1:], len(cut)]) if a < len(cut)]
+            want = {}
+            for x in parts:
+                for i in range(1, len(x)):
+                    want[x[max(0, i - order + 1) : i + 1]] = want.get(x[max(0, i - order + 1) : i + 1], 0) + 1
+            assert sums == want
