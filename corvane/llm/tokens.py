@@ -33,6 +33,17 @@ _OTHER_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *r
 _SEPARATOR = "<|endoftext|>"
 #: Chunks of one joined string.
 _JOINED = 500
+#: Words of letters of Latin-1, with marks after them or none, as chunks of texts that are cut at spaces.  Byte-level
+#: pre-tokenisation makes the letters one word and the marks another.
+_WORD = re.compile(rb"((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!#-&(-/:;=?@\[-`{}~]*+)").fullmatch
+#: Words of one joined string.
+_JOINED_WORDS = 200
+#: The characters that the byte-level alphabet has for bytes.
+_BYTE_CHARS = {i: chr(c) for i, c in zip([*(i for i in range(256) if 33 <= i <= 126 or 161 <= i <= 172 or i >= 174), *(i for i in range(256) if i < 33 or 127 <= i <= 160 or i == 173)], [*(i for i in range(256) if 33 <= i <= 126 or 161 <= i <= 172 or i >= 174), *range(256, 324)])}
+#: The same for joined words read as Latin-1, whose spaces stay and whose 0x01 is a word's space: what is to be replaced.
+_JOINED_CHARS = [("\1", _BYTE_CHARS[32]), ("\n", _BYTE_CHARS[10]), *((chr(i), _BYTE_CHARS[i]) for i in range(128, 256) if _BYTE_CHARS[i] != chr(i))]
+# What a byte is to byte-level pre-tokenisation of Latin text.
+_MARK_CLASS = bytes(46 if chr(i) in ".," else 97 if i >= 128 or chr(i).isalnum() else 32 if i in (10, 32) else 33 for i in range(256))
 
 
 def _single_spaces(t: bytes) -> bool:
@@ -66,6 +77,15 @@ def _lone_stops(t: bytes) -> bool:
     return not (b".." in c or b".!" in c or b"!." in c)
 
 
+def _stops_apart(t: bytes) -> bytes:
+    """A text of single spaces with its stops and commas as chunks of their own, if pre-tokenisation cuts all of them off:
+    each stands after a letter or digit and before one, white space or the end.  Fewer distinct chunks are left to encode."""
+    c = t.translate(_MARK_CLASS)
+    if b".." in c or b"!." in c or b".!" in c or b" ." in c or c[:1] == b"." or not _latin(t):
+        return t
+    return t.replace(b".", b" \0.").replace(b",", b" \0,")
+
+
 def known_kind(path: str, spaces: bool) -> bool:
     """Whether a file's normaliser, pre-tokeniser and special tokens are those that cutting at white space relies on."""
     with open(path, encoding="utf-8") as f:
@@ -108,6 +128,12 @@ class Encoder:
         self.tok.encode_special_tokens = escape
         self.cut = self.joiner.token_to_id(_SEPARATOR) if known_kind(path, spaces) else None
         self.spaces = spaces
+        self.byword = None
+        if spaces and self.cut is not None and self.tok.token_to_id(_BYTE_CHARS[10]) is not None:
+            from tokenizers import pre_tokenizers
+
+            self.byword, self.line = Tokenizer.from_file(path), self.tok.token_to_id(_BYTE_CHARS[10])
+            self.byword.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._reset()
         self.cache = WordCache(self._grow, limit=remembered, compact=self._compact)
 
@@ -129,13 +155,37 @@ class Encoder:
 
     def _chunks(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks end to end, and the number of each."""
+        if not self.byword:
+            return self._pieces([_unkey(c) for c in chunks] if self.spaces else chunks)
+        found = list(map(_WORD, chunks))
+        words = np.fromiter(map(bool, found), bool, len(chunks))
+        (ids, sizes), (rest, rest_sizes) = self._words([m for m in found if m]), self._pieces([_unkey(c) for c, m in zip(chunks, found) if not m])
+        lens = np.zeros(len(chunks), np.int64)
+        lens[words], lens[~words] = sizes, rest_sizes
+        out, own = np.zeros(int(lens.sum()), np.uint32), np.repeat(words, lens)
+        out[own], out[~own] = ids, rest
+        return out, lens
+
+    def _words(self, found: list) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words with a space before them: the library splits them at spaces alone, already in the byte-level
+        alphabet, with a line break after each."""
+        lines = [b"\1%b %b \n" % m.groups() for m in found]
+        joined = [b"".join(lines[i : i + _JOINED_WORDS]).decode("latin-1") for i in range(0, len(lines), _JOINED_WORDS)]
+        for old, new in _JOINED_CHARS:
+            joined = [j.replace(old, new) for j in joined]
+        return self._at(self.byword, joined, self.line)
+
+    def _pieces(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
         between = _SEPARATOR.encode()
-        if self.spaces:
-            chunks = [_unkey(c) for c in chunks]
         joined = [(between.join(chunks[i : i + _JOINED]) + between).decode("utf-8", "replace") for i in range(0, len(chunks), _JOINED)]
-        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.joiner.encode_batch_fast(joined, add_special_tokens=False)])
-        cuts = np.flatnonzero(flat == self.cut)
-        return flat[flat != self.cut], np.diff(cuts, prepend=-1) - 1
+        return self._at(self.joiner, joined, self.cut)
+
+    @staticmethod
+    def _at(tok, joined: list, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of joined strings without the cuts between chunks, and how many each chunk has."""
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in tok.encode_batch_fast(joined, add_special_tokens=False))])
+        cuts = np.flatnonzero(flat == cut)
+        return flat[flat != cut], np.diff(cuts, prepend=-1) - 1
 
     def _grow(self, chunks: list, start: int) -> None:
         if start == 0:
@@ -190,7 +240,7 @@ class Encoder:
                 low = pc.replace_substring(pc.replace_substring(low, ".", " . "), ",", " , ")
             cut = pc.ascii_split_whitespace(low)  # an end of white space gives an empty word, which has no ids
         elif simple:
-            cut = pc.split_pattern(pa.array([b"\0" + t.replace(b"\n", b" \n") for t in texts], pa.binary()), " ")
+            cut = pc.split_pattern(pa.array([b"\0" + _stops_apart(t).replace(b"\n", b" \n") for t in texts], pa.binary()), " ")
         else:
             cut = pa.array([[b"\0" + c for c in _CHUNK.findall(t)] for t in texts], pa.list_(pa.binary()))
         return cut.flatten().cast(pa.binary()), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -812,3 +812,28 @@ def test_fingerprints_of_many_null_ids(spark):
     rows = [(None, f"text number {i} of some words") for i in range(2500)] + [(i, f"other {i} text") for i in range(20)]
     got = imatch.op10(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(got) == 2520 and sum(r.doc_id is None for r in got) == 2500 and all(0 <= r.near_next <= 1 for r in got)
+
+
+def test_byte_level_words_are_encoded_as_the_library_does():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corvane.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(4)
+    odd = ["a", "é", "à", "í", "÷", "don't", "'s", ".", ",", " ", "\n", "!", "1", "X", "<|", "‘", "Б", "&", "\x01"]
+    texts = ["".join(r.choices(odd, k=r.randint(0, 14))) for _ in range(2000)]
+    texts += [" ".join("".join(r.choices(["a", "é", "à", "ing", ".", ",", "!", "1"], weights=[9, 2, 2, 9, 1, 1, 0.3, 0.3], k=r.randint(1, 5))) for _ in range(r.randint(1, 6))) for _ in range(2000)]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    enc = tokens.Encoder(path, True)
+    ids, counts = enc.encode([x.encode() for x in texts])
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    # stops leave no chunks of their own, and words go without their white space
+    enc = tokens.Encoder(path, True)
+    enc.encode([b"a word, word. word"] * 3)
+    assert set(enc.cache.ids) == {b"\0a", b"word", b"\0,", b"\0."}
+    ids, counts = enc._words([tokens._WORD(b"word"), tokens._WORD("à,!".encode())])
+    assert ids.tolist() == enc.tok.encode(" word à,!", add_special_tokens=False).ids and counts[0] == 1
