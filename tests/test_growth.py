@@ -4,6 +4,7 @@ import difflib
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,40 @@ def test_results_are_given_back_by_slices():
     assert [x for p in rows for x in p.to_pylist()] == ["e", None, ""]
 
 
+def turns(n: int) -> list[tuple]:
+    """(role, ref, hyp) of about 500 characters each, so that a batch of them is many slices."""
+    r, known = random.Random(n), [a + b for a in ("ka", "lo", "mire", "tun") for b in ("", "s", "ta", "ren", "vo")]
+    text = lambda: " ".join(r.choices(known, k=r.randint(60, 140)))
+    return [(r.choice("xyz"), text(), r.choice((text(), "", None))) for _ in range(n)]
+
+
+def test_aligned_words_are_held_by_slices():
+    """Four times the pairs of a batch take no more memory in a worker, and no more is given back at once."""
+
+    def most(n: int) -> tuple[int, int]:
+        batch = tuple(pa.array(c, pa.string()) for c in list(zip(*turns(n)))[1:])
+        tracemalloc.start()
+        given = max(part.nbytes for part in align.word_ops.func(iter([batch])))
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return held, given
+
+    (held, given), (held4, given4) = most(500), most(2000)
+    assert held4 < 1.2 * held < 20_000_000 and given4 < 1.2 * given < 5_000_000
+
+
+def test_positions_of_a_batch_of_many_slices(spark):
+    rows = turns(1000)
+    found = metrics.position_errors(spark.createDataFrame(rows, "role string, ref string, hyp string").coalesce(1), "role")
+    n, errors = Counter(), Counter()
+    for role, ref, hyp in rows:
+        for op, i, _ in align.trace(ref.split(), (hyp or "").split()):
+            if op != "I":
+                n[role, min(i, 7)] += 1
+                errors[role, min(i, 7)] += op != "M"
+    assert {(r.role, r.position): (r.n, r.errors, r.rate) for r in found.collect()} == {k: (n[k], errors[k], errors[k] / n[k]) for k in n}
+
+
 def test_blocks_are_those_of_difflib():
     r = random.Random(3)
     for _ in range(2000):
