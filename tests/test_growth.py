@@ -89,6 +89,21 @@ def test_positions_of_a_batch_of_many_slices(spark):
     assert {(r.role, r.position): (r.n, r.errors, r.rate) for r in found.collect()} == {k: (n[k], errors[k], errors[k] / n[k]) for k in n}
 
 
+def test_accuracy_of_a_batch_of_many_slices(spark):
+    rows = turns(1001)
+    found = metrics.word_accuracy(spark.createDataFrame(rows, "role string, ref string, hyp string").coalesce(1), "role")
+    n, same, close = Counter(), Counter(), Counter()
+    for role, ref, hyp in rows:
+        r, h = ref.split(), (hyp or "").split()
+        for op, i, j in align.trace(r, h):
+            n[role] += op != "I"
+            same[role] += op == "M"
+            close[role] += op in "MS" and align.distance(r[i], h[j]) <= 1
+    assert any(close[k] > same[k] for k in n)
+    got = {r.role: (r.n, round(r.word_accuracy, 12), round(r.within_one, 12)) for r in found.collect()}
+    assert got == {k: (n[k], round(same[k] / n[k], 12), round(close[k] / n[k], 12)) for k in n}
+
+
 def test_blocks_are_those_of_difflib():
     r = random.Random(3)
     for _ in range(2000):
